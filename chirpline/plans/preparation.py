@@ -66,4 +66,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p5_found, p6_found)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": r"""
+        WITH t AS (
+          SELECT '/' || list_aggregate(list_filter(string_split(
+                   regexp_replace(replace(path_audio, '\', '/'), '^[A-Za-z][A-Za-z0-9+.-]+:(//(localhost)?)?/', '/'), '/'),
+                   lambda x: x <> '' AND x <> '.'), 'string_agg', '/') AS path, fsize
+          FROM audio_metadata WHERE path_audio IS NOT NULL AND fsize IS NOT NULL),
+        f AS (SELECT path, max(fsize) AS n_bytes FROM t GROUP BY path)
+        SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes
+        FROM f WHERE n_bytes < 1048576 GROUP BY 1 HAVING count(*) >= 2""",
+    "p2_found": """
+        WITH d AS (
+          SELECT DISTINCT deploy_id, sensor_name, epoch_us(start_at) AS s, epoch_us(end_at) AS e, CAST(step_s AS BIGINT) * 1000000 AS st
+          FROM deployment WHERE step_s > 0 AND end_at > start_at AND sensor_name IS NOT NULL),
+        g AS (
+          SELECT sensor_name, s + k * st AS a, least(s + (k + 1) * st, e) AS b
+          FROM (SELECT *, unnest(range(0, CAST(ceil((e - s) / st) AS BIGINT))) AS k FROM d)),
+        r AS (
+          SELECT DISTINCT sensor_name, epoch_us(date) AS a, epoch_us(date) + CAST(ceil(round(length * 1e6, 3)) AS BIGINT) AS b
+          FROM audio_metadata WHERE sensor_name IS NOT NULL AND date IS NOT NULL AND length > 0 AND NOT isnan(length) AND NOT isinf(length))
+        SELECT DISTINCT sensor_name, CAST(a // 1000000 AS BIGINT) AS slot_at FROM g
+        WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.sensor_name = g.sensor_name AND r.a < g.b AND r.b > g.a)""",
+    "p5_found": """
+        WITH t AS (
+          SELECT DISTINCT CAST(id AS BIGINT) AS id, lower(trim(rec)) AS rec,
+            CASE WHEN upper(trim(q)) IN ('A', 'B', 'C', 'D', 'E') THEN ascii(upper(trim(q))) - 65 ELSE 5 END AS grade,
+            CASE WHEN regexp_full_match(trim(length), '[0-9]+:[0-9]{2}') OR regexp_full_match(trim(length), '[0-9]+:[0-9]{1,2}:[0-9]{2}') THEN
+              list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(trim(length), ':'), lambda x: CAST(x AS BIGINT))), lambda a, b: a * 60 + b)
+              ELSE -1 END AS len
+          FROM catalogue WHERE rec IS NOT NULL AND trim(rec) <> ''),
+        r AS (
+          SELECT *, row_number() OVER (PARTITION BY rec ORDER BY grade, len DESC, id) AS rk, count(*) OVER (PARTITION BY rec) AS n FROM t)
+        SELECT CAST(id AS VARCHAR) AS id FROM r WHERE n > 12 AND rk <= 12""",
+    "p6_found": """
+        WITH t AS (
+          SELECT rec_id, CAST(round(min_f) AS BIGINT) AS min_f, CAST(round(max_f) AS BIGINT) AS max_f,
+            CAST(round(min_t * 100000) AS BIGINT) AS s, CAST(round(max_t * 100000) AS BIGINT) AS e
+          FROM roi WHERE min_t IS NOT NULL AND max_t > min_t),
+        m AS (
+          SELECT *, max(e) OVER (PARTITION BY rec_id, min_f, max_f ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
+        i AS (
+          SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, min_f, max_f ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+        p AS (SELECT rec_id, min_f, max_f, island, min(s) AS s, max(e) AS e FROM i GROUP BY ALL),
+        g AS (SELECT *, lead(s) OVER (PARTITION BY rec_id, min_f, max_f ORDER BY island) AS nxt FROM p)
+        SELECT 'period' AS kind, rec_id, min_f, max_f, s AS start_e5, e AS end_e5 FROM p
+        UNION ALL SELECT 'gap', rec_id, min_f, max_f, e, nxt FROM g WHERE nxt IS NOT NULL""",
+}
