@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpline.llm import bpe
+from chirpline.llm import bpe, leakage, readability
 from chirpline.session import table
 
 
@@ -14,6 +14,28 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids,)}
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_windows(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(p8_windows(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.exact_leaks(p8_windows(spark, d))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "level_label"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("band >= 4").select("doc_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p7_ids, p8_found, p8_windows, p8_leaks, p9_found, p9_levels)
+}
 
 ORACLES: dict[str, str] = {}
