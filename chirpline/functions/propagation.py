@@ -87,3 +87,25 @@ def detection_distance(levels: DataFrame, r0: float = 1.0, step: float = 1.0, r_
     above = F.when(F.col("margin") > 0, F.col("margin"))
     best = F.min(F.when(F.col("margin") > 0, F.struct("margin", "r")))
     return hits.groupBy("f").agg(F.count(above).alias("n"), best.alias("best")).select("f", F.when(F.col("n") > 1, F.col("best.r")).otherwise(F.lit(0.0)).alias("distance"))
+
+
+def attenuate(signals: DataFrame, fs: float, r: float, r0: float = 1.0, t: float = 20.0, rh: float = 60.0, pa: float = 101325.0, a0: float = 0.02) -> DataFrame:
+    """Waveforms as heard at distance r: each Fourier coefficient k of n is damped as the frequency k / n * fs / 2: (rec_id, x)."""
+    import numpy as np
+
+    from chirpline.operators.images import map_arrays
+
+    kelvin, bar = t + 273.15, pa / 101325.0
+    vapour = rh * 101325.0 * 10 ** (-6.8346 * (273.16 / kelvin) ** 1.261 + 4.6151) / pa
+    fo = bar * (24 + 4.04e4 * vapour * (0.02 + vapour) / (0.391 + vapour))
+    fr = bar * math.sqrt(kelvin / 293.15) * (9 + 280 * vapour * math.exp(-4.17 * ((kelvin / 293.15) ** (-1 / 3) - 1)))
+
+    def damp(x: np.ndarray) -> np.ndarray:
+        f2 = (np.arange(len(x)) / len(x) * fs / 2) ** 2
+        shrink = (kelvin / 293.15) ** -2.5
+        air = 8.686 * f2 * (1.84e-11 / bar * math.sqrt(kelvin / 293.15) + shrink * (0.01275 * math.exp(-2239.1 / kelvin) / (fo + f2 / fo) + 0.1068 * math.exp(-3352 / kelvin) / (fr + f2 / fr)))
+        habitat = a0 * np.sqrt(f2) / 1000 / 20 * math.log10(math.e)
+        factor = r0 / r * np.exp(-air / (20 * math.log10(math.e)) * (r - r0)) * np.exp(-habitat * (r - r0))
+        return np.fft.ifft(np.fft.fft(x) * factor).real
+
+    return map_arrays(signals, damp)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chirpline.functions import decibel as db
+from chirpline.session import checkpoint
 
 
 def samples(signals: DataFrame) -> DataFrame:
@@ -144,20 +145,26 @@ def temporal_activity(env: DataFrame, threshold: float = 3.0) -> DataFrame:
     return a.groupBy("rec_id").agg(F.avg(active).alias("fraction"), F.sum(active).alias("n_active"), F.coalesce(10 * F.log10(F.avg(strong)), F.lit(0.0)).alias("mean_active"))
 
 
-def acoustic_richness(features: DataFrame) -> DataFrame:
-    """rank(ht) rank(m) / n^2 with average ranks on ties: (rec_id, ari). Ranks are over the whole set.
+def average_ranks(values: DataFrame, column: str) -> DataFrame:
+    """Rank of each distinct value, the mean rank for ties: (column, rank).
 
-    Ranks come from distinct values with their counts, summed up in chunks of a range partitioning
-    by Catalyst's global window over the (far smaller) distinct values.
+    Distinct values with their counts are range-partitioned; each partition ranks its own and the
+    counts of the partitions before it are added, so no task orders all values.
     """
-    n = features.groupBy().agg(F.count(F.lit(1)).alias("n")).first().n
+    counts = checkpoint(values.groupBy(column).agg(F.count(F.lit(1)).alias("ties")).repartitionByRange(F.col(column)).withColumn("part", F.spark_partition_id()))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.groupBy("part").agg(F.sum("ties").alias("n")).select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("offset") + F.coalesce(F.sum("ties").over(inside), F.lit(0))
+    return counts.join(before, "part").select(column, (upto + (F.col("ties") + 1) / 2).alias("rank"))
 
-    def ranked(c: str) -> DataFrame:
-        counts = features.groupBy(c).agg(F.count(F.lit(1)).alias("ties"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(c, (F.coalesce(F.sum("ties").over(w), F.lit(0)) + (F.col("ties") + 1) / 2).alias(f"rank_{c}"))
 
-    both = features.join(ranked("ht"), "ht").join(ranked("m"), "m")
+def acoustic_richness(features: DataFrame) -> DataFrame:
+    """rank(ht) rank(m) / n^2 over the whole set, with average ranks on ties: (rec_id, ari)."""
+    n = features.count()
+    both = features
+    for c in ("ht", "m"):
+        both = both.join(average_ranks(features, c).withColumnRenamed("rank", f"rank_{c}"), c)
     return both.select("rec_id", (F.col("rank_ht") * F.col("rank_m") / F.lit(float(n) * n)).alias("ari"))
 
 
