@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from chirpline.session import estimated_bytes, staging_path
 
 SMALL_FILE = 1 << 20
+# Row groups of the consolidated files, so that later scans can still split them.
+ROW_GROUP = 16 << 20
 
 
 def canonical_path(path: Column) -> Column:
@@ -139,7 +141,7 @@ def compact(df: DataFrame, target_bytes: int = 128 << 20, open_cost: int = 4 <<
         for k, v in keys.items():
             spark.conf.set(k, v)
         packed = df.coalesce(max(1, math.ceil(total / target_bytes))) if total < target_bytes * 100_000 else df
-        packed.observe(seen, *_digest(df)).write.parquet(staged)
+        packed.observe(seen, *_digest(df)).write.option("parquet.block.size", str(ROW_GROUP)).parquet(staged)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
