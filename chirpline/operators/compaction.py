@@ -19,6 +19,7 @@ from chirpline.session import estimated_bytes, staging_path
 SMALL_FILE = 1 << 20
 # Row groups of the consolidated files, so that later scans can still split them.
 ROW_GROUP = 16 << 20
+GROUP_ROWS = 200_000
 
 
 def canonical_path(path: Column) -> Column:
@@ -26,25 +27,29 @@ def canonical_path(path: Column) -> Column:
 
     Backslashes count as slashes; a scheme (``file://``, with or without ``localhost``), empty
     parts and ``.`` parts go, ``..`` parts go with the part before them, and percent escapes of
-    URLs are decoded. Null stays null; letter case and blanks are kept.
+    URLs are decoded. Null stays null; letter case and blanks are kept. A path that shows none of
+    these is passed on after a few byte searches, without a regular expression.
     """
+    simple = path.startswith("/") & ~path.contains("\\") & ~path.contains("//") & ~path.contains("/.") & ~path.endswith("/")
+    return F.when(simple, path).otherwise(_parsed_path(path))
+
+
+def _parsed_path(path: Column) -> Column:
     slashed = F.translate(path, "\\", "/")
     is_url = slashed.rlike("^[A-Za-z][A-Za-z0-9+.-]+:/")
     bare = F.regexp_replace(slashed, "^[A-Za-z][A-Za-z0-9+.-]+:(?://(?:localhost)?(?=/))?", "")
     decoded = F.when(
         is_url & bare.contains("%"), F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
     ).otherwise(F.when(is_url, bare).otherwise(slashed))
-    rooted = F.concat(F.lit("/"), decoded)
-    plain = F.regexp_replace(F.regexp_replace(rooted, r"/(?:\.?/)*", "/"), r"(?<=.)/\.?$", "")
-    parts = F.split(plain, "/")
-    climbed = F.aggregate(
-        F.filter(parts, lambda x: x != ""),
+    parts = F.filter(F.split(decoded, "/"), lambda x: (x != "") & (x != "."))
+    # bound by a lambda, so that the parts are made once
+    climbed = lambda p: F.aggregate(
+        p,
         F.array().cast("array<string>"),
-        lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).otherwise(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        ),
+        lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))),
     )
-    return F.when(plain.contains("/.."), F.concat(F.lit("/"), F.array_join(climbed, "/"))).otherwise(plain)
+    kept = F.transform(F.array(parts), lambda p: F.when(F.array_contains(p, ".."), climbed(p)).otherwise(p))[0]
+    return F.when(path.isNotNull(), F.concat(F.lit("/"), F.array_join(kept, "/")))
 
 
 def folder_of(canonical: Column) -> Column:
@@ -141,7 +146,8 @@ def compact(df: DataFrame, target_bytes: int = 128 << 20, open_cost: int = 4 <<
         for k, v in keys.items():
             spark.conf.set(k, v)
         packed = df.coalesce(max(1, math.ceil(total / target_bytes))) if total < target_bytes * 100_000 else df
-        packed.observe(seen, *_digest(df)).write.option("parquet.block.size", str(ROW_GROUP)).parquet(staged)
+        groups = {"parquet.block.size": str(ROW_GROUP), "parquet.block.row.count.limit": str(GROUP_ROWS)}
+        packed.observe(seen, *_digest(df)).write.options(**groups).parquet(staged)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
