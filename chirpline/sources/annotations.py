@@ -47,3 +47,15 @@ def read_raven(spark, path: str) -> DataFrame:
     df = spark.read.csv(path, sep="\t", header=True)
     names = {"Begin Time (s)": "min_t", "End Time (s)": "max_t", "Low Freq (Hz)": "min_f", "High Freq (Hz)": "max_f"}
     return df.select(*[F.col(f"`{c}`").cast("double").alias(names[c]) if c in names else F.col(f"`{c}`") for c in df.columns])
+
+
+def write_audacity(rois: DataFrame, folder: str, by: str = "rec_id") -> None:
+    """One folder of label text per recording; lines keep their order. Recordings are spread over tasks by a hash."""
+    lines = to_audacity(rois, by).repartition(F.col(by)).sortWithinPartitions(by, "line_no")
+    lines.select(by, "line").write.partitionBy(by).text(folder)
+
+
+def write_raven(rois: DataFrame, folder: str, by: str = "rec_id", extra: list[str] | None = None) -> None:
+    """Tab-separated selection tables, one folder per recording."""
+    rows = to_raven(rois, by, extra).repartition(F.col(by)).sortWithinPartitions(by, "Selection")
+    rows.write.partitionBy(by).csv(folder, sep="\t", header=True)

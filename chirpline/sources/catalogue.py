@@ -58,3 +58,30 @@ def local_paths(catalogue: DataFrame, root: str, dataset: str) -> DataFrame:
     ext = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
     folder = F.concat_ws("", F.col("gen"), F.lit(" "), F.col("sp"), F.lit("_"), F.col("en"))
     return catalogue.withColumn("path", F.concat_ws("/", F.lit(root), F.lit(dataset), folder, F.concat(F.lit("XC"), "id", F.lit("."), ext)))
+
+
+def search(catalogue: DataFrame, terms: dict[str, str]) -> DataFrame:
+    """Records whose fields equal the terms; an empty dict finds all."""
+    found = catalogue
+    for field, value in terms.items():
+        if field not in FIELDS:
+            raise ValueError(f"no field {field}")
+        found = found.where(F.col(field) == value)
+    return found
+
+
+def multi_search(catalogue: DataFrame, queries: list[dict[str, str]], fields: list[str]) -> DataFrame:
+    """The records of several searches, a row for each search that finds one, with its terms as ``q_<field>``.
+
+    The searches are a parameter list and are tried on each record in one scan; a field that a
+    search doesn't name may have any value.
+    """
+    lit = F.array(*[F.struct(*[F.lit(x.get(f)).cast("string").alias(f"q_{f}") for f in fields]) for x in queries])
+
+    def fits(s):
+        ok = F.lit(True)
+        for f in fields:
+            ok = ok & (s[f"q_{f}"].isNull() | (s[f"q_{f}"] == F.col(f)))
+        return ok
+
+    return catalogue.select("*", F.inline(F.filter(lit, fits)))

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-MODULES = ["preparation", "temporal", "spectral", "pictures", "tables", "streams"]
+MODULES = ["preparation", "temporal", "spectral", "pictures", "tables", "streams", "composites"]
 CASES = [(m, k) for m in MODULES for k in importlib.import_module(f"chirpline.plans.{m}").ORACLES]
 OTHERS = [(m, k) for m in MODULES for k in (p := importlib.import_module(f"chirpline.plans.{m}")).QUERIES if k not in p.ORACLES]
 
