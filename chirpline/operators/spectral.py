@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from chirpline.functions import decibel as db
 from chirpline.operators import signal as sg
+from chirpline.session import checkpoint
 
 # Nominal centre frequencies (Hz) of third octaves and octaves.
 THIRD_OCTAVES = (16, 20, 25, 31.5, 40, 50, 63, 80, 100, 125, 160, 200, 250, 315, 400, 500, 630, 800, 1000, 1250, 1600, 2000, 2500, 3150, 4000, 5000, 6300, 8000, 10000, 12500, 16000, 20000)
@@ -82,7 +83,10 @@ def into_bins(spectrum: DataFrame, grid: Grid, step: float, value: str = "p") ->
 
 
 def spectral_moments(cells: DataFrame) -> DataFrame:
-    s = avg_amplitude(cells)
+    return moments_of_spectrum(avg_amplitude(cells))
+
+
+def moments_of_spectrum(s: DataFrame) -> DataFrame:
     return s.groupBy("rec_id").agg(*sg.moments(s, ["rec_id"], "a"))
 
 
@@ -91,7 +95,11 @@ def moments_per_bin(cells: DataFrame) -> DataFrame:
 
 
 def frequency_entropy(cells: DataFrame) -> DataFrame:
-    return avg_power(cells).groupBy("rec_id").agg(sg.entropy("p").alias("hf"))
+    return entropy_of_spectrum(avg_power(cells))
+
+
+def entropy_of_spectrum(s: DataFrame) -> DataFrame:
+    return s.groupBy("rec_id").agg(sg.entropy("p").alias("hf"))
 
 
 def entropy_per_bin(cells: DataFrame) -> DataFrame:
@@ -109,10 +117,19 @@ def median_equalizer(cells: DataFrame) -> DataFrame:
 
 def spectral_entropy(cells: DataFrame, grid: Grid, lo: float, hi: float, value: str = "e") -> DataFrame:
     """EAS, ECU, ECV of a band and EPS with kurtosis and skewness of its peak-frequency histogram, one bin per frequency of the band."""
-    band = cells.where(grid.band(lo, hi))
-    bins = band.groupBy(*BIN).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    bins = cells.where(grid.band(lo, hi)).groupBy(*BIN).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    return spread_entropies(bins).join(peak_entropies(cells, grid, lo, hi, value), "rec_id", "left")
+
+
+def spread_entropies(bins: DataFrame) -> DataFrame:
+    """EAS, ECU and ECV from the mean m and variance v of the bins of a band."""
     bins = bins.withColumn("c", F.col("v") / F.nullif("m", F.lit(0.0)))
-    spread = bins.groupBy("rec_id").agg((1 - sg.entropy("m")).alias("EAS"), (1 - sg.entropy("v")).alias("ECU"), (1 - sg.entropy("c")).alias("ECV"))
+    return bins.groupBy("rec_id").agg((1 - sg.entropy("m")).alias("EAS"), (1 - sg.entropy("v")).alias("ECU"), (1 - sg.entropy("c")).alias("ECV"))
+
+
+def peak_entropies(cells: DataFrame, grid: Grid, lo: float, hi: float, value: str = "e") -> DataFrame:
+    """EPS and the kurtosis and skewness of the histogram of each frame's loudest frequency in the band."""
+    band = cells.where(grid.band(lo, hi))
     peak = band.groupBy(*FRAME).agg(F.max(F.struct(F.col(value), -F.col("f_idx"))).alias("b")).select("rec_id", ((-F.col("b.col2")) * F.lit(grid.df)).alias("f"))
     nb = grid.nearest(hi) - grid.nearest(lo) + 1
     inside = peak.where((F.col("f") >= lo) & (F.col("f") <= hi))
@@ -124,12 +141,11 @@ def spectral_entropy(cells: DataFrame, grid: Grid, lo: float, hi: float, value:
     empty = F.lit(nb) - F.count(F.lit(1))
     central = lambda k: F.sum(F.pow(F.col("q") - mean, F.lit(float(k)))) + empty * F.lit((-1.0 / nb) ** k)
     deviation = F.sqrt(central(2) / nb)
-    eps = per.groupBy("rec_id").agg(
+    return per.groupBy("rec_id").agg(
         (1 + F.sum(F.col("q") * F.ln("q")) / math.log(nb)).alias("EPS"),
         (central(4) / (nb - 1) / F.pow(deviation, F.lit(4.0))).alias("EPS_KURT"),
         (central(3) / (nb - 1) / F.pow(deviation, F.lit(3.0))).alias("EPS_SKEW"),
     )
-    return spread.join(eps, "rec_id", "left")
 
 
 def with_steps(cells: DataFrame, value: str = "a") -> DataFrame:
@@ -149,7 +165,10 @@ def aci(cells: DataFrame) -> DataFrame:
 def soundscape_index(cells: DataFrame, grid: Grid, bio: tuple[float, float] = (1000, 10000), anthro: tuple[float, float] = (0, 1000), compatible: bool = True) -> DataFrame:
     """NDSI, their ratio and both energies from spectra in steps; otherwise steps of 1 kHz without the first."""
     step = anthro[1] - anthro[0] if compatible else 1000.0
-    bins = into_bins(avg_power(cells), grid, step)
+    return _ndsi(into_bins(avg_power(cells), grid, step), grid, step, bio, anthro, compatible)
+
+
+def _ndsi(bins: DataFrame, grid: Grid, step: float, bio: tuple[float, float], anthro: tuple[float, float], compatible: bool = True) -> DataFrame:
     n_steps = math.ceil((grid.top() + step) / step) - 1
     kept = [b for b in range(n_steps) if compatible or b * step >= 1000]
     near = lambda f: min(kept, key=lambda b: (abs(b * step - f), b))
@@ -161,6 +180,10 @@ def soundscape_index(cells: DataFrame, grid: Grid, bio: tuple[float, float] = (1
 def bioacoustics_index(cells: DataFrame, grid: Grid, lo: float = 2000, hi: float = 15000) -> DataFrame:
     """Area of the mean spectrum in dB over its minimum in the band, and the variant from mean normalised power over all bins."""
     bins = cells.groupBy(*BIN).agg(F.avg("a").alias("m"), F.avg("p").alias("mp"), F.max("a").alias("top"), F.max("p").alias("ptop"))
+    return _bioacoustics(bins, grid, lo, hi)
+
+
+def _bioacoustics(bins: DataFrame, grid: Grid, lo: float, hi: float) -> DataFrame:
     tops = bins.groupBy("rec_id").agg(F.max("top").alias("top"), F.max("ptop").alias("ptop"), F.sum("mp").alias("sp"))
     level = bins.select("rec_id", "f_idx", "m").join(tops, "rec_id").withColumn("level", db.amplitude_to_db(F.col("m") / F.col("top"))).where(grid.band(lo, hi))
     return level.groupBy("rec_id").agg(((F.sum("level") - F.count(F.lit(1)) * F.min("level")) / grid.df).alias("bi"), (F.sqrt(F.max(F.col("sp") / F.col("ptop"))) * grid.df).alias("bi_power"))
@@ -183,11 +206,20 @@ def surface_roughness(cells: DataFrame, per_bin: bool = False) -> DataFrame:
 
 def band_scores(cells: DataFrame, grid: Grid, lo: float, hi: float, step: float, threshold: float) -> DataFrame:
     """Share of cells at or above the threshold re the recording's maximum per band: (rec_id, band, share). Snapped bands share their edge bins."""
-    bands = [(b, grid.nearest(lo + step * b), grid.nearest(lo + step * (b + 1))) for b in range(int((hi - lo) // step))]
     top = cells.groupBy("rec_id").agg(F.max("a").alias("top"))
-    loud = (db.amplitude_to_db(F.col("a") / F.nullif("top", F.lit(0.0))) >= threshold).cast("long")
+    loud = is_loud(F.col("top"), threshold).cast("long")
     per_bin = cells.join(top, "rec_id").groupBy(*BIN).agg(F.sum(loud).alias("n_loud"), F.count(F.lit(1)).alias("n"))
-    pairs = cells.sparkSession.createDataFrame([(i, b) for b, i0, i1 in bands for i in range(i0, i1 + 1)], "f_idx long, band long")
+    return scores_of_bins(per_bin, grid, lo, hi, step)
+
+
+def is_loud(top: Column, threshold: float) -> Column:
+    return db.amplitude_to_db(F.col("a") / F.nullif(top, F.lit(0.0))) >= threshold
+
+
+def scores_of_bins(per_bin: DataFrame, grid: Grid, lo: float, hi: float, step: float) -> DataFrame:
+    """Band scores from the number of loud cells ``n_loud`` and of all cells ``n`` of each bin."""
+    bands = [(b, grid.nearest(lo + step * b), grid.nearest(lo + step * (b + 1))) for b in range(int((hi - lo) // step))]
+    pairs = per_bin.sparkSession.createDataFrame([(i, b) for b, i0, i1 in bands for i in range(i0, i1 + 1)], "f_idx long, band long")
     return per_bin.join(F.broadcast(pairs), "f_idx").groupBy("rec_id", "band").agg((F.sum("n_loud") / F.sum("n")).alias("share"))
 
 
@@ -199,14 +231,20 @@ def gini(value: str, rank: str) -> Column:
 
 def acoustic_diversity(cells: DataFrame, grid: Grid, lo: float = 0, hi: float = 20000, step: float = 1000, threshold: float = -50) -> DataFrame:
     """Shannon, Simpson and inverse Simpson diversity of the band scores."""
-    s = band_scores(cells, grid, lo, hi, step, threshold)
+    return diversity_of_scores(band_scores(cells, grid, lo, hi, step, threshold))
+
+
+def diversity_of_scores(s: DataFrame) -> DataFrame:
     total, sq, n = F.sum("share"), F.sum(F.col("share") * F.col("share")), F.count("share")
     share2 = sq / F.nullif(total * total, F.lit(0.0))
     return s.groupBy("rec_id").agg((sg.entropy("share") * F.ln(n)).alias("shannon"), (1 - share2).alias("simpson"), (1 / share2).alias("invsimpson"))
 
 
 def acoustic_evenness(cells: DataFrame, grid: Grid, lo: float = 0, hi: float = 20000, step: float = 500, threshold: float = -50) -> DataFrame:
-    s = band_scores(cells, grid, lo, hi, step, threshold)
+    return evenness_of_scores(band_scores(cells, grid, lo, hi, step, threshold))
+
+
+def evenness_of_scores(s: DataFrame) -> DataFrame:
     ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("rec_id").orderBy("share", "band")))
     return ranked.groupBy("rec_id").agg(gini("share", "rank").alias("aei"))
 
@@ -253,7 +291,10 @@ def tfsd(cells: DataFrame, grid: Grid, lo: float = 2000, hi: float = 8000, centr
 
 def more_entropy(cells: DataFrame, order: float = 3.0) -> DataFrame:
     """Havrda, Renyi, paired Shannon, gamma and Gini-Simpson entropy of the mean power spectrum."""
-    s = avg_power(cells)
+    return entropies_of_spectrum(avg_power(cells), order)
+
+
+def entropies_of_spectrum(s: DataFrame, order: float = 3.0) -> DataFrame:
     m = s.withColumn("m", F.greatest(F.col("p") / F.sum("p").over(Window.partitionBy("rec_id")), F.lit(db.MIN)))
     power = lambda k: F.sum(F.pow("m", F.lit(float(k))))
     rest = F.greatest(1 - F.col("m"), F.lit(db.MIN))
@@ -272,7 +313,10 @@ def rao_q(cells: DataFrame, grid: Grid, step: float = 1000) -> DataFrame:
     On a line the sum of p_i p_j |b_i - b_j| over all pairs is twice the sum of P (1 - P) over the
     gaps between neighbours, P being the running share; so one window replaces a self-join.
     """
-    b = into_bins(avg_power(cells), grid, step)
+    return rao_of_bins(into_bins(avg_power(cells), grid, step))
+
+
+def rao_of_bins(b: DataFrame) -> DataFrame:
     w = Window.partitionBy("rec_id")
     up = w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     x = b.withColumn("share", F.sum("p").over(up) / F.sum("p").over(w)).withColumn("gap", F.lead("b").over(w.orderBy("b")) - F.col("b"))
@@ -322,16 +366,24 @@ def unimode(cells: DataFrame, by: list[str], value: str, mode: str = "median", n
 
 def spectral_snr(cells: DataFrame) -> DataFrame:
     """Energy, background and their difference in dB: (rec_id, enr, bgn, snr)."""
-    power = avg_power(cells).groupBy("rec_id").agg(F.sum("p").alias("e"))
-    smooth = sg.running_mean(noise_profile(cells), ["rec_id"], "f_idx", "noise", 5)
+    return snr_of_profiles(avg_power(cells), noise_profile(cells))
+
+
+def snr_of_profiles(spectrum: DataFrame, noise: DataFrame) -> DataFrame:
+    power = spectrum.groupBy("rec_id").agg(F.sum("p").alias("e"))
+    smooth = sg.running_mean(noise, ["rec_id"], "f_idx", "noise", 5)
     noise = smooth.groupBy("rec_id").agg(F.sum("smooth").alias("n"))
     both = power.join(noise, "rec_id").select("rec_id", db.power_to_db(F.col("e")).alias("enr"), db.power_to_db(F.col("n")).alias("bgn"))
     return both.withColumn("snr", F.col("enr") - F.col("bgn"))
 
 
 def spectral_leq(cells: DataFrame, gain_db: float = 42.0, p_ref: float = 20e-6) -> DataFrame:
+    return leq_of_spectrum(avg_power(cells), gain_db, p_ref)
+
+
+def leq_of_spectrum(spectrum: DataFrame, gain_db: float = 42.0, p_ref: float = 20e-6) -> DataFrame:
     pressure = db.wave_to_pressure(F.sqrt("p"), gain_db)
-    s = avg_power(cells).withColumn("p2", F.greatest(pressure * pressure, F.lit(db.MIN)))
+    s = spectrum.withColumn("p2", F.greatest(pressure * pressure, F.lit(db.MIN)))
     return s.groupBy("rec_id").agg((10 * F.log10(F.sum("p2") / p_ref**2)).alias("leq"))
 
 
@@ -369,31 +421,55 @@ def simple_peaks(spectrum: DataFrame, value: str = "level", slope: float = 0.0,
 
 
 def all_spectral(cells: DataFrame, grid: Grid, threshold: float = 3.0, gain_db: float = 42.0) -> DataFrame:
-    """The spectral indices of each recording in one row, as far as they need no numpy kernel."""
+    """The spectral indices of each recording in one row, as far as they need no numpy kernel.
+
+    The cells are read in five passes. The first two leave one row per bin, small tables that are
+    checkpointed and from which most indices follow: spectra, steps and background; then, with the
+    bin's norm known, activity, spread and loudness. The others make events, peak frequencies and
+    octave steps.
+    """
     lo, mid, hi = (0.0, 1000.0), (1000.0, 10000.0), (10000.0, 20000.0)
-    levels = equalised_levels(cells)
-    c = F.col
-    act = spectral_activity(levels, threshold).groupBy("rec_id").agg(
-        F.avg("fraction").alias("ACTspFract"), F.avg("n_active").alias("ACTspCount"), F.coalesce(10 * F.log10(F.sum("power") / F.nullif(F.sum("n_strong"), F.lit(0))), F.lit(0.0)).alias("ACTspMean")
-    )
+    c, n_a = F.col, F.nullif(F.sum("a"), F.lit(0.0))
+    step = F.abs("d1")
+    bins = checkpoint(
+        with_steps(cells).groupBy(*BIN).agg(
+            F.first("fn").alias("fn"), F.avg("p").alias("p"), F.sqrt(F.avg(c("a") * c("a"))).alias("a"), F.avg("a").alias("m"), F.max("a").alias("top"), F.max("p").alias("ptop"), F.min("p").alias("low"),
+            F.percentile("p", F.lit(0.5)).alias("raw"), (F.sum(step) / n_a).alias("aci"), F.sum(c("d2") * c("d2")).alias("rou"), (F.avg(step) / F.greatest(F.percentile(step, F.lit(0.5)), F.lit(db.MIN))).alias("agi"),
+        )
+    )
+    tops = bins.groupBy("rec_id").agg(F.max("top").alias("top_a"), F.max("ptop").alias("top_p"))
+    norms = bins.join(tops, "rec_id").select(*BIN, "raw", F.when(c("raw") > c("low"), c("raw") - c("low")).otherwise(c("top_p")).alias("norm"), "top_a")
+    e = F.greatest((c("p") - c("raw")) / F.nullif("norm", F.lit(0.0)), F.lit(1.0))
+    levels = cells.join(norms, BIN).withColumn("e", e).withColumn("level", db.power_to_db(c("e"))).drop("raw", "norm")
+    strong, active = c("level") > threshold, (c("level") >= threshold).cast("long")
+    second = checkpoint(
+        levels.groupBy(*BIN).agg(
+            F.avg("e").alias("m"), F.var_pop("e").alias("v"), F.avg(active).alias("fraction"), F.sum(active).alias("n_active"), F.sum(strong.cast("long")).alias("n_strong"),
+            F.sum(F.when(strong, db.db_to_power(c("level"))).otherwise(0.0)).alias("power"), F.sum(is_loud(c("top_a"), -50).cast("long")).alias("n_loud"), F.count(F.lit(1)).alias("n"),
+        )
+    )
+    spectrum, steps = bins.select(*BIN, "fn", "p", "a"), into_bins(bins, grid, lo[1] - lo[0])
+    noise = sg.running_mean(bins.select(*BIN, "raw"), ["rec_id"], "f_idx", "raw", 25).withColumnRenamed("smooth", "noise")
+    act = second.groupBy("rec_id").agg(
+        F.avg("fraction").alias("ACTspFract"), F.avg("n_active").alias("ACTspCount"), F.coalesce(10 * F.log10(F.sum("power") / F.nullif(F.sum("n_strong"), F.lit(0))), F.lit(0.0)).alias("ACTspMean"),
+        *[F.avg(F.when(grid.band(*b), c("fraction"))).alias(name) for name, b in (("LFC", lo), ("MFC", mid), ("HFC", hi))],
+    )
     evn = spectral_events(levels, grid, threshold, 3 * grid.dt).groupBy("rec_id").agg(F.avg("fraction").alias("EVNspFract"), F.avg("mean_s").alias("EVNspMean"), F.avg("per_s").alias("EVNspCount"))
     parts = [
-        spectral_moments(cells).select("rec_id", c("mean").alias("MEANf"), c("var").alias("VARf"), c("skew").alias("SKEWf"), c("kurt").alias("KURTf")),
-        spectral_leq(cells, gain_db).withColumnRenamed("leq", "LEQf"),
-        spectral_snr(cells).select("rec_id", c("enr").alias("ENRf"), c("bgn").alias("BGNf"), c("snr").alias("SNRf")),
-        frequency_entropy(cells).withColumnRenamed("hf", "Hf"),
-        spectral_entropy(levels, grid, mid[0], hi[1]),
-        aci(cells).withColumnRenamed("aci", "ACI"),
-        soundscape_index(cells, grid, mid, lo).select("rec_id", c("ndsi").alias("NDSI"), c("ratio").alias("rBA"), c("anthro").alias("AnthroEnergy"), c("bio").alias("BioEnergy")),
-        bioacoustics_index(cells, grid, *mid).select("rec_id", c("bi").alias("BI")),
-        roughness(cells).withColumnRenamed("rou", "ROU"),
-        acoustic_diversity(cells, grid, lo[0], mid[1]).select("rec_id", c("shannon").alias("ADI")),
-        acoustic_evenness(cells, grid, lo[0], mid[1]).withColumnRenamed("aei", "AEI"),
-        spectral_cover(levels, grid, {"LFC": lo, "MFC": mid, "HFC": hi}, threshold),
+        bins.groupBy("rec_id").agg(F.sum("aci").alias("ACI"), F.sum("rou").alias("ROU"), F.avg("agi").alias("AGI")),
+        moments_of_spectrum(spectrum).select("rec_id", c("mean").alias("MEANf"), c("var").alias("VARf"), c("skew").alias("SKEWf"), c("kurt").alias("KURTf")),
+        leq_of_spectrum(spectrum, gain_db).withColumnRenamed("leq", "LEQf"),
+        snr_of_profiles(spectrum, noise).select("rec_id", c("enr").alias("ENRf"), c("bgn").alias("BGNf"), c("snr").alias("SNRf")),
+        entropy_of_spectrum(spectrum).withColumnRenamed("hf", "Hf"),
+        spread_entropies(second.where(grid.band(mid[0], hi[1]))),
+        peak_entropies(levels, grid, mid[0], hi[1]),
+        _ndsi(steps, grid, lo[1] - lo[0], mid, lo).select("rec_id", c("ndsi").alias("NDSI"), c("ratio").alias("rBA"), c("anthro").alias("AnthroEnergy"), c("bio").alias("BioEnergy")),
+        _bioacoustics(bins.select(*BIN, "m", c("p").alias("mp"), "top", "ptop"), grid, *mid).select("rec_id", c("bi").alias("BI")),
+        diversity_of_scores(scores_of_bins(second, grid, lo[0], mid[1], 1000)).select("rec_id", c("shannon").alias("ADI")),
+        evenness_of_scores(scores_of_bins(second, grid, lo[0], mid[1], 500)).withColumnRenamed("aei", "AEI"),
         act, evn,
         tfsd(cells, grid, *mid).withColumnRenamed("tfsd", "TFSD"),
-        more_entropy(cells),
-        rao_q(cells, grid).withColumnRenamed("raoq", "RAOQ"),
-        acoustic_gradient(cells, grid).select("rec_id", c("agi").alias("AGI")),
+        entropies_of_spectrum(spectrum),
+        rao_of_bins(into_bins(bins, grid, 1000)).withColumnRenamed("raoq", "RAOQ"),
     ]
-    return reduce(lambda a, b: a.join(b, "rec_id"), parts)
+    return reduce(lambda a, b: a.join(b, "rec_id", "left"), parts)

@@ -101,7 +101,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(id AS VARCHAR) AS id FROM r WHERE n > 12 AND rk <= 12""",
     "p6_found": """
         WITH t AS (
-          SELECT rec_id, CAST(round(min_f) AS BIGINT) AS min_f, CAST(round(max_f) AS BIGINT) AS max_f,
+          SELECT DISTINCT rec_id, CAST(round(min_f) AS BIGINT) AS min_f, CAST(round(max_f) AS BIGINT) AS max_f,
             CAST(round(min_t * 100000) AS BIGINT) AS s, CAST(round(max_t * 100000) AS BIGINT) AS e
           FROM roi WHERE min_t IS NOT NULL AND max_t > min_t),
         m AS (

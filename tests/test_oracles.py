@@ -10,7 +10,8 @@ import pytest
 
 MODULES = ["preparation", "temporal", "spectral", "pictures", "tables", "streams", "composites"]
 CASES = [(m, k) for m in MODULES for k in importlib.import_module(f"chirpline.plans.{m}").ORACLES]
-OTHERS = [(m, k) for m in MODULES for k in (p := importlib.import_module(f"chirpline.plans.{m}")).QUERIES if k not in p.ORACLES]
+PLANS = {m: importlib.import_module(f"chirpline.plans.{m}") for m in MODULES}
+OTHERS = [(m, k) for m in MODULES for k in PLANS[m].QUERIES if k not in PLANS[m].ORACLES]
 
 
 @pytest.fixture(scope="module")
