@@ -25,6 +25,8 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 # Bounds of what a Python worker remembers; beyond them it starts afresh, which changes no result.
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
+# Texts whose words are held as Python strings at once.
+SLICE_ROWS = 500
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -184,9 +186,10 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(where)
-        for batch in batches:
-            column = batch.column(out)
-            columns = [batch.column(f.name) for f in fields] + [_encode_batch(encoder, column)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), out])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                columns = [batch.column(f.name) for f in fields] + [_encode_batch(encoder, batch.column(out))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), out])
 
     return cut.select(*[f"`{f.name}`" for f in fields], out).mapInArrow(run, schema)
