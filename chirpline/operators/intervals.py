@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chirpline.session import checkpoint
+
 
 def _ranked(points: DataFrame, keys: list[str], chunk_units: int) -> DataFrame:
     """Ranks of the points ``(keys, side, t, n)`` by t: ``upto`` is the number of points of their side up to t.
@@ -34,29 +36,31 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: Column, end:
     """
     flat = [f"_k{i}" for i in range(len(keys))]
     rows = intervals.select(*[F.col(k).alias(x) for k, x in zip(keys, flat)], start.cast("long").alias("s"), end.cast("long").alias("e")).where("s is not null and e is not null and e > s")
-    # null keys must meet in equi-joins, so each key becomes a flag and a value that is never null
+    # null keys must meet in equi-joins, so a bit mask tells which keys are null and their values never are
     blank = {x: F.lit("" if t == "string" else 0).cast(t) for x, t in rows.dtypes}
-    entity = F.struct(*[F.struct(F.col(x).isNull().alias("n"), F.coalesce(F.col(x), blank[x]).alias("v")).alias(x) for x in flat])
+    mask = sum((F.when(F.col(x).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(flat)), F.lit(0))
+    entity = [*flat, "_nulls"]
     points = (
-        rows.select(entity.alias("entity"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("t")), F.struct(F.lit(1).alias("side"), F.col("e").alias("t")))).alias("p"))
-        .groupBy("entity", F.col("p.side").alias("side"), F.col("p.t").alias("t"))
+        rows.select(*[F.coalesce(F.col(x), blank[x]).alias(x) for x in flat], mask.alias("_nulls"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("t")), F.struct(F.lit(1).alias("side"), F.col("e").alias("t")))).alias("p"))
+        .groupBy(*entity, F.col("p.side").alias("side"), F.col("p.t").alias("t"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = _ranked(points, ["entity"], chunk_units)
-    starts = ranked.where("side = 0").select("entity", (F.col("upto") - F.col("n")).alias("r"), F.col("t").alias("s"))
-    ends = ranked.where("side = 1").select("entity", F.col("upto").alias("r"), F.col("t").alias("e"))
-    meet = starts.join(ends, ["entity", "r"], "full")
+    # both rank tables are read three times; written once, they need no second sort
+    ranked = checkpoint(_ranked(points, entity, chunk_units))
+    starts = ranked.where("side = 0").select(*entity, (F.col("upto") - F.col("n")).alias("r"), F.col("t").alias("s"))
+    ends = ranked.where("side = 1").select(*entity, F.col("upto").alias("r"), F.col("t").alias("e"))
+    meet = starts.join(ends, [*entity, "r"], "full")
     border = meet.where("s is null or e is null or s > e")
     # rank 0 opens an entity and the last rank closes it; any other lone start or end lies inside a period
-    opening = border.where("s is not null and (e is not null or r = 0)").select("entity", F.lit(0).alias("side"), F.col("s").alias("t"), F.lit(1).cast("long").alias("n"))
-    last = ranked.where("side = 1").groupBy("entity").agg(F.max("upto").alias("r")).withColumn("closes", F.lit(True))
-    closing = border.where("e is not null").join(last, ["entity", "r"], "left").where("s is not null or closes").select("entity", F.lit(1).alias("side"), F.col("e").alias("t"), F.lit(1).cast("long").alias("n"))
-    paired = _ranked(opening.unionByName(closing), ["entity"], chunk_units)
-    opens = paired.where("side = 0").select("entity", F.col("upto").alias("i"), F.col("t").alias("s"))
-    closes = paired.where("side = 1").select("entity", F.explode(F.array(F.struct(F.lit("period").alias("kind"), F.col("upto").alias("i")), F.struct(F.lit("gap").alias("kind"), (F.col("upto") + 1).alias("i")))).alias("x"), F.col("t").alias("e")).select("entity", "x.kind", "x.i", "e")
-    found = opens.join(closes, ["entity", "i"])
+    opening = border.where("s is not null and (e is not null or r = 0)").select(*entity, F.lit(0).alias("side"), F.col("s").alias("t"), F.lit(1).cast("long").alias("n"))
+    last = ranked.where("side = 1").groupBy(*entity).agg(F.max("upto").alias("r")).withColumn("closes", F.lit(True))
+    closing = border.where("e is not null").join(last, [*entity, "r"], "left").where("s is not null or closes").select(*entity, F.lit(1).alias("side"), F.col("e").alias("t"), F.lit(1).cast("long").alias("n"))
+    paired = checkpoint(_ranked(opening.unionByName(closing), entity, chunk_units))
+    opens = paired.where("side = 0").select(*entity, F.col("upto").alias("i"), F.col("t").alias("s"))
+    closes = paired.where("side = 1").select(*entity, F.explode(F.array(F.struct(F.lit("period").alias("kind"), F.col("upto").alias("i")), F.struct(F.lit("gap").alias("kind"), (F.col("upto") + 1).alias("i")))).alias("x"), F.col("t").alias("e")).select(*entity, "x.kind", "x.i", "e")
+    found = opens.join(closes, [*entity, "i"])
     is_gap = F.col("kind") == "gap"
-    back = [F.when(~F.col(f"entity.{x}.n"), F.col(f"entity.{x}.v")).alias(k) for k, x in zip(keys, flat)]
+    back = [F.when(F.col("_nulls").bitwiseAND(1 << i) == 0, F.col(x)).alias(k) for i, (k, x) in enumerate(zip(keys, flat))]
     return found.select(
         "kind", *back, F.when(is_gap, F.col("e")).otherwise(F.col("s")).alias("start_at"), F.when(is_gap, F.col("s")).otherwise(F.col("e")).alias("end_at")
     )
