@@ -32,38 +32,24 @@ def subtract_background(cells: DataFrame, n: int = 25, mode: str = "median", axi
     return cells.join(noise, ["rec_id", axis]).select("rec_id", "t_idx", "f_idx", F.greatest(F.col("p") - F.col("smooth"), F.lit(0.0)).alias("out"))
 
 
-def pcen(spectrograms: DataFrame, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, b: float = 0.025, eps: float = 1e-6) -> DataFrame:
-    """Per-channel energy normalisation of bins given as arrays in time order: (rec_id, f_idx, out array).
+def pcen(frames: DataFrame, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, b: float = 0.025, eps: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """Per-channel energy normalisation of frames in time order: (rec_id, t_idx, out array).
 
-    The smoother m[t] = b x[t] + (1 - b) m[t-1] is a fold over the array.
+    The smoother m[t] = b x[t] + (1 - b) m[t-1] runs over all bins of a block at once. It starts
+    so many frames before the block that what came earlier weighs less than 1e-17, so blocks give
+    the values of one run over the whole recording.
     """
-    fold = F.aggregate(
-        "p",
-        F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("out")),
-        lambda s, x: F.transform(
-            F.array(x * b + s["m"] * (1 - b)),
-            lambda m: F.struct(m.alias("m"), F.concat(s["out"], F.array(F.pow(x * F.pow(m + eps, F.lit(-gain)) + bias, F.lit(power)) - bias**power)).alias("out")),
-        )[0],
-        lambda s: s["out"],
-    )
-    return spectrograms.select("rec_id", "f_idx", fold.alias("out"))
-
-
-def pcen_long(spectrograms: DataFrame, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, b: float = 0.025, eps: float = 1e-6) -> DataFrame:
-    """``pcen`` for long bins: the recursion as a numpy scan in Arrow batches, linear in the length."""
-
-    def scan(x: np.ndarray) -> np.ndarray:
-        m, out = 0.0, np.empty(len(x))
-        for i, v in enumerate(x):
-            m = b * v + (1 - b) * m
-            out[i] = m
-        return (x * (out + eps) ** -gain + bias) ** power - bias**power
+    memory = math.ceil(math.log(1e-17) / math.log(1 - b)) if b < 1 else 1
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"rec_id": pdf["rec_id"], "f_idx": pdf["f_idx"], "out": [scan(np.asarray(x, float)) for x in pdf["p"]]})
+    def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
+        m, out = np.zeros(image.shape[0]), []
+        for i in range(end):
+            m = b * image[:, i] + (1 - b) * m
+            if i >= start:
+                out.append((image[:, i] * (m + eps) ** -gain + bias) ** power - bias**power)
+        return pd.DataFrame({"t_idx": np.arange(start, end) + t0, "out": out})
 
-    return spectrograms.select("rec_id", "f_idx", "p").mapInPandas(run, "rec_id long, f_idx long, out array<double>")
+    return in_blocks(frames, kernel, "t_idx long, out array<double>", memory, block).select("rec_id", "t_idx", "out")
 
 
 def local_max(cells: DataFrame, threshold: float, distance: int = 1, value: str = "level") -> DataFrame:
@@ -108,12 +94,12 @@ def in_blocks(frames: DataFrame, kernel: Callable[[np.ndarray, int, int, int], p
         blocks = F.explode(F.array(own))
     spread = frames.select("rec_id", "t_idx", "v", blocks.alias("block"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_idx")
         t0 = int(pdf["t_idx"].iloc[0])
         start, end = int(key[1]) * block - t0, min((int(key[1]) + 1) * block - t0, len(pdf))
-        if end <= 0:
-            return pd.DataFrame({c.split()[0]: [] for c in f"rec_id long, block long, {schema}".split(", ")})
+        if end <= max(start, 0):
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype="object") for c in f"rec_id long, block long, {schema}".split(", ")})
         image = np.stack([np.asarray(v, float) for v in pdf["v"]]).T
         out = kernel(image, t0, max(start, 0), end)
         out.insert(0, "block", key[1])

@@ -74,8 +74,9 @@ def gaussian_smooth_2d(spark, d):
 @q(f"""WITH {SPEC}, m AS (SELECT x.rec_id, x.f_idx, x.t_idx, any_value(x.p) AS p, sum(y.p * 0.025 * pow(0.975::DOUBLE, x.t_idx - y.t_idx)) AS m FROM spec x JOIN spec y ON y.rec_id = x.rec_id AND y.f_idx = x.f_idx AND y.t_idx <= x.t_idx GROUP BY 1, 2, 3)
   SELECT rec_id, f_idx, t_idx, {R('sqrt(p * pow(m + 1e-6::DOUBLE, -0.98::DOUBLE) + 2) - sqrt(2)', 'out')} FROM m""")
 def pcen_fold(spark, d):
-    s = cells(spark, d).groupBy("rec_id", "f_idx").agg(F.sort_array(F.collect_list(F.struct("t_idx", "p"))).alias("s")).select("rec_id", "f_idx", F.col("s.p").alias("p"))
-    return rounded(im.pcen(s).select("rec_id", "f_idx", F.posexplode("out").alias("t_idx", "out")).withColumn("t_idx", F.col("t_idx").cast("long")))
+    power = frames(spark, d).withColumn("v", F.transform("v", lambda a: a * a))
+    out = im.pcen(power).select("rec_id", "t_idx", F.posexplode("out").alias("f_idx", "out"))
+    return rounded(out.withColumn("f_idx", F.col("f_idx").cast("long")))
 
 
 @q(f"{S} SELECT rec_id, f_idx, {R('quantile_cont(p, 0.5)', 'raw')} FROM spec GROUP BY 1, 2")

@@ -88,6 +88,16 @@ ORACLES: dict[str, str] = {
           FROM audio_metadata WHERE sensor_name IS NOT NULL AND date IS NOT NULL AND length > 0 AND NOT isnan(length) AND NOT isinf(length))
         SELECT DISTINCT sensor_name, CAST(a // 1000000 AS BIGINT) AS slot_at FROM g
         WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.sensor_name = g.sensor_name AND r.a < g.b AND r.b > g.a)""",
+    "p4_found": r"""
+        WITH t AS (SELECT DISTINCT rec_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM label_line),
+        f AS (SELECT *, regexp_full_match(line, FIELD || '(\t' || FIELD || ')*') AS quotes, regexp_full_match(line, FIELD || '\t' || FIELD || '\t' || FIELD) AS three,
+            regexp_extract(line, '^(' || FIELD || ')\t(' || FIELD || ')\t(' || FIELD || ')$', ['a', 'b', 'c']) AS x FROM t),
+        u AS (SELECT *, list_transform([x['a'], x['b'], x['c']], lambda v: CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END) AS v FROM f),
+        b AS (SELECT *, CASE WHEN v[1] = '\' THEN v[2] ELSE v[1] END AS lo, CASE WHEN v[1] = '\' THEN v[3] ELSE v[2] END AS hi FROM u),
+        n AS (SELECT *, CASE WHEN regexp_full_match(lo, NUM) THEN TRY_CAST(ltrim(trim(lo), '+') AS DOUBLE) END AS l, CASE WHEN regexp_full_match(hi, NUM) THEN TRY_CAST(ltrim(trim(hi), '+') AS DOUBLE) END AS h FROM b),
+        r AS (SELECT rec_id, line_no, CASE WHEN NOT quotes THEN 'quoting' WHEN NOT three THEN 'columns'
+            WHEN l IS NULL OR h IS NULL OR isinf(l) OR isinf(h) OR l < 0 OR h < 0 OR h < l THEN 'value' END AS reason FROM n)
+        SELECT DISTINCT * FROM r WHERE reason IS NOT NULL""".replace("FIELD", r"""'("([^"]|"")*"|[^"\t][^\t]*|)'""".replace("(", "(?:")).replace("NUM", "' *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)? *'"),
     "p5_found": """
         WITH t AS (
           SELECT DISTINCT CAST(id AS BIGINT) AS id, lower(trim(rec)) AS rec,

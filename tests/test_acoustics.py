@@ -240,11 +240,15 @@ def test_rao_without_pairs(spark):
     assert sp.rao_q(cells, grid).first().raoq == pytest.approx(want)
 
 
-def test_pcen_forms_agree(spark):
-    df = spark.createDataFrame([(1, 0, [0.5, 0.0, 2.0, 1.0]), (1, 1, [])], "rec_id long, f_idx long, p array<double>")
-    a = {r.f_idx: r.out for r in im.pcen(df).collect()}
-    b = {r.f_idx: r.out for r in im.pcen_long(df).collect()}
-    assert np.allclose(a[0], b[0]) and a[1] == b[1] == []
+def test_pcen_over_blocks(spark):
+    v = np.random.default_rng(7).random((3, 300))
+    frames = spark.createDataFrame([(1, t, [float(x) for x in v[:, t]]) for t in range(300)], "rec_id long, t_idx long, v array<double>")
+    m, want = np.zeros(3), []
+    for t in range(300):
+        m = 0.3 * v[:, t] + 0.7 * m
+        want.append(np.sqrt(v[:, t] * (m + 1e-6) ** -0.98 + 2) - math.sqrt(2))
+    got = {r.t_idx: r.out for r in im.pcen(frames, b=0.3, block=40).collect()}
+    assert sorted(got) == list(range(300)) and np.allclose([got[t] for t in range(300)], want, rtol=1e-12)
 
 
 # ---- tables
