@@ -12,7 +12,7 @@ from chirpline.operators import spectral as sp
 from chirpline.operators import summaries as sm
 from chirpline.plans.pictures import boxes, frames
 from chirpline.plans.registry import DF, DT, ENV, FS, M, NT, SIG, SPEC, R, Registry, cells, rounded, signals
-from chirpline.plans.spectral import AGI, EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
+from chirpline.plans.spectral import EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
 from chirpline.plans.temporal import evn, mom
 from chirpline.session import table
 from chirpline.sources import catalogue

@@ -6,13 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chirpline.functions import decibel as db
 from chirpline.functions import kernels as kn
 from chirpline.functions import propagation as pg
 from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
-from chirpline.plans.registry import DF, DT, FS, M, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
+from chirpline.plans.registry import DF, DT, FS, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
 from chirpline.plans.spectral import G, S, _smooth
 from chirpline.session import table
 

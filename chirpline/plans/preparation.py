@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_zones(spark: SparkSession, d: str) -> DataFrame:
     """The zone of every place as estimated from its stamps alone, beside the declared one."""
     site = table(spark, d, "site")
-    stamps = timestamps.stamps_of(table(spark, d, "stamp_raw"), table(spark, d, "catalogue").limit(0), site)
+    stamps = timestamps.stamps_of(table(spark, d, "stamp_raw"), table(spark, d, "catalogue"), site).where("src = 'stamp_raw'")
     local = timestamps.normalise(stamps.withColumnRenamed("zone", "declared").withColumn("zone", F.lit(None).cast("string")))
     zones = sorted(r.tz for r in site.select("tz").where("tz is not null").distinct().collect())
     best = timestamps.zone_estimates(local.where("status = 'no zone'"), zones)

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chirpline.operators import relational as rl
-from chirpline.operators import signal as sg
-from chirpline.operators import spectral as sp
 from chirpline.operators import images as im
 from chirpline.operators import summaries as sm
-from chirpline.functions import decibel as db
-from chirpline.plans.registry import DT, M, SPEC, R, Registry, cells, rounded
+from chirpline.plans.registry import SPEC, R, Registry, cells, rounded
 from chirpline.plans.spectral import G
 from chirpline.session import table
 from chirpline.sources import annotations, catalogue, metadata

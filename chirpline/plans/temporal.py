@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chirpline.functions import decibel as db
 from chirpline.functions import propagation as pg
 from chirpline.operators import signal as sg
-from chirpline.plans.registry import DT, ENV, EV, FS, LEV, M, NT, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
+from chirpline.plans.registry import ENV, EV, FS, LEV, M, NT, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
 
 q = Registry()
 QUERIES, ORACLES = q.queries, q.sql
@@ -315,12 +315,12 @@ def events_islands(spark, d):
     return rounded(sg.events(event_series(spark, d), ["rec_id"], "i", F.col("x"), 1.0, 250.0, 2.0))
 
 
-@q(f"""WITH {SIG}, s AS (SELECT rec_id % 10 AS grp, rec_id // 10 AS ord, i AS j, x AS v FROM sig WHERE rec_id < 50),
+@q(f"""WITH {SIG}, s AS (SELECT rec_id % 10 AS grp, rec_id // 10 AS ord, i AS j, x AS v FROM sig),
   f AS (SELECT *, (ord - min(ord) OVER (PARTITION BY grp)) * 48 AS s, ord = min(ord) OVER (PARTITION BY grp) AS fst, ord = max(ord) OVER (PARTITION BY grp) AS lst FROM s),
   e AS (SELECT grp, s, lst, j AS p, v AS x FROM f WHERE fst UNION ALL SELECT grp, s, lst, s + j, v * sqrt(j / 16::DOUBLE) FROM f WHERE NOT fst AND j < 16
         UNION ALL SELECT grp, s, lst, s + j + 1, v FROM f WHERE NOT fst AND j BETWEEN 15 AND 62),
   o AS (SELECT grp, p, x FROM e WHERE lst OR p <= s + 47 UNION ALL SELECT grp, p + 1, x * sqrt((15 - (p - s - 47)) / 16::DOUBLE) FROM e WHERE NOT lst AND p BETWEEN s + 47 AND s + 62)
   SELECT grp, p AS i, {R('sum(x)', 'x')} FROM o GROUP BY 1, 2""")
 def crossfade_chain(spark, d):
-    s = signals(spark, d).where("rec_id < 50").select((F.col("rec_id") % 10).alias("grp"), F.floor(F.col("rec_id") / 10).alias("ord"), "x")
+    s = signals(spark, d).select((F.col("rec_id") % 10).alias("grp"), F.floor(F.col("rec_id") / 10).alias("ord"), "x")
     return rounded(sg.crossfade_chain(s, FS, 0.25))
