@@ -71,8 +71,10 @@ def covered_slots(recordings: DataFrame, deployment: DataFrame, bucket_us: int =
     hit = both.withColumn("k", F.explode(F.sequence(k(F.col("lo")), k(F.col("hi") - 1))))
     slot = F.col("start_us") + F.col("k") * F.col("step_us")
     seconds = (F.least("hi", slot + F.col("step_us")) - F.greatest("lo", slot)) / 1e6
+    # a recording over midnight has two parts in one slot and counts with the first
+    first = F.greatest(F.col("lo"), slot) == F.greatest(F.col("from_us"), slot)
     return hit.groupBy("deploy_id", "k").agg(
-        F.sum("n").alias("n_readings"), F.sum(seconds * F.col("n")).alias("seconds"), F.max("from_us").alias("last_us")
+        F.sum(F.when(first, F.col("n")).otherwise(0)).alias("n_readings"), F.sum(seconds * F.col("n")).alias("seconds"), F.max("from_us").alias("last_us")
     )
 
 

@@ -21,7 +21,8 @@ def p1_packs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_series(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid.regular_series(table(spark, d, "audio_metadata"), table(spark, d, "deployment"))
+    series = regular_grid.regular_series(table(spark, d, "audio_metadata"), table(spark, d, "deployment"))
+    return series.withColumn("seconds", F.round("seconds", 3) + F.lit(0.0))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +89,24 @@ ORACLES: dict[str, str] = {
           FROM audio_metadata WHERE sensor_name IS NOT NULL AND date IS NOT NULL AND length > 0 AND NOT isnan(length) AND NOT isinf(length))
         SELECT DISTINCT sensor_name, CAST(a // 1000000 AS BIGINT) AS slot_at FROM g
         WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.sensor_name = g.sensor_name AND r.a < g.b AND r.b > g.a)""",
+    "p2_series": """
+        WITH d AS (
+          SELECT DISTINCT deploy_id, sensor_name, epoch_us(start_at) AS s, epoch_us(end_at) AS e, CAST(step_s AS BIGINT) * 1000000 AS st
+          FROM deployment WHERE step_s > 0 AND end_at > start_at AND sensor_name IS NOT NULL),
+        g AS (
+          SELECT deploy_id, sensor_name, k, s + k * st AS a, least(s + (k + 1) * st, e) AS b
+          FROM (SELECT *, unnest(range(0, CAST(ceil((e - s) / st) AS BIGINT))) AS k FROM d)),
+        r AS (
+          SELECT sensor_name, epoch_us(date) AS a, epoch_us(date) + CAST(ceil(round(length * 1e6, 3)) AS BIGINT) AS b, count(*) AS n
+          FROM audio_metadata WHERE sensor_name IS NOT NULL AND date IS NOT NULL AND length > 0 AND NOT isnan(length) AND NOT isinf(length) GROUP BY 1, 2, 3),
+        o AS (
+          SELECT deploy_id, k, sum(n) AS n, sum((least(r.b, g.b) - greatest(r.a, g.a)) / 1e6 * n) AS seconds, max(r.a) AS last_us
+          FROM g JOIN r ON r.sensor_name = g.sensor_name AND r.a < g.b AND r.b > g.a GROUP BY 1, 2),
+        c AS (
+          SELECT g.*, o.n, o.seconds, max(CASE WHEN o.n IS NOT NULL THEN g.k END) OVER (PARTITION BY deploy_id ORDER BY g.k) AS lk FROM g LEFT JOIN o USING (deploy_id, k))
+        SELECT c.deploy_id, sensor_name, c.k, a AS slot_us, CASE WHEN c.n IS NOT NULL THEN 'observed' WHEN c.k - lk <= 3 THEN 'carried' ELSE 'missing' END AS status,
+          CAST(coalesce(c.n, 0) AS BIGINT) AS n_readings, round(coalesce(c.seconds, 0), 3) + CAST(0 AS DOUBLE) AS seconds, CASE WHEN c.k - lk <= 3 THEN l.last_us END AS carried_us
+        FROM c LEFT JOIN o l ON l.deploy_id = c.deploy_id AND l.k = lk""",
     "p4_found": r"""
         WITH t AS (SELECT DISTINCT rec_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM label_line),
         f AS (SELECT *, regexp_full_match(line, FIELD || '(\t' || FIELD || ')*') AS quotes, regexp_full_match(line, FIELD || '\t' || FIELD || '\t' || FIELD) AS three,

@@ -112,6 +112,11 @@ def test_empty_slots_against_brute_force(spark):
             else:
                 assert (slots[k].status == "carried") == (last is not None and k - last <= 2)
                 assert slots[k].carried_us == (slots[last].carried_us if slots[k].status == "carried" else None)
+    for x in rows:
+        sensor, start, _, step = deps[x.deploy_id]
+        a = start + timedelta(seconds=x.k * step)
+        b = min(a + timedelta(seconds=step), deps[x.deploy_id][2])
+        assert x.n_readings == sum(s == sensor and c is not None and n is not None and 0 < n < float("inf") and c < b and c + timedelta(seconds=n) > a for s, c, n in recs)
     assert regular_grid.empty_slots(regular_grid.regular_series(r.limit(0), d.limit(0))).count() == 0
 
 
