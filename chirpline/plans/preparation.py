@@ -67,6 +67,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p5_found, p6_found)
 }
 
+# Label lines by regular expressions: FIELD is a quoted or plain field, NUM a decimal number.
+LINES = r"""
+        WITH t AS (SELECT DISTINCT rec_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM label_line),
+        f AS (SELECT *, regexp_full_match(line, FIELD || '(\t' || FIELD || ')*') AS quotes, regexp_full_match(line, FIELD || '\t' || FIELD || '\t' || FIELD) AS three,
+            regexp_extract(line, '^(' || FIELD || ')\t(' || FIELD || ')\t(' || FIELD || ')$', ['a', 'b', 'c']) AS x FROM t),
+        u AS (SELECT *, list_transform([x['a'], x['b'], x['c']], lambda v: CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END) AS v FROM f),
+        b AS (SELECT *, CASE WHEN v[1] = '\' THEN v[2] ELSE v[1] END AS lo, CASE WHEN v[1] = '\' THEN v[3] ELSE v[2] END AS hi FROM u),
+        n AS (SELECT *, CASE WHEN regexp_full_match(lo, NUM) THEN TRY_CAST(ltrim(trim(lo), '+') AS DOUBLE) END AS l, CASE WHEN regexp_full_match(hi, NUM) THEN TRY_CAST(ltrim(trim(hi), '+') AS DOUBLE) END AS h FROM b),
+        r AS (SELECT *, CASE WHEN NOT quotes THEN 'quoting' WHEN NOT three THEN 'columns'
+            WHEN l IS NULL OR h IS NULL OR isinf(l) OR isinf(h) OR l < 0 OR h < 0 OR h < l THEN 'value' END AS reason FROM n)""".replace(
+    "FIELD", r"""'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'"""
+).replace("NUM", "' *[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)? *'")
+
 ORACLES: dict[str, str] = {
     "p1_found": r"""
         WITH t AS (
@@ -107,16 +120,11 @@ ORACLES: dict[str, str] = {
         SELECT c.deploy_id, sensor_name, c.k, a AS slot_us, CASE WHEN c.n IS NOT NULL THEN 'observed' WHEN c.k - lk <= 3 THEN 'carried' ELSE 'missing' END AS status,
           CAST(coalesce(c.n, 0) AS BIGINT) AS n_readings, round(coalesce(c.seconds, 0), 3) + CAST(0 AS DOUBLE) AS seconds, CASE WHEN c.k - lk <= 3 THEN l.last_us END AS carried_us
         FROM c LEFT JOIN o l ON l.deploy_id = c.deploy_id AND l.k = lk""",
-    "p4_found": r"""
-        WITH t AS (SELECT DISTINCT rec_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM label_line),
-        f AS (SELECT *, regexp_full_match(line, FIELD || '(\t' || FIELD || ')*') AS quotes, regexp_full_match(line, FIELD || '\t' || FIELD || '\t' || FIELD) AS three,
-            regexp_extract(line, '^(' || FIELD || ')\t(' || FIELD || ')\t(' || FIELD || ')$', ['a', 'b', 'c']) AS x FROM t),
-        u AS (SELECT *, list_transform([x['a'], x['b'], x['c']], lambda v: CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END) AS v FROM f),
-        b AS (SELECT *, CASE WHEN v[1] = '\' THEN v[2] ELSE v[1] END AS lo, CASE WHEN v[1] = '\' THEN v[3] ELSE v[2] END AS hi FROM u),
-        n AS (SELECT *, CASE WHEN regexp_full_match(lo, NUM) THEN TRY_CAST(ltrim(trim(lo), '+') AS DOUBLE) END AS l, CASE WHEN regexp_full_match(hi, NUM) THEN TRY_CAST(ltrim(trim(hi), '+') AS DOUBLE) END AS h FROM b),
-        r AS (SELECT rec_id, line_no, CASE WHEN NOT quotes THEN 'quoting' WHEN NOT three THEN 'columns'
-            WHEN l IS NULL OR h IS NULL OR isinf(l) OR isinf(h) OR l < 0 OR h < 0 OR h < l THEN 'value' END AS reason FROM n)
-        SELECT DISTINCT * FROM r WHERE reason IS NOT NULL""".replace("FIELD", r"""'("([^"]|"")*"|[^"\t][^\t]*|)'""".replace("(", "(?:")).replace("NUM", "' *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)? *'"),
+    "p4_found": LINES + """
+        SELECT DISTINCT rec_id, line_no, reason FROM r WHERE reason IS NOT NULL""",
+    "p4_records": LINES + """, ok AS (SELECT * FROM r WHERE reason IS NULL)
+        SELECT t.rec_id, t.line_no, t.l AS min_t, t.h AS max_t, t.v[3] AS label, f.l AS min_f, f.h AS max_f
+        FROM ok t LEFT JOIN ok f ON f.rec_id = t.rec_id AND f.line_no = t.line_no + 1 AND f.v[1] = '\\' WHERE t.v[1] <> '\\'""",
     "p5_found": """
         WITH t AS (
           SELECT DISTINCT CAST(id AS BIGINT) AS id, lower(trim(rec)) AS rec,
