@@ -25,7 +25,7 @@ def suitor_b_matching(edges: DataFrame, capacity: int, order: list[str], max_rou
     """
     edges = checkpoint(edges.select("record", "contributor", *order).where("record is not null and contributor is not null").dropDuplicates(["record", "contributor"]))
     by = [F.col(c) for c in order] + [F.col("record")]
-    open_, kept, room = edges.withColumn("room", F.lit(capacity)), None, None
+    open_, kept = edges.withColumn("room", F.lit(capacity)), None
     for _ in range(max_rounds):
         w = Window.partitionBy("contributor").orderBy(*by)
         # a proposal is held if it is among the best that its contributor still has room for

@@ -21,7 +21,7 @@ def temporal_features(signals: DataFrame, cells: DataFrame, fs: float, nt: int,
     ``cells`` are the spectrogram of the same recordings, frames dt seconds apart.
     """
     long = sg.samples(signals)
-    m = long.groupBy("rec_id").agg(*sg.moments(long, ["rec_id"]))
+    m = long.groupBy("rec_id").agg(*sg.moments())
     power = cells.groupBy("rec_id", "t_idx").agg(F.avg("p").alias("p")).withColumn("t", F.col("t_idx") * dt)
     t = sg.quantile_positions(power, ["rec_id"], "t_idx", "t", "p", list(QS))
     env = sg.envelope(signals, nt).withColumn("v", F.col("e") * F.col("e")).withColumn("t", F.col("k") * (nt / fs))
@@ -37,7 +37,7 @@ def temporal_features(signals: DataFrame, cells: DataFrame, fs: float, nt: int,
 def spectral_features(cells: DataFrame) -> DataFrame:
     """The 12 spectral features: moments of the mean power spectrum, frequencies of its quantiles, peak and bandwidths."""
     s = sp.avg_power(cells)
-    m = s.groupBy("rec_id").agg(*sg.moments(s, ["rec_id"], "p"))
+    m = s.groupBy("rec_id").agg(*sg.moments("p"))
     f = sg.quantile_positions(s, ["rec_id"], "f_idx", "fn", "p", list(QS))
     peak = sp.peak_frequency(s).select("rec_id", F.col("peak").alias("peak_freq"))
     named = [F.col(f"q{i + 1}").alias(f"freq_{round(q * 100):02d}") for i, q in enumerate(QS)]
@@ -52,7 +52,7 @@ def spectral_per_bin(cells: DataFrame, grid: sp.Grid, threshold: float = 3.0, ga
     steps = sp.with_steps(cells).withColumn("g", F.abs("d1") / grid.dt)
     n = F.nullif(F.sum("a"), F.lit(0.0))
     one = steps.groupBy(*sp.BIN).agg(
-        F.first("fn").alias("fn"), F.avg("p").alias("LTS"), *[c.alias(x) for c, x in zip(sg.moments(cells, sp.BIN, "a"), ("MEANt", "VARt", "SKEWt", "KURTt"))],
+        F.first("fn").alias("fn"), F.avg("p").alias("LTS"), *[c.alias(x) for c, x in zip(sg.moments("a"), ("MEANt", "VARt", "SKEWt", "KURTt"))],
         sg.entropy("p").alias("Ht"), (F.sum(F.abs("d1")) / n).alias("ACI"), F.sum(F.col("d2") * F.col("d2")).alias("ROU"),
         (F.avg("g") / F.greatest(F.percentile("g", F.lit(0.5)), F.lit(db.MIN))).alias("AGI"),
     )

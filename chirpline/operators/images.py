@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -246,7 +246,7 @@ def template_matches(frames: DataFrame, template: np.ndarray, dt: float, thresho
     )
 
 
-def remove_background(frames: DataFrame, win: int = 50, std: float = 25.0, block: int = BLOCK) -> DataFrame:
+def remove_background(frames: DataFrame, win: int = 50, std: float = 25.0) -> DataFrame:
     """Attenuate cells by their ratio to the opened mean spectrum of the recording: (rec_id, t_idx, v array).
 
     The profile is one small array per recording from a distributed average; only it is opened in
@@ -349,7 +349,7 @@ def cwt_rois(signals: DataFrame, fs: float, flims: tuple[float, float], tlen: fl
     return signals.select("rec_id", "x").mapInPandas(run, "rec_id long, min_f double, min_t double, max_f double, max_t double")
 
 
-def n_peaks(spectra: DataFrame, df: float, value: Column | None = None) -> DataFrame:
+def n_peaks(spectra: DataFrame, df: float) -> DataFrame:
     """Number of peaks of each spectrum in dB, with distance, prominence and slopes: (rec_id, n_peaks). ``spectra`` has rec_id and v in bin order."""
 
     def run(batches):

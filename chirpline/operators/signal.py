@@ -57,7 +57,7 @@ def trim(signals: DataFrame, fs: float, min_t: float, max_t: float, pad: bool =
     return signals.withColumn("x", F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda i: F.coalesce(F.when(i >= 0, F.get("x", i)), F.lit(constant))))
 
 
-def moments(long: DataFrame, by: list[str], value: str = "x") -> list[Column]:
+def moments(value: str = "x") -> list[Column]:
     """Aggregates mean, population variance, and skewness and kurtosis with n - 1 in the sum and the population deviation."""
     n = F.count(value)
     correction = n / F.nullif(n - 1, F.lit(0))
@@ -225,7 +225,7 @@ def all_temporal(signals: DataFrame, fs: float, nt: int, dt_leq: int, threshold:
     """The 16 temporal indices of each recording in one row."""
     zcr = zero_crossing_rate(signals, fs)
     long = samples(signals)
-    m = long.groupBy("rec_id").agg(*moments(long, ["rec_id"]))
+    m = long.groupBy("rec_id").agg(*moments())
     leq = leq_periods(signals, dt_leq, gain_db).groupBy("rec_id").agg(db.mean_db(F.col("leq")).alias("LEQt"))
     env = envelope(signals, nt)
     snr = temporal_snr(env)

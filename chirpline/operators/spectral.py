@@ -87,11 +87,11 @@ def spectral_moments(cells: DataFrame) -> DataFrame:
 
 
 def moments_of_spectrum(s: DataFrame) -> DataFrame:
-    return s.groupBy("rec_id").agg(*sg.moments(s, ["rec_id"], "a"))
+    return s.groupBy("rec_id").agg(*sg.moments("a"))
 
 
 def moments_per_bin(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*BIN).agg(*sg.moments(cells, BIN, "a"))
+    return cells.groupBy(*BIN).agg(*sg.moments("a"))
 
 
 def frequency_entropy(cells: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def all_temporal_features(spark, d):
 _PER = ["fn", "LTS", "MEANt", "VARt", "SKEWt", "KURTt", "Ht", "ACI", "ROU", "AGI", "LEQf", "ENRf", "BGNf", "ACTspFract", "EVNspFract", "EVNspMean", "EVNspCount", "SNRf", "SNRf_db"]
 
 
-@q(f"""{S}, {EQ}, {LAGS}, {NOISE}, n2 AS {_smooth('n1', 'noise', 5, 'n')}, mm AS ({_mom('a', 'spec', 'rec_id, f_idx', 9)}), hh AS {hn('p', 'spec', 'rec_id, f_idx', 'Ht')},
+@q(f"""{S}, {EQ}, {LAGS}, {NOISE}, n2 AS {_smooth('n1', 'noise', 5, 'n')}, mm AS ({_mom('a', 'spec', 'rec_id, f_idx', 15)}), hh AS {hn('p', 'spec', 'rec_id, f_idx', 'Ht')},
   st AS (SELECT rec_id, f_idx, sum(abs(d1)) / sum(a) AS ACI, sum(d2 * d2) AS ROU, avg(abs(d1)) / greatest(quantile_cont(abs(d1), 0.5), {M}) AS AGI FROM lg GROUP BY 1, 2),
   ac AS (SELECT rec_id, f_idx, avg(CASE WHEN level >= 3 THEN 1 ELSE 0 END) AS ACTspFract, CAST(sum(CASE WHEN level >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS ACTspCount FROM lev GROUP BY 1, 2),
   {evn('lev', 'rec_id, f_idx', 't_idx', 'level >= 3', 0.25, 4)},

@@ -260,7 +260,7 @@ def _scores50(step: int, hi: int, name: str) -> str:
 
 @q(f"""{S}, {EQ}, {EPS}, {LAGS}, {ACI}, {NDSI}, {BI}, {NOISE}, {SNR}, {LEQF}, {_tfsd(18, 28)}, {MORE}, {RAO}, {AGI}, {_scores50(1000, 10000, 's1')}, {_scores50(500, 10000, 's2')},
   {evn('lev', 'rec_id, f_idx', 't_idx', 'level >= 3', 0.25, 4)},
-  mm AS ({_mom("a", "sa", "rec_id", 9)}), hh AS {hn('p', 'sa', 'rec_id', 'Hf')}, bi AS (SELECT rec_id, (sum(level) - count(*) * min(level)) / 250 AS BI FROM bl WHERE f_idx BETWEEN 4 AND 40 GROUP BY 1),
+  mm AS ({_mom("a", "sa", "rec_id", 15)}), hh AS {hn('p', 'sa', 'rec_id', 'Hf')}, bi AS (SELECT rec_id, (sum(level) - count(*) * min(level)) / 250 AS BI FROM bl WHERE f_idx BETWEEN 4 AND 40 GROUP BY 1),
   ro AS (SELECT rec_id, sum(d2 * d2) AS ROU FROM lg GROUP BY 1), ad AS (SELECT rec_id, h * ln(10) AS ADI FROM {hn('share', 's1', 'rec_id', 'h')}),
   ae AS (SELECT rec_id, (2 * sum(share * k) / sum(share) - (count(*) + 1)) / count(*) AS AEI FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY share, band) AS k FROM s2) GROUP BY 1),
   pa AS (SELECT rec_id, f_idx, avg(CASE WHEN level >= 3 THEN 1 ELSE 0 END) AS v, sum(CASE WHEN level >= 3 THEN 1 ELSE 0 END) AS n FROM lev GROUP BY 1, 2),

@@ -185,7 +185,7 @@ def mom(source: str, by: str, v: str) -> str:
 @q(f"WITH {SIG} " + mom("sig", "rec_id", "x"))
 def temporal_moments(spark, d):
     s = _samples(spark, d)
-    return rounded(s.groupBy("rec_id").agg(*sg.moments(s, ["rec_id"])), 5)
+    return rounded(s.groupBy("rec_id").agg(*sg.moments()), 5)
 
 
 @q(f"WITH {SIG} SELECT rec_id, {R('sqrt(avg(x * x))', 'rms')} FROM sig GROUP BY rec_id")

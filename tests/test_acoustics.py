@@ -178,14 +178,14 @@ def test_temporal_indices_on_closed_forms(spark):
     assert h[0] == pytest.approx(1) and h[1] == 1
     e = {r.rec_id: r for r in sg.events(sg.background_levels(env), ["rec_id"], "k", F.col("above"), 0.25, -1.0, None).collect()}
     assert e[0].fraction == 1 and e[0].n_events == 1
-    m = {r.rec_id: r for r in (lambda x: x.groupBy("rec_id").agg(*sg.moments(x, ["rec_id"])))(sg.samples(s)).collect()}
+    m = {r.rec_id: r for r in (lambda x: x.groupBy("rec_id").agg(*sg.moments()))(sg.samples(s)).collect()}
     assert m[3].skew is None and m[0].mean == 0 and m[0].kurt == pytest.approx(16 / 15)
 
 
 def test_moment_conventions(spark):
     x = np.array([1.0, 2, 3, 10])
     s = sg.samples(signals(spark, x))
-    r = s.groupBy("rec_id").agg(*sg.moments(s, ["rec_id"])).first()
+    r = s.groupBy("rec_id").agg(*sg.moments()).first()
     d, sd = x - x.mean(), x.std()
     assert r.skew == pytest.approx((d**3).sum() / 3 / sd**3) and r.kurt == pytest.approx((d**4).sum() / 3 / sd**4)
 
