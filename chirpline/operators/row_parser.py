@@ -10,13 +10,15 @@ The grammar of a line, as a recursive descent over its characters:
 A broken quote ends the descent at its place. The parser then looks for the next validated
 record-start anchor, a place from which a whole record parses (two bounds and a label, or a
 backslash and two bounds), and resumes there, so one bad quote or a lost line end costs no more
-than the record it stands in.
+than the record it stands in. An anchor is any bound that is followed by a TAB, quoted or not, or
+the backslash of a frequency record.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,15 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = re.compile(r"[ ]*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ ]*")
-ANCHOR = re.compile(r"(?:\\\t|[0-9]+\.[0-9]{6}\t)")
+_NUM = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ ]*"
+# A negative field is passed over. A number starts an anchor at its first digit, or where it stands
+# directly behind another one of six decimals, as they are written.
+ANCHOR = re.compile(rf'(?:^|(?<=\t))[ ]*-{_NUM}\t|(?P<at>"\\"\t|\\\t|"[ ]*\+?{_NUM}"\t|(?:(?<![0-9.+])(?<!^-)(?<!\t-)|(?<=\.[0-9]{{6}}))\+?{_NUM}\t)')
 FREQUENCY = "\\"
 
 PARSED = "reason string, error_at int, is_frequency boolean, lo double, hi double, label string, salvaged array<struct<at:int,is_frequency:boolean,lo:double,hi:double,label:string>>"
 
 
 class BrokenQuote(ValueError):
-    def __init__(self, at: int):
-        self.at = at
+    """``at`` is the place of the error, ``resume`` the first place at which another record may start."""
+
+    def __init__(self, at: int, resume: int | None = None):
+        self.at, self.resume = at, at if resume is None else resume
 
 
 def _quoted(line: str, at: int) -> tuple[str, int]:
@@ -62,7 +69,15 @@ def _fields(line: str, at: int) -> tuple[list[str], list[int]]:
     values, places = [], []
     while True:
         places.append(at)
-        value, at = _quoted(line, at) if line.startswith('"', at) else _plain(line, at)
+        try:
+            value, at = _quoted(line, at) if line.startswith('"', at) else _plain(line, at)
+        except BrokenQuote as broken:
+            if broken.at > at and len(values) < 2:  # what follows a quoted bound up to the label is no record
+                label = broken.at
+                for _ in range(2 - len(values)):
+                    label = line.find("\t", label) + 1 or len(line)
+                raise BrokenQuote(broken.at, label) from None
+            raise
         values.append(value)
         if at >= len(line):
             return values, places
@@ -91,21 +106,55 @@ def _record(values: list[str], places: list[int]) -> tuple[str | None, int, tupl
     return None, -1, (frequency, bounds[0], bounds[1], None if frequency else values[2])
 
 
+def _behind(values: list[str], places: list[int]) -> int:
+    """The first place behind the bounds of the record that a line with a wrong number of fields starts with."""
+    frequency = values[0] == FREQUENCY
+    bounds = values[1:2] if frequency else values[:2]
+    return places[2] + frequency if len(places) > 2 and all(_bound(x) is not None for x in bounds) else 1
+
+
+def _resumed(line: str, at: int, anchors: list[int], found: dict[int, tuple]) -> tuple[int, tuple] | None:
+    """(end, record) of the record at an anchor; ``found`` holds those of the later anchors."""
+    start, values, places = at, [], []
+    try:
+        for k in range(3):
+            if k and (at >= len(line) or line[at] != "\t"):
+                return None
+            at += k > 0
+            places.append(at)
+            if line.startswith('"', at):
+                value, at = _quoted(line, at)
+            elif k == 2 and at in found and values[0] != FREQUENCY:
+                value = ""  # the label is empty: another record starts in its place
+            else:
+                value, end = _plain(line, at)
+                if k == 2 and (i := bisect_right(anchors, at)) < len(anchors):
+                    end = min(end, anchors[i])
+                value, at = line[at:end], end
+            values.append(value)
+    except BrokenQuote:
+        return None
+    rest = at
+    while rest < len(line) and line[rest] == "\t":
+        rest += 1
+    if rest < len(line) and (i := bisect_right(anchors, rest) - 1) >= 0 and anchors[i] != rest:
+        return None
+    reason, _, record = _record(values, places)
+    return None if reason else (at, (start, *record))
+
+
 def _salvage(line: str, after: int) -> list[tuple]:
-    """Whole records that parse from anchors behind ``after``; each ends where the next anchor starts."""
-    anchors = [m.start() for m in ANCHOR.finditer(line) if m.start() > 0]
+    """Whole records that parse from anchors at ``after`` or behind; each ends at the line's end or where the next anchor starts."""
+    anchors = [m.start() for m in ANCHOR.finditer(line) if m["at"] and m.start() > 0]
+    found: dict[int, tuple] = {}
+    for at in reversed(anchors):
+        if at >= after and (x := _resumed(line, at, anchors, found)):
+            found[at] = x
     out = []
-    for i, at in enumerate(anchors):
-        if at < after:
-            continue
-        piece = line[at : anchors[i + 2] if i + 2 < len(anchors) else len(line)].rstrip("\t")
-        try:
-            reason, _, record = _record(*_fields(piece, 0))
-        except BrokenQuote:
-            continue
-        if reason is None:
-            out.append((at, *record))
-            after = at + len(piece)
+    for at in anchors:
+        if at >= after and at in found:
+            after, record = found[at]
+            out.append(record)
     return out
 
 
@@ -115,10 +164,10 @@ def parse_line(line: str | None) -> tuple:
     try:
         values, places = _fields(text, 0)
     except BrokenQuote as broken:
-        return "quoting", broken.at, None, None, None, None, _salvage(text, broken.at)
+        return "quoting", broken.at, None, None, None, None, _salvage(text, broken.resume)
     reason, at, record = _record(values, places)
     if reason:
-        return reason, at, None, None, None, None, _salvage(text, 1) if reason == "columns" else []
+        return reason, at, None, None, None, None, _salvage(text, _behind(values, places)) if reason == "columns" else []
     return None, None, *record, []
 
 
@@ -153,6 +202,35 @@ def faulty_lines(lines: DataFrame) -> DataFrame:
     return parsed.where("reason is not null").select("rec_id", F.col("line_no").cast("long").alias("line_no"), "reason").distinct()
 
 
+def located_faults(lines: DataFrame) -> DataFrame:
+    """The faulty lines with the place of the error: (rec_id, line_no, reason, error_at), characters from 0."""
+    parsed = parse_lines(lines.select("rec_id", "line_no", "line"))
+    return parsed.where("reason is not null").select("rec_id", F.col("line_no").cast("long").alias("line_no"), "reason", "error_at").distinct()
+
+
+def salvaged_records(lines: DataFrame) -> DataFrame:
+    """The records that parse behind an error: (rec_id, line_no, position, min_t, max_t, label, min_f, max_f).
+
+    Position is the character of the line, from 0, at which the record starts. A time record takes
+    the frequency record that follows it directly: the next one salvaged from its line or, behind
+    the last, a valid next line. A salvaged frequency record without such a time record stands
+    alone, with null min_t, max_t and label. Lines delivered again count once.
+    """
+    parsed = parse_lines(lines.select("rec_id", "line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    faulty = parsed.where("reason is not null and size(salvaged) > 0").select("rec_id", "line_no", "salvaged").distinct()
+    each = faulty.select("rec_id", "line_no", "salvaged", F.posexplode("salvaged").alias("i", "r"))
+    before = F.when(F.col("i") > 0, F.get("salvaged", F.col("i") - 1))
+    each = each.select("rec_id", "line_no", "r", F.get("salvaged", F.col("i") + 1).alias("then"), before.alias("before"))
+    each = each.where("not r.is_frequency or before is null or before.is_frequency")
+    f = parsed.where("reason is null and is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi")).dropDuplicates(["rec_id", "line_no"])
+    time = ~F.col("r.is_frequency")
+    bound = lambda c: F.when(~time, F.col(f"r.{c}")).when(F.col("then.is_frequency"), F.col(f"then.{c}")).when(F.col("then").isNull(), F.col(f"next_{c}"))
+    return each.join(f, ["rec_id", "line_no"], "left").select(
+        "rec_id", "line_no", F.col("r.at").alias("position"), F.when(time, F.col("r.lo")).alias("min_t"), F.when(time, F.col("r.hi")).alias("max_t"),
+        F.when(time, F.col("r.label")).alias("label"), bound("lo").alias("min_f"), bound("hi").alias("max_f"),
+    ).distinct()
+
+
 def label_records(lines: DataFrame) -> DataFrame:
     """The valid annotations: (rec_id, line_no, min_t, max_t, label, min_f, max_f).
 

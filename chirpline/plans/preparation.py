@@ -55,6 +55,14 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return row_parser.label_records(table(spark, d, "label_line"))
 
 
+def p4_salvaged(spark: SparkSession, d: str) -> DataFrame:
+    return row_parser.salvaged_records(table(spark, d, "label_line"))
+
+
+def p4_faults(spark: SparkSession, d: str) -> DataFrame:
+    return row_parser.located_faults(table(spark, d, "label_line"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.capped_catalogue(table(spark, d, "catalogue"))
 
@@ -64,7 +72,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p5_found, p6_found)
+    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_salvaged, p4_faults, p5_found, p6_found)
 }
 
 # Label lines by regular expressions: FIELD is a quoted or plain field, NUM a decimal number.

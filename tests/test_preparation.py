@@ -214,6 +214,33 @@ def test_salvage_resumes_at_an_anchor():
     assert broken[0] == "quoting" and broken[1] == 18 and broken[6][0][2:] == (4.0, 5.0, "B")
 
 
+@pytest.mark.parametrize(
+    "line, records",
+    [
+        ("1\t2\tSPN3.5\t4.5\tx", [(7, 3.5, 4.5, "x")]),
+        ("1.5\t2\tA3e0\t.4e1\tB5\t6\t", [(7, 3.0, 4.0, "B"), (17, 5.0, 6.0, "")]),
+        ("1\t2\t3\t4\tx", [(4, 3.0, 4.0, "x")]),
+        ("1\t2\tA\\\t100\t200", [(5, 100.0, 200.0, None)]),
+        ('1\t2\tA"4"\t5\tB', [(5, 4.0, 5.0, "B")]),
+        ("\\\t1.000000\t2.5000007.500000\t8\tB", [(19, 7.5, 8.0, "B")]),
+        ("1\t2\t20\t30", []),
+        ('"15.0"0\t16.8\t2', []),
+        ("1\t2\tA-\t-3\t4\tx", []),
+    ],
+)
+def test_salvage_resumes_at_any_bound(line, records):
+    assert [(x[0], *x[2:]) for x in row_parser.parse_line(line)[6]] == records
+
+
+def test_salvaged_records_and_located_faults(spark):
+    rows = [(1, 1, "29.719239\t30.393275\tCRE30.793275\t31.493275\tCRE"), (1, 2, "\\\t10\t20"), (1, 3, "1\t2\tA3\t4\tB\\\t30\t40"), (1, 4, '5\t6\t"x'), (1, 5, "7\t8\ty"), (1, 6, "1\t2\tA\\\t5\t6")] * 2
+    df = spark.createDataFrame(rows, "rec_id long, line_no int, line string")
+    got = sorted(tuple(r) for r in row_parser.salvaged_records(df).collect())
+    want = [(1, 1, 23, 30.793275, 31.493275, "CRE", 10.0, 20.0), (1, 3, 5, 3.0, 4.0, "B", 30.0, 40.0), (1, 6, 5, None, None, None, 5.0, 6.0)]
+    assert got == want
+    assert sorted((r.line_no, r.reason, r.error_at) for r in row_parser.located_faults(df).collect()) == [(1, "columns", 33), (3, "columns", 7), (4, "quoting", 4), (6, "columns", 7)]
+
+
 def test_faulty_lines_and_records(spark):
     rows = [(1, i + 1, line, "clash") for i, (line, _) in enumerate(LINES)] * 2 + [(2, 1, "1\t2\tx", "c"), (2, 2, "\\\t10\t20", "c"), (2, 3, "3\t4\ty", "c"), (None, None, "z", "c"), (3, 1, "9\t" * 50_000, "c")]
     df = spark.createDataFrame(rows, "rec_id long, line_no int, line string, reason string")
