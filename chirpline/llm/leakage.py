@@ -76,53 +76,42 @@ def template_id(word: str, names: frozenset[str]) -> int:
 
 
 def _hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        return (ids[starts[:, None] + np.arange(WINDOW)] * _POWERS).sum(axis=1, dtype=np.uint64).view(np.int64)
+        for k in range(WINDOW):
+            out += ids[starts + k] * _POWERS[k]
+    return out.view(np.int64)
 
 
 class Templates:
-    """What a worker needs to know of the evaluation items: their words' ids and their windows' hashes."""
+    """What a worker needs to know of the evaluation items: their words' ids and, if they are few, their windows' hashes."""
 
-    def __init__(self, names: frozenset[str], words: dict[bytes, int] | None, hashes: np.ndarray | None):
-        self.names, self.words, self.hashes = names, words, hashes
+    def __init__(self, words: dict[bytes, int] | None, hashes: np.ndarray | None = None):
+        # number words and units have one id, whether items have them or not
+        self.words, self.hashes = None if words is None else words | _CLOSED, hashes
         self.few = None if hashes is None else np.zeros(1 << 16, dtype=bool)
         if hashes is not None:
             self.few[(hashes & 0xFFFF).astype(np.int64)] = True
 
-    def windows(self, text: str | None, max_unknown: int = 4) -> Iterator[tuple[int, int, list[str]]]:
+    def windows(self, text: str | None) -> Iterator[tuple[int, int, list[str]]]:
         """(position, hash, words) of the windows of a text that may be those of an item.
 
         A word that no item has can only fill a placeholder: as a number, a unit or a capitalised
-        word. Windows with more than ``max_unknown`` such words are passed over; this loses no
-        window that is copied word by word, which has none.
+        word. Windows that hold an unknown word of another kind are passed over.
         """
         words = words_of(text)
         n = len(words) - WINDOW + 1
         if n <= 0:
             return
-        if self.words is None:
-            ids = np.array([template_id(w.decode(), self.names) for w in words], dtype=np.uint64)
-            starts = np.arange(n)
-        else:
-            get = self.words.get
-            ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
-            unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-            starts = np.flatnonzero(unknown[WINDOW:] - unknown[:-WINDOW] <= max_unknown)
-            if not len(starts):
-                return
-            inside = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(inside, starts, 1)
-            np.add.at(inside, starts + WINDOW, -1)
-            open_ = np.flatnonzero((np.cumsum(inside)[:-1] > 0) & (ids == 0))
-            if len(open_):
-                cased = words_of(text, lower=False)
-                cased = cased if len(cased) == len(words) else words
-                for i in open_:
-                    w = words[i].decode("utf-8", "replace")
-                    t = template_id(w, self.names)
-                    ids[i] = t if t in (_NUMBER_ID, _UNIT_ID) else _NAME_ID if cased[i].decode("utf-8", "replace")[:1].isupper() else 0
-                unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-                starts = starts[(unknown[starts + WINDOW] - unknown[starts]) == 0]
+        get = self.words.get if self.words is not None else lambda w, _: template_id(w.decode("utf-8", "replace"), frozenset())
+        ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
+        open_ = np.flatnonzero(ids == 0)
+        if len(open_):
+            cased = words_of(text, lower=False)
+            cased = cased if len(cased) == len(words) else words
+            ids[open_] = [_placeholder(words[i], cased[i]) for i in open_.tolist()]
+        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
+        starts = np.flatnonzero(unknown[WINDOW:] == unknown[:-WINDOW])
         h = _hashes(ids, starts)
         if self.hashes is not None:
             maybe = self.few[(h & 0xFFFF).astype(np.int64)]
@@ -134,6 +123,17 @@ class Templates:
             yield s, x, [w.decode("utf-8", "replace") for w in words[s : s + WINDOW]]
 
 
+_CLOSED = {w.encode(): template_id(w, frozenset()) for w in NUMBER_WORDS | UNITS}
+
+
+def _placeholder(word: bytes, cased: bytes) -> int:
+    """The id of the placeholder that a word fills which no item has, 0 if none."""
+    if word.isdigit() or (not word.isascii() and word.decode("utf-8", "replace").isdecimal()):
+        return _NUMBER_ID
+    upper = 65 <= cased[0] <= 90 if cased[0] < 128 else cased.decode("utf-8", "replace")[0].isupper()
+    return _NAME_ID if upper else 0
+
+
 def item_windows(items: list[tuple[int, str | None]], names: frozenset[str]) -> tuple[list[tuple], dict[bytes, int]]:
     """(item_id, position, hash, words) of all windows of the items, and the template ids of their words."""
     known: dict[bytes, int] = {}
@@ -171,9 +171,9 @@ def leaked_windows(documents: DataFrame, items: DataFrame, max_items: int = 20_0
         names = frozenset().union(*(names_in(t) for _, t in held))
         rows, known = item_windows(held, names)
         right = spark.createDataFrame(rows, ITEM_SCHEMA)
-        shared = spark.sparkContext.broadcast(Templates(names, known, np.unique(np.array([r[2] for r in rows], dtype=np.int64))))
+        shared = spark.sparkContext.broadcast(Templates(known, np.unique(np.array([r[2] for r in rows], dtype=np.int64))))
     else:
-        shared = spark.sparkContext.broadcast(Templates(frozenset(), None, None))
+        shared = spark.sparkContext.broadcast(Templates(None))
 
         def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

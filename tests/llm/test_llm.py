@@ -105,6 +105,17 @@ def test_reparameterised_copy_is_found(spark):
     assert got[(1, 1)].exact_windows > 0 and (12, 1) not in got
 
 
+def test_window_of_many_new_names_and_numbers_is_found(spark):
+    item = "we heard that Anton of Lindau sold 41 hens and 52 geese to Maria near Passau before 1887"
+    copy = "we heard that Bruno of Xanten sold 77 hens and 93 geese to Greta near Zwickau before 2044"
+    docs = spark.createDataFrame([(1, copy), (2, copy.lower())], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "s", item)], "item_id long, suite string, text string")
+    got = leakage.leaked_windows(docs, items)
+    # some windows have five new words
+    assert {r.doc_at for r in got.collect()} == set(range(18 - 11))
+    assert {(r.doc_id, r.template_windows, r.changed_slots) for r in leakage.leaks(got).collect()} == {(1, 7, 7)}
+
+
 def test_words_of_equals_the_definition():
     rnd = random.Random(4)
     alphabet = "aZ09 _-.\n\tßéİŉﬁ²½Ⅷ٣雨ー́​🙂"
