@@ -86,9 +86,9 @@ def _hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Templates:
     """What a worker needs to know of the evaluation items: their words' ids and, if they are few, their windows' hashes."""
 
-    def __init__(self, words: dict[bytes, int] | None, hashes: np.ndarray | None = None):
+    def __init__(self, words: dict[bytes, int], hashes: np.ndarray | None = None):
         # number words and units have one id, whether items have them or not
-        self.words, self.hashes = None if words is None else words | _CLOSED, hashes
+        self.words, self.hashes = words | _CLOSED, hashes
         self.few = None if hashes is None else np.zeros(1 << 16, dtype=bool)
         if hashes is not None:
             self.few[(hashes & 0xFFFF).astype(np.int64)] = True
@@ -103,7 +103,7 @@ class Templates:
         n = len(words) - WINDOW + 1
         if n <= 0:
             return
-        get = self.words.get if self.words is not None else lambda w, _: template_id(w.decode("utf-8", "replace"), frozenset())
+        get = self.words.get
         ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
         open_ = np.flatnonzero(ids == 0)
         if len(open_):
@@ -151,6 +151,43 @@ def item_windows(items: list[tuple[int, str | None]], names: frozenset[str]) ->
 
 
 ITEM_SCHEMA = "item_id long, item_at int, h long, item_words array<string>"
+DOCUMENT_SCHEMA = "doc_id long, doc_at int, h long, words array<string>"
+_WINDOW_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """The words of the items, each once, and whether one of them has it as a name: (word, is_name)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[tuple[str, bool], None] = {}
+            for t in b.column("text").to_pylist():
+                found |= dict.fromkeys((w.decode("utf-8", "replace"), False) for w in words_of(t))
+                found |= dict.fromkeys((w, True) for w in names_in(t))
+            yield _batch(list(found), ["word", "is_name"], [pa.string(), pa.bool_()])
+
+    w = texts.select("text").mapInArrow(run, "word string, is_name boolean")
+    return w.groupBy("word").agg(F.max("is_name").alias("is_name"), F.min("is_name").alias("only_name")).where("not only_name").drop("only_name")
+
+
+def _with_known(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, text) with the words of each text that items have, and the names among them: (id, text, known, names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                yield _batch([(key, w.decode("utf-8", "replace")) for w in dict.fromkeys(words_of(t))], ["key", "word"], [pa.string(), pa.string()])
+
+    # equal texts share a key, which doesn't depend on how the input is cut into tasks
+    keyed = texts.where("text is not null").withColumn("key", F.sha2("text", 256))
+    words = keyed.select("key", "text").mapInArrow(run, "key string, word string").distinct().join(vocabulary, "word")
+    known = words.groupBy("key").agg(F.collect_list("word").alias("known"), F.collect_list(F.when(F.col("is_name"), F.col("word"))).alias("names"))
+    return keyed.join(known, "key", "left").drop("key")
 
 
 def leaked_windows(documents: DataFrame, items: DataFrame, max_items: int = 20_000, max_chars: int = 20_000_000) -> DataFrame:
@@ -159,42 +196,47 @@ def leaked_windows(documents: DataFrame, items: DataFrame, max_items: int = 20_0
     Up to ``max_items`` items of ``max_chars`` characters together, which is checked, the items'
     vocabulary and hashes go to the workers and only windows that may match leave them, so what is
     shuffled follows the leaks and not the corpus; the small table of item windows is broadcast.
-    Beyond the bound all windows of both sides meet in a shuffle on the hash. Each text is read as
-    a whole. Null or short texts have no window; repeated items and documents give repeated rows.
+    Beyond the bound the vocabulary stays distributed, each text meets its own words of it in a
+    join, and all windows of both sides meet in a shuffle on the hash; the rows are the same. Each
+    text is read as a whole. Null or short texts have no window; repeated items and documents give
+    repeated rows.
     """
     spark = documents.sparkSession
     texts = items.select("item_id", "text").where("item_id is not null and text is not null")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    small = size.n <= max_items and size.c <= max_chars
-    if small:
+    doc_names, item_names = ["doc_id", "doc_at", "h", "words"], ["item_id", "item_at", "h", "item_words"]
+    if size.n <= max_items and size.c <= max_chars:
         held = [(r.item_id, r.text) for r in texts.collect()]
         names = frozenset().union(*(names_in(t) for _, t in held))
         rows, known = item_windows(held, names)
         right = spark.createDataFrame(rows, ITEM_SCHEMA)
         shared = spark.sparkContext.broadcast(Templates(known, np.unique(np.array([r[2] for r in rows], dtype=np.int64))))
-    else:
-        shared = spark.sparkContext.broadcast(Templates(None))
 
-        def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            templates = shared.value
             for b in batches:
-                rows, _ = item_windows(list(zip(b.column("item_id").to_pylist(), b.column("text").to_pylist())), frozenset())
-                columns = list(zip(*rows)) if rows else [[], [], [], []]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["item_id", "item_at", "h", "item_words"])
+                rows = [(i, *w) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for w in templates.windows(t)]
+                yield _batch(rows, doc_names, _WINDOW_KINDS)
 
-        right = texts.mapInArrow(of_items, ITEM_SCHEMA)
+        return docs.mapInArrow(run, DOCUMENT_SCHEMA).join(F.broadcast(right), "h").drop("h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = shared.value
-        names_ = ["doc_id", "doc_at", "h", "words"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *w) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for w in templates.windows(t)]
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names_)
+            for i, t, names in zip(*(b.column(c).to_pylist() for c in ("item_id", "text", "names"))):
+                yield _batch(item_windows([(i, t)], frozenset(names or ()))[0], item_names, _WINDOW_KINDS)
 
-    left = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_at int, h long, words array<string>")
-    return left.join(F.broadcast(right) if small else right, "h").drop("h")
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t, known, names in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "known", "names"))):
+                held = frozenset(names or ())
+                templates = Templates({w.encode("utf-8", "surrogatepass"): template_id(w, held) for w in known or ()})
+                yield _batch([(i, *w) for w in templates.windows(t)], doc_names, _WINDOW_KINDS)
+
+    vocabulary = _vocabulary(texts)
+    right = _with_known(texts, vocabulary).mapInArrow(of_items, ITEM_SCHEMA)
+    left = _with_known(docs, vocabulary).mapInArrow(of_documents, DOCUMENT_SCHEMA)
+    return left.join(right, "h").drop("h")
 
 
 def leaks(windows: DataFrame, min_literal: int = 5) -> DataFrame:

@@ -116,6 +116,13 @@ def test_window_of_many_new_names_and_numbers_is_found(spark):
     assert {(r.doc_id, r.template_windows, r.changed_slots) for r in leakage.leaks(got).collect()} == {(1, 7, 7)}
 
 
+def test_large_path_gives_the_same_rows(spark):
+    docs = spark.createDataFrame(documents() + [(17, ITEMS[0][1].replace("Pell", "Quill")), (17, ITEMS[0][1].replace("Pell", "Quill"))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "s", t) for i, t in ITEMS * 2], "item_id long, suite string, text string")
+    small, large = (sorted(map(str, leakage.leaked_windows(docs, items, max_items=n).collect())) for n in (20_000, 0))
+    assert small == large and any("quill" in r for r in large)
+
+
 def test_words_of_equals_the_definition():
     rnd = random.Random(4)
     alphabet = "aZ09 _-.\n\tßéİŉﬁ²½Ⅷ٣雨ー́​🙂"
