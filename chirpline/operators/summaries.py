@@ -88,3 +88,15 @@ def covering_buckets(counts: DataFrame, by: list[str], bucket: str, n: str, shar
     w = Window.partitionBy(*by).orderBy(F.desc(n), bucket).rowsBetween(Window.unboundedPreceding, 0)
     c = counts.withColumn("total", F.sum(n).over(Window.partitionBy(*by))).withColumn("upto", F.sum(n).over(w))
     return c.where(F.col("upto") - F.col(n) < share * F.col("total")).select(*by, bucket, n, (F.col("upto") / F.col("total")).alias("cumulative"))
+
+
+def threshold_buckets(counts: DataFrame, by: list[str], bucket: str, n: str, share: float = 0.5) -> DataFrame:
+    """All buckets of each group that are as full as the one that reaches the share, ties included: (by, bucket, n, cumulative).
+
+    Cumulative is the share of the buckets up to this one, the fullest and then the earliest first.
+    """
+    c = covering_buckets(counts, by, bucket, n, share).groupBy(*by).agg(F.min(n).alias("least"))
+    w = Window.partitionBy(*by).orderBy(F.desc(n), bucket).rowsBetween(Window.unboundedPreceding, 0)
+    every = counts.withColumn("cumulative", F.sum(n).over(w) / F.sum(n).over(Window.partitionBy(*by)))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    return every.alias("a").join(c.alias("b"), same).where(F.col(f"a.{n}") >= F.col("least")).select(*[f"a.{k}" for k in by], bucket, n, "cumulative")

@@ -175,6 +175,14 @@ def activity_threshold_50(spark, d):
     return rounded(sm.covering_buckets(t.groupBy("gen", "sp", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n")), ["gen", "sp"], "minute", "n"))
 
 
+@q()
+def activity_threshold_50_whole(spark, d):
+    """As activity_threshold_50, whose SQL takes two-digit hours only and cuts ties, with H:MM times and all tied buckets."""
+    t = table(spark, d, "catalogue").where(F.col("time").rlike("^(?:[01]?[0-9]|2[0-3]):[0-5][0-9]$")).withColumn("time", F.lpad("time", 5, "0"))
+    minute = (F.floor((F.substring("time", 1, 2).cast("int") * 60 + F.substring("time", 4, 2).cast("int")) / 30) * 30).cast("long")
+    return rounded(sm.threshold_buckets(t.groupBy("gen", "sp", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n")), ["gen", "sp"], "minute", "n"))
+
+
 _WELL = "regexp_full_match(fname, '[^_]*_[0-9]{8}_[0-9]{6}.{4}')"
 
 

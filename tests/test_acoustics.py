@@ -324,3 +324,12 @@ def test_annotations_and_pages(spark, tmp_path):
     page = '{"numPages": 1, "recordings": [{"id": "1", "group": "birds", "bird-seen": "yes", "extra": 3}, {"id": "2"}]}'
     got = catalogue.from_json(spark.createDataFrame([(page,), ("broken",), (None,)], "value string")).collect()
     assert [(r.id, r.grp, r.bird_seen) for r in got] == [("1", "birds", "yes"), ("2", None, None)]
+
+
+def test_activity_threshold_takes_short_hours_and_ties(spark, tmp_path):
+    from chirpline.plans import tables
+
+    times = ["9:10", "09:20", "10:00", "10:10", "11:00", "11:29", "12:00", "9.30", None]
+    spark.createDataFrame([("Aus", "bus", t) for t in times] + [(None, "x", "7:00")], "gen string, sp string, time string").write.parquet(str(tmp_path / "catalogue.parquet"))
+    got = {(r.gen, r.minute, r.n) for r in tables.QUERIES["activity_threshold_50_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("Aus", 540, 2), ("Aus", 600, 2), ("Aus", 660, 2), (None, 420, 1)}
