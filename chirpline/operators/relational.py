@@ -61,3 +61,17 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a hash of the key: a reproducible sample."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def counts_by_value(rows: DataFrame, by: str, value: str, prefix: str, max_values: int = 1000) -> DataFrame:
+    """Rows per ``by`` and value of a column, one output column for every value that occurs: (by, prefix + value ...).
+
+    The list of values goes to the driver; more than ``max_values`` are an error, not a cut. Nulls
+    are counted under prefix + "null" if there are any.
+    """
+    found = [r[0] for r in rows.select(value).distinct().limit(max_values + 1).collect()]
+    if len(found) > max_values:
+        raise ValueError(f"more than {max_values} values of {value}")
+    found.sort(key=lambda v: (v is None, v if v is not None else 0))
+    count = lambda v: F.count(F.when(F.col(value).eqNullSafe(F.lit(v)), 1))
+    return rows.groupBy(by).agg(*[count(v).alias(f"{prefix}{'null' if v is None else v}") for v in found]) if found else rows.select(by).distinct()

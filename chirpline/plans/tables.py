@@ -118,6 +118,13 @@ def pivot_hour(spark, d):
     return p.select("hour", *[F.coalesce(f"`{r}`", F.lit(0)).alias(f"sr_{r}") for r in (16000, 48000)])
 
 
+@q()
+def pivot_hour_whole(spark, d):
+    """As pivot_hour, whose SQL has two rates only, with a column for every rate."""
+    hours = _meta(spark, d).where("ts is not null").select(F.hour("ts").cast("long").alias("hour"), "sample_rate")
+    return rl.counts_by_value(hours, "hour", "sample_rate", "sr_")
+
+
 @q(f"WITH {META} SELECT time_bucket(INTERVAL '30 minutes', ts) AS bucket, {R('avg(length)', 'mean', 9)}, {R('stddev_samp(length)', 'std', 9)}, count(length) AS n FROM meta WHERE ts IS NOT NULL GROUP BY 1")
 def resample_30min(spark, d):
     r = sm.resample(_meta(spark, d).where("ts is not null"), "ts", "length")

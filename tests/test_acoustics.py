@@ -333,3 +333,15 @@ def test_activity_threshold_takes_short_hours_and_ties(spark, tmp_path):
     spark.createDataFrame([("Aus", "bus", t) for t in times] + [(None, "x", "7:00")], "gen string, sp string, time string").write.parquet(str(tmp_path / "catalogue.parquet"))
     got = {(r.gen, r.minute, r.n) for r in tables.QUERIES["activity_threshold_50_whole"](spark, str(tmp_path)).collect()}
     assert got == {("Aus", 540, 2), ("Aus", 600, 2), ("Aus", 660, 2), (None, 420, 1)}
+
+
+def test_pivot_counts_every_value(spark, data):
+    from chirpline.operators import relational
+    from chirpline.plans import tables
+
+    p = tables.QUERIES["pivot_hour_whole"](spark, data)
+    counted = sum(v for r in p.collect() for k, v in r.asDict().items() if k != "hour")
+    assert {"sr_22050", "sr_32000", "sr_44100", "sr_96000"} <= set(p.columns)
+    assert counted == spark.read.parquet(f"{data}/audio_metadata.parquet").where("date is not null").count()
+    with pytest.raises(ValueError):
+        relational.counts_by_value(spark.range(5).selectExpr("1 as h", "id"), "h", "id", "n_", 3)
