@@ -59,16 +59,16 @@ def folder_of(canonical: Column) -> Column:
 
 
 def distinct_files(listing: DataFrame, path: str = "path_audio", size: str = "fsize") -> DataFrame:
-    """One row ``(path, n_bytes)`` for each place that is listed with a size.
+    """One row ``(path, n_bytes)`` for each place that is listed; n_bytes is null where no listing has a size.
 
-    Rows without a path or a size don't count. If one place is listed with several sizes, the
-    largest counts: a file that was still being written is listed short. The aggregation combines
+    Rows without a path don't count. If one place is listed with several sizes, the largest
+    counts: a file that was still being written is listed short. The aggregation combines
     before the shuffle, so a file listed very often costs one row per task. Extra columns are
     pruned; an empty listing gives no rows.
     """
     return (
         listing.select(canonical_path(F.col(path)).alias("path"), F.col(size).cast("long").alias("n_bytes"))
-        .where("path is not null and n_bytes is not null")
+        .where("path is not null")
         .groupBy("path")
         .agg(F.max("n_bytes").alias("n_bytes"))
     )
@@ -77,7 +77,7 @@ def distinct_files(listing: DataFrame, path: str = "path_audio", size: str = "fs
 def small_file_folders(files: DataFrame, limit: int = SMALL_FILE, at_least: int = 2) -> DataFrame:
     """Folders with at least ``at_least`` distinct files below ``limit``: (folder, n_files, n_bytes).
 
-    A folder that holds a third of all files is summed before the shuffle, so it is no hot key.
+    Files of unknown size don't count. A folder that holds a third of all files is summed before the shuffle, so it is no hot key.
     """
     return (
         files.where(F.col("n_bytes") < limit)
@@ -92,28 +92,33 @@ def pack_plan(files: DataFrame, target_bytes: int = 128 << 20, open_cost: int =
 
     The rule is that of the engine's split packing, next fit with ``open_cost`` added for each
     file, run inside every partition in path order; no shuffle is added and a partition is
-    streamed, never held. A file larger than the target gets a pack of its own.
+    streamed, never held. A file larger than the target gets a pack of its own. Files of unknown
+    size come last in their partition, in packs of their own that count ``open_cost`` a file; their
+    n_bytes and offset are null.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         base, pack_no, filled, seq, offset = TaskContext.get().partitionId() << 32, -1, math.inf, 0, 0
+        sized = True
         for pdf in batches:
             packs, seqs, offsets = [], [], []
-            for n in pdf["n_bytes"]:
-                if filled + n > target_bytes:
-                    pack_no, filled, seq, offset = pack_no + 1, 0, 0, 0
+            for n, known in zip(pdf["n"], pdf["known"]):
+                if filled + n > target_bytes or known != sized:
+                    pack_no, filled, seq, offset, sized = pack_no + 1, 0, 0, 0, known
                 packs.append(base + pack_no)
                 seqs.append(seq)
                 offsets.append(offset)
                 filled, seq, offset = filled + n + open_cost, seq + 1, offset + n
             yield pdf.assign(pack_id=packs, seq=seqs, offset=offsets)
 
+    size = lambda c: F.when(F.col("known"), F.col(c)).alias(c if c == "offset" else "n_bytes")
     return (
-        files.select("path", "n_bytes")
-        .sortWithinPartitions("path")
-        .mapInPandas(pack, "path string, n_bytes long, pack_id long, seq long, offset long")
+        files.select("path", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n"), F.col("n_bytes").isNotNull().alias("known"))
+        .sortWithinPartitions(F.desc("known"), "path")
+        .mapInPandas(pack, "path string, n long, known boolean, pack_id long, seq long, offset long")
+        .select("path", size("n"), "pack_id", "seq", size("offset"))
     )
 
 

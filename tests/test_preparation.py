@@ -46,6 +46,13 @@ def test_small_file_folders(spark):
     assert compaction.small_file_folders(compaction.distinct_files(df.limit(0))).collect() == []
 
 
+def test_files_of_unknown_size_are_packed(spark):
+    listing = spark.createDataFrame([("/a/1.wav", 10), ("/a/2.wav", None), ("/a/./2.wav", None), ("/a/3.wav", None), ("/a/3.wav", 7), ("/a/0.wav", None), (None, 1)], "path_audio string, fsize long")
+    packs = {r.path: r for r in compaction.pack_plan(compaction.distinct_files(listing).coalesce(1), target_bytes=100, open_cost=60).collect()}
+    assert {p: (r.n_bytes, r.offset) for p, r in packs.items()} == {"/a/0.wav": (None, None), "/a/1.wav": (10, 0), "/a/2.wav": (None, None), "/a/3.wav": (7, 10)}
+    assert packs["/a/1.wav"].pack_id == packs["/a/3.wav"].pack_id != packs["/a/0.wav"].pack_id == packs["/a/2.wav"].pack_id
+
+
 def test_pack_plan_holds_every_file_once(spark):
     files = spark.createDataFrame([(f"/a/{i:04d}.wav", (i * 37) % 5000) for i in range(500)], "path string, n_bytes long").repartition(3)
     packs = compaction.pack_plan(files, target_bytes=10_000, open_cost=100).collect()
