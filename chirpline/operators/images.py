@@ -204,9 +204,9 @@ def box_centroids(cells: DataFrame, boxes: DataFrame, value: str = "p") -> DataF
     return g.select("rec_id", "roi_id", "centroid_y", "centroid_x", dx.alias("duration_x"), dy.alias("bandwidth_y"), (dx * dy).alias("area_xy"))
 
 
-def to_pixels(rois: DataFrame, grid: sp.Grid, n_frames: int) -> DataFrame:
-    """Physical to pixel bounds and back: bounds are cut to the axes, snapped to the nearest bin and frame (the lower of two), degenerate ROIs and those without a bound dropped."""
-    top_t = (n_frames - 1) * grid.dt
+def to_pixels(rois: DataFrame, grid: sp.Grid, n_frames: int | None) -> DataFrame:
+    """Physical to pixel bounds and back: bounds are cut to the axes, snapped to the nearest bin and frame (the lower of two), degenerate ROIs and those without a bound dropped. Without ``n_frames`` the time axis of a recording reaches as far as its ROIs."""
+    top_t = (n_frames - 1) * grid.dt if n_frames is not None else math.inf
     cut = lambda c, hi: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(hi))
     near = lambda c, hi, step: F.ceil(F.round(cut(c, hi) / step - 0.5, 9)).cast("long")
     whole = rois.where("min_t is not null and max_t is not null and min_f is not null and max_f is not null")

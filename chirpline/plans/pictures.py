@@ -128,6 +128,12 @@ def roi_unit_conversion(spark, d):
     return im.to_pixels(table(spark, d, "roi"), G, 400)
 
 
+@q()
+def roi_unit_conversion_whole(spark, d):
+    """As roi_unit_conversion, whose SQL ends every recording at 99.75 s, on axes as long as the recordings' ROIs."""
+    return im.to_pixels(table(spark, d, "roi"), G, None)
+
+
 def _mask(spark, d):
     return im.hysteresis_cells(frames(spark, d), 2.0, 0.9)
 

@@ -345,3 +345,12 @@ def test_pivot_counts_every_value(spark, data):
     assert counted == spark.read.parquet(f"{data}/audio_metadata.parquet").where("date is not null").count()
     with pytest.raises(ValueError):
         relational.counts_by_value(spark.range(5).selectExpr("1 as h", "id"), "h", "id", "n_", 3)
+
+
+def test_late_rois_keep_their_bounds(spark, tmp_path):
+    from chirpline.plans import pictures
+
+    rows = [(1, 1, "a", 10.0, 335.79, 500.0, 1000.0), (1, 2, "a", 120.0, 130.0, 500.0, 1000.0)]
+    spark.createDataFrame(rows, "rec_id long, roi_id long, label string, min_t double, max_t double, min_f double, max_f double").write.parquet(str(tmp_path / "roi.parquet"))
+    got = {(r.roi_id, r.min_t, r.max_t, r.max_x) for r in pictures.QUERIES["roi_unit_conversion_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 10.0, 335.75, 1343), (2, 120.0, 130.0, 520)}
