@@ -80,6 +80,10 @@ def gaussian_smooth(cells: DataFrame, std: float = 1.0, value: str = "p") -> Dat
     return blur(blur(cells, value, "t_idx", "f_idx", "_over_t"), "_over_t", "f_idx", "t_idx", "smooth").select("rec_id", "t_idx", "f_idx", "smooth")
 
 
+# A block that holds any recording, for kernels whose result depends on all of its frames.
+WHOLE = 1 << 62
+
+
 def in_blocks(frames: DataFrame, kernel: Callable[[np.ndarray, int, int, int], pd.DataFrame], schema: str, halo: int = 0, block: int = BLOCK) -> DataFrame:
     """Run ``kernel(image, first frame, own start, own end)`` on blocks of frames with ``halo`` frames of their neighbours.
 
@@ -272,8 +276,12 @@ def remove_background(frames: DataFrame, win: int = 50, std: float = 25.0) -> Da
     return frames.join(noise, "rec_id").select("rec_id", "t_idx", out.alias("v"))
 
 
-def remove_background_morpho(frames: DataFrame, q: float = 0.1, block: int = BLOCK) -> DataFrame:
-    """Residue over the morphological reconstruction, in blocks with their own quantile: (rec_id, block, t_idx, v array)."""
+def remove_background_morpho(frames: DataFrame, q: float = 0.1, block: int = WHOLE) -> DataFrame:
+    """Residue over the morphological reconstruction: (rec_id, block, t_idx, v array).
+
+    Quantile and reconstruction are those of the whole recording, which one task holds; a smaller
+    ``block`` bounds the memory and gives each block its own.
+    """
 
     def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
         out = kn.remove_background_morpho(image, q)
@@ -289,8 +297,8 @@ def shape_params(spark, preset: str = "low") -> DataFrame:
     return spark.createDataFrame([(a, float(b), float(c), int(d), float(e)) for a, b, c, d, e in rows], "shp string, theta double, freq double, pyr_level int, scale double")
 
 
-def shape_features(frames: DataFrame, preset: str = "low", block: int = BLOCK) -> DataFrame:
-    """Mean response of each filter per recording and block: (rec_id, block, shp, response)."""
+def shape_features(frames: DataFrame, preset: str = "low", block: int = WHOLE) -> DataFrame:
+    """Mean response of each filter per recording, which one task holds, or per smaller block: (rec_id, block, shp, response)."""
 
     def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
         means = [float(r.mean()) for r in kn.shape_responses(image, preset)]
@@ -299,8 +307,8 @@ def shape_features(frames: DataFrame, preset: str = "low", block: int = BLOCK) -
     return in_blocks(frames, kernel, "shp string, response double", 0, block)
 
 
-def shape_roi_features(frames: DataFrame, boxes: DataFrame, preset: str = "low", block: int = BLOCK) -> DataFrame:
-    """Mean response of each filter in each box: (rec_id, roi_id, shp, response). A box over several blocks weights them by its columns."""
+def shape_roi_features(frames: DataFrame, boxes: DataFrame, preset: str = "low", block: int = WHOLE) -> DataFrame:
+    """Mean response of each filter in each box: (rec_id, roi_id, shp, response). One task holds a recording. A box over several smaller blocks weights them by its columns."""
 
     def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
         rows = [(f"shp_{i + 1:03d}", t + t0, r[:, t]) for i, r in enumerate(kn.shape_responses(image, preset)) for t in range(start, end)]

@@ -354,3 +354,15 @@ def test_late_rois_keep_their_bounds(spark, tmp_path):
     spark.createDataFrame(rows, "rec_id long, roi_id long, label string, min_t double, max_t double, min_f double, max_f double").write.parquet(str(tmp_path / "roi.parquet"))
     got = {(r.roi_id, r.min_t, r.max_t, r.max_x) for r in pictures.QUERIES["roi_unit_conversion_whole"](spark, str(tmp_path)).collect()}
     assert got == {(1, 10.0, 335.75, 1343), (2, 120.0, 130.0, 520)}
+
+
+def test_long_recordings_are_one_image(spark):
+    image = np.random.default_rng(3).random((16, im.BLOCK + 60))
+    frames = spark.createDataFrame([(1, t, image[:, t].tolist()) for t in range(image.shape[1])], "rec_id long, t_idx long, v array<double>").repartition(4)
+    shapes = im.shape_features(frames).orderBy("shp").collect()
+    assert np.allclose([r.response for r in shapes], [r.mean() for r in kn.shape_responses(image, "low")], atol=1e-12)
+    morpho = im.remove_background_morpho(frames).orderBy("t_idx").collect()
+    assert np.allclose(np.array([r.v for r in morpho]).T, kn.remove_background_morpho(image, 0.1))
+    box = spark.createDataFrame([(1, 7, 2, 5, 4090, 4100)], "rec_id long, roi_id long, min_y long, max_y long, min_x long, max_x long")
+    rois = im.shape_roi_features(frames, box).orderBy("shp").collect()
+    assert np.allclose([r.response for r in rois], [r[2:6, 4090:4101].mean() for r in kn.shape_responses(image, "low")])
