@@ -14,11 +14,18 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirpline.session import checkpoint
+
 WINDOW = 12
+# What may go to every worker, and the sizes of the filters in bits.
+MAX_BYTES = 64 << 20
+FEW_BITS, MANY_BITS = 1 << 20, 1 << 27
+SALTS = 16
 # Words for numbers and units that a template leaves open.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth hundred thousand".split()
@@ -83,15 +90,33 @@ def _hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+class WindowFilter:
+    """Which hashes may be those of items' windows: the sorted hashes themselves or, where they are too many, a field of bits that lets some others through."""
+
+    def __init__(self, hashes: np.ndarray | None, bits: np.ndarray | None = None):
+        self.hashes, self.bits = hashes, bits
+        if hashes is not None:
+            self.bits = np.zeros(FEW_BITS >> 3, dtype=np.uint8)
+            at = hashes & (FEW_BITS - 1)
+            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        self.mask = len(self.bits) * 8 - 1
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        """The places in ``h`` of the hashes that pass."""
+        at = h & self.mask
+        kept = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        if self.hashes is not None and len(kept):
+            found = np.minimum(np.searchsorted(self.hashes, h[kept]), len(self.hashes) - 1)
+            kept = kept[self.hashes[found] == h[kept]]
+        return kept
+
+
 class Templates:
-    """What a worker needs to know of the evaluation items: their words' ids and, if they are few, their windows' hashes."""
+    """The template ids of the items' words and the filter of their windows."""
 
-    def __init__(self, words: dict[bytes, int], hashes: np.ndarray | None = None):
+    def __init__(self, words: dict[bytes, int], filter_: WindowFilter):
         # number words and units have one id, whether items have them or not
-        self.words, self.hashes = words | _CLOSED, hashes
-        self.few = None if hashes is None else np.zeros(1 << 16, dtype=bool)
-        if hashes is not None:
-            self.few[(hashes & 0xFFFF).astype(np.int64)] = True
+        self.words, self.filter = words | _CLOSED, filter_
 
     def windows(self, text: str | None) -> Iterator[tuple[int, int, list[str]]]:
         """(position, hash, words) of the windows of a text that may be those of an item.
@@ -113,14 +138,10 @@ class Templates:
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         starts = np.flatnonzero(unknown[WINDOW:] == unknown[:-WINDOW])
         h = _hashes(ids, starts)
-        if self.hashes is not None:
-            maybe = self.few[(h & 0xFFFF).astype(np.int64)]
-            starts, h = starts[maybe], h[maybe]
-            at = np.searchsorted(self.hashes, h)
-            hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == h if len(self.hashes) else np.zeros(len(h), bool)
-            starts, h = starts[hit], h[hit]
+        kept = self.filter.passes(h)
+        starts, h = starts[kept], h[kept]
         for s, x in zip(starts.tolist(), h.tolist()):
-            yield s, x, [w.decode("utf-8", "replace") for w in words[s : s + WINDOW]]
+            yield s, x, _text(words[s : s + WINDOW])
 
 
 _CLOSED = {w.encode(): template_id(w, frozenset()) for w in NUMBER_WORDS | UNITS}
@@ -134,24 +155,13 @@ def _placeholder(word: bytes, cased: bytes) -> int:
     return _NAME_ID if upper else 0
 
 
-def item_windows(items: list[tuple[int, str | None]], names: frozenset[str]) -> tuple[list[tuple], dict[bytes, int]]:
-    """(item_id, position, hash, words) of all windows of the items, and the template ids of their words."""
-    known: dict[bytes, int] = {}
-    rows = []
-    for item_id, text in items:
-        words = words_of(text)
-        for w in words:
-            if w not in known:
-                known[w] = template_id(w.decode("utf-8", "replace"), names)
-        if len(words) >= WINDOW:
-            ids = np.array([known[w] for w in words], dtype=np.uint64)
-            h = _hashes(ids, np.arange(len(words) - WINDOW + 1)).tolist()
-            rows += [(item_id, i, x, [w.decode("utf-8", "replace") for w in words[i : i + WINDOW]]) for i, x in enumerate(h)]
-    return rows, known
+def _text(words: list[bytes]) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in words]
 
 
 ITEM_SCHEMA = "item_id long, item_at int, h long, item_words array<string>"
 DOCUMENT_SCHEMA = "doc_id long, doc_at int, h long, words array<string>"
+ITEM_NAMES, DOCUMENT_NAMES = (["item_id", "item_at", "h", "item_words"], ["doc_id", "doc_at", "h", "words"])
 _WINDOW_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
 
 
@@ -190,82 +200,116 @@ def _with_known(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(known, "key", "left").drop("key")
 
 
-def leaked_windows(documents: DataFrame, items: DataFrame, max_items: int = 20_000, max_chars: int = 20_000_000) -> DataFrame:
+def _hash_bits(windows: DataFrame) -> np.ndarray:
+    """The lowest bits of all hashes as one field of ``MANY_BITS`` bits; it is made of blocks of a kilobyte and has the same size for any number of windows."""
+    at = F.col("h").bitwiseAND(F.lit(MANY_BITS - 1))
+    blocks = windows.select(F.shiftright(at, 13).cast("int").alias("block"), at.bitwiseAND(F.lit(8191)).cast("int").alias("bit")).distinct()
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        field = np.zeros(8192, dtype=np.uint8)
+        field[pdf["bit"]] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(field, bitorder="little").tobytes()]})
+
+    bits = np.zeros((MANY_BITS >> 13, 1024), dtype=np.uint8)
+    for r in blocks.groupBy("block").applyInPandas(pack, "block int, bits binary").toLocalIterator():
+        bits[r.block] = np.frombuffer(r.bits, np.uint8)
+    return bits.reshape(-1)
+
+
+def leaked_windows(documents: DataFrame, items: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Windows of documents whose template is that of an item's window: (doc_id, doc_at, item_id, item_at, words, item_words).
 
-    Up to ``max_items`` items of ``max_chars`` characters together, which is checked, the items'
-    vocabulary and hashes go to the workers and only windows that may match leave them, so what is
-    shuffled follows the leaks and not the corpus; the small table of item windows is broadcast.
-    Beyond the bound the vocabulary stays distributed, each text meets its own words of it in a
-    join, and all windows of both sides meet in a shuffle on the hash; the rows are the same. Each
-    text is read as a whole. Null or short texts have no window; repeated items and documents give
-    repeated rows.
+    The items' windows are made by the workers and written once. Only windows of documents that
+    pass a filter of the items' hashes leave their worker, so what is shuffled follows the leaks
+    and not the corpus. Each thing that goes to all workers is measured first: the hashes up to
+    ``max_bytes``, beyond it a field of bits of fixed size; the items' vocabulary up to
+    ``max_bytes``, beyond it each text meets its own words of it in a join; the items' windows up
+    to ``max_bytes``, beyond it both sides meet in a shuffle, in which each hash is spread over
+    ``SALTS`` tasks, so that an instruction line that most items share is no hot key. The rows are
+    the same on all ways. Each text is read as a whole. Null or short texts have no window;
+    repeated items and documents give repeated rows.
     """
     spark = documents.sparkSession
     texts = items.select("item_id", "text").where("item_id is not null and text is not null")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    doc_names, item_names = ["doc_id", "doc_at", "h", "words"], ["item_id", "item_at", "h", "item_words"]
-    if size.n <= max_items and size.c <= max_chars:
-        held = [(r.item_id, r.text) for r in texts.collect()]
-        names = frozenset().union(*(names_in(t) for _, t in held))
-        rows, known = item_windows(held, names)
-        right = spark.createDataFrame(rows, ITEM_SCHEMA)
-        shared = spark.sparkContext.broadcast(Templates(known, np.unique(np.array([r[2] for r in rows], dtype=np.int64))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            templates = shared.value
-            for b in batches:
-                rows = [(i, *w) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for w in templates.windows(t)]
-                yield _batch(rows, doc_names, _WINDOW_KINDS)
-
-        return docs.mapInArrow(run, DOCUMENT_SCHEMA).join(F.broadcast(right), "h").drop("h")
+    vocabulary = checkpoint(_vocabulary(texts))
+    # a word in a dictionary takes about 200 bytes more than its letters
+    words = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
+    held = None
+    if words.b + 200 * words.n <= max_bytes:
+        rows = vocabulary.collect()
+        names = frozenset(r.word for r in rows if r.is_name)
+        held = spark.sparkContext.broadcast({r.word.encode("utf-8", "surrogatepass"): template_id(r.word, names) for r in rows})
+
+    def item_rows(item_id: int, text: str | None, known: dict[bytes, int]) -> list[tuple]:
+        found = words_of(text)
+        if len(found) < WINDOW:
+            return []
+        h = _hashes(np.array([known[w] for w in found], dtype=np.uint64), np.arange(len(found) - WINDOW + 1)).tolist()
+        return [(item_id, i, x, _text(found[i : i + WINDOW])) for i, x in enumerate(h)]
+
+    def own(known: list[str] | None, names: list[str] | None) -> dict[bytes, int]:
+        as_names = frozenset(names or ())
+        return {w.encode("utf-8", "surrogatepass"): template_id(w, as_names) for w in known or ()}
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t, names in zip(*(b.column(c).to_pylist() for c in ("item_id", "text", "names"))):
-                yield _batch(item_windows([(i, t)], frozenset(names or ()))[0], item_names, _WINDOW_KINDS)
+            rows = b.to_pydict()
+            for k, (i, t) in enumerate(zip(rows["item_id"], rows["text"])):
+                yield _batch(item_rows(i, t, held.value if held else own(rows["known"][k], rows["names"][k])), ITEM_NAMES, _WINDOW_KINDS)
+
+    # written once: read for the measure, the filter and the join
+    right = checkpoint((texts if held else _with_known(texts, vocabulary)).mapInArrow(of_items, ITEM_SCHEMA))
+    size = right.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("item_words", " "))), F.lit(0)).alias("b")).first()
+    if size.n * 8 <= max_bytes:
+        shared = spark.sparkContext.broadcast((np.unique(np.array([r.h for r in right.select("h").distinct().collect()], dtype=np.int64)), None))
+    else:
+        shared = spark.sparkContext.broadcast((None, _hash_bits(right)))
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = WindowFilter(*shared.value)
+        templates = Templates(held.value, filter_) if held else None
         for b in batches:
-            for i, t, known, names in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "known", "names"))):
-                held = frozenset(names or ())
-                templates = Templates({w.encode("utf-8", "surrogatepass"): template_id(w, held) for w in known or ()})
-                yield _batch([(i, *w) for w in templates.windows(t)], doc_names, _WINDOW_KINDS)
+            rows = b.to_pydict()
+            out = []
+            for k, (i, t) in enumerate(zip(rows["doc_id"], rows["text"])):
+                own_templates = templates or Templates(own(rows["known"][k], rows["names"][k]), filter_)
+                out += [(i, *w) for w in own_templates.windows(t)]
+            yield _batch(out, DOCUMENT_NAMES, _WINDOW_KINDS)
 
-    vocabulary = _vocabulary(texts)
-    right = _with_known(texts, vocabulary).mapInArrow(of_items, ITEM_SCHEMA)
-    left = _with_known(docs, vocabulary).mapInArrow(of_documents, DOCUMENT_SCHEMA)
-    return left.join(right, "h").drop("h")
+    left = (docs if held else _with_known(docs, vocabulary)).mapInArrow(of_documents, DOCUMENT_SCHEMA)
+    # a window takes twelve words, each with its length, in the joined table's rows
+    if size.b + 160 * size.n <= max_bytes:
+        return left.join(F.broadcast(right), "h").drop("h")
+    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_at"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("h", "salt")
 
 
 def leaks(windows: DataFrame, min_literal: int = 5) -> DataFrame:
     """What leaked where: (doc_id, item_id, exact_windows, template_windows, changed_slots).
 
-    A window is exact if all its words are those of the item. The other windows of a document and
-    item count if, along one alignment of the two, each placeholder's word of the item always
-    became the same word of the document and the other way round, and if at least ``min_literal``
-    words besides the placeholders agree.
+    The slot check: along one alignment of a document and an item, each word of the item that
+    changed always became the same word of the document and the other way round. A window is
+    exact if no slot changed. The others count where the check holds and at least ``min_literal``
+    words besides the changed ones agree. The windows of an alignment, at most as many as the
+    item has, meet in one aggregation; those of repeated rows count again.
     """
     pairs = F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b"))
-    literal = F.size(F.filter(pairs, lambda x: x["a"] == x["b"]))
-    w = windows.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), (F.col("words") == F.col("item_words")).alias("exact"), literal.alias("literal"), "item_words", "words")
-    w = w.where(F.col("exact") | (F.col("literal") >= min_literal))
-    counts = w.groupBy("doc_id", "item_id", "shift").agg(F.sum(F.col("exact").cast("long")).alias("exact"), F.sum((~F.col("exact")).cast("long")).alias("template"))
-    zipped = F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b"))
-    changed = w.where("not exact").select("doc_id", "item_id", "shift", F.explode(zipped).alias("s")).select("doc_id", "item_id", "shift", F.col("s.a").alias("item_words"), F.col("s.b").alias("words")).where("item_words <> words").distinct()
-    slots = changed.groupBy("doc_id", "item_id", "shift").agg(
-        F.count(F.lit(1)).alias("slots"), F.count_distinct("item_words").alias("a"), F.count_distinct("words").alias("b")
+    w = windows.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), F.filter(pairs, lambda x: x["a"] != x["b"]).alias("changed"))
+    w = w.where(F.size("changed") <= WINDOW - min_literal)
+    exact = F.size("changed") == 0
+    aligned = w.groupBy("doc_id", "item_id", "shift").agg(
+        F.sum(exact.cast("long")).alias("exact"), F.sum((~exact).cast("long")).alias("template"), F.array_distinct(F.flatten(F.collect_set("changed"))).alias("slots")
     )
-    both = counts.join(slots, ["doc_id", "item_id", "shift"], "left")
-    consistent = F.coalesce((F.col("slots") == F.col("a")) & (F.col("slots") == F.col("b")), F.lit(True))
+    n = F.size("slots")
+    consistent = (F.size(F.array_distinct("slots.a")) == n) & (F.size(F.array_distinct("slots.b")) == n)
     return (
-        both.groupBy("doc_id", "item_id")
-        .agg(F.sum("exact").alias("exact_windows"), F.sum(F.when(consistent, F.col("template")).otherwise(0)).alias("template_windows"), F.max(F.when(consistent, F.coalesce("slots", F.lit(0))).otherwise(0)).alias("changed_slots"))
+        aligned.groupBy("doc_id", "item_id")
+        .agg(F.sum("exact").alias("exact_windows"), F.sum(F.when(consistent, F.col("template")).otherwise(0)).alias("template_windows"), F.max(F.when(consistent, n).otherwise(0)).cast("long").alias("changed_slots"))
         .where("exact_windows > 0 or template_windows > 0")
     )
 
 
 def exact_leaks(windows: DataFrame) -> DataFrame:
-    """Documents with an item's window word by word: (doc_id, item_id)."""
-    return windows.where(F.col("words") == F.col("item_words")).select("doc_id", "item_id").distinct()
+    """Documents with an item's window in which the slot check finds no changed word: (doc_id, item_id)."""
+    return leaks(windows).where("exact_windows > 0").select("doc_id", "item_id")

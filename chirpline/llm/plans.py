@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Exact leaks: aligned passages in which the slot check finds no changed word."""
     return leakage.exact_leaks(p8_windows(spark, d))
 
 
@@ -38,4 +40,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p7_ids, p8_found, p8_windows, p8_leaks, p9_found, p9_levels)
 }
 
-ORACLES: dict[str, str] = {}
+# Words of a text in SQL. It has no NFKC, but NFC; the single letters and digits of Latin-1 and of the full-width forms are translated beside it.
+_COMPATIBLE = [c for c in map(chr, [*range(0xA0, 0x100), *range(0xFF10, 0xFF5B)]) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c and n.isalnum()]
+_PLAIN = unicodedata.normalize("NFKC", "".join(_COMPATIBLE))
+WORDS = rf"list_filter(regexp_split_to_array(lower(translate(nfc_normalize(text), '{''.join(_COMPATIBLE)}', '{_PLAIN}')), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "p8_found": f"""
+        WITH d AS (SELECT DISTINCT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, {WORDS} AS w FROM eval_item WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        wi AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS words FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+        wd AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+        SELECT DISTINCT doc_id, item_id FROM wd JOIN wi USING (words)""",
+}

@@ -78,11 +78,11 @@ def documents():
     ]
 
 
-@pytest.mark.parametrize("max_items", [20_000, 0])
-def test_exact_leaks_against_brute_force(spark, max_items):
+@pytest.mark.parametrize("max_bytes", [leakage.MAX_BYTES, 40_000, 0])
+def test_exact_leaks_against_brute_force(spark, max_bytes):
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in documents() * 2], "doc_id long, text string, words string, h long")
     items = spark.createDataFrame([(i, "s", t, 1) for i, t in ITEMS * 2], "item_id long, suite string, text string, h long")
-    got = {tuple(r) for r in leakage.exact_leaks(leakage.leaked_windows(docs, items, max_items=max_items)).collect()}
+    got = {tuple(r) for r in leakage.exact_leaks(leakage.leaked_windows(docs, items, max_bytes=max_bytes)).collect()}
     want = set()
     for i, text in documents():
         w = plain_words(text)
@@ -119,10 +119,49 @@ def test_window_of_many_new_names_and_numbers_is_found(spark):
 def test_large_path_gives_the_same_rows(spark):
     docs = spark.createDataFrame(documents() + [(17, ITEMS[0][1].replace("Pell", "Quill")), (17, ITEMS[0][1].replace("Pell", "Quill"))], "doc_id long, text string")
     items = spark.createDataFrame([(i, "s", t) for i, t in ITEMS * 2], "item_id long, suite string, text string")
-    small, large = (sorted(map(str, leakage.leaked_windows(docs, items, max_items=n).collect())) for n in (20_000, 0))
+    small, large = (sorted(map(str, leakage.leaked_windows(docs, items, max_bytes=n).collect())) for n in (leakage.MAX_BYTES, 0))
     assert small == large and any("quill" in r for r in large)
 
 
+def test_recall_of_reparameterised_copies(spark, data):
+    """Items with all their numbers and inner names replaced one to one, planted in noise: at least 0.9 are found, and nothing where nothing was planted."""
+    rnd = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/eval_item.parquet").collect()]
+    docs, planted = [], set()
+    for k, (item_id, text) in enumerate(items):
+        fresh = {}
+        new_name = lambda m: fresh.setdefault(m[0], "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)).capitalize() + "q")
+        changed = re.sub(r"(?<=[a-z,] )[A-ZÀ-Þ][^\W\d_]+", new_name, text)
+        changed = re.sub(r"\d+", lambda m: fresh.setdefault(m[0], str(rnd.randint(10_000, 99_999))), changed)
+        docs += [(2 * k, "intro " * 30 + changed + " outro" * 30), (2 * k + 1, "nothing to find in these lines of prose " * 40)]
+        if len(fresh) > 0:
+            planted.add((2 * k, item_id))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(leakage.leaked_windows(df, it)).collect()}
+    found = sum(p in got and got[p].changed_slots > 0 for p in planted)
+    assert found >= 0.9 * len(planted) and not any(doc % 2 for doc, _ in got)
+
+
+def test_shared_line_on_the_salted_way(spark):
+    line = "please read all of the following passage and then answer every single question below"
+    items = spark.createDataFrame([(i, f"{line} number {i}") for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x {line} y") for i in range(40)], "doc_id long, text string")
+    got = [tuple(r) for r in leakage.exact_leaks(leakage.leaked_windows(docs, items, max_bytes=0)).collect()]
+    assert len(got) == len(set(got)) == 1200
+
+
+def test_sql_of_leaks(spark, data):
+    duckdb = pytest.importorskip("duckdb")
+    from chirpline.llm import plans
+
+    con = duckdb.connect()
+    for t in ("documents", "eval_item"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = [tuple(r) for r in plans.p8_found(spark, data).select("doc_id", "item_id").collect()]
+    assert sorted(got) == sorted(con.sql(plans.ORACLES["p8_found"]).fetchall())
+
+
 def test_words_of_equals_the_definition():
     rnd = random.Random(4)
     alphabet = "aZ09 _-.\n\tßéİŉﬁ²½Ⅷ٣雨ー́​🙂"
