@@ -6,6 +6,7 @@ their median, over the whole of its prose. Where ratings exist, cut points turn
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chirpline.session import checkpoint
+
 # Frequent function words by language, to tell which one a prose is in.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with as on be are this by not or from at we you if when which can have has but an each its these where",
@@ -42,10 +45,6 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])|\n{2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 _VOWELS = re.compile(r"[aeiouyàâäáãéèêëíîïóôöõúùûü]+")
-# Hyphenation-style rules: letter groups that end or join a syllable otherwise than their vowels tell.
-_FEWER = re.compile(r"(?:[^laeiouy]|[aeiouy]l)e$|[^td]ed$|[^aeiouyscxz]es$|(?:[cstgx]ious|[ct]ial|[ctsg]ion|[cg]eous|[tc]ient|[cs]hes)|(?<=[a-z])ely$|eness$|eful$|ement")
-_MORE = re.compile(r"i[aou](?!us)|[aeiou]ing$|ism$|eo(?!us)|ua(?!r)|[^gq]ua|uou|ying$|[^aeiou]le[ds]?$|ie[rt](?=$|s$)")
-_JOINED = re.compile(r"[cstgx]i(?:on|ous|al)|gion|ciou|tiou")
 
 
 @lru_cache(maxsize=200_000)
@@ -112,10 +111,20 @@ def grades(c: dict[str, Column]) -> list[Column]:
 
 
 def _cell_texts() -> Column:
-    """The bodies of the markdown cells in order; a cell that starts outside the text is empty."""
-    markdown = F.filter(F.col("cells"), lambda c: F.lower(F.trim(c["kind"])) == "markdown")
-    body = lambda c: F.when((c["char_from"] >= 0) & (c["char_len"] > 0), F.substring(F.col("text"), c["char_from"] + 1, c["char_len"]))
-    return F.coalesce(F.filter(F.transform(markdown, body), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    """The bodies of the markdown cells in order; a cell that starts outside the text is empty.
+
+    Code points are found by their place in bytes, one for each in a text of single bytes and four
+    in UTF-32 otherwise, so that a long notebook isn't walked through anew for every cell.
+    """
+    markdown = F.filter(F.col("cells"), lambda c: (F.lower(F.trim(c["kind"])) == "markdown") & (c["char_from"] >= 0) & (c["char_len"] > 0))
+    text = F.col("text")
+
+    def bodies(width: int, charset: str) -> Column:
+        at = lambda c, name: F.least(c[name], F.lit(500_000_000)) * F.lit(width)
+        return F.transform(F.array(F.encode(text, charset)), lambda raw: F.transform(markdown, lambda c: F.decode(F.substring(raw, at(c, "char_from") + 1, at(c, "char_len")), charset)))[0]
+
+    plain = F.when(F.octet_length(text) == F.char_length(text), bodies(1, "UTF-8")).otherwise(bodies(4, "UTF-32"))
+    return F.coalesce(plain, F.array().cast("array<string>"))
 
 
 def prose_counts(documents: DataFrame) -> DataFrame:
@@ -152,31 +161,51 @@ def document_grades(documents: DataFrame) -> DataFrame:
     return g.select("doc_id", ((s[2] + s[3]) / 2).alias("grade"), "words", "sentences", "grades")
 
 
-# Cut points between the bands where no ratings are given: halfway between the bands' median grades.
-DEFAULT_CUTS = (3.2, 7.8, 13.4, 18.7)
+# Cut points where no ratings tell: the usual ends of primary, middle and high school and of college, in school years.
+DEFAULT_CUTS = (5.0, 8.0, 12.0, 16.0)
 
 
-def fit_cuts(documents: DataFrame, ratings: DataFrame, max_rated: int = 5000) -> tuple[float, ...]:
-    """Cut points between bands 1 to 5 from rated documents.
+def _rising(medians: dict[int, float]) -> dict[int, float]:
+    """The medians by band, neighbours that don't rise joined to their mean."""
+    groups: list[list] = []
+    for band in sorted(medians):
+        groups.append([medians[band], [band]])
+        while len(groups) > 1 and groups[-2][0] >= groups[-1][0]:
+            (m1, b1), (m2, b2) = groups.pop(-2), groups.pop()
+            groups.append([(m1 * len(b1) + m2 * len(b2)) / (len(b1) + len(b2)), b1 + b2])
+    return {band: m for m, bands in groups for band in bands}
+
+
+def fit_cuts(graded: DataFrame, ratings: DataFrame, max_rated: int = 5000) -> tuple[tuple[float, ...], int]:
+    """Cut points between bands 1 to 5 from the grades of rated documents, and how many of the four the ratings tell.
 
     At most ``max_rated`` rated documents are used, the first by a hash of doc_id. A document's
     band is the mean of its ratings from 1 to 5, rounded; null and other ratings don't count. Each
-    cut lies halfway between the median grades of the neighbouring bands. Where a band is not
-    rated, or the medians don't rise, the default cuts hold.
+    cut lies halfway between the median grades of the neighbouring bands; medians that don't rise
+    are joined to their mean first. Between bands that aren't both rated the default cut holds,
+    raised to the cut below it.
     """
     rated = ratings.where("doc_id is not null and band between 1 and 5").groupBy("doc_id").agg(F.avg("band").alias("mean"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
-    few = documents.select("doc_id", "text", "cells").join(sample, "doc_id", "left_semi")
-    graded = document_grades(few).join(sample, "doc_id")
-    medians = {r.band: r.m for r in graded.groupBy(F.round("mean").cast("int").alias("band")).agg(F.percentile("grade", F.lit(0.5)).alias("m")).collect()}
-    cuts = tuple((medians[b] + medians[b + 1]) / 2 if b in medians and b + 1 in medians else DEFAULT_CUTS[b - 1] for b in range(1, 5))
-    return cuts if list(cuts) == sorted(set(cuts)) else DEFAULT_CUTS
+    both = graded.join(sample, "doc_id")
+    medians = _rising({r.band: r.m for r in both.groupBy(F.round("mean").cast("int").alias("band")).agg(F.percentile("grade", F.lit(0.5)).alias("m")).collect()})
+    cuts, told = [], 0
+    for b in range(1, 5):
+        known = b in medians and b + 1 in medians
+        told += known
+        cuts.append(max((medians[b] + medians[b + 1]) / 2 if known else DEFAULT_CUTS[b - 1], *cuts[-1:], -math.inf))
+    return tuple(cuts), told
 
 
 def reading_levels(documents: DataFrame, ratings: DataFrame, max_rated: int = 5000) -> DataFrame:
-    """The band from 1 to 5 of each document with English prose: (doc_id, grade, band, words, sentences)."""
-    cuts = fit_cuts(documents, ratings, max_rated)
+    """The band from 1 to 5 of each document with English prose: (doc_id, grade, band, words, sentences, fitted_cuts).
+
+    The documents are read once: their grades are written, a small table, and read for the cut
+    points and for the bands. fitted_cuts tells how many of the four cuts the ratings gave.
+    """
+    graded = checkpoint(document_grades(documents).select("doc_id", "grade", "words", "sentences"))
+    cuts, told = fit_cuts(graded, ratings, max_rated)
     band = F.lit(1).cast("int")
     for c in cuts:
         band = band + (F.col("grade") >= c).cast("int")
-    return document_grades(documents).select("doc_id", "grade", band.alias("band"), "words", "sentences")
+    return graded.select("doc_id", "grade", band.alias("band"), "words", "sentences", F.lit(told).alias("fitted_cuts"))

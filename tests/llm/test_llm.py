@@ -50,12 +50,19 @@ def test_encoder_on_bytes(vocabulary):
         assert ids == core._core_bpe.encode_single_piece(word)
 
 
-def test_small_caches_change_nothing(vocabulary, monkeypatch):
-    words = [f" w{i}ord{i % 7}" for i in range(500)] * 2
-    whole = [x.tolist() for x in bpe.PrefixEncoder.load(vocabulary).encode_words(words)]
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
-    monkeypatch.setattr(bpe, "CACHE_PAIRS", 10)
-    assert [x.tolist() for x in bpe.PrefixEncoder.load(vocabulary).encode_words(words)] == whole
+def test_small_bounds_change_nothing(spark, vocabulary, monkeypatch):
+    text = " ".join(f"w{i}ord{i % 7}" for i in range(500)) * 2
+    whole = bpe.PrefixEncoder.load(vocabulary).encode_text(text)
+    for name in ("CACHE_WORDS", "CACHE_PAIRS", "LONG_TEXT"):
+        monkeypatch.setattr(bpe, name, 10)
+    assert bpe.PrefixEncoder.load(vocabulary).encode_text(text) == whole
+
+
+def test_bytes_without_token_are_refused():
+    encoder = bpe.PrefixEncoder({b"a": 0, b"b": 1})
+    assert encoder.encode_text("ab") == [0, 1]
+    with pytest.raises(ValueError):
+        encoder.encode_text("axb")
 
 
 def plain_words(text):
@@ -209,7 +216,23 @@ def test_reading_levels(spark):
     assert got[1].band <= 2 and got[9].band <= 2 and got[10].band <= 2 and got[2].band >= 4 and got[11].band >= 4
     assert abs(got[1].grade - got[10].grade) < 0.5
     assert readability.reading_levels(docs.limit(0), ratings.limit(0)).count() == 0
-    assert readability.fit_cuts(docs, ratings) == readability.DEFAULT_CUTS
+    assert readability.fit_cuts(readability.document_grades(docs), ratings) == (readability.DEFAULT_CUTS, 0)
+    assert {r.fitted_cuts for r in got.values()} == {0}
+
+
+def test_cells_are_cut_by_code_points(spark):
+    text = "a雨🙂é plain " * 30
+    spans = [(2_000_000_000, 2_000_000_000), (0, 4), (2, 1), (len(text) - 3, 50), (len(text) + 5, 4), (-1, 3), (3, 0)]
+    rows = [(i, t, [("Markdown ", None, a, n) for a, n in spans], None) for i, t in enumerate([text, "plain words " * 30])]
+    got = spark.createDataFrame(rows, DOC).select("text", readability._cell_texts().alias("c")).collect()
+    for r in got:
+        assert r.c == [r.text[a : a + n] for a, n in spans if a >= 0 and n > 0]
+
+
+def test_cuts_of_partly_rated_bands(spark):
+    graded = spark.createDataFrame([(i, float(g)) for i, g in enumerate([1, 3, 9, 7, 30])], "doc_id long, grade double")
+    ratings = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 9)], "doc_id long, band int")
+    assert readability.fit_cuts(graded, ratings) == ((2.0, 5.5, 8.0, 16.0), 3)
 
 
 def test_commented_layout_is_the_same_prose():
