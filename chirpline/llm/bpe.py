@@ -11,24 +11,22 @@ from __future__ import annotations
 
 import base64
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Fixed value: the public word pattern of this vocabulary, with white space spelled out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 # Bounds of what a Python worker remembers; beyond them it starts afresh, which changes no result.
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
-# Longer texts are cut word by word, so that their words aren't held at once.
-LONG_TEXT = 1_000_000
-# Ids that leave a worker in one batch, but for those of a longer text.
-BATCH_IDS = 1 << 20
+# Words that are held as Python strings and ids at once, but for those of a longer text.
+SLICE_WORDS = 100_000
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -52,7 +50,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self._split: dict[int, tuple[int, int]] = {}
         self._fits: dict[int, bool] = {}
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, np.ndarray] = {}
 
     @classmethod
     def load(cls, path: str) -> PrefixEncoder:
@@ -136,29 +134,21 @@ class PrefixEncoder:
             at -= len(tokens[last[at]])
         return ids[::-1]
 
-    def encode_text(self, text: str | None) -> list[int]:
-        """The ids of a whole text; null and empty texts have none. Words come from a bounded cache where it has them."""
-        out: list[int] = []
-        if not text:
-            return out
-        cache, extend, find = self._cache, out.extend, _pattern()
-        for w in find.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in find.finditer(text)):
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, flat, and how many each has. Frequent words come from a bounded cache."""
+        cache, out = self._cache, []
+        for w in words:
             ids = cache.get(w)
             if ids is None:
                 ids = self.encode_word(w.encode("utf-8"))
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
                 if len(w) <= 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
                     cache[w] = ids
-            extend(ids)
-        return out
-
-
-@lru_cache(maxsize=1)
-def _pattern():
-    import regex
-
-    return regex.compile(WORDS)
+            out.append(ids)
+        counts = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+        flat = np.fromiter((i for ids in out for i in ids), dtype=np.int32, count=int(counts.sum()))
+        return flat, counts
 
 
 @lru_cache(maxsize=2)
@@ -166,30 +156,52 @@ def _encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder.load(path)
 
 
+def words_of(text: Column) -> Column:
+    """The words of the vocabulary's pattern; null gives none. They join to the whole text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+
+
+def _encode_batch(encoder: PrefixEncoder, words: pa.ListArray) -> pa.ListArray:
+    offsets = np.asarray(words.offsets)
+    flat = words.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+    ids, counts = encoder.encode_words(flat.dictionary.to_pylist())
+    at = np.asarray(flat.indices, dtype=np.int64)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    n = counts[at]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    take = np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(ids[take]))
+
+
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``SLICE_WORDS`` words, from the places where the rows' words begin."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_WORDS, "right")) - 1)
+        yield start, end
+        start = end
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """Add the ids of every text, without special tokens; null and empty texts get an empty list.
 
-    Words are cut and encoded text by text in the worker, which keeps frequent words, so neither
-    the words of a batch nor its ids are held together: ids leave in batches of about
-    ``BATCH_IDS``. Nothing is shuffled, whole texts are encoded, and strings of special tokens are
-    ordinary text. A byte that the vocabulary has no token for fails the call. A column of the
-    name ``out`` in the input is replaced.
+    The words are cut in the JVM, whose Arrow batches are bounded in bytes; Python takes slices of
+    about ``SLICE_WORDS`` words, sees the distinct ones once, encodes those it doesn't know yet and
+    gathers the ids of the texts with array arithmetic. Nothing is shuffled, whole texts are
+    encoded, and strings of special tokens are ordinary text. Bytes that the vocabulary has no
+    token for fail the call. A column of the name ``out`` in the input is replaced.
     """
     where = path or vocabulary_path()
-    fields = [f for f in df.schema.fields if f.name not in (out, text)]
+    cut = df.withColumn(out, words_of(F.col(text))).drop(*([text] if text != out else []))
+    fields = [f for f in cut.schema.fields if f.name != out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(where)
-        for batch in batches:
-            texts, start, ids, ends = batch.column(text), 0, array("i"), [0]
-            for k in range(batch.num_rows):
-                ids.extend(encoder.encode_text(texts[k].as_py()))
-                ends.append(len(ids))
-                if len(ids) >= BATCH_IDS or k == batch.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if len(ids) else [], pa.int32()))
-                    columns = [batch.column(f.name).slice(start, k + 1 - start) for f in fields]
-                    yield pa.RecordBatch.from_arrays([*columns, lists], names=[*(f.name for f in fields), out])
-                    start, ids, ends = k + 1, array("i"), [0]
-
-    return df.select(*[f"`{f.name}`" for f in fields], f"`{text}`").mapInArrow(run, schema)
+        for whole in batches:
+            for start, end in _slices(np.asarray(whole.column(out).offsets)):
+                batch = whole.slice(start, end - start)
+                columns = [batch.column(f.name) for f in fields] + [_encode_batch(encoder, batch.column(out))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), out])
+
+    return cut.select(*[f"`{f.name}`" for f in fields], out).mapInArrow(run, schema)

@@ -51,18 +51,23 @@ def test_encoder_on_bytes(vocabulary):
 
 
 def test_small_bounds_change_nothing(spark, vocabulary, monkeypatch):
-    text = " ".join(f"w{i}ord{i % 7}" for i in range(500)) * 2
-    whole = bpe.PrefixEncoder.load(vocabulary).encode_text(text)
-    for name in ("CACHE_WORDS", "CACHE_PAIRS", "LONG_TEXT"):
-        monkeypatch.setattr(bpe, name, 10)
-    assert bpe.PrefixEncoder.load(vocabulary).encode_text(text) == whole
+    words = [f" w{i}ord{i % 7}" for i in range(500)] * 2
+    whole = [x.tolist() for x in bpe.PrefixEncoder.load(vocabulary).encode_words(words)]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 10)
+    assert [x.tolist() for x in bpe.PrefixEncoder.load(vocabulary).encode_words(words)] == whole
+    for offsets in ([0, 0], [0], [0, 3, 3, 9, 30, 31, 31]):
+        monkeypatch.setattr(bpe, "SLICE_WORDS", 5)
+        slices = list(bpe._slices(np.array(offsets)))
+        assert [r for a, b in slices for r in range(a, b)] == list(range(len(offsets) - 1))
+        assert all(b == a + 1 or offsets[b] - offsets[a] <= 5 for a, b in slices)
 
 
 def test_bytes_without_token_are_refused():
     encoder = bpe.PrefixEncoder({b"a": 0, b"b": 1})
-    assert encoder.encode_text("ab") == [0, 1]
+    assert encoder.encode_word(b"ab") == [0, 1]
     with pytest.raises(ValueError):
-        encoder.encode_text("axb")
+        encoder.encode_word(b"axb")
 
 
 def plain_words(text):
