@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpline.operators import capping, compaction, intervals, regular_grid, row_parser, timestamps
-from chirpline.session import table
+from chirpline.session import staging_path, table
+
+
+def p1_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The written and verified plan that consolidates the archive's files."""
+    return compaction.consolidation(compaction.combined_scan(spark, f"{d}/audio_metadata.parquet", ["path_audio", "fsize"]))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    listing = compaction.compact(table(spark, d, "audio_metadata").select("path_audio", "fsize"))
-    return compaction.small_file_folders(compaction.distinct_files(listing))
+    return compaction.small_file_folders(p1_plan(spark, d))
 
 
 def p1_packs(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.pack_plan(compaction.distinct_files(table(spark, d, "audio_metadata")))
+    return p1_plan(spark, d)
+
+
+def p1_compacted(spark: SparkSession, d: str, rows_per_file: int = 2000) -> DataFrame:
+    """The listing stored as very many small files and consolidated again: rows, distinct recordings and bytes by sensor, from the verified copy."""
+    folder = staging_path(spark, "scattered")
+    compaction.scattered(table(spark, d, "audio_metadata").select("rec_id", "sensor_name", "path_audio", "fsize"), folder, rows_per_file)
+    copy = compaction.compact(spark, folder)
+    return copy.groupBy("sensor_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("rec_id").alias("n_ids"), F.sum("fsize").alias("n_bytes"))
 
 
 def p2_series(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +84,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_salvaged, p4_faults, p5_found, p6_found)
+    f.__name__: f for f in (p1_found, p1_packs, p1_compacted, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_salvaged, p4_faults, p5_found, p6_found)
 }
 
 # Label lines by regular expressions: FIELD is a quoted or plain field, NUM a decimal number.
@@ -88,16 +100,34 @@ LINES = r"""
     "FIELD", r"""'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'"""
 ).replace("NUM", "' *[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)? *'")
 
-ORACLES: dict[str, str] = {
-    "p1_found": r"""
-        WITH t AS (
+PLACES = r"""t AS (
           SELECT '/' || list_aggregate(list_filter(string_split(
                    regexp_replace(replace(path_audio, '\', '/'), '^[A-Za-z][A-Za-z0-9+.-]+:(//(localhost)?)?/', '/'), '/'),
                    lambda x: x <> '' AND x <> '.'), 'string_agg', '/') AS path, fsize
-          FROM audio_metadata WHERE path_audio IS NOT NULL AND fsize IS NOT NULL),
-        f AS (SELECT path, max(fsize) AS n_bytes FROM t GROUP BY path)
-        SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes
+          FROM audio_metadata WHERE path_audio IS NOT NULL),
+        f AS (SELECT path, max(fsize) AS n_bytes FROM t GROUP BY path)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+        WITH {PLACES} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes
         FROM f WHERE n_bytes < 1048576 GROUP BY 1 HAVING count(*) >= 2""",
+    # next fit on shelves of 64 * 128 MiB, pack by pack: a pack takes the files up to the last one that fits
+    "p1_packs": f"""
+        WITH RECURSIVE {PLACES},
+        w AS (SELECT path, coalesce(n_bytes, 0) AS n, n_bytes IS NULL AS unknown, coalesce(n_bytes, 0) + 4194304 AS w FROM f),
+        s AS (SELECT *, CAST(coalesce(sum(w) OVER (ORDER BY unknown, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 8589934592 AS BIGINT) AS shelf FROM w),
+        o AS (SELECT *, row_number() OVER (PARTITION BY shelf ORDER BY unknown, path) AS i, CAST(sum(w) OVER (PARTITION BY shelf ORDER BY unknown, path ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM s),
+        p AS (
+          SELECT shelf, CAST(0 AS BIGINT) AS pack, CAST(1 AS BIGINT) AS a FROM o GROUP BY shelf
+          UNION ALL
+          SELECT p.shelf, p.pack + 1, min(x.i) FROM p JOIN o b ON b.shelf = p.shelf AND b.i = p.a JOIN o x ON x.shelf = p.shelf AND x.i > p.a
+          WHERE x.upto - x.w + x.n - (b.upto - b.w) > 134217728 OR x.unknown <> b.unknown GROUP BY 1, 2),
+        e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY shelf ORDER BY pack) - 1, 9223372036854775807) AS z FROM p)
+        SELECT o.path, CASE WHEN NOT o.unknown THEN o.n END AS n_bytes, e.shelf * 4294967296 + e.pack AS pack_id, o.i - e.a AS seq,
+          CASE WHEN NOT o.unknown THEN CAST(sum(o.n) OVER (PARTITION BY e.shelf, e.pack ORDER BY o.i ROWS UNBOUNDED PRECEDING) AS BIGINT) - o.n END AS "offset"
+        FROM o JOIN e ON e.shelf = o.shelf AND o.i BETWEEN e.a AND e.z""",
+    "p1_compacted": """
+        SELECT sensor_name, count(*) AS n_rows, count(DISTINCT rec_id) AS n_ids, CAST(sum(fsize) AS BIGINT) AS n_bytes FROM audio_metadata GROUP BY 1""",
     "p2_found": """
         WITH d AS (
           SELECT DISTINCT deploy_id, sensor_name, epoch_us(start_at) AS s, epoch_us(end_at) AS e, CAST(step_s AS BIGINT) * 1000000 AS st

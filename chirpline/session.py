@@ -43,9 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="chirpline-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
+        _until_exit(spark, sc.getCheckpointDir())
     return named
 
 
+def _until_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -53,8 +62,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder, in one folder of the application that is deleted when it ends."""
+    folder = os.path.join(shared_dir(spark), f"chirpline-{spark.sparkContext.applicationId}")
+    _until_exit(spark, folder)
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
 
 def estimated_bytes(df: DataFrame) -> int:

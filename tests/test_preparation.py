@@ -67,18 +67,50 @@ def test_pack_plan_holds_every_file_once(spark):
         assert all(b.offset == a.offset + a.n_bytes for a, b in zip(rows, rows[1:]))
 
 
+def test_packs_do_not_depend_on_partitions(spark):
+    files = spark.createDataFrame([(f"/a/{i:04d}.wav", (i * 37) % 5000 if i % 9 else None) for i in range(900)], "path string, n_bytes long")
+    packs = [{tuple(r) for r in compaction.pack_plan(files.repartition(n), target_bytes=3_000, open_cost=100).collect()} for n in (1, 5)]
+    assert packs[0] == packs[1] and len({r[2] >> 32 for r in packs[0]}) > 3
+
+
+def test_consolidation_is_verified(spark, monkeypatch):
+    listing = spark.createDataFrame([("/a/1.wav", 10, "x"), ("/a/./1.wav", 12, "x"), ("/a/2.wav", None, "x"), (None, 5, "x")], "path_audio string, fsize long, pack_id string")
+    assert sorted((r.path, r.n_bytes) for r in compaction.consolidation(listing).collect()) == [("/a/1.wav", 12), ("/a/2.wav", None)]
+    assert compaction.consolidation(listing.limit(0)).count() == 0
+    plan = compaction.pack_plan
+    monkeypatch.setattr(compaction, "pack_plan", lambda *a: plan(*a).where("path <> '/a/2.wav'"))
+    with pytest.raises(RuntimeError):
+        compaction.consolidation(listing)
+
+
 def test_compact_keeps_all_rows(spark, tmp_path):
-    src = str(tmp_path / "many")
+    src, few = str(tmp_path / "many"), str(tmp_path / "few")
     df = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).alias("s"))
     df.unionByName(df.where("id < 10")).repartition(60).write.parquet(src)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    copy = compaction.compact(spark.read.parquet(src), publish_to=str(tmp_path / "few"))
+    copy = compaction.compact(spark, src, publish_to=few)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
     assert len(list((tmp_path / "few").glob("*.parquet"))) < 5
     assert sorted(map(str, copy.collect())) == sorted(map(str, spark.read.parquet(src).collect()))
     empty = str(tmp_path / "empty")
     df.limit(0).write.parquet(empty)
-    assert compaction.compact(spark.read.parquet(empty)).count() == 0
+    assert compaction.compact(spark, empty).count() == 0
+    with pytest.raises(FileExistsError):
+        compaction.compact(spark, empty, publish_to=few)
+    assert spark.read.parquet(few).count() == 1010
+    assert compaction.compact(spark, src, ["id"], publish_to=few, overwrite=True).columns == ["id"]
+    assert spark.read.parquet(few).count() == 1010 and sorted(p.name for p in tmp_path.iterdir()) == ["empty", "few", "many"]
+
+
+def test_a_published_copy_that_differs_brings_the_old_one_back(spark, tmp_path, monkeypatch):
+    src, few = str(tmp_path / "many"), str(tmp_path / "few")
+    spark.range(10).write.parquet(src)
+    spark.range(3).write.parquet(few)
+    verified = compaction._verified
+    monkeypatch.setattr(compaction, "_verified", lambda s, folder, *a: None if folder == few else verified(s, folder, *a))
+    with pytest.raises(RuntimeError):
+        compaction.compact(spark, src, publish_to=few, overwrite=True)
+    assert spark.read.parquet(few).count() == 3
 
 
 # ---- p2
