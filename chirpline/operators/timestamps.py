@@ -1,9 +1,10 @@
 """Timestamps in mixed notations and zones, normalised to one UTC instant.
 
-A stamp is read by a small grammar (date notation, clock notation, zone designation). What it says
-about its zone counts first; otherwise the zone of its place does. Where a place has no zone, the
-zone is estimated: of the candidate offset histories the one is taken under which the fewest local
-stamps lie after the moment they were loaded.
+A stamp is read once by a small grammar (date notation, clock notation, zone designation). What it
+says about its zone counts first; otherwise the offset history of its place does. That history is
+chosen among candidates, a single one where the place declares its zone, by aligning its local
+stamps with their loading times: the delays from recording to loading must be spread like those
+of stamps whose instant is known.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chirpline.session import checkpoint
+
 EPOCH = datetime(1970, 1, 1)
 UTC_NAMES = ("Z", "UTC", "GMT", "UT")
 
@@ -56,6 +60,7 @@ _EXTENSION = re.compile(r"\.(?:wav|flac|mp3|ogg)$", re.I)
 _HEX = re.compile(r"(?:0x)?([0-9A-Fa-f]{8})")
 
 SCHEMA_ADDED = "status string, epoch_us long, local_us long, other_us long"
+SCHEMA_READ = "status string, epoch_us long, local_us long, local2_us long, kind string, designation string"
 
 
 @lru_cache(maxsize=None)
@@ -179,34 +184,41 @@ def _instants(local: datetime, kind: str, what: object, zone: str | None) -> tup
     return ("skipped" if not found else "ok" if len(found) == 1 else "repeated"), found
 
 
-def parse_stamp(date: str | None, time: str | None, zone: str | None, order: str | None) -> tuple[str, int | None, int | None, int | None]:
-    """(status, epoch_us, local_us, other_us) of a stamp; see ``normalise``."""
+def read_stamp(date: str | None, time: str | None, order: str | None) -> tuple:
+    """(status, epoch_us, local_us, local2_us, kind, designation) of a stamp as far as it doesn't depend on its place.
+
+    status ``ok`` has an instant, ``local`` one or two readings of a local time, to be converted
+    by the zone or abbreviation in designation (kind ``zone``, ``abbreviation``) or by the place's
+    zone (kind ``none``); any other status is final.
+    """
+    failed = lambda why, local=None: (why, None, local, None, None, None)
     d = _EXTENSION.sub("", (date or "").strip())
     t = (time or "").strip()
     if not d:
-        return "no date", None, None, None
+        return failed("no date")
     if not t or not any(c.isdigit() for c in t):
         numbers = _unix(d)
         if numbers is not None:
-            return ("ok", numbers[0], None, None) if len(numbers) == 1 else ("not a time", None, None, None)
+            return ("ok", numbers[0], None, None, "number", None) if len(numbers) == 1 else failed("not a time")
     if m := _FILE.fullmatch(d):
         d = m[1][:8] + " " + m[1][8:].lstrip("_-")
     elif len(d) in (12, 14) and d.isascii() and d.isdigit():
         d = d[:8] + " " + d[8:]
     days, end, weekday = _date(d, order)
     if not days:
-        return "no date", None, None, None
+        return failed("no date")
     rest = d[end:]
     rest = rest[1:] if rest[:1] in ("T", "t", "_") and rest[1:2].isdigit() else rest.lstrip(" ,")
     if t and rest and any(c.isdigit() for c in t):
-        return "two times", None, None, None
+        return failed("two times")
     clock, tail = _clock(rest or t)
     if clock is None:
-        return "no time", None, None, None
+        return failed("no time")
     says = _designation(tail)
     if says is None:
-        return "unreadable zone", None, None, None
-    found, status, local_us = set(), "impossible", None
+        return failed("unreadable zone")
+    kind, what = says
+    readings, status = [], "impossible"
     for y, month, day in days:
         try:
             local = datetime(y, month, day) + clock
@@ -217,8 +229,23 @@ def parse_stamp(date: str | None, time: str | None, zone: str | None, order: str
         if not 1971 <= y <= 2100:
             status = "out of range"
             continue
-        local_us = _micros(local)
-        status, instants = _instants(local, *says, zone)
+        readings.append(_micros(local))
+    if not readings:
+        return failed(status)
+    if kind == "offset":
+        found = {x - what // timedelta(microseconds=1) for x in readings}
+        if len(found) > 1:
+            return failed("ambiguous order")
+        us = found.pop()
+        return ("ok" if in_range(us) else "out of range"), us, readings[0], None, kind, None
+    return "local", None, readings[0], readings[1] if len(readings) > 1 else None, kind, what
+
+
+def convert(local_us: int, local2_us: int | None, kind: str, designation: str | None, zone: str | None) -> tuple[str, int | None, int | None, int | None]:
+    """(status, epoch_us, local_us, other_us) of a stamp that was read as a local time, in the zone of its place."""
+    found, status = set(), "impossible"
+    for us in {local_us, local2_us if local2_us is not None else local_us}:
+        status, instants = _instants(EPOCH + timedelta(microseconds=us), kind, designation, zone)
         found |= set(instants)
     if status == "repeated":
         first, *others = sorted(found)
@@ -231,52 +258,159 @@ def parse_stamp(date: str | None, time: str | None, zone: str | None, order: str
     return ("ok" if in_range(us) else "out of range"), us, local_us, None
 
 
+def parse_stamp(date: str | None, time: str | None, zone: str | None, order: str | None) -> tuple[str, int | None, int | None, int | None]:
+    """(status, epoch_us, local_us, other_us) of one stamp; see ``normalise``."""
+    status, us, local, local2, kind, what = read_stamp(date, time, order)
+    return convert(local, local2, kind, what, zone) if status == "local" else (status, us, local, None)
+
+
+def _mapped(df: DataFrame, inputs: list[str], kernel, added: str, drop: list[str] | tuple = ()) -> DataFrame:
+    """Add the columns ``added`` that a function of the columns ``inputs`` gives for each row, in Arrow batches."""
+    names = [x.split()[0] for x in added.split(", ")]
+    kept = [f for f in df.schema.fields if f.name not in names and f.name not in drop]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clean = lambda x: x if isinstance(x, str) else None if x is None or x != x else int(x)
+        for pdf in batches:
+            rows = [kernel(*map(clean, x)) for x in zip(*(pdf[c] for c in inputs))]
+            out = pdf[[f.name for f in kept]].copy()
+            for i, x in enumerate(added.split(", ")):
+                out[names[i]] = pd.Series([r[i] for r in rows], index=pdf.index, dtype="Int64" if x.endswith(" long") else "object")
+            yield out
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
+    return df.mapInPandas(run, schema)
+
+
+def read_stamps(stamps: DataFrame, order: str = "date_order") -> DataFrame:
+    """Add what ``read_stamp`` reads to rows with date, time and a date order; columns of the added names are replaced."""
+    return _mapped(stamps.drop(*[x.split()[0] for x in SCHEMA_READ.split(", ")]), ["date", "time", order], read_stamp, SCHEMA_READ)
+
+
+def convert_stamps(read: DataFrame, zone: str = "zone") -> DataFrame:
+    """Turn what was read into status, epoch_us, local_us and other_us; only local times go to Python."""
+    local = _mapped(read.where("status = 'local'"), ["local_us", "local2_us", "kind", "designation", zone], convert, SCHEMA_ADDED, ("local2_us", "kind", "designation"))
+    final = read.where("status <> 'local'").drop("local2_us", "kind", "designation").withColumn("other_us", F.lit(None).cast("long"))
+    return final.unionByName(local)
+
+
 def normalise(stamps: DataFrame, zone: str = "zone", order: str = "date_order") -> DataFrame:
     """Add status, epoch_us, local_us and other_us to rows with date, time, a zone and a date order.
 
     status ``ok``: exactly one instant from 2015 to 2030, in epoch_us. ``repeated`` and
     ``skipped``: the zone has the local time twice (epoch_us, other_us) or never, and the stamp
-    doesn't decide. ``no zone``: the stamp has none and its place neither; local_us is then what
-    the zone estimate works on. Everything else has no instant: no date or time of day, impossible
-    values, an unreadable or unknown zone, more than one reading. A null order of day and month
-    leaves both readings open, which is no instant unless they agree. Nulls and empty texts have
-    no date. Columns of the added names are replaced.
+    doesn't decide. ``no zone``: the stamp has none and its place neither. Everything else has no
+    instant: no date or time of day, impossible values, an unreadable or unknown zone, more than
+    one reading. A null order of day and month leaves both readings open, which is no instant
+    unless they agree. Nulls and empty texts have no date. Columns of the added names are replaced.
     """
-    added = [x.split()[0] for x in SCHEMA_ADDED.split(", ")]
-    kept = stamps.drop(*added)
+    read = read_stamps(stamps.drop(*[x.split()[0] for x in SCHEMA_ADDED.split(", ")]), order)
+    return _mapped(read, ["status", "epoch_us", "local_us", "local2_us", "kind", "designation", zone], lambda s, us, a, b, k, w, z: convert(a, b, k, w, z) if s == "local" else (s, us, a, None), SCHEMA_ADDED, ("local2_us", "kind", "designation"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clean = lambda x: x if isinstance(x, str) else None
-        for pdf in batches:
-            rows = [parse_stamp(*map(clean, x)) for x in zip(pdf["date"], pdf["time"], pdf[zone], pdf[order])]
-            out = pdf.copy()
-            for i, name in enumerate(added):
-                out[name] = pd.Series([r[i] for r in rows], index=pdf.index, dtype="object" if i == 0 else "Int64")
-            yield out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(run, f"{schema}, {SCHEMA_ADDED}")
+# Delays in quarters of an hour: one bucket each up to a day, one for four hours beyond, the last for all that is longer; the same below zero from -1 on.
+QUARTER_US, DAY_QUARTERS, LAST_BUCKET = 900_000_000, 96, 246
+# Known delays of a source from which on they count as its spread.
+MIN_KNOWN = 200
+
+
+def _bucket(quarters: Column) -> Column:
+    size = F.when(quarters < 0, -1 - quarters).otherwise(quarters)
+    at = F.when(size < DAY_QUARTERS, size).otherwise(F.least(DAY_QUARTERS + F.floor((size - DAY_QUARTERS) / 16), F.lit(LAST_BUCKET)))
+    return F.when(quarters < 0, -1 - at).otherwise(at).cast("int")
+
 
+def _log_density(counts: dict[int, float]) -> list[float]:
+    """Log share per quarter of an hour of the buckets from the lowest to the last, smoothed over neighbours but not over zero."""
+    half = np.array([1.0] * DAY_QUARTERS + [16.0] * (LAST_BUCKET - DAY_QUARTERS + 1))
+    n = np.array([counts.get(b, 0.0) for b in range(-1 - LAST_BUCKET, LAST_BUCKET + 1)])
+    width = np.concatenate((half[::-1], half))
+    sides = [np.convolve(np.pad(x, 1, mode="edge"), [0.25, 0.5, 0.25], "valid") for x in np.split((n + 0.02) / width, 2)]
+    return np.log(np.concatenate(sides) / (n + 0.02).sum()).tolist()
 
-def zone_estimates(stamps: DataFrame, candidates: list[str], place: str = "place", slack_s: int = 0) -> DataFrame:
-    """The best zone of each place from local stamps and their loading times: (place, zone, violations, n, lag_s).
 
-    ``stamps`` has place, local_us and loaded_us. Under each candidate offset history (with its
-    daylight-saving changes) a stamp that lies after its loading time violates it; the zone with
-    the fewest violations wins, then the one with the smallest mean lag from recording to loading,
-    then the first by name. Counts are summed per place and zone before the shuffle, so a place
-    with a third of the rows is no hot key. Rows that lack a value don't vote; a place without
-    votes gets no zone.
+def delay_histograms(stamps: DataFrame, zones: list[str], place: str = "place") -> DataFrame:
+    """Delays to loading of each place's local stamps under each of its candidate zones: (place, src, zone, b, n).
+
+    ``stamps`` has place, src, local_us, loaded_us and declared, the single candidate of a place
+    or null for all of ``zones``. Stamps are counted per place, local hour and delay first, so
+    the candidates multiply those counts and not the stamps, and a place with a third of all rows is no hot key.
+    """
+    hour = F.floor(F.col("local_us") / 3_600_000_000).cast("long")
+    quarters = F.floor((F.col("loaded_us") - F.col("local_us")) / QUARTER_US).cast("long")
+    votes = stamps.groupBy(F.col(place).alias("place"), "src", "declared", hour.alias("hour"), quarters.alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    candidates = F.when(F.col("declared").isNotNull(), F.array("declared")).otherwise(F.array(*[F.lit(z) for z in zones]).cast("array<string>"))
+    local = F.timestamp_seconds(F.col("hour") * 3600)
+    tried = votes.select("place", "src", "q", "n", local.alias("local"), F.explode(candidates).alias("zone"))
+    offset = F.unix_micros("local") - F.unix_micros(F.to_utc_timestamp("local", F.col("zone")))
+    return tried.groupBy("place", "src", "zone", _bucket(F.col("q") + F.floor(offset / QUARTER_US)).alias("b")).agg(F.sum("n").alias("n"))
+
+
+def zone_estimates(stamps: DataFrame, candidates: list[str], place: str = "place", known: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """The offset history of each place whose local stamps align best with their loading times: (place, zone, violations, n, lag_h, score).
+
+    ``stamps`` has place, local_us and loaded_us, optionally src and declared (see
+    ``delay_histograms``); ``known`` has src, epoch_us and loaded_us of stamps whose instant is
+    certain. Under the true history, with its clock changes, the delays from recording to loading
+    are spread like those of the known stamps: an offset too far east leaves the shortest delays
+    out and one too far west makes stamps lie after their loading. Each source has its own
+    spread. The score is the log likelihood of all delays of a place; the best zone wins, then the
+    fewest violations, the shortest mean delay and the first name. The spread is then taken anew
+    from the known stamps and the winners, ``rounds`` times. Where no source has ``MIN_KNOWN``
+    known stamps, each candidate of the place with the most stamps gives a spread, and the one
+    that suits all places best is the first. What reaches the driver are these spreads, 494
+    numbers each. Rows that lack a value don't vote; a place without votes gets no zone.
     """
-    local = F.timestamp_micros(F.col("local_us"))
+    spark = stamps.sparkSession
+    for name, default in (("src", F.lit("")), ("declared", F.lit(None).cast("string"))):
+        if name not in stamps.columns:
+            stamps = stamps.withColumn(name, default)
     votes = stamps.where(f"{place} is not null and local_us is not null and loaded_us is not null")
-    tried = votes.select(place, local.alias("local"), "loaded_us", F.explode(F.array(*[F.lit(c) for c in candidates])).alias("zone"))
-    lag = (F.col("loaded_us") - F.unix_micros(F.to_utc_timestamp("local", F.col("zone")))) / 1e6
-    scores = tried.groupBy(place, "zone").agg(
-        F.sum((lag < -slack_s).cast("long")).alias("violations"), F.count(F.lit(1)).alias("n"), F.avg(F.greatest(lag, F.lit(0.0))).alias("lag_s")
-    )
-    best = F.min(F.struct("violations", F.round("lag_s", 3).alias("lag_s"), "zone", "n")).alias("b")
-    return scores.groupBy(place).agg(best).select(place, "b.zone", "b.violations", "b.n", "b.lag_s")
+    hist = checkpoint(delay_histograms(votes, candidates, place))
+    certain: dict[str, dict[int, float]] = {}
+    if known is not None:
+        b = _bucket(F.floor((F.col("loaded_us") - F.col("epoch_us")) / QUARTER_US))
+        for r in known.where("epoch_us is not null and loaded_us is not null").groupBy("src", b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            certain.setdefault(r.src, {})[r.b] = r.n
+    spreads = {src: n for src, n in certain.items() if sum(n.values()) >= MIN_KNOWN}
+
+    def scored(spreads: dict[str, dict[int, float]]) -> DataFrame:
+        rows = [(src, list(_log_density(n))) for src, n in spreads.items()]
+        of = spark.createDataFrame(rows, "src string, d array<double>")  # one row for each source
+        lag = F.when(F.col("b") < DAY_QUARTERS, F.col("b") / 4).otherwise(24 + (F.col("b") - DAY_QUARTERS) * 4)
+        g = hist.join(F.broadcast(of), "src", "left").groupBy("place", "zone").agg(
+            F.sum(F.col("n") * F.coalesce(F.get("d", F.col("b") + LAST_BUCKET + 1), F.lit(0.0))).alias("score"), F.sum(F.when(F.col("b") < 0, F.col("n")).otherwise(0)).alias("violations"),
+            F.sum("n").alias("n"), (F.sum(F.col("n") * F.greatest(lag, F.lit(0))) / F.sum("n")).alias("lag_h"),
+        )
+        # likelihoods that agree to a millionth of a stamp are ties
+        order = F.struct(F.round(-F.col("score"), 6).alias("s"), "violations", F.round("lag_h", 3).alias("lag_h"), "zone", "n")
+        return g.groupBy("place").agg(F.min(order).alias("x")).select("place", "x.zone", "x.violations", "x.n", "x.lag_h", (-F.col("x.s")).alias("score"))
+
+    if not spreads:
+        spreads = _first_spread(hist)
+    for _ in range(rounds if spreads else 0):
+        best = scored(spreads).select("place", "zone")
+        spreads = {src: dict(n) for src, n in certain.items()}
+        for r in hist.join(best, ["place", "zone"]).groupBy("src", "b").agg(F.sum("n").alias("n")).collect():
+            spreads.setdefault(r.src, {})
+            spreads[r.src][r.b] = spreads[r.src].get(r.b, 0) + r.n
+    return scored(spreads)
+
+
+def _first_spread(hist: DataFrame) -> dict[str, dict[int, float]]:
+    """The spread of the source and place with the most stamps under that candidate which suits all places of the source best."""
+    top = hist.groupBy("src", "place", "zone").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "src", "place").limit(1).collect()
+    if not top:
+        return {}
+    src, place = top[0].src, top[0].place
+    own: dict[str, dict[int, float]] = {}
+    for r in hist.where((F.col("src") == src) & (F.col("place") == place)).select("zone", "b", "n").collect():
+        own.setdefault(r.zone, {})[r.b] = r.n
+    densities = hist.sparkSession.createDataFrame([(z, b, d) for z, n in own.items() for b, d in zip(range(-1 - LAST_BUCKET, LAST_BUCKET + 1), _log_density(n))], "anchor string, b int, d double")
+    fits = hist.where(F.col("src") == src).join(densities, "b").groupBy("anchor", "place", "zone").agg(F.sum(F.col("n") * F.col("d")).alias("s"))
+    totals = fits.groupBy("anchor", "place").agg(F.max("s").alias("s")).groupBy("anchor").agg(F.round(F.sum("s"), 6).alias("s")).collect()
+    rank = lambda r: (-r.s, sum(n for b, n in own[r.anchor].items() if b < 0), sum(max(b, 0) * n for b, n in own[r.anchor].items()), r.anchor)
+    return {src: own[min(totals, key=rank).anchor]}
 
 
 def stamps_of(stamp_raw: DataFrame, catalogue: DataFrame, site: DataFrame) -> DataFrame:
@@ -291,28 +425,37 @@ def stamps_of(stamp_raw: DataFrame, catalogue: DataFrame, site: DataFrame) -> Da
     raw = raw.join(places.select("site", "zone", "date_order").dropDuplicates(["site"]), "site", "left").withColumnRenamed("site", "place")
     uploaded = F.expr("try_to_timestamp(uploaded, 'yyyy-MM-dd')")
     cat = catalogue.select(F.lit("catalogue").alias("src"), F.expr("try_cast(trim(id) as bigint)").alias("row_id"), "loc", "date", "time", (F.unix_micros(uploaded) + 86_400_000_000).alias("loaded_us"))
-    cat = cat.join(places.select("loc", "zone", "date_order").dropDuplicates(["loc"]), "loc", "left").withColumnRenamed("loc", "place")
+    cat = cat.join(places.select("loc", "site", "zone", "date_order").dropDuplicates(["loc"]), "loc", "left").withColumn("place", F.coalesce("site", "loc")).drop("site", "loc")
     return raw.unionByName(cat)
 
 
-def normalised_stamps(stamp_raw: DataFrame, catalogue: DataFrame, site: DataFrame, max_zones: int = 1000) -> DataFrame:
-    """``normalise`` of all stamps, with the estimated zone where a place has none.
-
-    The candidates are the zones of the site table; that table is read to the driver only up to
-    ``max_zones`` distinct zones and the call fails beyond that.
-    """
-    stamps = stamps_of(stamp_raw, catalogue, site)
+def candidate_zones(site: DataFrame, max_zones: int = 1000) -> list[str]:
+    """The distinct zones of the site table, read to the driver only up to ``max_zones``; the call fails beyond that."""
     zones = [r.tz for r in site.select("tz").where("tz is not null").distinct().limit(max_zones + 1).collect()]
     if len(zones) > max_zones:
         raise ValueError(f"more than {max_zones} candidate zones")
-    homeless = stamps.where("zone is null and place is not null")
-    estimated = zone_estimates(normalise(homeless).where("status = 'no zone'"), sorted(zones) or ["UTC"])
-    known = stamps.join(estimated.select("place", F.col("zone").alias("estimated")), "place", "left")
-    return normalise(known.withColumn("zone", F.coalesce("zone", "estimated")))
+    return sorted(z for z in zones if _zone(z)) or ["UTC"]
+
+
+def place_zones(read: DataFrame, zones: list[str]) -> DataFrame:
+    """``zone_estimates`` of the places of stamps that were read; a declared zone is a place's only candidate."""
+    declared = F.when(F.col("zone").isin(zones), F.col("zone"))
+    local = read.where("status = 'local' and kind = 'none' and local2_us is null").withColumn("declared", declared)
+    return zone_estimates(local, zones, known=read.where("status = 'ok' and kind in ('offset', 'number')"))
+
+
+def normalised_stamps(stamp_raw: DataFrame, catalogue: DataFrame, site: DataFrame, max_zones: int = 1000) -> DataFrame:
+    """``normalise`` of all stamps, with the zone of their place by ``place_zones``: its declared one, or the estimated one where it has none.
+
+    Stamps are read once and written; the estimate and the conversion work on what was read.
+    """
+    zones = candidate_zones(site, max_zones)
+    read = checkpoint(read_stamps(stamps_of(stamp_raw, catalogue, site)).drop("date", "time", "date_order"))
+    # a place has one row; a zone that no loading time tells stays the declared one
+    known = read.join(place_zones(read, zones).select("place", F.col("zone").alias("estimated")), "place", "left")
+    return convert_stamps(known.withColumn("zone", F.coalesce("estimated", "zone")))
 
 
 def instants(normalised: DataFrame) -> DataFrame:
     """The stamps that denote exactly one instant, each once: (src, row_id, epoch_us)."""
     return normalised.where("status = 'ok' and row_id is not null").select("src", "row_id", "epoch_us").distinct()
-
-

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpline.operators import capping, compaction, intervals, regular_grid, row_parser, timestamps
-from chirpline.session import staging_path, table
+from chirpline.session import checkpoint, staging_path, table
 
 
 def p1_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -52,10 +52,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_zones(spark: SparkSession, d: str) -> DataFrame:
     """The zone of every place as estimated from its stamps alone, beside the declared one."""
     site = table(spark, d, "site")
-    stamps = timestamps.stamps_of(table(spark, d, "stamp_raw"), table(spark, d, "catalogue"), site).where("src = 'stamp_raw'")
-    local = timestamps.normalise(stamps.withColumnRenamed("zone", "declared").withColumn("zone", F.lit(None).cast("string")))
-    zones = sorted(r.tz for r in site.select("tz").where("tz is not null").distinct().collect())
-    best = timestamps.zone_estimates(local.where("status = 'no zone'"), zones)
+    stamps = timestamps.stamps_of(table(spark, d, "stamp_raw"), table(spark, d, "catalogue"), site).withColumn("zone", F.lit(None).cast("string"))
+    best = timestamps.place_zones(checkpoint(timestamps.read_stamps(stamps)), timestamps.candidate_zones(site))
     return best.join(site.select(F.col("site").alias("place"), F.col("tz").alias("declared")), "place", "left")
 
 

@@ -219,6 +219,26 @@ def test_zone_estimate_finds_the_offset_history(spark):
     assert got == {"a": "Asia/Kolkata", "b": NY, "c": PARIS}
 
 
+@pytest.mark.parametrize("least_h, mean_h, known", [(0, 0.5, 0), (1.5, 2, 0), (6, 4, 0), (6, 4, 400), (0, 40, 3000)])
+def test_zone_estimate_with_delays_of_hours(spark, least_h, mean_h, known):
+    """At least 0.9 of the places get their offset history, however long loading takes."""
+    from zoneinfo import ZoneInfo
+
+    rnd, rows = random.Random(7), []
+    zones = ["Asia/Kolkata", "Asia/Kathmandu", NY, PARIS, "Australia/Adelaide", "America/Bogota", "Africa/Nairobi", "America/Denver", "Australia/Sydney", "America/Phoenix"]
+    us = lambda t: (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    delay = lambda: int((least_h + rnd.expovariate(1 / mean_h)) * 3.6e9)
+    for i in range(len(zones) * 800):
+        at = datetime(2021, 1, 1) + timedelta(seconds=rnd.randint(0, 4 * 365 * 86400))
+        zone = zones[i % len(zones)]
+        local = at.replace(tzinfo=ZoneInfo("UTC")).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+        rows.append((f"p{i % len(zones)}", "s", us(local), us(at) + delay()))
+    df = spark.createDataFrame(rows, "place string, src string, local_us long, loaded_us long")
+    certain = spark.createDataFrame([("s", 10**15 + i, 10**15 + i + delay()) for i in range(known)], "src string, epoch_us long, loaded_us long")
+    got = {r.place: r.zone for r in timestamps.zone_estimates(df, zones + ["UTC", "Europe/London", "America/Chicago"], known=certain).collect()}
+    assert sum(got[f"p{i}"] == z for i, z in enumerate(zones)) >= 9
+
+
 def test_normalised_stamps_use_estimates_only_where_no_zone_is_known(spark):
     site = spark.createDataFrame([("A", "La", PARIS, "DMY"), ("B", "Lb", None, "DMY"), ("K", "Lk", "Asia/Kolkata", "DMY")], "site string, loc string, tz string, date_order string")
     t = datetime(2021, 6, 1, 10)
