@@ -356,7 +356,7 @@ def zone_estimates(stamps: DataFrame, candidates: list[str], place: str = "place
     out and one too far west makes stamps lie after their loading. Each source has its own
     spread. The score is the log likelihood of all delays of a place; the best zone wins, then the
     fewest violations, the shortest mean delay and the first name. The spread is then taken anew
-    from the known stamps and the winners, ``rounds`` times. Where no source has ``MIN_KNOWN``
+    from the known stamps and the winners, ``rounds`` times; a place with one candidate has that one, and a score of 0 if all have. Where no source has ``MIN_KNOWN``
     known stamps, each candidate of the place with the most stamps gives a spread, and the one
     that suits all places best is the first. What reaches the driver are these spreads, 494
     numbers each. Rows that lack a value don't vote; a place without votes gets no zone.
@@ -367,8 +367,10 @@ def zone_estimates(stamps: DataFrame, candidates: list[str], place: str = "place
             stamps = stamps.withColumn(name, default)
     votes = stamps.where(f"{place} is not null and local_us is not null and loaded_us is not null")
     hist = checkpoint(delay_histograms(votes, candidates, place))
+    # where every place has a single candidate, no spread is needed to tell
+    undecided = not hist.groupBy("place").agg((F.min("zone") < F.max("zone")).alias("many")).where("many").isEmpty()
     certain: dict[str, dict[int, float]] = {}
-    if known is not None:
+    if known is not None and undecided:
         b = _bucket(F.floor((F.col("loaded_us") - F.col("epoch_us")) / QUARTER_US))
         for r in known.where("epoch_us is not null and loaded_us is not null").groupBy("src", b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
             certain.setdefault(r.src, {})[r.b] = r.n
@@ -386,7 +388,7 @@ def zone_estimates(stamps: DataFrame, candidates: list[str], place: str = "place
         order = F.struct(F.round(-F.col("score"), 6).alias("s"), "violations", F.round("lag_h", 3).alias("lag_h"), "zone", "n")
         return g.groupBy("place").agg(F.min(order).alias("x")).select("place", "x.zone", "x.violations", "x.n", "x.lag_h", (-F.col("x.s")).alias("score"))
 
-    if not spreads:
+    if undecided and not spreads:
         spreads = _first_spread(hist)
     for _ in range(rounds if spreads else 0):
         best = scored(spreads).select("place", "zone")
