@@ -196,16 +196,37 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return kept.mapInPandas(run, f"{schema}, {PARSED}")
 
 
+# Lines that built-in functions can type: two short plain numbers and a plain label, as nearly all are.
+_SHORT = r"[0-9]{1,9}(?:\.[0-9]{1,9})?"
+PLAIN = rf'^(?:{_SHORT}\t{_SHORT}\t(?:[^"\t\r\n][^\t\r\n]*)?|\\\t{_SHORT}\t{_SHORT})\z'
+
+
+def _split(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid records of plain lines, typed by built-in functions, and all other lines: plain lines with reversed bounds are among these."""
+    text = F.when(F.col("line").endswith("\r"), F.substr("line", F.lit(1), F.char_length("line") - 1)).otherwise(F.col("line"))
+    frequency = text.startswith(FREQUENCY)
+    parts = F.split(text, "\t")
+    bound = lambda i: F.get(parts, F.when(frequency, i + 1).otherwise(i)).cast("double")
+    plain = F.when(F.coalesce(text.rlike(PLAIN), F.lit(False)), bound(0) <= bound(1)).otherwise(False)
+    keys = lines.select("rec_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    typed = keys.where(plain).select("rec_id", "line_no", frequency.alias("is_frequency"), bound(0).alias("lo"), bound(1).alias("hi"), F.when(~frequency, F.get(parts, F.lit(2))).alias("label"))
+    return typed, keys.where(~plain)
+
+
+def valid_records(lines: DataFrame) -> DataFrame:
+    """The records of valid lines, each once: (rec_id, line_no, is_frequency, lo, hi, label). Two different deliveries of a line give both."""
+    typed, others = _split(lines)
+    return typed.unionByName(parse_lines(others).where("reason is null").select(*typed.columns)).distinct()
+
+
 def faulty_lines(lines: DataFrame) -> DataFrame:
-    """The faulty lines, each once: (rec_id, line_no, reason). A line delivered again counts once."""
-    parsed = parse_lines(lines.select("rec_id", "line_no", "line"))
-    return parsed.where("reason is not null").select("rec_id", F.col("line_no").cast("long").alias("line_no"), "reason").distinct()
+    """The faulty lines, each once: (rec_id, line_no, reason). A line delivered again counts once; of two different deliveries both do."""
+    return parse_lines(_split(lines)[1]).where("reason is not null").select("rec_id", "line_no", "reason").distinct()
 
 
 def located_faults(lines: DataFrame) -> DataFrame:
     """The faulty lines with the place of the error: (rec_id, line_no, reason, error_at), characters from 0."""
-    parsed = parse_lines(lines.select("rec_id", "line_no", "line"))
-    return parsed.where("reason is not null").select("rec_id", F.col("line_no").cast("long").alias("line_no"), "reason", "error_at").distinct()
+    return parse_lines(_split(lines)[1]).where("reason is not null").select("rec_id", "line_no", "reason", "error_at").distinct()
 
 
 def salvaged_records(lines: DataFrame) -> DataFrame:
@@ -216,13 +237,12 @@ def salvaged_records(lines: DataFrame) -> DataFrame:
     the last, a valid next line. A salvaged frequency record without such a time record stands
     alone, with null min_t, max_t and label. Lines delivered again count once.
     """
-    parsed = parse_lines(lines.select("rec_id", "line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
-    faulty = parsed.where("reason is not null and size(salvaged) > 0").select("rec_id", "line_no", "salvaged").distinct()
+    faulty = parse_lines(_split(lines)[1]).where("reason is not null and size(salvaged) > 0").select("rec_id", "line_no", "salvaged").distinct()
     each = faulty.select("rec_id", "line_no", "salvaged", F.posexplode("salvaged").alias("i", "r"))
     before = F.when(F.col("i") > 0, F.get("salvaged", F.col("i") - 1))
     each = each.select("rec_id", "line_no", "r", F.get("salvaged", F.col("i") + 1).alias("then"), before.alias("before"))
     each = each.where("not r.is_frequency or before is null or before.is_frequency")
-    f = parsed.where("reason is null and is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi")).dropDuplicates(["rec_id", "line_no"])
+    f = valid_records(lines).where("is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi"))
     time = ~F.col("r.is_frequency")
     bound = lambda c: F.when(~time, F.col(f"r.{c}")).when(F.col("then.is_frequency"), F.col(f"then.{c}")).when(F.col("then").isNull(), F.col(f"next_{c}"))
     return each.join(f, ["rec_id", "line_no"], "left").select(
@@ -236,9 +256,54 @@ def label_records(lines: DataFrame) -> DataFrame:
 
     A time line takes the frequency line that follows it directly in its file, by an equi-join on
     (rec_id, line_no + 1), so a very long file is no hot key; where none follows, or that one is
-    faulty, min_f and max_f are null. Lines delivered again count once.
+    faulty, min_f and max_f are null. Lines delivered again count once; of two different
+    deliveries both do.
     """
-    good = parse_lines(lines.select("rec_id", "line_no", "line")).where("reason is null").dropDuplicates(["rec_id", "line_no"])
-    t = good.where("not is_frequency").select("rec_id", F.col("line_no").cast("long").alias("line_no"), F.col("lo").alias("min_t"), F.col("hi").alias("max_t"), "label")
-    f = good.where("is_frequency").select("rec_id", (F.col("line_no").cast("long") - 1).alias("line_no"), F.col("lo").alias("min_f"), F.col("hi").alias("max_f"))
+    good = valid_records(lines)
+    t = good.where("not is_frequency").select("rec_id", "line_no", F.col("lo").alias("min_t"), F.col("hi").alias("max_t"), "label")
+    f = good.where("is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("min_f"), F.col("hi").alias("max_f"))
     return t.join(f, ["rec_id", "line_no"], "left")
+
+
+def all_records(lines: DataFrame) -> DataFrame:
+    """Valid and salvaged annotations: (rec_id, line_no, position, min_t, max_t, label, min_f, max_f); position is 0 for whole lines."""
+    return label_records(lines).withColumn("position", F.lit(0)).unionByName(salvaged_records(lines))
+
+
+def lines_of(text: str | None, most: int = 20) -> Iterator[tuple[int, str]]:
+    """(number, line) of a file's raw text, from 1, in which a quoted field may hold line ends.
+
+    Where a line's quote isn't closed, the lines behind it are joined to it up to the first one
+    that closes the field, at most ``most``, if the whole is a valid record; so long labels over
+    several lines are kept. Otherwise the quote is broken: its line stays alone and the next line
+    is a record-start anchor, so that a lost quote doesn't swallow the file. A joined line
+    has the number of its first. A final line end starts no line.
+    """
+    raw = (text or "").split("\n")
+    if raw and raw[-1] == "":
+        raw.pop()
+    at = 0
+    while at < len(raw):
+        upto = at + 1
+        if parse_line(raw[at])[0] == "quoting":
+            for end in range(at + 2, min(at + 1 + most, len(raw)) + 1):
+                reason = parse_line("\n".join(raw[at:end]))[0]
+                if reason is None:
+                    upto = end
+                if reason != "quoting" or parse_line(raw[end - 1])[0] is None:
+                    break
+        yield at + 1, "\n".join(raw[at:upto])
+        at = upto
+
+
+def raw_lines(files: DataFrame, text: str = "text") -> DataFrame:
+    """The lines of files that come as whole texts: (rec_id, line_no, line), by ``lines_of``, in Arrow batches and without a shuffle. Null and empty texts have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rec_id, x in zip(pdf["rec_id"], pdf[text]):
+                rows = list(lines_of(x if isinstance(x, str) else None))
+                if rows:
+                    yield pd.DataFrame({"rec_id": pd.Series([rec_id] * len(rows), dtype=pdf["rec_id"].dtype), "line_no": [n for n, _ in rows], "line": pd.Series([v for _, v in rows], dtype="object")})
+
+    return files.select("rec_id", text).mapInPandas(run, "rec_id long, line_no int, line string")

@@ -38,7 +38,7 @@ def p2_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid.empty_slots(p2_series(spark, d))
+    return regular_grid.empty_slots(regular_grid.slot_readings(table(spark, d, "audio_metadata"), table(spark, d, "deployment")))
 
 
 def p3_stamps(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,11 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return row_parser.label_records(table(spark, d, "label_line"))
 
 
+def p4_all(spark: SparkSession, d: str) -> DataFrame:
+    """Valid and salvaged records with their place in the line."""
+    return row_parser.all_records(table(spark, d, "label_line"))
+
+
 def p4_salvaged(spark: SparkSession, d: str) -> DataFrame:
     return row_parser.salvaged_records(table(spark, d, "label_line"))
 
@@ -82,7 +87,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_packs, p1_compacted, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_salvaged, p4_faults, p5_found, p6_found)
+    f.__name__: f for f in (p1_found, p1_packs, p1_compacted, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_all, p4_salvaged, p4_faults, p5_found, p6_found)
 }
 
 # Label lines by regular expressions: FIELD is a quoted or plain field, NUM a decimal number.
@@ -146,8 +151,8 @@ ORACLES: dict[str, str] = {
           SELECT deploy_id, sensor_name, k, s + k * st AS a, least(s + (k + 1) * st, e) AS b
           FROM (SELECT *, unnest(range(0, CAST(ceil((e - s) / st) AS BIGINT))) AS k FROM d)),
         r AS (
-          SELECT sensor_name, epoch_us(date) AS a, epoch_us(date) + CAST(ceil(round(length * 1e6, 3)) AS BIGINT) AS b, count(*) AS n
-          FROM audio_metadata WHERE sensor_name IS NOT NULL AND date IS NOT NULL AND length > 0 AND NOT isnan(length) AND NOT isinf(length) GROUP BY 1, 2, 3),
+          SELECT DISTINCT sensor_name, epoch_us(date) AS a, epoch_us(date) + CAST(ceil(round(least(length, 1e9) * 1e6, 3)) AS BIGINT) AS b, 1 AS n
+          FROM audio_metadata WHERE sensor_name IS NOT NULL AND date IS NOT NULL AND length > 0 AND NOT isnan(length) AND NOT isinf(length)),
         o AS (
           SELECT deploy_id, k, sum(n) AS n, sum((least(r.b, g.b) - greatest(r.a, g.a)) / 1e6 * n) AS seconds, max(r.a) AS last_us
           FROM g JOIN r ON r.sensor_name = g.sensor_name AND r.a < g.b AND r.b > g.a GROUP BY 1, 2),
@@ -158,7 +163,7 @@ ORACLES: dict[str, str] = {
         FROM c LEFT JOIN o l ON l.deploy_id = c.deploy_id AND l.k = lk""",
     "p4_found": LINES + """
         SELECT DISTINCT rec_id, line_no, reason FROM r WHERE reason IS NOT NULL""",
-    "p4_records": LINES + """, ok AS (SELECT * FROM r WHERE reason IS NULL)
+    "p4_records": LINES + """, ok AS (SELECT DISTINCT rec_id, line_no, v, l, h FROM r WHERE reason IS NULL)
         SELECT t.rec_id, t.line_no, t.l AS min_t, t.h AS max_t, t.v[3] AS label, f.l AS min_f, f.h AS max_f
         FROM ok t LEFT JOIN ok f ON f.rec_id = t.rec_id AND f.line_no = t.line_no + 1 AND f.v[1] = '\\' WHERE t.v[1] <> '\\'""",
     "p5_found": """

@@ -123,7 +123,7 @@ def brute_slots(recs, deps):
         while start + timedelta(seconds=k * step) < end:
             a = start + timedelta(seconds=k * step)
             b = min(a + timedelta(seconds=step), end)
-            if not any(s == sensor and d is not None and n is not None and 0 < n < float("inf") and d < b and d + timedelta(seconds=n) > a for s, d, n in recs):
+            if not any(s == sensor and d is not None and n is not None and 0 < n < float("inf") and d < b and d + timedelta(seconds=min(n, 1e9)) > a for s, d, n in recs):
                 out.add((sensor, int((a - datetime(1970, 1, 1)).total_seconds())))
             k += 1
     return out
@@ -133,7 +133,7 @@ def test_empty_slots_against_brute_force(spark):
     rnd, t0 = random.Random(3), datetime(2020, 3, 28, 22, 0)
     deps = [("HOT", t0, t0 + timedelta(hours=6, seconds=17), 300), ("HOT", t0 + timedelta(days=2), t0 + timedelta(days=2, hours=1), 600), ("B", t0, t0 + timedelta(minutes=50), 60)]
     recs = [(rnd.choice(["HOT", "HOT", "B", "C", None]), t0 + timedelta(seconds=rnd.randint(-4000, 30000)), rnd.choice([0.0, -1.0, 30.5, 60.0, 299.999999, 300.0, 5000.0, None])) for _ in range(150)]
-    recs += [("B", t0 + timedelta(seconds=60), 60.0)] * 3 + [("B", None, 5.0), ("B", t0, float("nan")), ("B", t0, float("inf"))]
+    recs += [("B", t0 + timedelta(seconds=60), 60.0)] * 3 + [("B", None, 5.0), ("B", t0, float("nan")), ("B", t0, float("inf")), ("B", t0 + timedelta(minutes=45), 1e300), ("C", t0, 1e12)]
     r = spark.createDataFrame([(i, "p", 1, s, d, n, "x", "y", 1, 2) for i, (s, d, n) in enumerate(recs)], AUDIO)
     d = spark.createDataFrame([(i, s, "site", a, b, st) for i, (s, a, b, st) in enumerate(deps)] * 2 + [(9, None, "s", t0, t0, 5), (10, "Z", "s", t0, None, 5), (11, "Z", "s", t0, t0 + timedelta(hours=1), 0)], "deploy_id long, sensor_name string, site string, start_at timestamp_ntz, end_at timestamp_ntz, step_s int")
     series = regular_grid.regular_series(r, d, max_gap_slots=2, chunk_slots=4)
@@ -155,7 +155,9 @@ def test_empty_slots_against_brute_force(spark):
         sensor, start, _, step = deps[x.deploy_id]
         a = start + timedelta(seconds=x.k * step)
         b = min(a + timedelta(seconds=step), deps[x.deploy_id][2])
-        assert x.n_readings == sum(s == sensor and c is not None and n is not None and 0 < n < float("inf") and c < b and c + timedelta(seconds=n) > a for s, c, n in recs)
+        runs = [(max(c, a), min(c + timedelta(seconds=min(n, 1e9)), b)) for s, c, n in set(recs) if s == sensor and c is not None and n is not None and 0 < n < float("inf") and c < b and c + timedelta(seconds=min(n, 1e9)) > a]
+        assert x.n_readings == len(runs) and abs(x.seconds - sum((q - p).total_seconds() for p, q in runs)) < 1e-3
+    assert {tuple(x) for x in regular_grid.empty_slots(regular_grid.slot_readings(r, d)).collect()} == brute_slots(recs, deps)
     assert regular_grid.empty_slots(regular_grid.regular_series(r.limit(0), d.limit(0))).count() == 0
 
 
@@ -300,6 +302,31 @@ def test_salvaged_records_and_located_faults(spark):
     assert sorted((r.line_no, r.reason, r.error_at) for r in row_parser.located_faults(df).collect()) == [(1, "columns", 33), (3, "columns", 7), (4, "quoting", 4), (6, "columns", 7)]
 
 
+@pytest.mark.parametrize(
+    "text, lines",
+    [
+        ("1\t2\tx\n3\t4\ty\n", [(1, "1\t2\tx"), (2, "3\t4\ty")]),
+        ('1\t2\t"two\nlines"\n3\t4\ty', [(1, '1\t2\t"two\nlines"'), (3, "3\t4\ty")]),
+        ('1\t2\t"lost\n3\t4\ty\n5\t6\t"z"\n', [(1, '1\t2\t"lost'), (2, "3\t4\ty"), (3, '5\t6\t"z"')]),
+        ('1\t2\t"lost\n', [(1, '1\t2\t"lost')]),
+        ("", []), (None, []), ("\n", [(1, "")]),
+    ],
+)
+def test_lines_of_raw_text(text, lines):
+    assert list(row_parser.lines_of(text)) == lines
+
+
+def test_raw_lines_and_plain_lines(spark):
+    files = spark.createDataFrame([(1, '1\t2\t"a\nb"\n\\\t5\t6\n', "c"), (2, None, "c"), (3, "", "c")], "rec_id long, text string, line string")
+    lines = row_parser.raw_lines(files)
+    assert [tuple(r) for r in row_parser.all_records(lines).collect()] == [(1, 1, 1.0, 2.0, "a\nb", None, None, 0)]
+    rows = [(1, i + 1, line) for i, (line, _) in enumerate(LINES)] + [(1, 1, "7\t8\tother"), (9, 1, "2\t1\tx"), (9, 2, "\\\t3\t4"), (9, 3, "1\t2\t")]
+    df = spark.createDataFrame(rows, "rec_id long, line_no int, line string")
+    typed, others = row_parser._split(df)
+    parsed = {tuple(r) for r in row_parser.parse_lines(df.withColumn("line_no", F.col("line_no").cast("long"))).where("reason is null").select(*typed.columns).collect()}
+    assert {tuple(r) for r in row_parser.valid_records(df).collect()} == parsed and typed.count() >= 5 and others.count() + typed.count() == len(rows)
+
+
 def test_faulty_lines_and_records(spark):
     rows = [(1, i + 1, line, "clash") for i, (line, _) in enumerate(LINES)] * 2 + [(2, 1, "1\t2\tx", "c"), (2, 2, "\\\t10\t20", "c"), (2, 3, "3\t4\ty", "c"), (None, None, "z", "c"), (3, 1, "9\t" * 50_000, "c")]
     df = spark.createDataFrame(rows, "rec_id long, line_no int, line string, reason string")
