@@ -6,33 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chirpline.session import checkpoint
-
-
-def _ranked(points: DataFrame, keys: list[str], chunk_units: int) -> DataFrame:
-    """Ranks of the points ``(keys, side, t, n)`` by t: ``upto`` is the number of points of their side up to t.
-
-    An entity may hold a third of all rows, so it is ordered in chunks of time, each of at most
-    ``chunk_units`` distinct t; the ranks of the chunks before come from the chunks' sums.
-    """
-    by = [*keys, "side"]
-    p = points.withColumn("chunk", F.floor(F.col("t") / chunk_units).cast("long"))
-    w = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = p.groupBy(*by, "chunk").agg(F.sum("n").alias("size")).select(*by, "chunk", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*by, "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return p.join(offsets, [*by, "chunk"]).withColumn("upto", F.col("offset") + F.sum("n").over(inside)).drop("chunk", "offset")
-
 
 def periods_and_gaps(intervals: DataFrame, keys: list[str], start: Column, end: Column, chunk_units: int = 1_000_000) -> DataFrame:
     """Maximal covered periods of each entity and the gaps between them: (kind, keys, start_at, end_at).
 
-    start and end are whole numbers (any unit). Starts and ends are sorted independently: with
-    equal times merged, a gap lies between the r-th end and the next start exactly if the start of
-    rank r + 1 lies after the end of rank r. The boundaries found so are ranked once more and
-    paired: the i-th period starts at the i-th opening and ends at the i-th closing boundary, and
-    the i-th gap reaches from the i-th closing to the next opening one. Touching intervals belong
-    together. Rows that lack a bound or do not end after they start don't count; null keys form
-    entities of their own, and repeated rows change nothing.
+    start and end are whole numbers (any unit). Starts and ends are ranked independently: the
+    rank of a time is the number of starts, or of ends, up to it. A gap lies between the r-th end
+    and the next start exactly if the start of rank r + 1 lies after the end of rank r, that is,
+    if at that end no more starts than ends have come; the boundaries found so are paired with the
+    last one of the other kind. Touching intervals belong together. Rows that lack a bound or do
+    not end after they start don't count; null keys form entities of their own, and repeated rows
+    change nothing.
+
+    An entity may hold a third of all rows, so it is ordered in chunks of time, each of at most
+    ``chunk_units`` distinct times. The points are shuffled and sorted once, by chunk; one small
+    row per chunk goes through a window over its entity and brings back the ranks before the chunk
+    and the last boundaries before it.
     """
     flat = [f"_k{i}" for i in range(len(keys))]
     rows = intervals.select(*[F.col(k).alias(x) for k, x in zip(keys, flat)], start.cast("long").alias("s"), end.cast("long").alias("e")).where("s is not null and e is not null and e > s")
@@ -40,36 +29,48 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: Column, end:
     blank = {x: F.lit("" if t == "string" else 0).cast(t) for x, t in rows.dtypes}
     mask = sum((F.when(F.col(x).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(flat)), F.lit(0))
     entity = [*flat, "_nulls"]
-    points = (
-        rows.select(*[F.coalesce(F.col(x), blank[x]).alias(x) for x in flat], mask.alias("_nulls"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("t")), F.struct(F.lit(1).alias("side"), F.col("e").alias("t")))).alias("p"))
-        .groupBy(*entity, F.col("p.side").alias("side"), F.col("p.t").alias("t"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # both rank tables are read three times; written once, they need no second sort
-    ranked = checkpoint(_ranked(points, entity, chunk_units))
-    starts = ranked.where("side = 0").select(*entity, (F.col("upto") - F.col("n")).alias("r"), F.col("t").alias("s"))
-    ends = ranked.where("side = 1").select(*entity, F.col("upto").alias("r"), F.col("t").alias("e"))
-    meet = starts.join(ends, [*entity, "r"], "full")
-    border = meet.where("s is null or e is null or s > e")
-    # rank 0 opens an entity and the last rank closes it; any other lone start or end lies inside a period
-    opening = border.where("s is not null and (e is not null or r = 0)").select(*entity, F.lit(0).alias("side"), F.col("s").alias("t"), F.lit(1).cast("long").alias("n"))
-    last = ranked.where("side = 1").groupBy(*entity).agg(F.max("upto").alias("r")).withColumn("closes", F.lit(True))
-    closing = border.where("e is not null").join(last, [*entity, "r"], "left").where("s is not null or closes").select(*entity, F.lit(1).alias("side"), F.col("e").alias("t"), F.lit(1).cast("long").alias("n"))
-    paired = checkpoint(_ranked(opening.unionByName(closing), entity, chunk_units))
-    opens = paired.where("side = 0").select(*entity, F.col("upto").alias("i"), F.col("t").alias("s"))
-    closes = paired.where("side = 1").select(*entity, F.explode(F.array(F.struct(F.lit("period").alias("kind"), F.col("upto").alias("i")), F.struct(F.lit("gap").alias("kind"), (F.col("upto") + 1).alias("i")))).alias("x"), F.col("t").alias("e")).select(*entity, "x.kind", "x.i", "e")
-    found = opens.join(closes, [*entity, "i"])
-    is_gap = F.col("kind") == "gap"
+    chunk = [*entity, "chunk"]
+    points = rows.select(
+        *[F.coalesce(F.col(x), blank[x]).alias(x) for x in flat], mask.alias("_nulls"),
+        F.inline(F.array(F.struct(F.col("s").alias("t"), F.lit(1).cast("long").alias("up"), F.lit(0).cast("long").alias("down")), F.struct(F.col("e").alias("t"), F.lit(0).cast("long").alias("up"), F.lit(1).cast("long").alias("down")))),
+    )
+    placed = points.withColumn("chunk", F.floor(F.col("t") / chunk_units).cast("long")).repartition(*chunk)
+    times = placed.groupBy(*chunk, "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    inside = Window.partitionBy(*chunk).orderBy("t")
+    whole = Window.partitionBy(*chunk)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = times.withColumn("starts", F.sum("up").over(upto)).withColumn("ends", F.sum("down").over(upto)).withColumn("open", F.col("starts") - F.col("ends"))
+
+    # Where a chunk closes, its number of open intervals is at its least. So its last closing, if it has one, and the first start behind that are known before the ranks are.
+    least = ranked.withColumn("least", F.min("open").over(whole)).withColumn("last", F.max(F.when(F.col("open") == F.col("least"), F.col("t"))).over(whole))
+    is_start = F.col("up") > 0
+    of_chunk = least.groupBy(*chunk).agg(
+        F.sum("up").alias("ups"), F.sum("down").alias("downs"), F.first("least").alias("least"), F.first("last").alias("last"),
+        F.min(F.when(is_start, F.col("t"))).alias("first_start"), F.min(F.when(is_start & (F.col("t") > F.col("last")), F.col("t"))).alias("next_start"),
+    )
+    before = Window.partitionBy(*entity).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = of_chunk.withColumn("starts0", F.coalesce(F.sum("ups").over(before), F.lit(0))).withColumn("ends0", F.coalesce(F.sum("downs").over(before), F.lit(0)))
+    held = F.col("starts0") - F.col("ends0")
+    closed = F.when(held + F.col("least") == 0, F.col("last"))
+    opened = F.when(closed.isNotNull(), F.col("next_start")).when(held == 0, F.col("first_start"))
+    carried = sums.select(*chunk, "starts0", "ends0", F.last(opened, ignorenulls=True).over(before).alias("opened0"), F.last(closed, ignorenulls=True).over(before).alias("closed0"))
+
+    both = ranked.join(carried, chunk)
+    start_rank, end_rank = F.col("starts0") + F.col("starts"), F.col("ends0") + F.col("ends")
+    closes = start_rank == end_rank
+    opens = is_start & (start_rank - F.col("up") == end_rank - F.col("down"))
+    marked = both.withColumn("closes", closes).withColumn("opens", opens).where("closes or opens")
+    last = lambda flag, carry: F.coalesce(F.last(F.when(F.col(flag), F.col("t")), ignorenulls=True).over(upto), F.col(carry))
+    found = marked.select(*entity, "t", "closes", F.when(F.col("closes"), last("opens", "opened0")).otherwise(last("closes", "closed0")).alias("from")).where("from is not null")
     back = [F.when(F.col("_nulls").bitwiseAND(1 << i) == 0, F.col(x)).alias(k) for i, (k, x) in enumerate(zip(keys, flat))]
-    return found.select(
-        "kind", *back, F.when(is_gap, F.col("e")).otherwise(F.col("s")).alias("start_at"), F.when(is_gap, F.col("s")).otherwise(F.col("e")).alias("end_at")
-    )
+    return found.select(F.when(F.col("closes"), "period").otherwise("gap").alias("kind"), *back, F.col("from").alias("start_at"), F.col("t").alias("end_at"))
 
 
 def roi_periods(roi: DataFrame) -> DataFrame:
     """Periods and gaps of detections per recording and band: (kind, rec_id, min_f, max_f, start_e5, end_e5).
 
-    Band edges are rounded to whole Hz and times counted in units of 0.00001 s.
+    Band edges are rounded to whole Hz and times counted in units of 0.00001 s. Times and edges
+    that are no finite numbers up to 9e12 either way have no such unit and count as missing.
     """
     e5 = lambda c: F.round(F.col(c) * 100000)
     finite = lambda c: F.when(F.col(c).between(-9e12, 9e12), F.col(c))

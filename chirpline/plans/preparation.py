@@ -82,12 +82,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.capped_catalogue(table(spark, d, "catalogue"))
 
 
+def p5_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Records capped by recordist and by place at once."""
+    return capping.shared_catalogue(table(spark, d, "catalogue"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.roi_periods(table(spark, d, "roi"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_packs, p1_compacted, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_all, p4_salvaged, p4_faults, p5_found, p6_found)
+    f.__name__: f for f in (p1_found, p1_packs, p1_compacted, p2_found, p2_series, p3_found, p3_stamps, p3_zones, p4_found, p4_records, p4_all, p4_salvaged, p4_faults, p5_found, p5_shared, p6_found)
 }
 
 # Label lines by regular expressions: FIELD is a quoted or plain field, NUM a decimal number.

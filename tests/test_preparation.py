@@ -353,17 +353,33 @@ def brute_matching(records, capacity):
     return kept
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suitor_matching_against_greedy(spark, seed):
+@pytest.mark.parametrize("finish", [0, 40, 10**6])
+@pytest.mark.parametrize("seed", range(2))
+def test_suitor_matching_against_greedy(spark, seed, finish):
     rnd = random.Random(seed)
     records = {i: (rnd.randint(0, 9), set(rnd.choices(["hot", "hot", "a", "b", "c", "d"], k=rnd.randint(1, 3)))) for i in range(80)}
     edges = [(i, c, w) for i, (w, cs) in records.items() for c in cs]
     df = spark.createDataFrame(edges + edges[:20] + [(None, "a", 1), (5000, None, 1)], "record long, contributor string, w int")
-    got = capping.suitor_b_matching(df, 4, ["w"])
+    got = capping.suitor_b_matching(df, 4, ["w"], finish)
     assert {r.record for r in got.collect()} == brute_matching(records, 4)
     assert max(r["count"] for r in got.groupBy("contributor").count().collect()) <= 4
 
 
+def test_a_chain_of_shared_contributors_ends(spark):
+    chain = [(i, f"c{i + k}", i) for i in range(400) for k in (0, 1)]
+    got = capping.suitor_b_matching(spark.createDataFrame(chain, "record long, contributor string, w int"), 1, ["w"]).collect()
+    assert {r.record for r in got} == set(range(0, 400, 2))
+
+
+def test_shared_catalogue_against_greedy(spark, data):
+    catalogue = spark.read.parquet(f"{data}/catalogue.parquet")
+    records = defaultdict(lambda: [(9, 0), set()])
+    for r in capping.catalogue_edges(catalogue, {"loc": "loc:"}).collect():
+        records[r.record][0] = min(records[r.record][0], (r.grade, r.shortness))
+        records[r.record][1].add(r.contributor)
+    assert {int(r.id) for r in capping.shared_catalogue(catalogue, 3).collect()} == brute_matching(records, 3)
+
+
 def test_capped_catalogue(spark):
     rows = [(str(i), " Hot Rec " if i % 2 else "hot rec", "B", "1:00") for i in range(20)] + [("100", "hot REC", " a ", "x"), ("101", "hot rec", "A", "0:10"), ("102", "hot rec", None, "9:59")]
     rows += [(str(200 + i), "few", "A", "1:00") for i in range(12)] + [(None, "hot rec", "A", "1:00"), ("bad", "hot rec", "A", "1:00"), ("300", None, "A", "1:00"), ("301", " ", "A", "1:00")]
@@ -395,13 +411,13 @@ def brute_periods(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_periods_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, chunk_units", [(0, 1), (1, 7), (2, 50), (3, 10**6)])
+def test_periods_against_brute_force(spark, seed, chunk_units):
     rnd = random.Random(seed)
     rows = [(rnd.choice([1, 1, 1, 2, None]), s, s + rnd.choice([0, -3, 1, 5, 40])) for s in (rnd.randint(0, 400) for _ in range(120))]
     rows += rows[:30] + [(1, None, 5), (2, 5, None), (7, 10, 20), (7, 20, 30), (7, 10, 20)]
     df = spark.createDataFrame([(k, s, e, "x", 1) for k, s, e in rows], "k long, s long, e long, kind string, t int")
-    got = {(r.kind, r.k, r.start_at, r.end_at) for r in intervals.periods_and_gaps(df, ["k"], F.col("s"), F.col("e"), chunk_units=50).collect()}
+    got = {(r.kind, r.k, r.start_at, r.end_at) for r in intervals.periods_and_gaps(df, ["k"], F.col("s"), F.col("e"), chunk_units=chunk_units).collect()}
     assert got == brute_periods(rows)
 
 
