@@ -108,7 +108,7 @@ def zero_phase_butterworth(x: np.ndarray, fs: float, cut: tuple[float, ...], ord
     return np.fft.irfft(np.fft.rfft(ext) * butterworth_gain(f, fs, cut, order, kind), len(ext))[n - 1 : 2 * n - 1]
 
 
-def kaiser_sinc_taps(cut: tuple[float, float], fs: float, atten: float = 80, transition_bw: float = 0.2, bandpass: bool = True) -> np.ndarray:
+def kaiser_sinc_taps(cut: tuple[float, float], fs: float, atten: float = 80, transition_bw: float = 0.05, bandpass: bool = True) -> np.ndarray:
     """Taps of a Kaiser-windowed sinc filter; the number of taps follows from the attenuation and transition width."""
     width = (cut[1] - cut[0]) * transition_bw / (0.5 * fs)
     beta = 0.1102 * (atten - 8.7) if atten > 50 else 0.5842 * (atten - 21) ** 0.4 + 0.07886 * (atten - 21) if atten > 21 else 0.0

@@ -11,6 +11,7 @@ from chirpline.functions import decibel as db
 from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
+from chirpline.session import checkpoint
 
 QS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -92,40 +93,64 @@ def relative_hysteresis(frames: DataFrame, bin_std: float = 6.0, bin_per: float
     return im.hysteresis_cells(scaled, 1.0, 0.0, block)
 
 
-def fused_boxes(frames: DataFrame, high: float, low: float, rows: int, columns: int, block: int = im.BLOCK) -> DataFrame:
-    """Cells of the mask after binary closing with a rectangle of rows by columns, in blocks with a halo: (rec_id, t_idx, f_idx, v).
+def closed_mask(frames: DataFrame, cells: DataFrame, rows: int, columns: int, block: int = im.BLOCK) -> DataFrame:
+    """Binary closing of a mask of cells with a rectangle of rows by columns, as frames of 0 and 1: (rec_id, t_idx, v array).
 
-    The mask is that of the low threshold; ``high`` selects afterwards through ``im.hysteresis_cells``.
+    ``frames`` tells which frames and bins there are. Blocks have a halo of twice the rectangle's width.
     """
     import numpy as np
     import pandas as pd
 
     from chirpline.functions import kernels as kn
 
+    on = cells.groupBy("rec_id", "t_idx").agg(F.collect_set("f_idx").alias("on"))
+    bins = F.transform("v", lambda x, i: i.cast("long"))
+    marked = frames.select("rec_id", "t_idx", bins.alias("bins")).join(on, ["rec_id", "t_idx"], "left")
+    mask = marked.select("rec_id", "t_idx", F.transform("bins", lambda i: F.coalesce(F.array_contains("on", i), F.lit(False)).cast("double")).alias("v"))
+
     def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
-        closed = kn.closing((image > low).astype(np.int8), rows, columns)[:, start:end]
-        v = np.where(closed > 0, np.maximum(image[:, start:end], low + 1e-9), image[:, start:end])
-        return pd.DataFrame({"t_idx": np.arange(start, end) + t0, "v": [v[:, i] for i in range(end - start)]})
+        closed = kn.closing((image > 0).astype(np.int8), rows, columns)[:, start:end].astype(float)
+        return pd.DataFrame({"t_idx": np.arange(start, end) + t0, "v": [closed[:, i] for i in range(end - start)]})
+
+    return im.in_blocks(mask, kernel, "t_idx long, v array<double>", 2 * columns, block).select("rec_id", "t_idx", "v")
+
 
-    closed = im.in_blocks(frames, kernel, "t_idx long, v array<double>", 2 * columns, block)
-    return im.hysteresis_cells(closed.select("rec_id", "t_idx", "v"), high, low, block)
+def fused_boxes(frames: DataFrame, high: float, low: float, rows: int, columns: int, block: int = im.BLOCK) -> DataFrame:
+    """Cells of the hysteresis mask after binary closing, with the component they lie in: (rec_id, t_idx, f_idx, v, roi).
+
+    Hysteresis first, so that a weak blob beside a strong one is gone before the mask is closed; v is 1.
+    """
+    closed = closed_mask(frames, im.hysteresis_cells(frames, high, low, block), rows, columns, block)
+    return im.hysteresis_cells(closed, 0.5, 0.5, block)
 
 
-def region_index(frames: DataFrame, df: float, dt: float, seed: float = 13.0, low: float = 6.0, denoise: bool = True, **limits: float) -> DataFrame:
+def region_index(
+    frames: DataFrame, df: float, dt: float, seed: float = 13.0, low: float = 6.0, rain: bool = True, denoise: bool = True, fusion: tuple[float, float] | None = None,
+    min_duration: float | None = 0.025, max_duration: float | None = None, min_bw: float | None = 50, max_bw: float | None = None, **limits: object,
+) -> DataFrame:
     """ROIs per minute and covered share from a power spectrogram: (rec_id, n_roi, a_roi).
 
-    Power to dB; the smoothed medians of the frames (rain), then of the bins, are subtracted;
-    hysteresis at ``seed`` and ``low`` dB gives the ROIs.
+    Power to dB, cut to a range of 96 dB below 0 and raised by it; the mean of each frame (rain)
+    and then the median of each bin are subtracted; hysteresis at ``seed`` and ``low`` dB gives the
+    mask, closed over ``fusion`` seconds and Hz if given. Components below or above the area that
+    durations and bandwidths span are dropped, as published in cells for seconds times Hz.
     """
-    v = F.transform("v", lambda x: 10 * F.log10(F.greatest(x, F.lit(db.MIN))))
+    v = F.transform("v", lambda x: F.greatest(F.least(10 * F.log10(F.greatest(x, F.lit(db.MIN))), F.lit(0.0)), F.lit(-96.0)) + 96)
     level = frames.select("rec_id", "t_idx", v.alias("v"))
     if denoise:
-        cells = im.as_cells(level)
-        rain = im.subtract_background(cells, 25, axis="t_idx").withColumnRenamed("out", "p")
-        clean = im.subtract_background(rain, 25)
-        level = clean.groupBy("rec_id", "t_idx").agg(F.sort_array(F.collect_list(F.struct("f_idx", "out"))).alias("s")).select("rec_id", "t_idx", F.col("s.out").alias("v"))
+        if rain:
+            mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
+            level = level.withColumn("_m", mean).select("rec_id", "t_idx", F.transform("v", lambda x: F.greatest(x - F.col("_m"), F.lit(0.0))).alias("v"))
+        medians = im.as_cells(level).groupBy("rec_id", "f_idx").agg(F.percentile("p", F.lit(0.5)).alias("m"))
+        # one array of bins for each recording
+        profile = medians.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("f_idx", "m"))).alias("s")).select("rec_id", F.col("s.m").alias("m"))
+        level = level.join(profile, "rec_id").select("rec_id", "t_idx", F.zip_with("v", "m", lambda x, m: F.greatest(x - m, F.lit(0.0))).alias("v"))
+    level = checkpoint(level)
     extents = level.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_frames"), F.max(F.size("v")).alias("n_bins"))
-    return im.roi_index(im.roi_boxes(im.hysteresis_cells(level, seed, low)), extents, df, dt, **limits)
+    cells = fused_boxes(level, seed, low, round(fusion[1] / df), round(fusion[0] / dt)) if fusion else im.hysteresis_cells(level, seed, low)
+    area = lambda a, b: a * b if a is not None and b is not None else None
+    boxes = im.roi_boxes(cells, area(min_duration, min_bw) or 0, area(max_duration, max_bw))
+    return im.roi_index(boxes, extents, df, dt, min_duration, max_duration, min_bw, max_bw, **limits)
 
 
 def roi_total_and_cover(frames: DataFrame, dt: float, min_area: int = 9, max_area: int = 512 * 10000, max_ratio: float | None = None, bin_std: float = 6.0, bin_per: float = 0.5) -> DataFrame:

@@ -159,7 +159,7 @@ def hysteresis_cells(frames: DataFrame, high: float, low: float, block: int = BL
     return named.join(strong, "roi", "left_semi").select("rec_id", "t_idx", "f_idx", "v", "roi")
 
 
-def roi_boxes(cells: DataFrame, min_area: int = 1, max_area: int | None = None) -> DataFrame:
+def roi_boxes(cells: DataFrame, min_area: float = 1, max_area: float | None = None) -> DataFrame:
     """Box (edges included), area and weighted centre of each component: (rec_id, roi, min_y, min_x, max_y, max_x, area, centroid_y, centroid_x)."""
     g = cells.groupBy("rec_id", "roi").agg(
         F.min("f_idx").alias("min_y"), F.min("t_idx").alias("min_x"), F.max("f_idx").alias("max_y"), F.max("t_idx").alias("max_x"), F.count(F.lit(1)).alias("area"),
@@ -168,27 +168,39 @@ def roi_boxes(cells: DataFrame, min_area: int = 1, max_area: int | None = None)
     return g.where((F.col("area") >= min_area) & (F.col("area") <= (max_area if max_area is not None else 2**62)))
 
 
-def roi_index(boxes: DataFrame, extents: DataFrame, df: float, dt: float, min_duration: float | None = 0.025, max_duration: float | None = None, min_bw: float | None = 50, max_bw: float | None = None, flim_min: float | None = 50, max_ratio: float | None = 10) -> DataFrame:
+def roi_index(
+    boxes: DataFrame, extents: DataFrame, df: float, dt: float, min_duration: float | None = 0.025, max_duration: float | None = None, min_bw: float | None = 50, max_bw: float | None = None,
+    flim_min: float | tuple[float, float] | None = 50, flim_max: float | tuple[float, float] | None = None, max_ratio: float | None = 10,
+) -> DataFrame:
     """Number of ROIs per minute and share of the area they cover in percent: (rec_id, n_roi, a_roi).
 
-    ``extents`` has rec_id, n_frames and n_bins. ROIs that start at or below ``flim_min`` lose
-    their cells; those rejected for duration, bandwidth or ratio keep them in the area, as
-    published. A ROI of a single column has an infinite ratio.
+    ``extents`` has rec_id, n_frames and n_bins. ``flim_min`` erases ROIs that start at or below
+    it, or with two values also those that start at or above the second; ``flim_max`` does the
+    same with the upper edges of ROIs. Erased ROIs lose their cells; those rejected for duration,
+    bandwidth or ratio keep them in the area, as published. A ROI of a single column has an
+    infinite ratio.
     """
     duration, bw = (F.col("max_x") - F.col("min_x")) * dt, (F.col("max_y") - F.col("min_y")) * df
     ratio = F.when(F.col("max_x") > F.col("min_x"), (F.col("max_y") - F.col("min_y")) / (F.col("max_x") - F.col("min_x"))).otherwise(F.lit(float("inf")))
     ok = F.lit(True)
     for value, lo, hi in ((duration, min_duration, max_duration), (bw, min_bw, max_bw)):
         ok = ok & (value >= lo if lo is not None else F.lit(True)) & (value <= hi if hi is not None else F.lit(True))
-    low_cut = F.col("min_y") <= (max(1, round(flim_min / df)) if flim_min is not None else -1)
-    counted = ok & ~low_cut & (ratio < max_ratio if max_ratio is not None else F.lit(True))
-    erased = ok & low_cut
-    g = boxes.groupBy("rec_id").agg(F.sum(counted.cast("long")).alias("n"), F.sum(F.when(~erased, F.col("area")).otherwise(0)).alias("cells"))
-    return extents.join(g, "rec_id", "left").select(
-        "rec_id",
-        (F.coalesce("n", F.lit(0)) / ((F.col("n_frames") - 1) * dt / 60)).alias("n_roi"),
-        (F.coalesce("cells", F.lit(0)) / (F.col("n_frames") * F.col("n_bins")) * 100).alias("a_roi"),
-    )
+    both = extents.join(boxes, "rec_id", "left")
+    last = F.col("n_frames") - 1
+    erased = F.lit(False)
+    if flim_min is not None:
+        lo, *hi = flim_min if isinstance(flim_min, (tuple, list)) else (flim_min,)
+        erased = erased | (F.col("min_y") <= max(1, round(lo / df)))
+        if hi:
+            erased = erased | (F.col("min_y") >= F.least(last, F.lit(round(hi[0] / df))))
+    if flim_max is not None:
+        lo, *hi = flim_max if isinstance(flim_max, (tuple, list)) else (flim_max,)
+        erased = erased | (F.col("max_y") <= F.least(last, F.lit(round(lo / df))))
+        if hi:
+            erased = erased | (F.col("max_y") >= round(hi[0] / df) + 1)
+    counted = ok & ~erased & (ratio < max_ratio if max_ratio is not None else F.lit(True))
+    g = both.groupBy("rec_id", "n_frames", "n_bins").agg(F.sum(F.coalesce(counted, F.lit(False)).cast("long")).alias("n"), F.sum(F.when(~(ok & erased), F.col("area")).otherwise(0)).alias("cells"))
+    return g.select("rec_id", (F.col("n") / ((F.col("n_frames") - 1) * dt / 60)).alias("n_roi"), (F.col("cells") / (F.col("n_frames") * F.col("n_bins")) * 100).alias("a_roi"))
 
 
 def paint(cells: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -61,17 +61,32 @@ def avg_amplitude(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*BIN).agg(F.first("fn").alias("fn"), F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("a"))
 
 
+def octave_centres(grid: Grid, centres: tuple[float, ...] = THIRD_OCTAVES) -> list[float]:
+    """The centres on the frequency axis."""
+    return [float(c) for c in centres if 0 <= c <= grid.top()]
+
+
 def octave_map(cells: DataFrame, grid: Grid, centres: tuple[float, ...] = THIRD_OCTAVES) -> DataFrame:
     """Bins with the octave bands that hold them: (f_idx, band, centre). Bands reach a factor 2^0.1666666 both ways, for octaves too."""
-    inside = [c for c in centres if 0 <= c <= grid.top()]
     k = 2**0.1666666
-    rows = [(i, b, float(c)) for b, c in enumerate(inside) for i in range(grid.n) if c / k <= grid.fn(i) <= c * k]
+    rows = [(i, b, c) for b, c in enumerate(octave_centres(grid, centres)) for i in range(grid.n) if c / k <= grid.fn(i) <= c * k]
     return cells.sparkSession.createDataFrame(rows, "f_idx long, band long, centre double")
 
 
 def octave_bands(cells: DataFrame, grid: Grid, centres: tuple[float, ...] = THIRD_OCTAVES, value: str = "p") -> DataFrame:
-    """Power of each frame per band: (rec_id, t_idx, band, centre, value). The map has a row per bin and is broadcast."""
-    return cells.join(F.broadcast(octave_map(cells, grid, centres)), "f_idx").groupBy(*FRAME, "band", "centre").agg(F.sum(value).alias(value))
+    """Power of each frame per band: (rec_id, t_idx, band, centre, value). The map has a row per bin and is broadcast.
+
+    A band between two bins holds none and is 0 in every frame; its zeros come with the frame's first bin.
+    """
+    k = 2**0.1666666
+    empty = [(b, c) for b, c in enumerate(octave_centres(grid, centres)) if not any(c / k <= grid.fn(i) <= c * k for i in range(grid.n))]
+    bands = octave_map(cells, grid, centres)
+    if empty:
+        bands = bands.withColumn("w", F.lit(1.0)).unionByName(cells.sparkSession.createDataFrame([(0, b, c, 0.0) for b, c in empty], "f_idx long, band long, centre double, w double"))
+    else:
+        bands = bands.withColumn("w", F.lit(1.0))
+    weighted = F.when(F.col("w") > 0, F.col(value)).otherwise(0.0)
+    return cells.join(F.broadcast(bands), "f_idx").groupBy(*FRAME, "band", "centre").agg(F.sum(weighted).alias(value))
 
 
 def into_bins(spectrum: DataFrame, grid: Grid, step: float, value: str = "p") -> DataFrame:
@@ -282,7 +297,7 @@ def tfsd(cells: DataFrame, grid: Grid, lo: float = 2000, hi: float = 8000, centr
     dt = F.col("g") - F.lag("g").over(Window.partitionBy("rec_id", "band").orderBy("t_idx"))
     over_t = bands.withColumn("dt", dt).where("dt is not null")
     df = F.lead("dt").over(Window.partitionBy("rec_id", "t_idx").orderBy("band")) - F.col("dt")
-    inside = [c for c in centres if 0 <= c <= grid.top()][:-1]
+    inside = octave_centres(grid, centres)[:-1]
     near = lambda f: min(range(len(inside)), key=lambda b: (abs(inside[b] - f), b))
     cross = over_t.withColumn("df", F.abs(df)).where("df is not null")
     part = F.sum(F.when(F.col("band").between(near(lo), near(hi)), F.col("df")).otherwise(0.0))

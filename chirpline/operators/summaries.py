@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chirpline.session import checkpoint
+
 # Date keys by their strftime notation.
 DATE_KEYS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%m-%d": "MM-dd", "%H:%M": "HH:mm", "%a": "E", "%y-%m-%d": "yy-MM-dd"}
 
@@ -66,19 +70,46 @@ def graphical_soundscape(peaks: DataFrame, extents: DataFrame, hours: DataFrame,
     return grid.join(sums, ["hour", "f_idx"], "left").select("hour", "f_idx", (F.coalesce("s", F.lit(0.0)) / F.col("k")).alias("density"))
 
 
-def false_colour(per_bin: DataFrame, red: str, green: str, blue: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Three per-bin indices cut to their percentiles and scaled to 0..255: (rec_id, f_idx, r, g, b).
+def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float]:
+    """Exact quantiles of all non-null values, between two neighbours by linear interpolation; NaN counts as the largest. Empty if there are no values.
 
-    The percentiles are sketched with bounded memory; below the sketch's accuracy of rows they are
-    values of the data.
+    The values are ordered by ranges and written once; the sizes of the ranges, one number each,
+    tell in which of them a rank lies, and only the values of the wanted ranks reach the driver.
+    """
+    part = F.spark_partition_id()
+    ordered = checkpoint(df.select(F.col(column).cast("double").alias("v")).where("v is not null").repartitionByRange("v").sortWithinPartitions("v").withColumn("part", part))
+    sizes = {r.part: r.n for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    if not total:
+        return []
+    bases, base = {}, 0
+    for k in sorted(sizes):
+        bases[k], base = base, base + sizes[k]
+    wanted = sorted({r for q in qs for r in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
+    starts = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv])
+    ranks = ordered.where(F.col("part").isin([k for k in bases if any(bases[k] <= r < bases[k] + sizes[k] for r in wanted)])).withColumn("rank", inside + starts[F.col("part")])
+    at = {r.rank: r.v for r in ranks.where(F.col("rank").isin(wanted)).collect()}
+    out = []
+    for q in qs:
+        x = q * (total - 1)
+        lo, hi = at[math.floor(x)], at[math.ceil(x)]
+        out.append(lo + (hi - lo) * (x - math.floor(x)))
+    return out
+
+
+def false_colour(per_bin: DataFrame, red: str, green: str, blue: str, low: float = 0.01, high: float = 0.99, reverse: bool = False) -> DataFrame:
+    """Three per-bin indices cut to their percentiles and scaled to 0..255, from 255 to 0 with ``reverse``: (rec_id, f_idx, r, g, b).
+
+    The percentiles are exact and interpolated; the values left by the cut span the scale.
     """
-    names = [red, green, blue]
-    limits = per_bin.agg(*[F.percentile_approx(c, [low, high], 100_000).alias(c) for c in names]).first()
+    limits = {c: exact_quantiles(per_bin, c, [low, high]) or [0.0, 0.0] for c in (red, green, blue)}
 
     def scaled(c: str, out: str) -> Column:
-        lo, hi = (float(x) for x in limits[c])
+        lo, hi = limits[c]
         cut = F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
-        return F.round((cut - lo) / (F.lit(hi - lo) if hi > lo else F.lit(1.0)) * 255).cast("long").alias(out)
+        share = (cut - lo) / (F.lit(hi - lo) if hi > lo else F.lit(1.0))
+        return F.round((1 - share if reverse else share) * 255).cast("long").alias(out)
 
     return per_bin.select("rec_id", "f_idx", scaled(red, "r"), scaled(green, "g"), scaled(blue, "b"))
 

@@ -37,7 +37,7 @@ def avg_amp_spectrum(spark, d):
 _THIRD = "(VALUES " + ", ".join(f"({i}, {float(c)}::DOUBLE)" for i, c in enumerate(sp.THIRD_OCTAVES[: sum(c <= 15750 for c in sp.THIRD_OCTAVES)])) + ") AS o(band, centre)"
 
 
-@q(f"WITH {SPEC} SELECT rec_id, t_idx, CAST(band AS BIGINT) AS band, centre, {R('sum(p)', 'p')} FROM spec, {_THIRD} WHERE fn BETWEEN centre / pow(2, 0.1666666::DOUBLE) AND centre * pow(2, 0.1666666::DOUBLE) GROUP BY 1, 2, 3, 4")
+@q(f"WITH {SPEC} SELECT rec_id, t_idx, CAST(band AS BIGINT) AS band, centre, {R('coalesce(sum(p) FILTER (WHERE fn BETWEEN centre / pow(2, 0.1666666::DOUBLE) AND centre * pow(2, 0.1666666::DOUBLE)), 0)', 'p')} FROM spec, {_THIRD} GROUP BY 1, 2, 3, 4")
 def octave_bands(spark, d):
     return rounded(sp.octave_bands(cells(spark, d), G))
 
@@ -157,7 +157,7 @@ def spectral_events(spark, d):
 
 
 def _tfsd(lo: int, hi: int) -> str:
-    return f"""oc AS (SELECT rec_id, t_idx, band, sum(log10(greatest(a, {M}))) AS g FROM spec, {_THIRD} WHERE fn BETWEEN centre / pow(2, 0.1666666::DOUBLE) AND centre * pow(2, 0.1666666::DOUBLE) GROUP BY 1, 2, 3),
+    return f"""oc AS (SELECT rec_id, t_idx, band, coalesce(sum(log10(greatest(a, {M}))) FILTER (WHERE fn BETWEEN centre / pow(2, 0.1666666::DOUBLE) AND centre * pow(2, 0.1666666::DOUBLE)), 0) AS g FROM spec, {_THIRD} GROUP BY 1, 2, 3),
  ot AS (SELECT *, g - lag(g) OVER (PARTITION BY rec_id, band ORDER BY t_idx) AS dt FROM oc),
  tf AS (SELECT rec_id, sum(f) FILTER (WHERE band BETWEEN {lo} AND {hi}) / sum(f) AS tfsd FROM (SELECT *, abs(lead(dt) OVER (PARTITION BY rec_id, t_idx ORDER BY band) - dt) AS f FROM ot WHERE dt IS NOT NULL) GROUP BY 1)"""
 

@@ -160,7 +160,7 @@ def graphical_soundscape(spark, d):
 
 
 @q(f"""WITH {SPEC}, f AS (SELECT rec_id, f_idx, avg(p) AS m, var_pop(p) AS v, max(p) AS x FROM spec GROUP BY 1, 2),
-  l AS (SELECT quantile_disc(m, 0.01) AS ml, quantile_disc(m, 0.99) AS mh, quantile_disc(v, 0.01) AS vl, quantile_disc(v, 0.99) AS vh, quantile_disc(x, 0.01) AS xl, quantile_disc(x, 0.99) AS xh FROM f)
+  l AS (SELECT quantile_cont(m, 0.01) AS ml, quantile_cont(m, 0.99) AS mh, quantile_cont(v, 0.01) AS vl, quantile_cont(v, 0.99) AS vh, quantile_cont(x, 0.01) AS xl, quantile_cont(x, 0.99) AS xh FROM f)
   SELECT rec_id, f_idx, CAST(round((least(greatest(m, ml), mh) - ml) / (mh - ml) * 255) AS BIGINT) AS r, CAST(round((least(greatest(v, vl), vh) - vl) / (vh - vl) * 255) AS BIGINT) AS g, CAST(round((least(greatest(x, xl), xh) - xl) / (xh - xl) * 255) AS BIGINT) AS b FROM f, l""")
 def false_colour_rgb(spark, d):
     f = cells(spark, d).groupBy("rec_id", "f_idx").agg(F.avg("p").alias("m"), F.var_pop("p").alias("v"), F.max("p").alias("x"))
