@@ -10,7 +10,7 @@ from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
 from chirpline.operators import summaries as sm
-from chirpline.plans.pictures import boxes, frames
+from chirpline.plans.pictures import BOXES, ROI_INDEX, boxes, frames, hysteresis_sql
 from chirpline.plans.registry import DF, DT, ENV, FS, M, NT, SIG, SPEC, R, Registry, cells, rounded, signals
 from chirpline.plans.spectral import EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
 from chirpline.plans.temporal import evn, mom
@@ -55,9 +55,11 @@ def all_spectral_per_bin(spark, d):
     return rounded(ft.spectral_per_bin(cells(spark, d), G))
 
 
-@q()
+@q(f"""{S}, {LAGS}, hh AS {hn('p', 'spec', 'rec_id, f_idx', 'h')}, st AS (SELECT rec_id, f_idx, sum(abs(d1)) / sum(a) AS aci FROM lg GROUP BY 1, 2),
+  al AS (SELECT rec_id, f_idx, fn, {R('p', 'LTS')}, {R('aci', 'ACI')}, {R('h', 'Ht')} FROM sa JOIN st USING (rec_id, f_idx) JOIN hh USING (rec_id, f_idx))
+  SELECT rec_id, list(fn ORDER BY f_idx) AS fn, list(LTS ORDER BY f_idx) AS LTS, list(ACI ORDER BY f_idx) AS ACI, list(Ht ORDER BY f_idx) AS Ht FROM al GROUP BY 1""")
 def per_bin_lists(spark, d):
-    return ft.as_lists(ft.spectral_per_bin(cells(spark, d), G), ["fn", "LTS", "ACI", "Ht"])
+    return ft.as_lists(rounded(ft.spectral_per_bin(cells(spark, d), G)), ["fn", "LTS", "ACI", "Ht"])
 
 
 @q(f"WITH {SPEC}, t AS (SELECT rec_id, quantile_cont(p, 0.75) AS q3, quantile_cont(p, 0.25) AS q1 FROM spec WHERE p > 0 GROUP BY 1) SELECT rec_id, {R('q3 + (q3 - q1) * 6', 'high')}, {R('(q3 + (q3 - q1) * 6) * 0.5', 'low')} FROM t")
@@ -65,24 +67,38 @@ def mask_thresholds(spark, d):
     return rounded(ft.relative_thresholds(cells(spark, d)))
 
 
-@q()
+_RELATIVE = """t AS (SELECT rec_id, q3 + (q3 - q1) * 1.5 AS high, (q3 + (q3 - q1) * 1.5) * 0.5 AS low FROM (SELECT rec_id, quantile_cont(a, 0.75) AS q3, quantile_cont(a, 0.25) AS q1 FROM spec WHERE a > 0 GROUP BY 1)),
+  sc AS (SELECT rec_id, t_idx, f_idx, (a - low) / (high - low) AS v FROM spec JOIN t USING (rec_id))"""
+
+
+@q(f"WITH RECURSIVE {SPEC}, {_RELATIVE}, {hysteresis_sql('sc', 1, 0)} SELECT rec_id, t_idx, f_idx FROM m")
 def mask_relative(spark, d):
     return ft.relative_hysteresis(frames(spark, d), 1.5).select("rec_id", "t_idx", "f_idx")
 
 
-@q()
+# closing with 3 x 3: cells whose neighbours inside the picture are all in the dilated mask; what lies outside counts as on
+@q(f"""WITH RECURSIVE {SPEC}, {hysteresis_sql('spec', 2.0, 0.9, v='a')}, o AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)), e AS (SELECT rec_id, max(t_idx) AS last FROM spec GROUP BY 1),
+  dl AS (SELECT DISTINCT rec_id, t_idx + a AS t_idx, f_idx + b AS f_idx FROM m JOIN e USING (rec_id), o WHERE t_idx + a BETWEEN 0 AND last AND f_idx + b BETWEEN 0 AND 63),
+  cl AS (SELECT s.rec_id, s.t_idx, s.f_idx FROM dl s JOIN e USING (rec_id), o LEFT JOIN dl n ON n.rec_id = s.rec_id AND n.t_idx = s.t_idx + a AND n.f_idx = s.f_idx + b
+    GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE n.rec_id IS NULL AND s.t_idx + a BETWEEN 0 AND last AND s.f_idx + b BETWEEN 0 AND 63) = 0)
+  SELECT rec_id, t_idx, f_idx FROM cl""")
 def mask_fused(spark, d):
-    return ft.fused_boxes(frames(spark, d), 2.0, 0.9, 3, 3).select("rec_id", "t_idx", "f_idx", "roi")
+    return ft.fused_boxes(frames(spark, d), 2.0, 0.9, 3, 3).select("rec_id", "t_idx", "f_idx")
 
 
-@q()
+_CLEAN = f"""lv AS (SELECT rec_id, t_idx, f_idx, greatest(least(10 * log10(greatest(a, {M})), 0), -96) + 96 AS p FROM spec), rn AS (SELECT rec_id, t_idx, f_idx, greatest(p - avg(p) OVER (PARTITION BY rec_id, t_idx), 0) AS p FROM lv),
+  cn AS (SELECT rec_id, t_idx, f_idx, greatest(p - quantile_cont(p, 0.5) OVER (PARTITION BY rec_id, f_idx), 0) AS v FROM rn)"""
+
+
+@q(f"WITH RECURSIVE {SPEC}, {_CLEAN}, {hysteresis_sql('cn', 3.0, 2.0)}, {BOXES}, {ROI_INDEX}")
 def region_index(spark, d):
-    return ft.region_index(frames(spark, d), DF, DT, seed=20.0, low=12.0)
+    return rounded(ft.region_index(frames(spark, d), DF, DT, seed=3.0, low=2.0, min_duration=0.025))
 
 
-@q()
+@q(f"""WITH RECURSIVE {SPEC}, {_RELATIVE}, {hysteresis_sql('sc', 1, 0)}, {BOXES}, ex AS (SELECT rec_id, count(DISTINCT t_idx) AS nf FROM spec GROUP BY 1)
+  SELECT ex.rec_id, {R('count(roi) / (any_value(nf) * 0.25 / 60)', 'roi_total')}, {R('coalesce(sum(area), 0) / (any_value(nf) * 64) * 100', 'roi_cover')} FROM ex LEFT JOIN (SELECT * FROM bx WHERE area >= 2) USING (rec_id) GROUP BY 1""")
 def roi_index_older(spark, d):
-    return ft.roi_total_and_cover(frames(spark, d), DT, min_area=2, bin_std=1.5)
+    return rounded(ft.roi_total_and_cover(frames(spark, d), DT, min_area=2, bin_std=1.5))
 
 
 @q()

@@ -11,7 +11,7 @@ from chirpline.functions import propagation as pg
 from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
-from chirpline.plans.registry import DF, DT, FS, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
+from chirpline.plans.registry import DF, DT, FS, M, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
 from chirpline.plans.spectral import G, S, _smooth
 from chirpline.session import table
 
@@ -121,37 +121,47 @@ def roi_centroid(spark, d):
     return rounded(im.box_centroids(cells(spark, d), boxes(spark, d)))
 
 
-@q(f"""WITH p AS (SELECT rec_id, roi_id, label, CAST(ceil(round(least(greatest(min_f, 0), 15750) / 250 - 0.5, 9)) AS BIGINT) AS min_y, CAST(ceil(round(least(greatest(min_t, 0), 99.75) / 0.25 - 0.5, 9)) AS BIGINT) AS min_x,
-    CAST(ceil(round(least(greatest(max_f, 0), 15750) / 250 - 0.5, 9)) AS BIGINT) AS max_y, CAST(ceil(round(least(greatest(max_t, 0), 99.75) / 0.25 - 0.5, 9)) AS BIGINT) AS max_x FROM roi WHERE min_t IS NOT NULL AND max_t IS NOT NULL AND min_f IS NOT NULL AND max_f IS NOT NULL)
+@q("""WITH p AS (SELECT rec_id, roi_id, label, CAST(ceil(round(least(greatest(min_f, 0), 15750) / 250 - 0.5, 9)) AS BIGINT) AS min_y, CAST(ceil(round(greatest(min_t, 0) / 0.25 - 0.5, 9)) AS BIGINT) AS min_x,
+    CAST(ceil(round(least(greatest(max_f, 0), 15750) / 250 - 0.5, 9)) AS BIGINT) AS max_y, CAST(ceil(round(greatest(max_t, 0) / 0.25 - 0.5, 9)) AS BIGINT) AS max_x FROM roi WHERE min_t IS NOT NULL AND max_t IS NOT NULL AND min_f IS NOT NULL AND max_f IS NOT NULL)
   SELECT *, min_y * CAST(250 AS DOUBLE) AS min_f, min_x * CAST(0.25 AS DOUBLE) AS min_t, max_y * CAST(250 AS DOUBLE) AS max_f, max_x * CAST(0.25 AS DOUBLE) AS max_t FROM p WHERE min_y <= max_y AND min_x <= max_x""")
 def roi_unit_conversion(spark, d):
-    return im.to_pixels(table(spark, d, "roi"), G, 400)
+    """On axes as long as the recordings' ROIs."""
+    return im.to_pixels(table(spark, d, "roi"), G, None)
 
 
-@q()
-def roi_unit_conversion_whole(spark, d):
-    """As roi_unit_conversion, whose SQL ends every recording at 99.75 s, on axes as long as the recordings' ROIs."""
-    return im.to_pixels(table(spark, d, "roi"), G, None)
+def hysteresis_sql(source: str, high: float, low: float, name: str = "m", v: str = "v") -> str:
+    """CTEs: {name} holds the cells of the components of v > low that hold one of v > high, with the smallest cell of the component as roi. Needs WITH RECURSIVE."""
+    return f"""{name}0 AS (SELECT rec_id, t_idx, f_idx, {v} AS v, t_idx * 4096 + f_idx AS l FROM {source} WHERE {v} > {low}),
+  {name}1 AS (SELECT rec_id, t_idx, f_idx, l FROM {name}0 UNION SELECT n.rec_id, n.t_idx, n.f_idx, c.l FROM {name}1 c JOIN {name}0 n ON n.rec_id = c.rec_id AND n.t_idx BETWEEN c.t_idx - 1 AND c.t_idx + 1 AND n.f_idx BETWEEN c.f_idx - 1 AND c.f_idx + 1),
+  {name}2 AS (SELECT rec_id, t_idx, f_idx, min(l) AS roi FROM {name}1 GROUP BY 1, 2, 3),
+  {name} AS (SELECT * FROM (SELECT *, max(v) OVER (PARTITION BY rec_id, roi) AS top FROM {name}2 JOIN {name}0 USING (rec_id, t_idx, f_idx)) WHERE top > {high})"""
+
+
+BOXES = """bx AS (SELECT rec_id, roi, min(f_idx) AS min_y, min(t_idx) AS min_x, max(f_idx) AS max_y, max(t_idx) AS max_x, count(*) AS area, sum(v * f_idx) / sum(v) AS centroid_y, sum(v * t_idx) / sum(v) AS centroid_x FROM m GROUP BY 1, 2)"""
+# ROIs at or below 50 Hz are erased with their cells; one cell is 250 Hz by 0.25 s
+ROI_INDEX = f"""ok AS (SELECT *, min_y <= 1 AS erased, (max_x - min_x) * 0.25 >= 0.025 AND (max_y - min_y) * 250 >= 50 AS ok, (max_y - min_y) < 10 * (max_x - min_x) AS narrow FROM bx WHERE area >= 1.25),
+  ex AS (SELECT rec_id, count(DISTINCT t_idx) AS nf FROM spec GROUP BY 1)
+  SELECT ex.rec_id, {R('count(*) FILTER (WHERE ok AND NOT erased AND narrow) / ((any_value(nf) - 1) * 0.25 / 60)', 'n_roi', 6)}, {R('coalesce(sum(area) FILTER (WHERE NOT (ok AND erased)), 0) / (any_value(nf) * 64) * 100', 'a_roi', 6)} FROM ex LEFT JOIN ok USING (rec_id) GROUP BY 1"""
 
 
 def _mask(spark, d):
     return im.hysteresis_cells(frames(spark, d), 2.0, 0.9)
 
 
-@q()
+@q(f"WITH RECURSIVE {SPEC}, {hysteresis_sql('spec', 2.0, 0.9, v='a')} SELECT rec_id, t_idx, f_idx FROM m")
 def mask_hysteresis(spark, d):
     return _mask(spark, d).select("rec_id", "t_idx", "f_idx")
 
 
-@q()
+@q(f"WITH RECURSIVE {SPEC}, {hysteresis_sql('spec', 2.0, 0.9, v='a')}, {BOXES} SELECT rec_id, min_y, min_x, max_y, max_x, area, {R('centroid_y', 'centroid_y')}, {R('centroid_x', 'centroid_x')} FROM bx")
 def components_bbox(spark, d):
-    return im.roi_boxes(_mask(spark, d))
+    return rounded(im.roi_boxes(_mask(spark, d)).drop("roi"))
 
 
-@q()
+@q(f"WITH RECURSIVE {SPEC}, {hysteresis_sql('spec', 2.0, 0.9, v='a')}, {BOXES}, {ROI_INDEX.replace(' WHERE area >= 1.25', '')}")
 def roi_index(spark, d):
     ext = frames(spark, d).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_frames"), F.max(F.size("v")).alias("n_bins"))
-    return im.roi_index(im.roi_boxes(_mask(spark, d)), ext, DF, DT)
+    return rounded(im.roi_index(im.roi_boxes(_mask(spark, d)), ext, DF, DT))
 
 
 def _template() -> np.ndarray:
@@ -159,14 +169,24 @@ def _template() -> np.ndarray:
     return np.exp(-((y - 20) ** 2) / 50 - (x - 2) ** 2)
 
 
-@q()
+# frames beyond the ends repeat the edge; the score of a frame is the correlation of the five frames around it
+@q(f"""WITH {SPEC}, e AS (SELECT rec_id, max(t_idx) AS last FROM spec GROUP BY 1), t AS (SELECT y, x, v - avg(v) OVER () AS v FROM (SELECT y, x, exp(-pow(y - 20, 2) / 50 - pow(x - 2, 2)) AS v FROM (SELECT unnest(range(0, 64)) AS y), (SELECT unnest(range(0, 5)) AS x))),
+  n AS (SELECT sqrt(sum(v * v)) AS norm FROM t), w AS (SELECT c.rec_id, c.t_idx, sum(s.a * t.v) AS cross_, sum(s.a * s.a) - pow(sum(s.a), 2) / 320 AS variance
+    FROM (SELECT DISTINCT rec_id, t_idx, last FROM spec JOIN e USING (rec_id)) c, t JOIN spec s ON s.rec_id = c.rec_id AND s.t_idx = greatest(0, least(c.last, c.t_idx + t.x - 2)) AND s.f_idx = t.y GROUP BY 1, 2),
+  z AS (SELECT rec_id, t_idx, cross_ / (sqrt(variance) * norm) AS score FROM w, n), p AS (SELECT *, lag(score) OVER k AS l, lead(score) OVER k AS r FROM z WINDOW k AS (PARTITION BY rec_id ORDER BY t_idx))
+  SELECT rec_id, t_idx * 0.25::DOUBLE AS peak_time, {R('score', 'xcorrcoef')}, greatest(t_idx * 0.25::DOUBLE - 0.625, 0) AS min_t, least(t_idx * 0.25::DOUBLE + 0.625, last * 0.25::DOUBLE) AS max_t FROM p JOIN e USING (rec_id) WHERE score > l AND score > r AND score >= 0.15""")
 def template_ncc(spark, d):
     return rounded(im.template_matches(frames(spark, d), _template(), DT, 0.15))
 
 
-@q()
+# erosion and dilation of the mean spectrum with a window of 50 bins, mirrored at the ends
+@q(f"""WITH {SPEC}, f AS (SELECT rec_id, f_idx AS i, avg(a) AS m FROM spec GROUP BY 1, 2), g AS (SELECT o, exp(-0.5 * pow((o - 24.5) / 25, 2)) AS g FROM (SELECT unnest(range(0, 50)) AS o)),
+  e AS (SELECT f.rec_id, f.i, min(b.m - g) AS m FROM f, g JOIN f b ON b.rec_id = f.rec_id AND b.i = CASE WHEN f.i + o - 25 < 0 THEN 24 - f.i - o WHEN f.i + o - 25 > 63 THEN 152 - f.i - o ELSE f.i + o - 25 END GROUP BY 1, 2),
+  n AS (SELECT e.rec_id, e.i, max(b.m + g) AS m FROM e, g JOIN e b ON b.rec_id = e.rec_id AND b.i = CASE WHEN e.i + 25 - o < 0 THEN o - 26 - e.i WHEN e.i + 25 - o > 63 THEN 102 - e.i + o ELSE e.i + 25 - o END GROUP BY 1, 2),
+  z AS (SELECT n.rec_id, n.i AS f_idx, CASE WHEN n.i IN (0, 1, 62, 63) THEN f.m ELSE n.m END AS noise FROM n JOIN f USING (rec_id, i))
+  SELECT rec_id, t_idx, f_idx, {R('(1 - 1 / (greatest(a / noise, 0) + 1)) * a', 'v')} FROM spec JOIN z USING (rec_id, f_idx)""")
 def bg_opening(spark, d):
-    return im.remove_background(frames(spark, d))
+    return rounded(im.as_cells(im.remove_background(frames(spark, d))).withColumnRenamed("p", "v"))
 
 
 @q()
@@ -180,7 +200,8 @@ def cwt_rois(spark, d):
     return im.cwt_rois(s, 8.0, (0.5, 3.0), 4.0)
 
 
-@q()
+@q("""SELECT 'shp_' || lpad(CAST(k * 4 + t * 2 + f + 1 AS VARCHAR), 3, '0') AS shp, t * pi() / 2 AS theta, CASE f WHEN 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS freq, CAST(k + 1 AS INTEGER) AS pyr_level, pow(2::DOUBLE, k) / CASE f WHEN 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS scale
+  FROM (SELECT unnest(range(0, 4)) AS k), (SELECT unnest(range(0, 2)) AS t), (SELECT unnest(range(0, 2)) AS f)""")
 def shape_parameters(spark, d):
     return im.shape_params(spark)
 
@@ -195,32 +216,64 @@ def shape_roi_mean(spark, d):
     return im.shape_roi_features(frames(spark, d), boxes(spark, d))
 
 
-@q()
+@q(f"""{S}, x AS (SELECT rec_id, f_idx AS i, 20 * log10(greatest(a, {M})) AS v FROM sa), n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM x WINDOW w AS (PARTITION BY rec_id ORDER BY i)),
+  p AS (SELECT rec_id, i, v, (SELECT coalesce(max(b.i), -1) FROM x b WHERE b.rec_id = n.rec_id AND b.i < n.i AND b.v > n.v) AS lo, (SELECT coalesce(min(b.i), 64) FROM x b WHERE b.rec_id = n.rec_id AND b.i > n.i AND b.v > n.v) AS hi FROM n WHERE v > l AND v > r),
+  q AS (SELECT p.rec_id, p.v - min(b.v) FILTER (WHERE b.i <= p.i) AS up, p.v - min(b.v) FILTER (WHERE b.i >= p.i) AS down FROM p JOIN x b ON b.rec_id = p.rec_id AND b.i > lo AND b.i < hi GROUP BY p.rec_id, p.i, p.v)
+  SELECT rec_id, count(q.up) FILTER (WHERE up >= 1 AND down > 1) AS n_peaks FROM (SELECT DISTINCT rec_id FROM x) LEFT JOIN q USING (rec_id) GROUP BY 1""")
 def n_peaks_full(spark, d):
     s = sp.avg_amplitude(cells(spark, d)).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("f_idx", "a"))).alias("s")).select("rec_id", F.col("s.a").alias("v"))
     return im.n_peaks(s, DF)
 
 
-@q()
+def _long(arrays):
+    """Arrays of samples as rounded rows: (rec_id, i, x)."""
+    return rounded(sg.samples(arrays).select("rec_id", "i", "x"))
+
+
+def dft_sql(source: str, n: int, name: str = "d") -> str:
+    """A CTE with the real and imaginary part of each coefficient k of a series (rec_id, i, x) of n values."""
+    return f"{name} AS (SELECT rec_id, k, sum(x * cos(2 * pi() * (k * i % {n}) / {n})) AS re, -sum(x * sin(2 * pi() * (k * i % {n}) / {n})) AS im FROM {source}, (SELECT unnest(range(0, {n})) AS k) GROUP BY 1, 2)"
+
+
+# the series is extended oddly at both ends by 63 values, to 190; the squared Butterworth gain comes from prewarped frequencies
+@q(f"""WITH {SIG}, e AS (SELECT a.rec_id, a.i, CASE WHEN a.i < 63 THEN 2 * f.x - s.x WHEN a.i > 126 THEN 2 * l.x - s.x ELSE s.x END AS x FROM (SELECT rec_id, unnest(range(0, 190)) AS i FROM (SELECT DISTINCT rec_id FROM sig)) a
+    JOIN sig s ON s.rec_id = a.rec_id AND s.i = CASE WHEN a.i < 63 THEN 63 - a.i WHEN a.i > 126 THEN 189 - a.i ELSE a.i - 63 END JOIN sig f ON f.rec_id = a.rec_id AND f.i = 0 JOIN sig l ON l.rec_id = a.rec_id AND l.i = 63),
+  {dft_sql('e', 190)}, w AS (SELECT rec_id, k, re, im, tan(pi() * least(k, 190 - k) / 190) AS w, tan(pi() * 4 / 64) AS a, tan(pi() * 16 / 64) AS b FROM d),
+  g AS (SELECT rec_id, k, re * h AS re, im * h AS im FROM (SELECT *, CASE WHEN k = 0 OR k = 95 THEN 0 ELSE 1 / (1 + pow(pow((w * w - a * b) / (w * (b - a)), 2), 3)) END AS h FROM w))
+  SELECT rec_id, i - 63 AS i, {R('sum(re * cos(2 * pi() * (k * i % 190) / 190) - im * sin(2 * pi() * (k * i % 190) / 190)) / 190', 'x')} FROM g, (SELECT unnest(range(63, 127)) AS i) GROUP BY 1, 2""")
 def butter_bandpass(spark, d):
-    return im.map_arrays(signals(spark, d), lambda x: kn.zero_phase_butterworth(x, FS, (4.0, 16.0), 3))
+    return _long(im.map_arrays(signals(spark, d), lambda x: kn.zero_phase_butterworth(x, FS, (4.0, 16.0), 3)))
 
 
-@q()
+# 64 samples meet the first 64 taps; the Bessel function of the Kaiser window is summed
+_I0 = "list_sum(list_transform(range(0, 60), lambda j: pow(({x}) / 2, 2 * j) / pow(gamma(j + 1), 2)))"
+
+
+@q(f"""WITH {SIG}, c AS (SELECT CAST(ceil((80 - 7.95) / 2.285 / (pi() * (16 - 4) * 0.05 / 32) + 1) AS BIGINT) AS n, 0.1102 * (80 - 8.7) AS beta),
+  t AS (SELECT k, (k - (n - 1) / 2::DOUBLE) AS m, n, beta FROM c, (SELECT unnest(range(0, 64)) AS k)),
+  h AS (SELECT k, CASE WHEN m = 0 THEN 0.5 - 0.125 ELSE (sin(pi() * 0.5 * m) - sin(pi() * 0.125 * m)) / (pi() * m) END * {_I0.format(x='beta * sqrt(greatest(1 - pow(2 * m / (n - 1), 2), 0))')} / {_I0.format(x='beta')} AS h FROM t)
+  SELECT a.rec_id, a.i, {R('sum(b.x * h.h)', 'x')} FROM sig a JOIN sig b ON b.rec_id = a.rec_id AND b.i <= a.i JOIN h ON h.k = a.i - b.i GROUP BY 1, 2""")
 def sinc_bandpass(spark, d):
-    return im.map_arrays(signals(spark, d), lambda x: kn.causal_fir(x, kn.kaiser_sinc_taps((4.0, 16.0), FS)))
+    return _long(im.map_arrays(signals(spark, d), lambda x: kn.causal_fir(x, kn.kaiser_sinc_taps((4.0, 16.0), FS))))
 
 
-@q()
+@q(f"""WITH {SIG}, {dft_sql('sig', 64)}, h AS (SELECT rec_id, k, re * w AS re, im * w AS im FROM (SELECT *, CASE WHEN k IN (0, 32) THEN 1 WHEN k < 32 THEN 2 ELSE 0 END AS w FROM d)),
+  z AS (SELECT rec_id, i, sum(re * cos(2 * pi() * (k * i % 64) / 64) - im * sin(2 * pi() * (k * i % 64) / 64)) / 64 AS a, sum(re * sin(2 * pi() * (k * i % 64) / 64) + im * cos(2 * pi() * (k * i % 64) / 64)) / 64 AS b FROM h, (SELECT unnest(range(0, 64)) AS i) GROUP BY 1, 2)
+  SELECT rec_id, i, {R('sqrt(a * a + b * b)', 'x')} FROM z""")
 def envelope_hilbert(spark, d):
-    return im.map_arrays(signals(spark, d), kn.analytic_envelope)
+    return _long(im.map_arrays(signals(spark, d), kn.analytic_envelope))
 
 
-@q()
+# 48 of 64: coefficients up to 24, the last of them real and whole
+@q(f"""WITH {SIG}, {dft_sql('sig', 64)} SELECT rec_id, i, {R('sum(CASE WHEN k = 0 THEN re WHEN k = 24 THEN 2 * re * cos(pi() * i) ELSE 2 * (re * cos(2 * pi() * (k * i % 48) / 48) - im * sin(2 * pi() * (k * i % 48) / 48)) END) / 64', 'x')}
+  FROM d, (SELECT unnest(range(0, 48)) AS i) WHERE k <= 24 GROUP BY 1, 2""")
 def resample_fft(spark, d):
-    return im.map_arrays(signals(spark, d), lambda x: kn.resample(x, FS, 48.0))
+    return _long(im.map_arrays(signals(spark, d), lambda x: kn.resample(x, FS, 48.0)))
 
 
-@q()
+@q(f"""WITH {SIG}, {dft_sql('sig', 64)}, c AS (SELECT 293.15 AS kel, 60 * 101325 * pow(10::DOUBLE, -6.8346 * pow(273.16 / 293.15::DOUBLE, 1.261) + 4.6151) / 101325 AS h),
+  f AS (SELECT k, pow(k / 64::DOUBLE * 32, 2) AS f2, 24 + 4.04e4 * h * (0.02 + h) / (0.391 + h) AS fo, 9 + 280 * h AS fr FROM c, (SELECT unnest(range(0, 64)) AS k)),
+  g AS (SELECT k, 1 / 50::DOUBLE * exp(-8.686 * f2 * (1.84e-11 + 0.01275 * exp(-2239.1 / 293.15) / (fo + f2 / fo) + 0.1068 * exp(-3352 / 293.15) / (fr + f2 / fr)) / (20 * log10(exp(1))) * 49) * exp(-0.02 * sqrt(f2) / 1000 / 20 * log10(exp(1)) * 49) AS g FROM f)
+  SELECT rec_id, i, {R('sum(g * (re * cos(2 * pi() * (k * i % 64) / 64) - im * sin(2 * pi() * (k * i % 64) / 64))) / 64', 'x', 8)} FROM d JOIN g USING (k), (SELECT unnest(range(0, 64)) AS i) GROUP BY 1, 2""")
 def apply_attenuation(spark, d):
-    return pg.attenuate(signals(spark, d), FS, 50.0)
+    return rounded(sg.samples(pg.attenuate(signals(spark, d), FS, 50.0)).select("rec_id", "i", "x"), 8)

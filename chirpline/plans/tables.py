@@ -112,15 +112,9 @@ def topk_selection(spark, d):
     return catalogue.selection(c, 5)
 
 
-@q(f"WITH {META} SELECT CAST(hour(ts) AS BIGINT) AS hour, count(*) FILTER (WHERE sample_rate = 16000) AS sr_16000, count(*) FILTER (WHERE sample_rate = 48000) AS sr_48000 FROM meta WHERE ts IS NOT NULL GROUP BY 1")
+@q(f"WITH {META}, h AS (SELECT CAST(hour(ts) AS BIGINT) AS hour, 'sr_' || sample_rate AS rate FROM meta WHERE ts IS NOT NULL) FROM (PIVOT h ON rate USING count(*) GROUP BY hour)")
 def pivot_hour(spark, d):
-    p = _meta(spark, d).where("ts is not null").groupBy(F.hour("ts").cast("long").alias("hour")).pivot("sample_rate", [16000, 48000]).agg(F.count(F.lit(1)))
-    return p.select("hour", *[F.coalesce(f"`{r}`", F.lit(0)).alias(f"sr_{r}") for r in (16000, 48000)])
-
-
-@q()
-def pivot_hour_whole(spark, d):
-    """As pivot_hour, whose SQL has two rates only, with a column for every rate."""
+    """A column for every sample rate."""
     hours = _meta(spark, d).where("ts is not null").select(F.hour("ts").cast("long").alias("hour"), "sample_rate")
     return rl.counts_by_value(hours, "hour", "sample_rate", "sr_")
 
@@ -173,18 +167,12 @@ def leq_band_24h(spark, d):
     return rounded(c.groupBy("hour", "khz").agg((10 * F.log10(F.avg("p"))).alias("leq")))
 
 
-@q("""WITH t AS (SELECT gen, sp, CAST(floor((CAST(time[1:2] AS INT) * 60 + CAST(time[4:5] AS INT)) / 30) * 30 AS BIGINT) AS minute FROM catalogue WHERE regexp_full_match(time, '([01][0-9]|2[0-3]):[0-5][0-9]')),
-  c AS (SELECT gen, sp, minute, count(*) AS n FROM t GROUP BY 1, 2, 3), u AS (SELECT *, sum(n) OVER (PARTITION BY gen, sp ORDER BY n DESC, minute ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY gen, sp) AS total FROM c)
-  SELECT gen, sp, minute, n, round(upto / total, 6) + CAST(0 AS DOUBLE) AS cumulative FROM u WHERE upto - n < 0.5 * total""")
+@q(f"""WITH c AS (SELECT gen, sp, (CAST(split_part(time, ':', 1) AS BIGINT) * 60 + CAST(split_part(time, ':', 2) AS BIGINT)) // 30 * 30 AS minute, count(*) AS n FROM catalogue WHERE regexp_full_match(time, '([01]?[0-9]|2[0-3]):[0-5][0-9]') GROUP BY 1, 2, 3),
+  u AS (SELECT *, CAST(sum(n) OVER (PARTITION BY gen, sp ORDER BY n DESC, minute ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto, sum(n) OVER (PARTITION BY gen, sp) AS total FROM c),
+  l AS (SELECT *, min(n) FILTER (WHERE upto - n < 0.5 * total) OVER (PARTITION BY gen, sp) AS least FROM u)
+  SELECT gen, sp, minute, n, {R('upto / total', 'cumulative')} FROM l WHERE n >= least""")
 def activity_threshold_50(spark, d):
-    t = table(spark, d, "catalogue").where(F.col("time").rlike("^(?:[01][0-9]|2[0-3]):[0-5][0-9]$"))
-    minute = (F.floor((F.substring("time", 1, 2).cast("int") * 60 + F.substring("time", 4, 2).cast("int")) / 30) * 30).cast("long")
-    return rounded(sm.covering_buckets(t.groupBy("gen", "sp", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n")), ["gen", "sp"], "minute", "n"))
-
-
-@q()
-def activity_threshold_50_whole(spark, d):
-    """As activity_threshold_50, whose SQL takes two-digit hours only and cuts ties, with H:MM times and all tied buckets."""
+    """With H:MM times and all tied buckets."""
     t = table(spark, d, "catalogue").where(F.col("time").rlike("^(?:[01]?[0-9]|2[0-3]):[0-5][0-9]$")).withColumn("time", F.lpad("time", 5, "0"))
     minute = (F.floor((F.substring("time", 1, 2).cast("int") * 60 + F.substring("time", 4, 2).cast("int")) / 30) * 30).cast("long")
     return rounded(sm.threshold_buckets(t.groupBy("gen", "sp", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n")), ["gen", "sp"], "minute", "n"))
