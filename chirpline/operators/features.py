@@ -48,6 +48,63 @@ def spectral_features(cells: DataFrame) -> DataFrame:
     )
 
 
+# Cells of a recording that one task takes whole.
+TASK_CELLS = 8_000_000
+
+
+def all_spectral(frames: DataFrame, grid: sp.Grid, threshold: float = 3.0, gain_db: float = 42.0, seed: float = 13.0, low: float = 6.0, task_cells: int = TASK_CELLS) -> DataFrame:
+    """The 44 spectral indices of each recording in one row: (rec_id, the columns of ``indices.NAMES``).
+
+    ``frames`` has the amplitudes of each frame as an array. A recording of at most ``task_cells``
+    cells, some minutes of sound, goes through one numpy kernel: its frames are shuffled once, as
+    arrays, and one row comes back. Longer ones are cut into cells and go through the distributed
+    operators, which give the same values; in an input without them that path isn't entered.
+    Undefined indices are null there and null here.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from chirpline.functions import indices as ix
+
+    most = max(1, task_cells // grid.n)
+    centres = sp.octave_centres(grid)
+
+    def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
+        # a single block holds the whole recording; the halo of one frame shows whether there are others
+        whole = t0 == 0 and start == 0 and end == image.shape[1]
+        rows = [ix.spectral_indices(image, grid.df, grid.dt, centres, threshold, gain_db, seed, low)] if whole else []
+        return pd.DataFrame(rows, columns=ix.NAMES, dtype=float)
+
+    columns = ", ".join(f"{c} double" for c in ix.NAMES)
+    short = im.in_blocks(frames, kernel, columns, 1, most).select("rec_id", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ix.NAMES])
+    long_ids = frames.where(F.col("t_idx") >= most).select("rec_id").distinct()
+    if long_ids.isEmpty():
+        return short
+    long = frames.join(long_ids, "rec_id", "left_semi")
+    power = long.select("rec_id", "t_idx", F.transform("v", lambda a: a * a).alias("v"))
+    cells = long.select("rec_id", "t_idx", F.posexplode("v").alias("f_idx", "a")).select("rec_id", "t_idx", F.col("f_idx").cast("long").alias("f_idx"), (F.col("t_idx") * grid.dt).alias("tn"), (F.col("f_idx") * grid.df).alias("fn"), "a", (F.col("a") * F.col("a")).alias("p"))
+    spectrum = sp.avg_amplitude(cells).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("f_idx", "a"))).alias("s")).select("rec_id", F.col("s.a").alias("v"))
+    peaks = im.n_peaks(spectrum, grid.df).select("rec_id", F.col("n_peaks").cast("double").alias("NBPEAKS"))
+    roi = region_index(power, grid.df, grid.dt, seed, low).select("rec_id", F.col("n_roi").alias("nROI"), F.col("a_roi").alias("aROI"))
+    parts = [sp.indices_of_cells(cells, grid, threshold, gain_db), peaks, roi]
+    return short.unionByName(reduce(lambda a, b: a.join(b, "rec_id", "left"), parts).select("rec_id", *ix.NAMES))
+
+
+def peak_density(frames: DataFrame, threshold: float, distance: int = 1, block: int = im.BLOCK) -> DataFrame:
+    """Local maxima per frame of each bin, zeros included: (rec_id, f_idx, density). Blocks of frames are counted in their task; only one row per block is shuffled on."""
+    import numpy as np
+    import pandas as pd
+
+    from chirpline.functions import indices as ix
+
+    def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
+        return pd.DataFrame({"n_frames": [end - start], "n": [ix.peak_counts(image, threshold, distance, start, end)]})
+
+    counts = im.in_blocks(frames, kernel, "n_frames long, n array<long>", distance, block)
+    each = counts.select("rec_id", "n_frames", F.posexplode("n").alias("f_idx", "n"))
+    return each.groupBy("rec_id", F.col("f_idx").cast("long").alias("f_idx")).agg((F.sum("n") / F.sum("n_frames")).alias("density"))
+
+
 def spectral_per_bin(cells: DataFrame, grid: sp.Grid, threshold: float = 3.0, gain_db: float = 42.0) -> DataFrame:
     """The per-bin indices, one row for each bin: (rec_id, f_idx, fn, LTS, ...). SNRf is 0 throughout and ENRf linear, as published; SNRf_db is the level over the background."""
     steps = sp.with_steps(cells).withColumn("g", F.abs("d1") / grid.dt)

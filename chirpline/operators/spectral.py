@@ -435,8 +435,8 @@ def simple_peaks(spectrum: DataFrame, value: str = "level", slope: float = 0.0,
     return spectrum.withColumn("peak", F.coalesce(peak, F.lit(False)).cast("long")).groupBy("rec_id").agg(F.sum("peak").alias("n_peaks"))
 
 
-def all_spectral(cells: DataFrame, grid: Grid, threshold: float = 3.0, gain_db: float = 42.0) -> DataFrame:
-    """The spectral indices of each recording in one row, as far as they need no numpy kernel.
+def indices_of_cells(cells: DataFrame, grid: Grid, threshold: float = 3.0, gain_db: float = 42.0) -> DataFrame:
+    """The spectral indices of each recording in one row, for recordings of any length and without a numpy kernel; number of peaks and ROIs are not among them.
 
     The cells are read in five passes. The first two leave one row per bin, small tables that are
     checkpointed and from which most indices follow: spectra, steps and background; then, with the

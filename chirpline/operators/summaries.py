@@ -58,16 +58,12 @@ def resample(df: DataFrame, ts: str, value: str, rule: str = "30 minutes") -> Da
     return df.groupBy(F.window(ts, rule)["start"].alias("bucket")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
 
 
-def graphical_soundscape(peaks: DataFrame, extents: DataFrame, hours: DataFrame, n_bins: int) -> DataFrame:
-    """Mean number of peaks per frame by hour and bin, bins without peaks counting as 0: (hour, f_idx, density).
+def graphical_soundscape(densities: DataFrame, hours: DataFrame) -> DataFrame:
+    """Mean number of peaks per frame by hour and bin: (hour, f_idx, density).
 
-    ``extents`` has rec_id and n_frames, ``hours`` rec_id and hour. The zeros are not made as rows:
-    the sum over a bin's recordings is divided by the number of recordings of the hour.
+    ``densities`` has rec_id, f_idx and density with a row for every bin, ``hours`` rec_id and hour.
     """
-    per = peaks.groupBy("rec_id", "f_idx").agg(F.count(F.lit(1)).alias("n")).join(extents, "rec_id").join(hours, "rec_id")
-    sums = per.groupBy("hour", "f_idx").agg(F.sum(F.col("n") / F.col("n_frames")).alias("s"))
-    grid = extents.join(hours, "rec_id").groupBy("hour").agg(F.count(F.lit(1)).alias("k")).select("hour", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("f_idx"))
-    return grid.join(sums, ["hour", "f_idx"], "left").select("hour", "f_idx", (F.coalesce("s", F.lit(0.0)) / F.col("k")).alias("density"))
+    return densities.join(hours, "rec_id").groupBy("hour", "f_idx").agg(F.avg("density").alias("density"))
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float]:

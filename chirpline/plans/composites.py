@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chirpline.functions import decibel as db
+from chirpline.functions import indices as ix
 from chirpline.operators import features as ft
 from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
 from chirpline.operators import summaries as sm
-from chirpline.plans.pictures import BOXES, ROI_INDEX, boxes, frames, hysteresis_sql
+from chirpline.plans.pictures import BOXES, N_PEAKS, N_PEAKS_SELECT, ROI_INDEX, ROI_OK, ROI_SELECT, boxes, frames, hysteresis_sql
 from chirpline.plans.registry import DF, DT, ENV, FS, M, NT, SIG, SPEC, R, Registry, cells, rounded, signals
-from chirpline.plans.spectral import EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
+from chirpline.plans.spectral import ALL, EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
 from chirpline.plans.temporal import evn, mom
 from chirpline.session import table
 from chirpline.sources import catalogue
@@ -95,6 +96,15 @@ def region_index(spark, d):
     return rounded(ft.region_index(frames(spark, d), DF, DT, seed=3.0, low=2.0, min_duration=0.025))
 
 
+_INDICES = [f"CAST(NP.n_peaks AS DOUBLE) AS {x}" if x == "NBPEAKS" else f"ri.{'n_roi' if x == 'nROI' else 'a_roi'} AS {x}" if x in ("nROI", "aROI") else R(f"al.{x}", x, 6) for x in ix.NAMES]
+
+
+@q(f"""{ALL.replace("WITH ", "WITH RECURSIVE ", 1)}, {N_PEAKS}, NP AS ({N_PEAKS_SELECT}), {_CLEAN.replace("greatest(a,", "greatest(p,")}, {hysteresis_sql('cn', 13.0, 6.0)}, {BOXES}, {ROI_OK}, ri AS ({ROI_SELECT})
+  SELECT al.rec_id, {', '.join(_INDICES)} FROM al JOIN NP ON NP.rec_id = al.rec_id JOIN ri ON ri.rec_id = al.rec_id""")
+def all_spectral(spark, d):
+    return rounded(ft.all_spectral(frames(spark, d), G))
+
+
 @q(f"""WITH RECURSIVE {SPEC}, {_RELATIVE}, {hysteresis_sql('sc', 1, 0)}, {BOXES}, ex AS (SELECT rec_id, count(DISTINCT t_idx) AS nf FROM spec GROUP BY 1)
   SELECT ex.rec_id, {R('count(roi) / (any_value(nf) * 0.25 / 60)', 'roi_total')}, {R('coalesce(sum(area), 0) / (any_value(nf) * 64) * 100', 'roi_cover')} FROM ex LEFT JOIN (SELECT * FROM bx WHERE area >= 2) USING (rec_id) GROUP BY 1""")
 def roi_index_older(spark, d):

@@ -139,9 +139,10 @@ def hysteresis_sql(source: str, high: float, low: float, name: str = "m", v: str
 
 BOXES = """bx AS (SELECT rec_id, roi, min(f_idx) AS min_y, min(t_idx) AS min_x, max(f_idx) AS max_y, max(t_idx) AS max_x, count(*) AS area, sum(v * f_idx) / sum(v) AS centroid_y, sum(v * t_idx) / sum(v) AS centroid_x FROM m GROUP BY 1, 2)"""
 # ROIs at or below 50 Hz are erased with their cells; one cell is 250 Hz by 0.25 s
-ROI_INDEX = f"""ok AS (SELECT *, min_y <= 1 AS erased, (max_x - min_x) * 0.25 >= 0.025 AND (max_y - min_y) * 250 >= 50 AS ok, (max_y - min_y) < 10 * (max_x - min_x) AS narrow FROM bx WHERE area >= 1.25),
-  ex AS (SELECT rec_id, count(DISTINCT t_idx) AS nf FROM spec GROUP BY 1)
-  SELECT ex.rec_id, {R('count(*) FILTER (WHERE ok AND NOT erased AND narrow) / ((any_value(nf) - 1) * 0.25 / 60)', 'n_roi', 6)}, {R('coalesce(sum(area) FILTER (WHERE NOT (ok AND erased)), 0) / (any_value(nf) * 64) * 100', 'a_roi', 6)} FROM ex LEFT JOIN ok USING (rec_id) GROUP BY 1"""
+ROI_OK = """ok AS (SELECT *, min_y <= 1 AS erased, (max_x - min_x) * 0.25 >= 0.025 AND (max_y - min_y) * 250 >= 50 AS ok, (max_y - min_y) < 10 * (max_x - min_x) AS narrow FROM bx WHERE area >= 1.25),
+  ex AS (SELECT rec_id, count(DISTINCT t_idx) AS nf FROM spec GROUP BY 1)"""
+ROI_SELECT = f"SELECT ex.rec_id, {R('count(*) FILTER (WHERE ok AND NOT erased AND narrow) / ((any_value(nf) - 1) * 0.25 / 60)', 'n_roi', 6)}, {R('coalesce(sum(area) FILTER (WHERE NOT (ok AND erased)), 0) / (any_value(nf) * 64) * 100', 'a_roi', 6)} FROM ex LEFT JOIN ok USING (rec_id) GROUP BY 1"
+ROI_INDEX = f"{ROI_OK} {ROI_SELECT}"
 
 
 def _mask(spark, d):
@@ -216,10 +217,13 @@ def shape_roi_mean(spark, d):
     return im.shape_roi_features(frames(spark, d), boxes(spark, d))
 
 
-@q(f"""{S}, x AS (SELECT rec_id, f_idx AS i, 20 * log10(greatest(a, {M})) AS v FROM sa), n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM x WINDOW w AS (PARTITION BY rec_id ORDER BY i)),
+N_PEAKS = f"""x AS (SELECT rec_id, f_idx AS i, 20 * log10(greatest(a, {M})) AS v FROM sa), n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM x WINDOW w AS (PARTITION BY rec_id ORDER BY i)),
   p AS (SELECT rec_id, i, v, (SELECT coalesce(max(b.i), -1) FROM x b WHERE b.rec_id = n.rec_id AND b.i < n.i AND b.v > n.v) AS lo, (SELECT coalesce(min(b.i), 64) FROM x b WHERE b.rec_id = n.rec_id AND b.i > n.i AND b.v > n.v) AS hi FROM n WHERE v > l AND v > r),
-  q AS (SELECT p.rec_id, p.v - min(b.v) FILTER (WHERE b.i <= p.i) AS up, p.v - min(b.v) FILTER (WHERE b.i >= p.i) AS down FROM p JOIN x b ON b.rec_id = p.rec_id AND b.i > lo AND b.i < hi GROUP BY p.rec_id, p.i, p.v)
-  SELECT rec_id, count(q.up) FILTER (WHERE up >= 1 AND down > 1) AS n_peaks FROM (SELECT DISTINCT rec_id FROM x) LEFT JOIN q USING (rec_id) GROUP BY 1""")
+  q AS (SELECT p.rec_id, p.v - min(b.v) FILTER (WHERE b.i <= p.i) AS up, p.v - min(b.v) FILTER (WHERE b.i >= p.i) AS down FROM p JOIN x b ON b.rec_id = p.rec_id AND b.i > lo AND b.i < hi GROUP BY p.rec_id, p.i, p.v)"""
+N_PEAKS_SELECT = "SELECT rec_id, count(q.up) FILTER (WHERE up >= 1 AND down > 1) AS n_peaks FROM (SELECT DISTINCT rec_id FROM x) LEFT JOIN q USING (rec_id) GROUP BY 1"
+
+
+@q(f"{S}, {N_PEAKS} {N_PEAKS_SELECT}")
 def n_peaks_full(spark, d):
     s = sp.avg_amplitude(cells(spark, d)).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("f_idx", "a"))).alias("s")).select("rec_id", F.col("s.a").alias("v"))
     return im.n_peaks(s, DF)

@@ -251,14 +251,12 @@ def n_peaks_simple(spark, d):
     return sp.simple_peaks(s, slope=1.0)
 
 
-_ALL = ["MEANf", "VARf", "SKEWf", "KURTf", "LEQf", "ENRf", "BGNf", "SNRf", "Hf", "EAS", "ECU", "ECV", "EPS", "EPS_KURT", "EPS_SKEW", "ACI", "NDSI", "rBA", "AnthroEnergy", "BioEnergy", "BI", "ROU", "ADI", "AEI", "LFC", "MFC", "HFC", "ACTspFract", "ACTspCount", "ACTspMean", "EVNspFract", "EVNspMean", "EVNspCount", "TFSD", "H_Havrda", "H_Renyi", "H_pairedShannon", "H_gamma", "H_GiniSimpson", "RAOQ", "AGI"]
-
-
 def _scores50(step: int, hi: int, name: str) -> str:
     return _scores(step, hi).replace("sc AS", f"{name} AS").replace("-20 THEN", "-50 THEN")
 
 
-@q(f"""{S}, {EQ}, {EPS}, {LAGS}, {ACI}, {NDSI}, {BI}, {NOISE}, {SNR}, {LEQF}, {_tfsd(18, 28)}, {MORE}, {RAO}, {AGI}, {_scores50(1000, 10000, 's1')}, {_scores50(500, 10000, 's2')},
+# all spectral indices but the number of peaks and ROIs, as table al
+ALL = f"""{S}, {EQ}, {EPS}, {LAGS}, {ACI}, {NDSI}, {BI}, {NOISE}, {SNR}, {LEQF}, {_tfsd(18, 28)}, {MORE}, {RAO}, {AGI}, {_scores50(1000, 10000, 's1')}, {_scores50(500, 10000, 's2')},
   {evn('lev', 'rec_id, f_idx', 't_idx', 'level >= 3', 0.25, 4)},
   mm AS ({_mom("a", "sa", "rec_id", 15)}), hh AS {hn('p', 'sa', 'rec_id', 'Hf')}, bi AS (SELECT rec_id, (sum(level) - count(*) * min(level)) / 250 AS BI FROM bl WHERE f_idx BETWEEN 4 AND 40 GROUP BY 1),
   ro AS (SELECT rec_id, sum(d2 * d2) AS ROU FROM lg GROUP BY 1), ad AS (SELECT rec_id, h * ln(10) AS ADI FROM {hn('share', 's1', 'rec_id', 'h')}),
@@ -269,7 +267,4 @@ def _scores50(step: int, hi: int, name: str) -> str:
   ev AS (SELECT rec_id, avg(fraction) AS EVNspFract, avg(mean_s) AS EVNspMean, avg(per_s) AS EVNspCount FROM evn GROUP BY 1),
   al AS (SELECT *, mean AS MEANf, var AS VARf, skew AS SKEWf, kurt AS KURTf, leq AS LEQf, enr AS ENRf, bgn AS BGNf, enr - bgn AS SNRf, (bio - anthro) / (bio + anthro) AS NDSI, bio / anthro AS rBA, anthro AS AnthroEnergy, bio AS BioEnergy
     FROM mm JOIN lq USING (rec_id) JOIN sn USING (rec_id) JOIN hh USING (rec_id) JOIN sfam USING (rec_id) JOIN ac USING (rec_id) JOIN nd USING (rec_id) JOIN bi USING (rec_id) JOIN ro USING (rec_id) JOIN ad USING (rec_id) JOIN ae USING (rec_id)
-    JOIN co USING (rec_id) JOIN am USING (rec_id) JOIN ev USING (rec_id) JOIN tf USING (rec_id) JOIN mo USING (rec_id) JOIN ra USING (rec_id) JOIN ag USING (rec_id))
-  SELECT rec_id, {', '.join(R(x, x, 6) for x in _ALL)} FROM al""")
-def all_spectral(spark, d):
-    return rounded(sp.all_spectral(cells(spark, d), G), 6)
+    JOIN co USING (rec_id) JOIN am USING (rec_id) JOIN ev USING (rec_id) JOIN tf USING (rec_id) JOIN mo USING (rec_id) JOIN ra USING (rec_id) JOIN ag USING (rec_id))"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chirpline.operators import features as ft
 from chirpline.operators import relational as rl
-from chirpline.operators import images as im
 from chirpline.operators import summaries as sm
+from chirpline.plans.pictures import frames
 from chirpline.plans.registry import SPEC, R, Registry, cells, rounded
 from chirpline.plans.spectral import G
 from chirpline.session import table
@@ -147,10 +148,10 @@ def hourly_mean_normalised(spark, d):
   e AS (SELECT rec_id, max(t_idx) + 1 AS nf, rec_id % 3 AS hour FROM spec GROUP BY 1), g AS (SELECT *, unnest(range(0, 64)) AS f_idx FROM e)
   SELECT hour, g.f_idx, {R('avg(coalesce(n, 0) / nf::DOUBLE)', 'density')} FROM g LEFT JOIN k ON k.rec_id = g.rec_id AND k.f_idx = g.f_idx GROUP BY 1, 2""")
 def graphical_soundscape(spark, d):
-    c = cells(spark, d)
-    ext = c.groupBy("rec_id").agg((F.max("t_idx") + 1).alias("n_frames"))
-    hours = ext.select("rec_id", (F.col("rec_id") % 3).alias("hour"))
-    return rounded(sm.graphical_soundscape(im.local_max(c, 0.1, value="p"), ext, hours, 64))
+    power = frames(spark, d).select("rec_id", "t_idx", F.transform("v", lambda a: a * a).alias("v"))
+    # the hour comes with the recording's name here, so no join brings it
+    dens = ft.peak_density(power, 0.1).withColumn("hour", F.col("rec_id") % 3)
+    return rounded(dens.groupBy("hour", "f_idx").agg(F.avg("density").alias("density")))
 
 
 @q(f"""WITH {SPEC}, f AS (SELECT rec_id, f_idx, avg(p) AS m, var_pop(p) AS v, max(p) AS x FROM spec GROUP BY 1, 2),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chirpline.functions import decibel as db
 from chirpline.functions import kernels as kn
 from chirpline.functions import propagation as pg
+from chirpline.operators import features as ft
 from chirpline.operators import images as im
 from chirpline.operators import relational as rl
 from chirpline.operators import signal as sg
@@ -224,7 +225,7 @@ def test_spectral_indices_at_edges(spark):
     cells = spark.createDataFrame(rows, "rec_id long, t_idx long, f_idx long, tn double, fn double, a double, p double")
     assert {r.rec_id: r.aci for r in sp.aci(cells).collect()} == {0: None, 1: None}
     assert {r.rec_id: r.hf for r in sp.frequency_entropy(cells).collect()} == {0: 1.0, 1: pytest.approx(1.0)}
-    assert sp.all_spectral(cells, grid).count() <= 2
+    assert sp.indices_of_cells(cells, grid).count() <= 2
     assert sp.median_equalizer(cells).where("e is null").count() == 0 or True
     assert grid.nearest(1499) == 1 and grid.nearest(1500) == 1 and grid.nearest(99999) == 3
 
@@ -331,7 +332,7 @@ def test_activity_threshold_takes_short_hours_and_ties(spark, tmp_path):
 
     times = ["9:10", "09:20", "10:00", "10:10", "11:00", "11:29", "12:00", "9.30", None]
     spark.createDataFrame([("Aus", "bus", t) for t in times] + [(None, "x", "7:00")], "gen string, sp string, time string").write.parquet(str(tmp_path / "catalogue.parquet"))
-    got = {(r.gen, r.minute, r.n) for r in tables.QUERIES["activity_threshold_50_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.gen, r.minute, r.n) for r in tables.QUERIES["activity_threshold_50"](spark, str(tmp_path)).collect()}
     assert got == {("Aus", 540, 2), ("Aus", 600, 2), ("Aus", 660, 2), (None, 420, 1)}
 
 
@@ -339,7 +340,7 @@ def test_pivot_counts_every_value(spark, data):
     from chirpline.operators import relational
     from chirpline.plans import tables
 
-    p = tables.QUERIES["pivot_hour_whole"](spark, data)
+    p = tables.QUERIES["pivot_hour"](spark, data)
     counted = sum(v for r in p.collect() for k, v in r.asDict().items() if k != "hour")
     assert {"sr_22050", "sr_32000", "sr_44100", "sr_96000"} <= set(p.columns)
     assert counted == spark.read.parquet(f"{data}/audio_metadata.parquet").where("date is not null").count()
@@ -352,7 +353,7 @@ def test_late_rois_keep_their_bounds(spark, tmp_path):
 
     rows = [(1, 1, "a", 10.0, 335.79, 500.0, 1000.0), (1, 2, "a", 120.0, 130.0, 500.0, 1000.0)]
     spark.createDataFrame(rows, "rec_id long, roi_id long, label string, min_t double, max_t double, min_f double, max_f double").write.parquet(str(tmp_path / "roi.parquet"))
-    got = {(r.roi_id, r.min_t, r.max_t, r.max_x) for r in pictures.QUERIES["roi_unit_conversion_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.roi_id, r.min_t, r.max_t, r.max_x) for r in pictures.QUERIES["roi_unit_conversion"](spark, str(tmp_path)).collect()}
     assert got == {(1, 10.0, 335.75, 1343), (2, 120.0, 130.0, 520)}
 
 
@@ -366,3 +367,72 @@ def test_long_recordings_are_one_image(spark):
     box = spark.createDataFrame([(1, 7, 2, 5, 4090, 4100)], "rec_id long, roi_id long, min_y long, max_y long, min_x long, max_x long")
     rois = im.shape_roi_features(frames, box).orderBy("shp").collect()
     assert np.allclose([r.response for r in rois], [r[2:6, 4090:4101].mean() for r in kn.shape_responses(image, "low")])
+
+
+def _frames(spark, seed=0, n_rec=2, n=64, t=60):
+    rng = np.random.default_rng(seed)
+    rows = [(r, i, [float(x) for x in rng.gamma(0.6, 1.0, n) * (1 + 30 * ((20 <= i < 28) & (10 <= np.arange(n)) & (np.arange(n) < 16)))]) for r in range(n_rec) for i in range(t)]
+    return spark.createDataFrame(rows, "rec_id long, t_idx long, v array<double>")
+
+
+def test_all_spectral_is_the_same_on_both_ways(spark):
+    from chirpline.functions import indices as ix
+
+    frames, grid = _frames(spark), sp.Grid(64, 250.0, 0.25)
+    whole, cut = ({r.rec_id: r for r in ft.all_spectral(frames, grid, seed=3.0, low=2.0, task_cells=n).collect()} for n in (10**7, 64 * 59))
+    assert set(whole) == set(cut) == {0, 1} and whole[0].nROI > 0
+    for r in whole:
+        for c in ix.NAMES:
+            assert whole[r][c] == pytest.approx(cut[r][c], rel=1e-6, abs=1e-9), c
+    assert ft.all_spectral(frames.limit(0), grid).count() == 0
+    silent = spark.createDataFrame([(5, i, [0.0] * 64) for i in range(4)] + [(6, 0, [1.0] * 64)], "rec_id long, t_idx long, v array<double>")
+    assert ft.all_spectral(silent, grid).count() == 2
+
+
+def test_tfsd_and_octaves_from_their_definitions(spark):
+    """Third octaves between two bins are zeros, and the steps over frequency go through them."""
+    frames, grid = _frames(spark, 3, 1), sp.Grid(64, 250.0, 0.25)
+    a = np.array([r.v for r in frames.orderBy("t_idx").collect()]).T
+    cells = frames.select("rec_id", "t_idx", F.posexplode("v").alias("f_idx", "a")).withColumn("f_idx", F.col("f_idx").cast("long")).withColumn("p", F.col("a") * F.col("a")).withColumn("fn", F.col("f_idx") * 250.0)
+    fn = np.arange(64) * 250.0
+    centres = [c for c in sp.THIRD_OCTAVES if c <= fn[-1]]
+    octaves = np.array([a[(fn >= c / 2**0.1666666) & (fn <= c * 2**0.1666666)].sum(axis=0) for c in centres])
+    got = np.zeros(octaves.shape)
+    for r in sp.octave_bands(cells, grid, value="a").collect():
+        got[r.band, r.t_idx] = r.a
+    assert np.allclose(got, octaves) and (octaves == 0).all(axis=1).any()
+    log = np.array([np.log10(a)[(fn >= c / 2**0.1666666) & (fn <= c * 2**0.1666666)].sum(axis=0) for c in centres])
+    cross = np.abs(np.diff(np.diff(log, axis=1), axis=0)).sum(axis=1)
+    near = [int(np.argmin(np.abs(np.array(centres[:-1]) - f))) for f in (2000, 8000)]
+    assert sp.tfsd(cells, grid).first().tfsd == pytest.approx(cross[near[0] : near[1] + 1].sum() / cross.sum())
+
+
+def test_weak_blobs_are_gone_before_the_mask_is_closed(spark):
+    image = np.zeros((8, 20))
+    image[2:4, 6:8], image[2:4, 10:12] = 5.0, 1.0
+    frames = spark.createDataFrame([(1, t, [float(x) for x in image[:, t]]) for t in range(20)], "rec_id long, t_idx long, v array<double>")
+    got = {(r.f_idx, r.t_idx) for r in ft.fused_boxes(frames, 4.0, 0.5, 1, 5, block=5).collect()}
+    assert got == {(f, t) for f in (2, 3) for t in (6, 7)}
+    image[2:4, 10:12] = 5.0
+    frames = spark.createDataFrame([(1, t, [float(x) for x in image[:, t]]) for t in range(20)], "rec_id long, t_idx long, v array<double>")
+    rows = ft.fused_boxes(frames, 4.0, 0.5, 1, 5, block=5).collect()
+    assert {(r.f_idx, r.t_idx) for r in rows} == {(f, t) for f in (2, 3) for t in range(6, 12)} and len({r.roi for r in rows}) == 1
+
+
+def test_peak_density_in_blocks(spark):
+    frames = _frames(spark, 5)
+    whole, cut = ({(r.rec_id, r.f_idx): r.density for r in ft.peak_density(frames, 0.5, 2, block).collect()} for block in (4096, 7))
+    assert whole == cut and len(whole) == 128 and sum(whole.values()) > 0
+    a = np.array([r.v for r in frames.where("rec_id = 0").orderBy("t_idx").collect()]).T
+    want = sum(a[f, t] > 0.5 and a[f, t] == a[f - 2 : f + 3, t - 2 : t + 3].max() for f in range(2, 62) for t in range(2, 58))
+    assert round(sum(v for (r, _), v in whole.items() if r == 0) * 60) == want
+
+
+def test_exact_quantiles(spark):
+    from chirpline.operators import summaries as sm
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=1001), 1)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double").repartition(5)
+    assert sm.exact_quantiles(df, "x", [0.0, 0.01, 0.5, 0.993, 1.0]) == pytest.approx(np.percentile(v, [0, 1, 50, 99.3, 100]))
+    assert sm.exact_quantiles(df.limit(0), "x", [0.5]) == []
