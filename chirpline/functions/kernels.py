@@ -30,8 +30,12 @@ def stft_power(x: np.ndarray, nperseg: int, noverlap: int | None = None) -> np.n
     and frames beyond n // hop - 1.
     """
     hop = nperseg - (nperseg // 2 if noverlap is None else noverlap)
+    return frame_power(segments(np.asarray(x, float), nperseg, hop)[: max(len(x) // hop - 1, 0)], nperseg)
+
+
+def frame_power(frames: np.ndarray, nperseg: int) -> np.ndarray:
+    """``stft_power`` of frames that are cut already, one a row."""
     w = hann(nperseg)
-    frames = segments(np.asarray(x, float), nperseg, hop)[: max(len(x) // hop - 1, 0)]
     frames = (frames - frames.mean(axis=1, keepdims=True)) * w
     spectrum = np.abs(np.fft.rfft(frames, axis=1)[:, : nperseg // 2]) ** 2
     return (spectrum * 2 / (nperseg * (w @ w))).T
@@ -78,6 +82,31 @@ def resample(x: np.ndarray, fs: float, target: float) -> np.ndarray:
     return np.fft.irfft(out, m) * (m / n)
 
 
+def polyphase_taps(up: int, down: int) -> np.ndarray:
+    """Low-pass taps for a change of rate by up / down: a sinc with a Kaiser window of beta 5, ten samples of the slower side to each half, gain ``up`` at zero."""
+    most = max(up, down)
+    m = np.arange(-10 * most, 10 * most + 1)
+    h = np.sinc(m / most) * np.kaiser(len(m), 5.0)
+    return h / h.sum() * up
+
+
+def resample_polyphase(x: np.ndarray, fs: int, target: int) -> np.ndarray:
+    """Resampling to ceil(n up / down) samples through a polyphase filter, without delay; what lies beyond the ends is zero."""
+    g = math.gcd(int(fs), int(target))
+    up, down = int(target) // g, int(fs) // g
+    x = np.asarray(x, float)
+    if up == down or not len(x):
+        return x
+    h = polyphase_taps(up, down)
+    at = np.arange(-(-len(x) * up // down)) * down + len(h) // 2
+    out = np.zeros(len(at))
+    for phase in range(up):
+        mine = np.flatnonzero(at % up == phase)
+        if len(mine):
+            out[mine] = np.convolve(x, h[phase::up])[at[mine] // up]
+    return out
+
+
 def butterworth_gain(f: np.ndarray, fs: float, cut: tuple[float, ...], order: int, kind: str) -> np.ndarray:
     """Squared magnitude of a digital Butterworth filter (bilinear transform with prewarping)."""
     warp = lambda v: np.tan(np.pi * np.clip(np.asarray(v, float), 0, fs / 2 * (1 - 1e-12)) / fs)
@@ -177,18 +206,27 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[inner] + ends[inner]) // 2
 
 
+def _last_higher(x: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with a larger value, -1 if none; with a stack, in one pass."""
+    out, stack = np.empty(len(x), int), []
+    for i, v in enumerate(x.tolist()):
+        while stack and x[stack[-1]] <= v:
+            stack.pop()
+        out[i] = stack[-1] if stack else -1
+        stack.append(i)
+    return out
+
+
 def prominences(x: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prominence and the bases to both sides: the lowest points before a higher value."""
-    out, left, right = np.zeros(len(peaks)), np.zeros(len(peaks), int), np.zeros(len(peaks), int)
+    """Prominence and the bases to both sides: the lowest points before a higher value, the nearest of equal ones."""
+    n = len(x)
+    before = _last_higher(x) if len(peaks) else np.empty(0, int)
+    after = n - 1 - _last_higher(x[::-1])[::-1] if len(peaks) else np.empty(0, int)
+    left, right = np.zeros(len(peaks), int), np.zeros(len(peaks), int)
     for k, p in enumerate(peaks):
-        higher = np.flatnonzero(x[:p] > x[p])
-        lo = higher[-1] + 1 if len(higher) else 0
-        higher = np.flatnonzero(x[p + 1 :] > x[p])
-        hi = p + higher[0] if len(higher) else len(x) - 1
-        left[k] = p - np.argmin(x[lo : p + 1][::-1])
-        right[k] = p + np.argmin(x[p : hi + 1])
-        out[k] = x[p] - max(x[left[k]], x[right[k]])
-    return out, left, right
+        left[k] = p - np.argmin(x[before[p] + 1 : p + 1][::-1])
+        right[k] = p + np.argmin(x[p : after[p]])
+    return (x[peaks] - np.maximum(x[left], x[right])) if len(peaks) else np.zeros(0), left, right
 
 
 def find_peaks(x: np.ndarray, height: float | None = None, distance: float | None = None, prominence: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,15 +296,28 @@ def label(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _box_sums(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Sums over all places of a box, from sums over rows and columns."""
+    s = np.pad(image, ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
+    return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+
+
 def match_template(image: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Zero-mean normalised cross-correlation of a template with all places where it fits."""
+    """Zero-mean normalised cross-correlation of a template with all places where it fits.
+
+    The sums of a place come from running sums and the products from a transform over time, bin by
+    bin, so nothing larger than the image is made.
+    """
     h, w = template.shape
-    view = np.lib.stride_tricks.sliding_window_view(image, (h, w))
     t = template - template.mean()
-    cross = np.einsum("ijkl,kl->ij", view, t)
-    variance = (view**2).sum(axis=(2, 3)) - view.sum(axis=(2, 3)) ** 2 / (h * w)
+    n = image.shape[1] + w - 1
+    spectra, flipped = np.fft.rfft(image, n, axis=1), np.fft.rfft(t[:, ::-1], n, axis=1)
+    places = image.shape[0] - h + 1
+    cross = np.array([np.fft.irfft((spectra[i : i + h] * flipped).sum(axis=0), n)[w - 1 : image.shape[1]] for i in range(places)])
+    shifted = image - image.mean()  # small sums keep their digits
+    variance = _box_sums(shifted**2, h, w) - _box_sums(shifted, h, w) ** 2 / (h * w)
     bottom = np.sqrt(np.maximum(variance, 0) * (t * t).sum())
-    return np.divide(cross, bottom, out=np.zeros_like(cross), where=bottom > np.finfo(float).eps)
+    return np.divide(cross, bottom, out=np.zeros_like(cross), where=bottom > np.finfo(float).eps * max(1.0, float(np.abs(image).max(initial=0)) ** 2))
 
 
 def template_score(image: np.ndarray, template: np.ndarray) -> np.ndarray:
@@ -286,18 +337,6 @@ def grey_opening(x: np.ndarray, structure: np.ndarray) -> np.ndarray:
     return (np.lib.stride_tricks.sliding_window_view(pad(eroded, right, left), n) + structure[::-1]).max(axis=1)
 
 
-def remove_background(sxx: np.ndarray, win: int = 50, std: float = 25, beta1: float = 1, beta2: float = 1, lam: float = 1) -> np.ndarray:
-    """Attenuate each cell by its ratio to the opened mean spectrum; the two bins at each end keep their own profile."""
-    profile = sxx.mean(axis=1)
-    n = np.arange(win) - (win - 1) / 2
-    noise = grey_opening(profile, np.exp(-0.5 * (n / std) ** 2))
-    noise[-2:], noise[:2] = profile[-2:], profile[:2]
-    noise[noise == 0] = np.finfo(float).tiny
-    ratio = np.maximum(sxx / noise[:, None], 0)
-    gain = np.maximum(1 - lam * (1 / (ratio + 1)) ** beta1, 0) ** beta2
-    return np.maximum(gain * sxx, 0)
-
-
 def reconstruct(seed: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Morphological reconstruction by dilation of the seed under the mask, 8-connected."""
     current = np.minimum(seed, mask)

@@ -105,6 +105,36 @@ def peak_density(frames: DataFrame, threshold: float, distance: int = 1, block:
     return each.groupBy("rec_id", F.col("f_idx").cast("long").alias("f_idx")).agg((F.sum("n") / F.sum("n_frames")).alias("density"))
 
 
+def audio_indices(spark, folder: str, nperseg: int, target: int, noverlap: int | None = None, **options: float) -> DataFrame:
+    """The 44 spectral indices of every recording below a folder: (path, the columns of ``indices.NAMES``).
+
+    WAV files go through range reads, polyphase resampling to ``target`` Hz and block spectrograms
+    into ``all_spectral``; no recording is ever a row of samples. Unreadable files have none.
+    """
+    from chirpline.sources import wav
+
+    grid = sp.Grid(nperseg // 2, target / nperseg, (nperseg - (nperseg // 2 if noverlap is None else noverlap)) / target)
+    found = wav.spectrogram(spark, folder, nperseg, noverlap, target)
+    frames = found.select(F.xxhash64("path").alias("rec_id"), "path", "t_idx", F.transform("v", lambda p: F.sqrt(p)).alias("v"))
+    names = frames.where("t_idx = 0").select("rec_id", "path")
+    return all_spectral(frames.drop("path"), grid, **options).join(names, "rec_id").drop("rec_id")
+
+
+def audio_soundscape(spark, folder: str, nperseg: int, target: int, noverlap: int | None = None, threshold: float = -50.0, distance: int = 1, db_range: float = 80.0) -> DataFrame:
+    """Graphical soundscape of the recordings below a folder: mean number of spectrogram peaks per frame by hour of day and bin: (hour, f_idx, frequency, density).
+
+    Peaks are local maxima above ``threshold`` dB, with the spectrogram cut to ``db_range`` dB below
+    0. The hour is that of the file's name; files without a readable one don't count.
+    """
+    from chirpline.operators import summaries as sm
+    from chirpline.sources import wav
+
+    level = F.transform("v", lambda p: F.greatest(F.least(10 * F.log10(F.greatest(p, F.lit(db.MIN))), F.lit(0.0)), F.lit(-float(db_range))))
+    frames = wav.spectrogram(spark, folder, nperseg, noverlap, target).select(F.xxhash64("path").alias("rec_id"), "t_idx", level.alias("v"))
+    hours = wav.headers(spark, folder).where("date is not null").select(F.xxhash64("path_audio").alias("rec_id"), F.hour("date").cast("long").alias("hour"))
+    return sm.graphical_soundscape(peak_density(frames, threshold, distance), hours).withColumn("frequency", F.col("f_idx") * (target / nperseg))
+
+
 def spectral_per_bin(cells: DataFrame, grid: sp.Grid, threshold: float = 3.0, gain_db: float = 42.0) -> DataFrame:
     """The per-bin indices, one row for each bin: (rec_id, f_idx, fn, LTS, ...). SNRf is 0 throughout and ENRf linear, as published; SNRf_db is the level over the background."""
     steps = sp.with_steps(cells).withColumn("g", F.abs("d1") / grid.dt)

@@ -343,13 +343,22 @@ def map_arrays(signals: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], c
     return signals.select("rec_id", column).mapInPandas(run, f"rec_id long, {column} array<double>")
 
 
-def stft(signals: DataFrame, nperseg: int, noverlap: int | None = None) -> DataFrame:
-    """Power spectrogram as frames: (rec_id, t_idx, v array of bins). Recordings shorter than a segment have none."""
+def stft(signals: DataFrame, nperseg: int, noverlap: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Power spectrogram as frames: (rec_id, t_idx, v array of bins). Recordings shorter than a segment have none.
+
+    Frames leave the worker in blocks, one recording after the other.
+    """
+    hop = nperseg - (nperseg // 2 if noverlap is None else noverlap)
 
     def run(batches):
         for pdf in batches:
-            rows = [(r, t, c) for r, x in zip(pdf["rec_id"], pdf["x"]) if x is not None for t, c in enumerate(kn.stft_power(np.asarray(x, float), nperseg, noverlap).T)]
-            yield pd.DataFrame(rows, columns=["rec_id", "t_idx", "v"]) if rows else pd.DataFrame({"rec_id": pd.Series(dtype="int64"), "t_idx": pd.Series(dtype="int64"), "v": pd.Series(dtype="object")})
+            for r, x in zip(pdf["rec_id"], pdf["x"]):
+                if x is None:
+                    continue
+                cut = kn.segments(np.asarray(x, float), nperseg, hop)[: max(len(x) // hop - 1, 0)]
+                for t in range(0, len(cut), block):
+                    power = kn.frame_power(cut[t : t + block], nperseg).T
+                    yield pd.DataFrame({"rec_id": r, "t_idx": np.arange(t, t + len(power)), "v": list(power)})
 
     return signals.select("rec_id", "x").mapInPandas(run, "rec_id long, t_idx long, v array<double>")
 

@@ -15,8 +15,8 @@ from chirpline.plans.pictures import BOXES, N_PEAKS, N_PEAKS_SELECT, ROI_INDEX,
 from chirpline.plans.registry import DF, DT, ENV, FS, M, NT, SIG, SPEC, R, Registry, cells, rounded, signals
 from chirpline.plans.spectral import ALL, EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
 from chirpline.plans.temporal import evn, mom
-from chirpline.session import table
-from chirpline.sources import catalogue
+from chirpline.session import staging_path, table
+from chirpline.sources import catalogue, wav
 
 q = Registry()
 QUERIES, ORACLES = q.queries, q.sql
@@ -158,3 +158,41 @@ def spectrogram_by_hour(spark, d):
 def count_by_weekday(spark, d):
     t = table(spark, d, "audio_metadata").where("date is not null").withColumn("ts", F.col("date").cast("timestamp"))
     return t.groupBy(sm.date_key(F.col("ts"), "%Y").alias("y"), sm.date_key(F.col("ts"), "%a").alias("wd")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _archive(spark, d) -> str:
+    """The signals as WAV files of 16 bits in the shared folder; the hour in a file's name is its number modulo 24."""
+    folder = staging_path(spark, "archive")
+    named = signals(spark, d).withColumn("rec_id", F.format_string("S%d_20200101_%02d0000", F.col("rec_id"), F.col("rec_id") % 24))
+    wav.write(named, folder, int(FS))
+    return folder
+
+
+# samples come back from 16 bits: cut to [-1, 1], times 32767 without fraction, by 32768
+QUANTISED = f"""{SIG}, qs AS (SELECT rec_id, i, trunc(greatest(least(x, 1), -1) * 32767) / 32768 AS x FROM sig), fr AS (SELECT rec_id, t, i - t * 8 AS n, x FROM qs, (SELECT unnest(range(0, 7)) AS t) WHERE i BETWEEN t * 8 AND t * 8 + 15),
+  w AS (SELECT *, (x - avg(x) OVER (PARTITION BY rec_id, t)) * (0.5 - 0.5 * cos(2 * pi() * n / 16)) AS y FROM fr),
+  dft AS (SELECT rec_id, t, k, sum(y * cos(2 * pi() * k * n / 16)) AS re, sum(y * sin(2 * pi() * k * n / 16)) AS im FROM w, (SELECT unnest(range(0, 8)) AS k) GROUP BY 1, 2, 3),
+  pw AS (SELECT rec_id, t AS t_idx, k AS f_idx, (re * re + im * im) * 2 / (16 * 6) AS p FROM dft)"""
+
+
+@q(f"WITH {QUANTISED} SELECT rec_id, t_idx, f_idx, {R('p', 'p')} FROM pw")
+def audio_frames(spark, d):
+    """WAV files written, read by ranges and turned into block spectrograms."""
+    found = wav.spectrogram(spark, _archive(spark, d), 16)
+    return rounded(found.select(F.regexp_extract("path", r"/S(\d+)_[0-9_]+\.wav$", 1).cast("long").alias("rec_id"), "t_idx", F.posexplode("v").alias("f_idx", "p")).withColumn("f_idx", F.col("f_idx").cast("long")))
+
+
+@q(f"""WITH {QUANTISED}, lv AS (SELECT rec_id, t_idx, f_idx, greatest(least(10 * log10(greatest(p, {M})), 0), -80) AS v FROM pw),
+  m AS (SELECT *, max(v) OVER (PARTITION BY rec_id, f_idx ORDER BY t_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m1 FROM lv), n AS (SELECT *, max(m1) OVER (PARTITION BY rec_id, t_idx ORDER BY f_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m2 FROM m),
+  k AS (SELECT rec_id, f_idx, sum(CASE WHEN v = m2 AND v > -40 AND t_idx BETWEEN 1 AND 5 AND f_idx BETWEEN 1 AND 6 THEN 1 ELSE 0 END) / 7::DOUBLE AS density FROM n GROUP BY 1, 2)
+  SELECT rec_id % 24 AS hour, f_idx, f_idx * 4::DOUBLE AS frequency, {R('avg(density)', 'density')} FROM k GROUP BY 1, 2""")
+def audio_soundscape(spark, d):
+    """WAV files to the graphical soundscape of their hours."""
+    return rounded(ft.audio_soundscape(spark, _archive(spark, d), 16, int(FS), threshold=-40.0))
+
+
+@q()
+def audio_indices(spark, d):
+    """WAV files, resampled from 64 to 48 Hz, to the table of all spectral indices."""
+    found = ft.audio_indices(spark, _archive(spark, d), 16, 48)
+    return rounded(found.withColumn("path", F.substring_index("path", "/", -1)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chirpline.functions import kernels as kn
+
 HEADER = "sample_rate int, channels int, bits int, samples long, length double"
 
 
@@ -46,48 +51,132 @@ def samples(form: tuple[int, int, int, memoryview], channel: int = 0, detrend: b
     return x - x.mean() if detrend and n else x
 
 
+def _listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The files below a folder, spread over the tasks, without their contents: (path, fsize)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.col("length").alias("fsize"))
+
+
+def _open(path: str):
+    """A file of any store that the workers reach, for reading by ranges."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(re.sub("^([a-z0-9]+):/(?!/)", r"\1:///", path))
+    return store.open_input_file(place)
+
+
+def head(f, size: int) -> tuple[int, int, int, int, int] | None:
+    """(sample rate, channels, bits, start of the data, its bytes) of an open PCM RIFF file of ``size`` bytes; only chunk heads are read. None if it is none; a cut-off data chunk counts what is there."""
+
+    def at(place: int, n: int) -> bytes:
+        f.seek(place)
+        return f.read(n)
+
+    start = at(0, 12)
+    if len(start) < 12 or start[:4] != b"RIFF" or start[8:12] != b"WAVE":
+        return None
+    place, form = 12, None
+    while place + 8 <= size:
+        kind, n = struct.unpack("<4sI", at(place, 8))
+        if kind == b"fmt " and place + 24 <= size:
+            tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", at(place + 8, 16))
+            form = (rate, channels, bits) if tag in (1, 0xFFFE) and channels and rate and bits in (8, 16, 24, 32) else None
+        elif kind == b"data":
+            return (*form, place + 8, min(n, size - place - 8)) if form else None
+        place += 8 + n + n % 2
+    return None
+
+
 def read(spark: SparkSession, folder: str, channel: str = "left", detrend: bool = True, pattern: str = "*.[Ww][Aa][Vv]") -> DataFrame:
-    """Recordings below a folder: (path, sample_rate, channels, bits, samples, length, x).
+    """Recordings below a folder, for files that fit a row: (path, sample_rate, channels, bits, samples, length, x).
 
-    Files are read whole by the tasks, one recording each. Unreadable ones have nulls; an empty
-    data chunk gives an empty array.
+    Each file is read and leaves the worker by itself. Unreadable ones have nulls; an empty data
+    chunk gives an empty array. ``spectrogram`` is for recordings of any length.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     which = {"left": 0, "right": 1}[channel]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                form = parse(content)
+            for path in pdf["path"]:
+                with _open(path) as f:
+                    form = parse(f.read())
                 if form is None:
-                    rows.append((path, None, None, None, None, None, None))
-                    continue
-                x = samples(form, which, detrend)
-                rows.append((path, form[0], form[1], form[2], len(x), len(x) / form[0], x))
-            out = pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "bits", "samples", "length", "x"], dtype="object")
-            yield out
+                    row = (path, None, None, None, None, None, None)
+                else:
+                    x = samples(form, which, detrend)
+                    row = (path, form[0], form[1], form[2], len(x), len(x) / form[0], x)
+                yield pd.DataFrame([row], columns=["path", "sample_rate", "channels", "bits", "samples", "length", "x"], dtype="object")
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {HEADER}, x array<double>")
+    return _listing(spark, folder, pattern).select("path").mapInPandas(run, f"path string, {HEADER}, x array<double>")
 
 
 def headers(spark: SparkSession, folder: str, pattern: str = "*.[Ww][Aa][Vv]") -> DataFrame:
-    """The metadata of all files below a folder: (path_audio, fname, sample_rate, channels, bits, samples, fsize, length)."""
-    from chirpline.sources.metadata import basename
+    """The metadata of all files below a folder: (path_audio, fname, sample_rate, channels, bits, samples, fsize, length, flag, sensor_name, date, time).
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    Only the heads of the chunks are read, by ranges, so an archive costs some reads of a few bytes
+    a file. Unreadable files have nulls; flag is 0 for a readable file with a well-formed name, 1
+    for an unreadable one and 2 for any other name, which gives no sensor, date and time.
+    """
+    from chirpline.sources.metadata import basename, file_check, filename_info
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, size, content in zip(pdf["path"], pdf["fsize"], pdf["content"]):
-                form = parse(content)
-                n = len(form[3]) // (form[1] * form[2] // 8) if form else None
+            for path, size in zip(pdf["path"], pdf["fsize"]):
+                with _open(path) as f:
+                    form = head(f, size)
+                n = form[4] // (form[1] * form[2] // 8) if form else None
                 rows.append((path, size, *((form[0], form[1], form[2], n, n / form[0]) if form else (None,) * 5)))
             yield pd.DataFrame(rows, columns=["path_audio", "fsize", "sample_rate", "channels", "bits", "samples", "length"], dtype="object")
 
-    found = files.select("path", F.col("length").alias("fsize"), "content").mapInPandas(run, f"path_audio string, fsize long, {HEADER}")
-    return found.select("path_audio", basename(F.col("path_audio")).alias("fname"), "sample_rate", "channels", "bits", "samples", "fsize", "length")
+    found = _listing(spark, folder, pattern).mapInPandas(run, f"path_audio string, fsize long, {HEADER}").withColumn("fname", basename(F.col("path_audio")))
+    sensor, stamp, hms = filename_info(F.col("fname"))
+    flag = file_check(F.col("fname"), F.col("sample_rate").isNotNull())
+    return found.select("path_audio", "fname", "sample_rate", "channels", "bits", "samples", "fsize", "length", flag.alias("flag"), sensor.alias("sensor_name"), stamp.alias("date"), hms.alias("time"))
+
+
+def spectrogram(spark: SparkSession, folder: str, nperseg: int, noverlap: int | None = None, target: int | None = None, channel: str = "left", pattern: str = "*.[Ww][Aa][Vv]", block: int = 1 << 20) -> DataFrame:
+    """Power spectrograms of the recordings below a folder, of any length: (path, sample_rate, t_idx, v array of bins).
+
+    A file is read by ranges of about ``block`` samples, resampled to ``target`` Hz by the polyphase
+    filter and cut into frames, which leave the worker block by block, so no recording is ever a
+    row. Resampled blocks overlap by the filter's reach and equal those of the whole recording.
+    The signal's mean is not taken off: each frame loses its own. Unreadable files have no frames.
+    """
+    which = {"left": 0, "right": 1}[channel]
+    hop = nperseg - (nperseg // 2 if noverlap is None else noverlap)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, size in zip(pdf["path"], pdf["fsize"]):
+                with _open(path) as f:
+                    form = head(f, size)
+                    if form is None:
+                        continue
+                    rate, channels, bits, begin, n_bytes = form
+                    width, fs = channels * bits // 8, target or rate
+                    n = n_bytes // width
+                    g = math.gcd(rate, fs)
+                    up, down = fs // g, rate // g
+                    total = -(-n * up // down)
+                    last = max(total // hop - 1, 0) if total >= nperseg else 0
+                    last = min(last, (total - nperseg) // hop + 1) if total >= nperseg else 0
+                    step = max(1, block * up // down // hop)
+                    reach = 10 * max(up, down) // up + 2 if up != down else 0
+                    for t in range(0, last, step):
+                        m = min(step, last - t)
+                        lo, hi = t * hop, (t + m - 1) * hop + nperseg  # samples after resampling
+                        # input from a whole number of periods before, so that phases stay as they are
+                        a = max(0, (lo * down // up - reach) // down * down)
+                        b = min(n, hi * down // up + reach + 1)
+                        f.seek(begin + a * width)
+                        x = samples((rate, channels, bits, memoryview(f.read((b - a) * width))), which, False)
+                        y = kn.resample_polyphase(x, rate, fs)
+                        first = lo - a * up // down
+                        power = kn.frame_power(kn.segments(y[first : first + hi - lo], nperseg, hop), nperseg).T
+                        yield pd.DataFrame({"path": path, "sample_rate": fs, "t_idx": np.arange(t, t + m), "v": list(power)})
+
+    return _listing(spark, folder, pattern).mapInPandas(run, "path string, sample_rate int, t_idx long, v array<double>")
 
 
 def encode(x: np.ndarray, fs: int, bits: int = 16) -> bytes:
@@ -105,20 +194,24 @@ def encoded(signals: DataFrame, fs: int, bits: int = 16) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"rec_id": pdf["rec_id"], "content": [encode(np.asarray([] if x is None else x, float), fs, bits) for x in pdf["x"]]})
 
-    return signals.select("rec_id", "x").mapInPandas(run, "rec_id long, content binary")
+    kind = dict(signals.dtypes)["rec_id"]
+    return signals.select("rec_id", "x").mapInPandas(run, f"rec_id {kind}, content binary")
 
 
 def write(signals: DataFrame, folder: str, fs: int, bits: int = 16) -> None:
-    """One file ``<rec_id>.wav`` per recording in a folder that all executors share; a retried task replaces its files whole."""
+    """One file ``<rec_id>.wav`` per recording in a folder of any store that executors share; a retried task replaces its files whole."""
 
     def store(rows) -> None:
+        from pyarrow import fs as stores
+
+        to, place = stores.FileSystem.from_uri(folder if re.match("[a-z0-9]+:", folder) else "file://" + os.path.abspath(folder))
+        to.create_dir(place, recursive=True)
         for r in rows:
-            part = os.path.join(folder, f".{r.rec_id}.{os.getpid()}.part")
-            with open(part, "wb") as f:
+            part = f"{place}/.{r.rec_id}.{uuid.uuid4().hex}.part"
+            with to.open_output_stream(part) as f:
                 f.write(r.content)
-            os.replace(part, os.path.join(folder, f"{r.rec_id}.wav"))
+            to.move(part, f"{place}/{r.rec_id}.wav")
 
-    os.makedirs(folder, exist_ok=True)
     encoded(signals, fs, bits).foreachPartition(store)
 
 

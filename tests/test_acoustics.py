@@ -436,3 +436,52 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double").repartition(5)
     assert sm.exact_quantiles(df, "x", [0.0, 0.01, 0.5, 0.993, 1.0]) == pytest.approx(np.percentile(v, [0, 1, 50, 99.3, 100]))
     assert sm.exact_quantiles(df.limit(0), "x", [0.5]) == []
+
+
+@pytest.mark.parametrize("fs, to", [(48, 32), (44100, 16000), (16, 48), (8, 8)])
+def test_polyphase_keeps_a_low_sine(fs, to):
+    t = np.arange(2000) / fs
+    x = np.sin(2 * np.pi * t * min(fs, to) / 20)
+    y = kn.resample_polyphase(x, fs, to)
+    assert len(y) == math.ceil(2000 * to / fs)
+    u = np.arange(len(y)) / to
+    inner = slice(100 * max(1, to // fs), -100 * max(1, to // fs)) if len(y) > 400 else slice(50, -50)
+    assert np.abs(y - np.sin(2 * np.pi * u * min(fs, to) / 20))[inner].max() < 0.01
+    assert len(kn.resample_polyphase(np.empty(0), 4, 3)) == 0
+
+
+def test_audio_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    folder = str(tmp_path / "a")
+    rows = [(f"SITE_20200102_{h:02d}3000", [float(v) for v in rng.uniform(-1, 1, n)]) for h, n in ((3, 5000), (4, 777), (5, 3), (6, 0))]
+    wav.write(spark.createDataFrame(rows, "rec_id string, x array<double>"), folder, 400)
+    (tmp_path / "a" / "broken.wav").write_bytes(b"RIFFxx")
+    h = {r.fname: r for r in wav.headers(spark, folder).collect()}
+    assert [h[f"SITE_20200102_{k:02d}3000.wav"].samples for k in (3, 4, 5, 6)] == [5000, 777, 3, 0] and h["SITE_20200102_033000.wav"].sensor_name == "SITE" and h["SITE_20200102_033000.wav"].flag == 0
+    assert h["broken.wav"].sample_rate is None and h["broken.wav"].flag == 1
+    stored = {r.path.rsplit("/", 1)[1]: np.asarray(r.x) for r in wav.read(spark, folder, detrend=False).where("x is not null").collect()}
+    for target in (None, 300, 640):
+        blocks = [{(r.path.rsplit("/", 1)[1], r.t_idx): r.v for r in wav.spectrogram(spark, folder, 32, target=target, block=n).collect()} for n in (1 << 20, 500)]
+        assert blocks[0].keys() == blocks[1].keys() and all(np.allclose(blocks[0][k], blocks[1][k]) for k in blocks[0])
+        for name, x in stored.items():
+            want = kn.stft_power(kn.resample_polyphase(x, 400, target or 400), 32).T
+            got = [v for (n, t), v in sorted(blocks[0].items()) if n == name]
+            assert len(got) == len(want) and (not len(got) or np.allclose(got, want))
+
+
+def test_audio_to_indices(spark, tmp_path):
+    from chirpline.functions import indices as ix
+
+    rng = np.random.default_rng(6)
+    folder = str(tmp_path / "a")
+    x = rng.normal(0, 0.2, 4000)
+    wav.write(spark.createDataFrame([("S_20200102_030000", [float(v) for v in x])], "rec_id string, x array<double>"), folder, 400)
+    got = ft.audio_indices(spark, folder, 64, 300).collect()
+    stored = np.asarray(wav.read(spark, folder, detrend=False).first().x)
+    a = np.sqrt(kn.stft_power(kn.resample_polyphase(stored, 400, 300), 64))
+    want = ix.spectral_indices(a, 300 / 64, 32 / 300, sp.octave_centres(sp.Grid(32, 300 / 64, 32 / 300)))
+    assert len(got) == 1
+    for name, v in zip(ix.NAMES, want):
+        assert (got[0][name] is None and math.isnan(v)) or got[0][name] == pytest.approx(v, rel=1e-6, abs=1e-9), name
+    rows = ft.audio_soundscape(spark, folder, 64, 300, threshold=-40).collect()
+    assert {r.hour for r in rows} == {3} and len(rows) == 32 and sum(r.density for r in rows) > 0
