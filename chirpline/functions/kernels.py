@@ -33,12 +33,16 @@ def stft_power(x: np.ndarray, nperseg: int, noverlap: int | None = None) -> np.n
     return frame_power(segments(np.asarray(x, float), nperseg, hop)[: max(len(x) // hop - 1, 0)], nperseg)
 
 
+def frame_spectrum(frames: np.ndarray, nperseg: int) -> np.ndarray:
+    """Complex spectra of frames that are cut already, one a row, scaled so that their squared magnitude is ``stft_power``."""
+    w = hann(nperseg)
+    frames = (frames - frames.mean(axis=1, keepdims=True)) * w if len(frames) else frames
+    return np.fft.rfft(frames, axis=1)[:, : nperseg // 2] * math.sqrt(2 / (nperseg * (w @ w)))
+
+
 def frame_power(frames: np.ndarray, nperseg: int) -> np.ndarray:
     """``stft_power`` of frames that are cut already, one a row."""
-    w = hann(nperseg)
-    frames = (frames - frames.mean(axis=1, keepdims=True)) * w
-    spectrum = np.abs(np.fft.rfft(frames, axis=1)[:, : nperseg // 2]) ** 2
-    return (spectrum * 2 / (nperseg * (w @ w))).T
+    return (np.abs(frame_spectrum(frames, nperseg)) ** 2).T
 
 
 def welch(x: np.ndarray, fs: float, nperseg: int, noverlap: int | None = None, scaling: str = "spectrum") -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +111,14 @@ def resample_polyphase(x: np.ndarray, fs: int, target: int) -> np.ndarray:
     return out
 
 
-def butterworth_gain(f: np.ndarray, fs: float, cut: tuple[float, ...], order: int, kind: str) -> np.ndarray:
-    """Squared magnitude of a digital Butterworth filter (bilinear transform with prewarping)."""
-    warp = lambda v: np.tan(np.pi * np.clip(np.asarray(v, float), 0, fs / 2 * (1 - 1e-12)) / fs)
-    w, c = warp(f), warp(cut)
+def iir_gain(f: np.ndarray, fs: float, cut: tuple[float, ...], order: int, kind: str, design: str = "butter", ripple: float = 1.0, atten: float = 40.0) -> np.ndarray:
+    """Squared magnitude of a digital filter by bilinear transform with prewarping.
+
+    ``design`` is ``butter``, ``cheby1`` with ``ripple`` dB in the pass band, or ``cheby2`` with
+    ``atten`` dB beyond the cut frequencies.
+    """
+    w = np.tan(np.pi * np.asarray(f, float) / fs)
+    c = [math.tan(math.pi * x / fs) for x in cut]
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         if kind == "lowpass":
             u = w / c[0]
@@ -119,11 +127,21 @@ def butterworth_gain(f: np.ndarray, fs: float, cut: tuple[float, ...], order: in
         else:
             u = (w * w - c[0] * c[1]) / (w * (c[1] - c[0]))
             u = 1 / u if kind == "bandstop" else u
-        return 1 / (1 + np.nan_to_num(u * u, nan=np.inf, posinf=np.inf) ** order)
-
-
-def zero_phase_butterworth(x: np.ndarray, fs: float, cut: tuple[float, ...], order: int = 4, kind: str = "bandpass") -> np.ndarray:
-    """Forward and backward Butterworth filtering: the squared magnitude applied in the frequency domain.
+        u = np.nan_to_num(np.abs(u), nan=np.inf, posinf=np.inf)
+        if design == "butter":
+            return 1 / (1 + u ** (2 * order))
+        if design not in ("cheby1", "cheby2"):
+            raise ValueError(f"unknown design {design}")
+        v = u if design == "cheby1" else 1 / u
+        t = np.where(v <= 1, np.cos(order * np.arccos(np.minimum(v, 1))), np.cosh(order * np.arccosh(np.maximum(v, 1))))
+        if design == "cheby1":
+            return 1 / (1 + (10 ** (ripple / 10) - 1) * t * t)
+        rest = 1 / (10 ** (atten / 10) - 1)
+        return np.where(np.isinf(t), 1.0, rest * t * t / (1 + rest * t * t))
+
+
+def zero_phase_iir(x: np.ndarray, fs: float, cut: tuple[float, ...], order: int = 4, kind: str = "bandpass", design: str = "butter", ripple: float = 1.0, atten: float = 40.0) -> np.ndarray:
+    """Forward and backward filtering: the squared magnitude applied in the frequency domain.
 
     The signal is extended oddly at both ends by its own length less one, which stands for the
     start values of the recursion.
@@ -134,7 +152,7 @@ def zero_phase_butterworth(x: np.ndarray, fs: float, cut: tuple[float, ...], ord
         return x
     ext = np.concatenate((2 * x[0] - x[:0:-1], x, 2 * x[-1] - x[-2::-1]))
     f = np.fft.rfftfreq(len(ext), 1 / fs)
-    return np.fft.irfft(np.fft.rfft(ext) * butterworth_gain(f, fs, cut, order, kind), len(ext))[n - 1 : 2 * n - 1]
+    return np.fft.irfft(np.fft.rfft(ext) * iir_gain(f, fs, cut, order, kind, design, ripple, atten), len(ext))[n - 1 : 2 * n - 1]
 
 
 def kaiser_sinc_taps(cut: tuple[float, float], fs: float, atten: float = 80, transition_bw: float = 0.05, bandpass: bool = True) -> np.ndarray:
@@ -405,9 +423,18 @@ SHAPE_PRESETS = {
 }
 
 
-def bank(preset: str = "low") -> list[tuple[float, float, np.ndarray]]:
+def shape_options(preset: str | dict) -> dict:
+    """The options of a preset, or a preset of one's own with all of ntheta, bandwidth, frequency, gamma and npyr."""
+    if isinstance(preset, str):
+        return SHAPE_PRESETS[preset]
+    if set(preset) != set(SHAPE_PRESETS["low"]):
+        raise ValueError(f"a preset has {', '.join(SHAPE_PRESETS['low'])}")
+    return preset
+
+
+def bank(preset: str | dict = "low") -> list[tuple[float, float, np.ndarray]]:
     """(theta, frequency, kernel) of a preset, angles outermost."""
-    o = SHAPE_PRESETS[preset]
+    o = shape_options(preset)
     thetas = [k / o["ntheta"] * math.pi for k in range(o["ntheta"])]
     return [(t, f, gabor(f, t, o["bandwidth"], o["gamma"])) for t in thetas for f in o["frequency"]]
 
@@ -433,10 +460,10 @@ def zoom(im: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return im
 
 
-def shape_responses(im: np.ndarray, preset: str = "low") -> list[np.ndarray]:
+def shape_responses(im: np.ndarray, preset: str | dict = "low") -> list[np.ndarray]:
     """Magnitudes of all filters on all levels of a Gaussian pyramid, scaled back to the image's size."""
     out, level, filters = [], np.asarray(im, float), bank(preset)
-    for k in range(SHAPE_PRESETS[preset]["npyr"]):
+    for k in range(shape_options(preset)["npyr"]):
         if k:
             if min(level.shape) < 2:
                 break

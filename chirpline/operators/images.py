@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -233,6 +233,42 @@ def to_pixels(rois: DataFrame, grid: sp.Grid, n_frames: int | None) -> DataFrame
     return px.select("*", (F.col("min_y") * grid.df).alias("min_f"), (F.col("min_x") * grid.dt).alias("min_t"), (F.col("max_y") * grid.df).alias("max_f"), (F.col("max_x") * grid.dt).alias("max_t"))
 
 
+def format_features(rois: DataFrame, grid: sp.Grid, n_frames: int | None = None) -> DataFrame:
+    """Bounds, centres and sizes of ROIs in both units, whichever of them a table has.
+
+    Physical bounds and centres give those in pixels, new or in place of old ones; bounds are cut
+    to the axes and ROIs that turn out empty are dropped. Pixels give the physical ones only where
+    the table lacks them. Sizes follow the same way. Other columns are kept; a ROI with a null in
+    a set of columns keeps nulls there. ``n_frames`` ends the time axis.
+    """
+    top_t = F.lit((n_frames - 1) * grid.dt if n_frames is not None else math.inf)
+    has = lambda *names: all(n in rois.columns for n in names)
+    axis = {"y": (grid.df, F.lit(grid.top())), "x": (grid.dt, top_t)}
+    out = rois
+
+    # least and greatest pass over nulls, which must stay
+    on_axis = lambda c, a: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0.0)), axis[a][1]))
+    pixel = lambda c, a: F.ceil(F.round(on_axis(c, a) / axis[a][0] - 0.5, 9)).cast("long")
+
+    physical = lambda c, a: F.round(F.col(c)).cast("long") * F.lit(axis[a][0])
+    if has("min_f", "min_t", "max_f", "max_t"):
+        out = out.withColumns({"min_y": pixel("min_f", "y"), "min_x": pixel("min_t", "x"), "max_y": pixel("max_f", "y"), "max_x": pixel("max_t", "x")})
+        out = out.where("coalesce(min_y <= max_y and min_x <= max_x, true)")
+        out = out.withColumns({c: on_axis(c, a) for c, a in (("min_f", "y"), ("max_f", "y"), ("min_t", "x"), ("max_t", "x"))})
+    elif has("min_y", "min_x", "max_y", "max_x"):
+        out = out.where("coalesce(min_y <= max_y and min_x <= max_x, true)").withColumns({"min_f": physical("min_y", "y"), "min_t": physical("min_x", "x"), "max_f": physical("max_y", "y"), "max_t": physical("max_x", "x")})
+    if has("centroid_f", "centroid_t"):
+        out = out.withColumns({"centroid_y": pixel("centroid_f", "y"), "centroid_x": pixel("centroid_t", "x")})
+    elif has("centroid_y", "centroid_x"):
+        out = out.withColumns({"centroid_f": physical("centroid_y", "y"), "centroid_t": physical("centroid_x", "x")})
+    cell = grid.df * grid.dt
+    if has("duration_t", "bandwidth_f", "area_tf"):
+        out = out.withColumns({"duration_x": F.col("duration_t") / grid.dt, "bandwidth_y": F.col("bandwidth_f") / grid.df, "area_xy": F.round(F.col("area_tf") / cell)})
+    elif has("duration_x", "bandwidth_y", "area_xy"):
+        out = out.withColumns({"duration_t": F.col("duration_x") * grid.dt, "bandwidth_f": F.col("bandwidth_y") * grid.df, "area_tf": F.col("area_xy") * cell})
+    return out
+
+
 def template_matches(frames: DataFrame, template: np.ndarray, dt: float, threshold: float, min_distance: float | None = None, block: int = BLOCK) -> DataFrame:
     """Places where a template of bins by frames correlates: (rec_id, peak_time, xcorrcoef, min_t, max_t).
 
@@ -302,14 +338,14 @@ def remove_background_morpho(frames: DataFrame, q: float = 0.1, block: int = WHO
     return in_blocks(frames, kernel, "t_idx long, v array<double>", 0, block)
 
 
-def shape_params(spark, preset: str = "low") -> DataFrame:
-    """The filters of a preset: (shp, theta, freq, pyr_level, scale)."""
-    o = kn.SHAPE_PRESETS[preset]
+def shape_params(spark, preset: str | dict = "low") -> DataFrame:
+    """The filters of a preset, one of the named or one's own: (shp, theta, freq, pyr_level, scale)."""
+    o = kn.shape_options(preset)
     rows = [(f"shp_{k * len(kn.bank(preset)) + i + 1:03d}", t, f, k + 1, 2**k / f) for k in range(o["npyr"]) for i, (t, f, _) in enumerate(kn.bank(preset))]
     return spark.createDataFrame([(a, float(b), float(c), int(d), float(e)) for a, b, c, d, e in rows], "shp string, theta double, freq double, pyr_level int, scale double")
 
 
-def shape_features(frames: DataFrame, preset: str = "low", block: int = WHOLE) -> DataFrame:
+def shape_features(frames: DataFrame, preset: str | dict = "low", block: int = WHOLE) -> DataFrame:
     """Mean response of each filter per recording, which one task holds, or per smaller block: (rec_id, block, shp, response)."""
 
     def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
@@ -319,14 +355,27 @@ def shape_features(frames: DataFrame, preset: str = "low", block: int = WHOLE) -
     return in_blocks(frames, kernel, "shp string, response double", 0, block)
 
 
-def shape_roi_features(frames: DataFrame, boxes: DataFrame, preset: str = "low", block: int = WHOLE) -> DataFrame:
-    """Mean response of each filter in each box: (rec_id, roi_id, shp, response). One task holds a recording. A box over several smaller blocks weights them by its columns."""
+def shape_raw(frames: DataFrame, preset: str | dict = "low", block: int = WHOLE) -> DataFrame:
+    """The responses of all filters at every cell: (rec_id, block, shp, t_idx, v array of bins). One task holds a recording, or a smaller block."""
 
     def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
         rows = [(f"shp_{i + 1:03d}", t + t0, r[:, t]) for i, r in enumerate(kn.shape_responses(image, preset)) for t in range(start, end)]
         return pd.DataFrame(rows, columns=["shp", "t_idx", "v"])
 
-    responses = in_blocks(frames, kernel, "shp string, t_idx long, v array<double>", 0, block).drop("block")
+    return in_blocks(frames, kernel, "shp string, t_idx long, v array<double>", 0, block)
+
+
+def shape_matrix(shape: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """Shape responses (by, shp, response) as a picture: one row per scale, a column of responses for each angle: (by, scale, theta_1, theta_2, ...)."""
+    angles = [r.theta for r in params.select("theta").distinct().orderBy("theta").collect()]  # the angles of a preset
+    placed = shape.join(F.broadcast(params.select("shp", "theta", "scale")), "shp")
+    columns = [F.max(F.when(F.col("theta") == a, F.col("response"))).alias(f"theta_{i + 1}") for i, a in enumerate(angles)]
+    return placed.groupBy(*by, "scale").agg(*columns)
+
+
+def shape_roi_features(frames: DataFrame, boxes: DataFrame, preset: str | dict = "low", block: int = WHOLE) -> DataFrame:
+    """Mean response of each filter in each box: (rec_id, roi_id, shp, response). One task holds a recording. A box over several smaller blocks weights them by its columns."""
+    responses = shape_raw(frames, preset, block).drop("block")
     columns = boxes.select("rec_id", "roi_id", "min_y", "max_y", F.explode(F.sequence(F.col("min_x").cast("long"), F.col("max_x").cast("long"))).alias("t_idx"))
     part = F.slice("v", F.col("min_y").cast("int") + 1, (F.col("max_y") - F.col("min_y") + 1).cast("int"))
     summed = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
@@ -363,6 +412,39 @@ def stft(signals: DataFrame, nperseg: int, noverlap: int | None = None, block: i
     return signals.select("rec_id", "x").mapInPandas(run, "rec_id long, t_idx long, v array<double>")
 
 
+def spectrogram(signals: DataFrame, fs: float, nperseg: int, noverlap: int | None = None, mode: str = "psd", flims: tuple[float, float] | None = None, tlims: tuple[float, float] | None = None) -> DataFrame:
+    """Spectrogram cut to a band and a time: (rec_id, t_idx, tn, f_first, v array of bins), from 0 again after the cut.
+
+    ``mode`` is ``psd``, ``amplitude`` or ``complex``, whose values are structs of re and im. The
+    limits snap to the nearest bin and frame, both included; f_first is the first bin kept.
+    """
+    hop = nperseg - (nperseg // 2 if noverlap is None else noverlap)
+    grid = sp.Grid(nperseg // 2, fs / nperseg, hop / fs)
+    lo, hi = (grid.nearest(f) for f in flims) if flims else (0, grid.n - 1)
+    if mode not in ("psd", "amplitude", "complex"):
+        raise ValueError(f"unknown mode {mode}")
+
+    def run(batches):
+        for pdf in batches:
+            for r, x in zip(pdf["rec_id"], pdf["x"]):
+                if x is None:
+                    continue
+                cut = kn.segments(np.asarray(x, float), nperseg, hop)[: max(len(x) // hop - 1, 0)]
+                near = lambda t: int(np.clip(np.ceil(t * fs / hop - 0.5), 0, max(len(cut) - 1, 0)))
+                first, last = (near(tlims[0]), near(tlims[1])) if tlims else (0, len(cut) - 1)
+                for t in range(first, last + 1, BLOCK):
+                    z = kn.frame_spectrum(cut[t : min(t + BLOCK, last + 1)], nperseg)[:, lo : hi + 1]
+                    if mode == "complex":
+                        values = [[{"re": float(c.real), "im": float(c.imag)} for c in row] for row in z]
+                    else:
+                        values = list(np.abs(z) if mode == "amplitude" else np.abs(z) ** 2)
+                    at = np.arange(t - first, t - first + len(z))
+                    yield pd.DataFrame({"rec_id": r, "t_idx": at, "tn": at * (hop / fs), "f_first": lo, "v": values})
+
+    cell = "struct<re:double,im:double>" if mode == "complex" else "double"
+    return signals.select("rec_id", "x").mapInPandas(run, f"rec_id long, t_idx long, tn double, f_first long, v array<{cell}>")
+
+
 def as_cells(frames: DataFrame) -> DataFrame:
     return frames.select("rec_id", "t_idx", F.posexplode("v").alias("f_idx", "p")).withColumn("f_idx", F.col("f_idx").cast("long"))
 

@@ -75,3 +75,14 @@ def counts_by_value(rows: DataFrame, by: str, value: str, prefix: str, max_value
     found.sort(key=lambda v: (v is None, v if v is not None else 0))
     count = lambda v: F.count(F.when(F.col(value).eqNullSafe(F.lit(v)), 1))
     return rows.groupBy(by).agg(*[count(v).alias(f"{prefix}{'null' if v is None else v}") for v in found]) if found else rows.select(by).distinct()
+
+
+def update_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``left`` with the non-null values of ``right`` in the columns that both have; other columns and rows of ``right`` are ignored.
+
+    ``right`` has a key once; of repeated keys the largest row counts. Null keys meet nothing.
+    """
+    shared = [c for c in left.columns if c in right.columns and c not in on]
+    once = right.groupBy(*on).agg(F.max(F.struct(*shared)).alias("_new"))
+    both = left.join(once, on, "left")
+    return both.select(*[F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in shared else F.col(c) for c in left.columns])

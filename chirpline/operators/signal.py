@@ -85,6 +85,16 @@ def entropy(value: str) -> Column:
     return F.when(n == 1, F.lit(0.0)).when(s == 0, F.lit(1.0)).otherwise(h / F.ln(n))
 
 
+def rescaled_entropy(series: DataFrame, by: list[str], value: str, out: str = "h") -> DataFrame:
+    """``entropy`` of series that may have negative values: those that do are scaled to 0..1 first, the others are left as they are: (by, out).
+
+    The bounds and the sums of a group combine before the shuffle; the scaled sums need the bounds, so the rows meet them in a join.
+    """
+    ends = series.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = F.when(F.col("_lo") < 0, (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).otherwise(F.col(value))
+    return series.join(ends, by).withColumn("_v", scaled).groupBy(*by).agg(entropy("_v").alias(out))
+
+
 def median(value: str) -> Column:
     return F.percentile(value, F.lit(0.5))
 
@@ -169,7 +179,9 @@ def acoustic_richness(features: DataFrame) -> DataFrame:
 
 
 def quantile_positions(series: DataFrame, by: list[str], order: str, axis: str, value: str, qs: list[float]) -> DataFrame:
-    """The first position on the axis at which the running share of the total reaches each q: (by, q1, q2, ...)."""
+    """The first position on the axis at which the running share of the total reaches each q: (by, q1, q2, ...). A q outside 0 to 1 is refused."""
+    if not all(0 <= q <= 1 for q in qs):
+        raise ValueError("quantiles lie between 0 and 1")
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     c = series.withColumn("share", F.sum(value).over(w) / total)

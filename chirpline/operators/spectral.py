@@ -204,8 +204,15 @@ def _bioacoustics(bins: DataFrame, grid: Grid, lo: float, hi: float) -> DataFram
     return level.groupBy("rec_id").agg(((F.sum("level") - F.count(F.lit(1)) * F.min("level")) / grid.df).alias("bi"), (F.sqrt(F.max(F.col("sp") / F.col("ptop"))) * grid.df).alias("bi_power"))
 
 
-def roughness(cells: DataFrame) -> DataFrame:
-    return with_steps(cells).groupBy("rec_id").agg(F.sum(F.col("d2") * F.col("d2")).alias("rou"))
+def roughness(cells: DataFrame, norm: str | None = None) -> DataFrame:
+    """Sum of the squared second differences over time: (rec_id, rou). With norm ``per_bin`` or ``global`` values are by the largest of their bin or recording."""
+    per_bin = with_steps(cells).groupBy(*BIN).agg(F.sum(F.col("d2") * F.col("d2")).alias("r"), F.max("a").alias("top"))
+    if norm == "global":
+        per_bin = per_bin.withColumn("top", F.max("top").over(Window.partitionBy("rec_id")))
+    elif norm not in (None, "per_bin"):
+        raise ValueError(f"unknown norm {norm}")
+    top = F.greatest(F.col("top"), F.lit(db.MIN)) if norm else F.lit(1.0)
+    return per_bin.groupBy("rec_id").agg(F.sum(F.col("r") / top / top).alias("rou"))
 
 
 def surface_roughness(cells: DataFrame, per_bin: bool = False) -> DataFrame:
@@ -338,11 +345,18 @@ def rao_of_bins(b: DataFrame) -> DataFrame:
     return x.groupBy("rec_id").agg((2 * F.sum(F.col("share") * (1 - F.col("share")) * F.col("gap")) / (F.max("b") - F.min("b")) * (2 * math.sqrt(2))).alias("raoq"))
 
 
-def acoustic_gradient(cells: DataFrame, grid: Grid) -> DataFrame:
-    """Absolute steps over time by the bin's median step: their mean and sum over bins: (rec_id, agi, agi_sum)."""
-    steps = with_steps(cells).where("d1 is not null").withColumn("g", F.abs("d1") / grid.dt)
-    per_bin = steps.groupBy(*BIN).agg((F.avg("g") / F.greatest(F.percentile("g", F.lit(0.5)), F.lit(db.MIN))).alias("agi"))
-    return per_bin.groupBy("rec_id").agg(F.avg("agi").alias("agi"), F.sum("agi").alias("agi_sum"))
+def acoustic_gradient(cells: DataFrame, grid: Grid, order: int = 1, norm: str | None = "per_bin") -> DataFrame:
+    """Absolute differences of an order over time by the median one of their bin or, with norm ``global``, of the recording: their mean and sum over bins: (rec_id, agi, agi_sum)."""
+    if order < 1 or norm not in (None, "per_bin", "global"):
+        raise ValueError("order must be at least 1 and norm per_bin, global or None")
+    w = over_time()
+    difference = reduce(lambda x, y: x + y, [F.lit(float((-1) ** k * math.comb(order, k))) * (F.lag("a", k).over(w) if k else F.col("a")) for k in range(order + 1)])
+    steps = cells.withColumn("g", F.abs(difference) / grid.dt**order).where("g is not null")
+    median = lambda: F.greatest(F.percentile("g", F.lit(0.5)), F.lit(db.MIN))
+    per_bin = steps.groupBy(*BIN).agg(F.avg("g").alias("g"), (median() if norm == "per_bin" else F.lit(1.0)).alias("m"))
+    if norm == "global":
+        per_bin = per_bin.drop("m").join(steps.groupBy("rec_id").agg(median().alias("m")), "rec_id")
+    return per_bin.groupBy("rec_id").agg(F.avg(F.col("g") / F.col("m")).alias("agi"), F.sum(F.col("g") / F.col("m")).alias("agi_sum"))
 
 
 def sharpness(cells: DataFrame, value: str = "p") -> DataFrame:

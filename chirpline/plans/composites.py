@@ -8,10 +8,11 @@ from chirpline.functions import decibel as db
 from chirpline.functions import indices as ix
 from chirpline.operators import features as ft
 from chirpline.operators import images as im
+from chirpline.operators import relational as rl
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
 from chirpline.operators import summaries as sm
-from chirpline.plans.pictures import BOXES, N_PEAKS, N_PEAKS_SELECT, ROI_INDEX, ROI_OK, ROI_SELECT, boxes, frames, hysteresis_sql
+from chirpline.plans.pictures import BOX, BOXES, N_PEAKS, N_PEAKS_SELECT, ROI_INDEX, ROI_OK, ROI_SELECT, boxes, frames, hysteresis_sql
 from chirpline.plans.registry import DF, DT, ENV, FS, M, NT, SIG, SPEC, R, Registry, cells, rounded, signals
 from chirpline.plans.spectral import ALL, EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
 from chirpline.plans.temporal import evn, mom
@@ -196,3 +197,64 @@ def audio_indices(spark, d):
     """WAV files, resampled from 64 to 48 Hz, to the table of all spectral indices."""
     found = ft.audio_indices(spark, _archive(spark, d), 16, 48)
     return rounded(found.withColumn("path", F.substring_index("path", "/", -1)))
+
+
+@q(f"WITH {SIG}, e AS (SELECT rec_id, CASE WHEN min(x) OVER w < 0 THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE x END AS v FROM sig WINDOW w AS (PARTITION BY rec_id)) SELECT rec_id, {R('h', 'h')} FROM {hn('v', 'e', 'rec_id', 'h')}")
+def entropy_of_signed(spark, d):
+    return rounded(sg.rescaled_entropy(sg.samples(signals(spark, d)), ["rec_id"], "x"))
+
+
+@q(f"WITH {SPEC}, {LAGS}, r AS (SELECT rec_id, f_idx, sum(d2 * d2) AS r, max(a) AS m FROM lg GROUP BY 1, 2) SELECT rec_id, {R('sum(r / (m * m))', 'per_bin')}, {R('sum(r) / pow(max(m), 2)', 'global')} FROM r GROUP BY 1")
+def roughness_norms(spark, d):
+    c = cells(spark, d)
+    return rounded(sp.roughness(c, "per_bin").withColumnRenamed("rou", "per_bin").join(sp.roughness(c, "global").withColumnRenamed("rou", "global"), "rec_id"))
+
+
+@q(f"""WITH {SPEC}, {LAGS}, g AS (SELECT rec_id, f_idx, abs(d2) / 0.0625 AS g FROM lg WHERE d2 IS NOT NULL), m AS (SELECT rec_id, quantile_cont(g, 0.5) AS m FROM g GROUP BY 1), b AS (SELECT rec_id, f_idx, avg(g) AS g FROM g GROUP BY 1, 2)
+  SELECT rec_id, {R('avg(b.g / m.m)', 'agi')}, {R('sum(b.g / m.m)', 'agi_sum', 5)} FROM b JOIN m USING (rec_id) GROUP BY 1""")
+def agi_second_order(spark, d):
+    return rounded(sp.acoustic_gradient(cells(spark, d), G, 2, "global").withColumn("agi_sum", F.round("agi_sum", 5)))
+
+
+@q(f"""WITH {SIG}, fr AS (SELECT rec_id, t, i - t * 8 AS n, x FROM sig, (SELECT unnest(range(0, 7)) AS t) WHERE i BETWEEN t * 8 AND t * 8 + 15),
+  w AS (SELECT *, (x - avg(x) OVER (PARTITION BY rec_id, t)) * (0.5 - 0.5 * cos(2 * pi() * n / 16)) AS y FROM fr WHERE t BETWEEN 1 AND 5),
+  dft AS (SELECT rec_id, t, k, sum(y * cos(2 * pi() * k * n / 16)) AS re, sum(y * sin(2 * pi() * k * n / 16)) AS im FROM w, (SELECT unnest(range(2, 7)) AS k) GROUP BY 1, 2, 3)
+  SELECT rec_id, t - 1 AS t_idx, k AS f_idx, {R('sqrt((re * re + im * im) * 2 / (16 * 6))', 'a')} FROM dft""")
+def spectrogram_limits(spark, d):
+    """Amplitudes from 8 to 24 Hz and from 0.125 to 0.6 seconds."""
+    found = im.spectrogram(signals(spark, d), FS, 16, mode="amplitude", flims=(8.0, 24.0), tlims=(0.125, 0.6))
+    return rounded(found.select("rec_id", "t_idx", "f_first", F.posexplode("v").alias("k", "a")).select("rec_id", "t_idx", (F.col("k") + F.col("f_first")).alias("f_idx"), "a"))
+
+
+@q(f"""WITH {SPEC}, {BOX} SELECT s.rec_id, roi_id, min_y, max_y, min_x, max_x, min_y * 250::DOUBLE AS min_f, max_y * 250::DOUBLE AS max_f, min_x * 0.25::DOUBLE AS min_t, max_x * 0.25::DOUBLE AS max_t,
+  round(sum(p * f_idx) / sum(p)) * 250::DOUBLE AS centroid_f, round(sum(p * t_idx) / sum(p)) * 0.25::DOUBLE AS centroid_t, (max_x - min_x) * 0.25::DOUBLE AS duration_t, (max_y - min_y) * 250::DOUBLE AS bandwidth_f, (max_x - min_x) * (max_y - min_y) * 62.5::DOUBLE AS area_tf
+  FROM spec s JOIN box b ON b.rec_id = s.rec_id AND t_idx BETWEEN min_x AND max_x AND f_idx BETWEEN min_y AND max_y GROUP BY s.rec_id, roi_id, min_x, max_x, min_y, max_y""")
+def roi_format_from_pixels(spark, d):
+    b = boxes(spark, d)
+    out = im.format_features(im.box_centroids(cells(spark, d), b).join(b, ["rec_id", "roi_id"]), G)
+    return out.select("rec_id", "roi_id", "min_y", "max_y", "min_x", "max_x", "min_f", "max_f", "min_t", "max_t", "centroid_f", "centroid_t", "duration_t", "bandwidth_f", "area_tf")
+
+
+@q("""WITH c AS (SELECT id, min(q) AS q, min(length) AS length, min(loc) AS loc FROM catalogue WHERE id IS NOT NULL GROUP BY 1), n AS (SELECT id, CASE WHEN q = 'B' THEN 'A' END AS q, '0:' || right(id, 2) AS length FROM c WHERE id LIKE '%7')
+  SELECT c.id, coalesce(n.q, c.q) AS q, coalesce(n.length, c.length) AS length, loc FROM c LEFT JOIN n USING (id)""")
+def update_join(spark, d):
+    c = table(spark, d, "catalogue").where("id is not null").groupBy("id").agg(*[F.min(x).alias(x) for x in ("q", "length", "loc")])
+    new = c.where("id like '%7'").select("id", F.when(F.col("q") == "B", "A").alias("q"), F.concat(F.lit("0:"), F.expr("right(id, 2)")).alias("length"), F.lit("x").alias("other"))
+    return rl.update_join(c, new, ["id"])
+
+
+@q("SELECT rec_id FROM audio_metadata INTERSECT SELECT rec_id FROM roi")
+def intersect_ids(spark, d):
+    return table(spark, d, "audio_metadata").select("rec_id").intersect(table(spark, d, "roi").select("rec_id"))
+
+
+@q()
+def shape_raw(spark, d):
+    return im.shape_raw(frames(spark, d)).drop("block")
+
+
+@q()
+def shape_matrix(spark, d):
+    """The shape features of each recording, scales down and angles across, with a preset of one's own."""
+    own = {"ntheta": 3, "bandwidth": 0.8, "frequency": (0.35, 0.5), "gamma": 2, "npyr": 2}
+    return im.shape_matrix(im.shape_features(frames(spark, d), own).drop("block"), im.shape_params(spark, own), ["rec_id"])

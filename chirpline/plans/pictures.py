@@ -246,7 +246,7 @@ def dft_sql(source: str, n: int, name: str = "d") -> str:
   g AS (SELECT rec_id, k, re * h AS re, im * h AS im FROM (SELECT *, CASE WHEN k = 0 OR k = 95 THEN 0 ELSE 1 / (1 + pow(pow((w * w - a * b) / (w * (b - a)), 2), 3)) END AS h FROM w))
   SELECT rec_id, i - 63 AS i, {R('sum(re * cos(2 * pi() * (k * i % 190) / 190) - im * sin(2 * pi() * (k * i % 190) / 190)) / 190', 'x')} FROM g, (SELECT unnest(range(63, 127)) AS i) GROUP BY 1, 2""")
 def butter_bandpass(spark, d):
-    return _long(im.map_arrays(signals(spark, d), lambda x: kn.zero_phase_butterworth(x, FS, (4.0, 16.0), 3)))
+    return _long(im.map_arrays(signals(spark, d), lambda x: kn.zero_phase_iir(x, FS, (4.0, 16.0), 3)))
 
 
 # 64 samples meet the first 64 taps; the Bessel function of the Kaiser window is summed

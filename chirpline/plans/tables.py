@@ -190,7 +190,7 @@ def filename_parse(spark, d):
     return m.select("rec_id", flag.alias("flag"), sensor.alias("sensor"), stamp.cast("timestamp_ntz").alias("stamp"), hms.alias("hms"))
 
 
-_RX = metadata.date_pattern("%Y%m%d_%H%M%S").replace("(", "(?:").replace(r"\d", "[0-9]")
+_RX = metadata.date_pattern("%Y%m%d_%H%M%S")
 
 
 @q(f"SELECT rec_id, coalesce(try_strptime(regexp_extract(n, '({_RX})', 1), '%Y%m%d_%H%M%S'), TIMESTAMP '1900-01-01 00:00:01') AS stamp FROM (SELECT rec_id, regexp_extract(path_audio, '([^/\\\\]*)$', 1) AS n FROM audio_metadata)")

@@ -27,24 +27,32 @@ def session_events(stream: DataFrame, threshold: float, gap: str = "30 minutes",
     return g.select("rec_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "peak")
 
 
-def pcen(stream: DataFrame, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, b: float = 0.025, eps: float = 1e-6) -> DataFrame:
+def pcen(stream: DataFrame, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, b: float = 0.025, eps: float = 1e-6, late: str = "10 minutes", quiet: str = "30 days") -> DataFrame:
     """Per-channel energy normalisation of each source; the smoother is its state: (rec_id, ts, event_id, out).
 
-    Within a micro-batch readings count in the order of ts and event_id; over batches in that of
-    arrival.
+    Within a micro-batch readings count in the order of ts and event_id, taken reading by reading
+    from Arrow batches; over batches a reading that is older than the last one counts where it
+    arrives, and one that is ``late`` is dropped. A source that has been silent for ``quiet`` of
+    event time loses its state and begins anew.
     """
+    silence = int(pd.Timedelta(quiet).total_seconds() * 1000)
 
     def scan(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        m = state.get[0] if state.exists else 0.0
+        m, latest = state.get if state.exists else (0.0, 0)
         out = []
         for x in pdf["x"]:
             m = b * x + (1 - b) * m
             out.append((x * (m + eps) ** -gain + bias) ** power - math.pow(bias, power))
-        state.update((m,))
+        latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
+        state.update((m, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + silence)
         yield pd.DataFrame({"rec_id": key[0], "ts": pdf["ts"], "event_id": pdf["event_id"], "out": out})
 
-    return stream.groupBy("rec_id").applyInPandasWithState(scan, "rec_id long, ts timestamp, event_id long, out double", "m double", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy("rec_id").applyInPandasWithState(scan, "rec_id long, ts timestamp, event_id long, out double", "m double, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
@@ -57,4 +65,4 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", staging_path(spark, "progress")).trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

@@ -59,10 +59,10 @@ def test_resample_lengths_and_round_trip(fs, to):
 
 def test_filters_keep_their_band():
     x = sine(50, 4000) + sine(300, 4000)
-    y = kn.zero_phase_butterworth(x, FS, (30.0, 80.0), 4)
+    y = kn.zero_phase_iir(x, FS, (30.0, 80.0), 4)
     assert np.abs(y[500:-500] - sine(50, 4000)[500:-500]).max() < 1e-2
-    low = kn.zero_phase_butterworth(x, FS, (100.0,), 6, "lowpass")
-    high = kn.zero_phase_butterworth(x, FS, (100.0,), 6, "highpass")
+    low = kn.zero_phase_iir(x, FS, (100.0,), 6, "lowpass")
+    high = kn.zero_phase_iir(x, FS, (100.0,), 6, "highpass")
     assert np.abs(low + high - x)[500:-500].max() < 1e-2
     taps = kn.kaiser_sinc_taps((200.0, 400.0), FS)
     z = kn.causal_fir(x, taps)[len(taps) :]
@@ -312,7 +312,13 @@ def test_date_notations(spark):
     sm4 = [str(r[0]) for r in df.select(metadata.parsed_date(F.col("n"), "SM4")).collect()]
     assert sm4[0] == "2019-05-22 23:30:00" and sm4[2] == metadata.DEFAULT_DATE
     assert [str(r[0]) for r in df.select(metadata.parsed_date(F.col("n"), "POSIX")).collect()][2] == "2019-05-08 09:34:03"
-    assert metadata.date_pattern("%H:%M") == r"([01]\d|2[0-3]):([0-5]\d)" and metadata.java_pattern("S%Y%m") == "'S'yyyyMM"
+    import re
+
+    for notation, fits, fails in (("%H:%M", ["00:00", "23:59"], ["24:00", "12:60", "1:30"]), ("%d%b%y", ["31Dec20"], ["32Dec20", "00Dec20"]), ("S%Y%m_100%%", ["S202012_100%"], ["S202013_100%", "S202012_100"])):
+        assert all(re.fullmatch(metadata.date_pattern(notation), x) for x in fits) and not any(re.fullmatch(metadata.date_pattern(notation), x) for x in fails)
+    assert metadata.java_pattern("S%Y%m") == "'S'yyyyMM"
+    with pytest.raises(ValueError):
+        metadata.date_pattern("%c")
 
 
 def test_annotations_and_pages(spark, tmp_path):
@@ -485,3 +491,56 @@ def test_audio_to_indices(spark, tmp_path):
         assert (got[0][name] is None and math.isnan(v)) or got[0][name] == pytest.approx(v, rel=1e-6, abs=1e-9), name
     rows = ft.audio_soundscape(spark, folder, 64, 300, threshold=-40).collect()
     assert {r.hour for r in rows} == {3} and len(rows) == 32 and sum(r.density for r in rows) > 0
+
+
+@pytest.mark.parametrize("design", ["butter", "cheby1", "cheby2"])
+def test_iir_designs_at_their_edges(design):
+    f = np.array([1.0, 10.0, 15.0, 20.0, 31.0])
+    g = kn.iir_gain(f, 64.0, (10.0, 20.0), 4, "bandpass", design, ripple=1.0, atten=40.0)
+    at_cut = {"butter": 0.5, "cheby1": 10**-0.1, "cheby2": 10**-4}[design]
+    assert g[1] == pytest.approx(at_cut) and g[3] == pytest.approx(at_cut) and g[0] < 1e-3 and g[4] < 1e-2 and g[2] > 0.78
+    stop = kn.iir_gain(f, 64.0, (10.0, 20.0), 4, "bandstop", design)
+    assert stop[0] > 0.78 and stop[2] < 0.01
+    x = np.sin(2 * np.pi * 15 * np.arange(640) / 64)
+    assert np.abs(kn.zero_phase_iir(x, 64.0, (10.0, 20.0), 4, "bandpass", design) - x)[100:-100].max() < 0.3
+
+
+def test_options_are_checked(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0.0, 1.0)], "rec_id long, t_idx long, f_idx long, fn double, a double")
+    with pytest.raises(ValueError):
+        sp.roughness(cells, "loud")
+    with pytest.raises(ValueError):
+        sp.acoustic_gradient(cells, sp.Grid(1, 1.0, 1.0), 0)
+    with pytest.raises(ValueError):
+        sg.quantile_positions(cells, ["rec_id"], "t_idx", "fn", "a", [0.5, 1.5])
+    with pytest.raises(ValueError):
+        kn.bank({"ntheta": 1})
+    with pytest.raises(ValueError):
+        im.spectrogram(signals(spark, [0.0] * 32), FS, 16, mode="loud")
+
+
+def test_complex_spectrogram_and_limits(spark):
+    x = np.random.default_rng(1).normal(size=400)
+    got = im.spectrogram(signals(spark, x.tolist()), 64.0, 16, mode="complex").orderBy("t_idx").collect()
+    power = kn.stft_power(x, 16)
+    assert len(got) == power.shape[1]
+    assert np.allclose(np.array([[c.re**2 + c.im**2 for c in r.v] for r in got]).T, power)
+
+
+def test_format_features_from_both_units(spark):
+    grid = sp.Grid(8, 100.0, 0.5)
+    phys = spark.createDataFrame([(1, 120.0, 0.4, 9999.0, 1.1, 249.0, 0.7, "a"), (2, None, 1.0, 300.0, 2.0, None, None, "b")], "k int, min_f double, min_t double, max_f double, max_t double, centroid_f double, centroid_t double, label string")
+    r = {x.k: x for x in im.format_features(phys, grid, 3).collect()}
+    assert (r[1].min_y, r[1].min_x, r[1].max_y, r[1].max_x, r[1].max_f, r[1].max_t, r[1].centroid_y, r[1].centroid_x) == (1, 1, 7, 2, 700.0, 1.0, 2, 1)
+    assert r[2].min_y is None and r[2].label == "b"
+    px = spark.createDataFrame([(1, 1, 1, 3, 2), (2, 5, 0, 4, 2)], "k int, min_y long, min_x long, max_y long, max_x long")
+    got = im.format_features(px, grid).collect()
+    assert [(x.k, x.min_f, x.max_t) for x in got] == [(1, 100.0, 1.0)]
+    assert im.format_features(px.select("k"), grid).columns == ["k"]
+
+
+def test_update_join(spark):
+    left = spark.createDataFrame([(1, "a", None), (2, "b", 5), (None, "c", 6)], "k int, v string, w int")
+    right = spark.createDataFrame([(1, "x", 7, 0), (1, "a", 9, 0), (2, None, 8, 0), (None, "z", 1, 0), (9, "q", 1, 0)], "k int, v string, w int, extra int")
+    assert {tuple(r) for r in rl.update_join(left, right, ["k"]).collect()} == {(1, "x", 7), (2, "b", 8), (None, "c", 6)}
+    assert rl.update_join(left, right.limit(0), ["k"]).count() == 3
