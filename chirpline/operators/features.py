@@ -11,6 +11,7 @@ from chirpline.functions import decibel as db
 from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
+from chirpline.operators.quantiles import grouped_quantiles
 from chirpline.session import checkpoint
 
 QS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -163,10 +164,9 @@ def relative_thresholds(cells: DataFrame, value: str = "p", bin_std: float = 6.0
     """High and low threshold of each recording from its positive cells: (rec_id, high, low).
 
     high is the third quartile and bin_std interquartile ranges; low is high less the share bin_per.
-    The quartiles are exact and count values before the shuffle.
+    The quartiles are exact and no task holds the cells of a recording.
     """
-    positive = cells.where(F.col(value) > 0)
-    quartiles = positive.groupBy("rec_id").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    quartiles = grouped_quantiles(cells.where(F.col(value) > 0), ["rec_id"], value, [0.25, 0.75])
     high = F.col("q")[1] + (F.col("q")[1] - F.col("q")[0]) * bin_std
     return quartiles.select("rec_id", high.alias("high"), (high - high * bin_per).alias("low"))
 

@@ -20,6 +20,7 @@ from chirpline.functions import decibel as db
 from chirpline.functions import kernels as kn
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
+from chirpline.operators.quantiles import grouped_quantiles
 from chirpline.session import checkpoint
 
 BLOCK = 4096
@@ -123,7 +124,7 @@ def label_blocks(frames: DataFrame, high: float, low: float, block: int = BLOCK)
     return in_blocks(frames, kernel, "t_idx long, f_idx long, v double, part long", 0, block)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """The smallest node of each node's component: (node, component). Edges are (a, b), any order.
 
     Each round a node takes the smallest label among its neighbours and then that label's own
@@ -132,7 +133,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
     labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("l").alias("n")).withColumnRenamed("a", "node")
         step = labels.join(near, "node").select("node", "l", F.least("l", "n").alias("m"))
         jump = labels.select(F.col("node").alias("m"), F.col("l").alias("up"))
@@ -141,7 +142,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = new.select("node", F.col("k").alias("l"))
         if not changed:
             return labels.select("node", F.col("l").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def hysteresis_cells(frames: DataFrame, high: float, low: float, block: int = BLOCK) -> DataFrame:
@@ -324,18 +324,53 @@ def remove_background(frames: DataFrame, win: int = 50, std: float = 25.0) -> Da
     return frames.join(noise, "rec_id").select("rec_id", "t_idx", out.alias("v"))
 
 
-def remove_background_morpho(frames: DataFrame, q: float = 0.1, block: int = WHOLE) -> DataFrame:
-    """Residue over the morphological reconstruction: (rec_id, block, t_idx, v array).
+def remove_background_morpho(frames: DataFrame, q: float = 0.1, block: int = BLOCK) -> DataFrame:
+    """Residue over the morphological reconstruction: (rec_id, block, t_idx, v array), the same for any size of blocks.
 
-    Quantile and reconstruction are those of the whole recording, which one task holds; a smaller
-    ``block`` bounds the memory and gives each block its own.
+    The seed is the picture less the recording's exact quantile ``q``. Each block is reconstructed by
+    itself; then the border frames of neighbouring blocks, one array each, are exchanged and the
+    blocks grown on until no border changes, which takes as many rounds as a ridge crosses blocks.
+    Blocks are written between rounds; a recording of one block needs none.
     """
+    level = grouped_quantiles(frames.select("rec_id", F.explode("v").alias("x")), ["rec_id"], "x", [q]).select("rec_id", F.col("q")[0].alias("level"))
 
-    def kernel(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
-        out = kn.remove_background_morpho(image, q)
-        return pd.DataFrame({"t_idx": np.arange(start, end) + t0, "v": [out[:, i] for i in range(start, end)]})
+    def cut(image: np.ndarray, t0: int, start: int, end: int) -> pd.DataFrame:
+        own = np.ascontiguousarray(image[:, start:end])
+        return pd.DataFrame({"t0": [t0 + start], "bins": [own.shape[0]], "image": [own.tobytes()]})
+
+    pictures = in_blocks(frames, cut, "t0 long, bins int, image binary", 0, block).join(level, "rec_id")
+    schema = "rec_id long, block long, t0 long, bins int, image binary, grown binary, first array<double>, last array<double>, changed boolean"
+
+    def grow(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                mask = np.frombuffer(r.image).reshape(r.bins, -1)
+                before = np.frombuffer(r.grown).reshape(r.bins, -1) if r.grown is not None else mask - r.level
+                left, right = (None if side is None else np.asarray(side, float)[:, None] for side in (r.left, r.right))
+                # a neighbour's border is already at rest there, so it stands for its own mask
+                sides = [x for x in (left, before, right) if x is not None]
+                masks = [x for x in (left, mask, right) if x is not None]
+                out = kn.reconstruct(np.hstack(sides), np.hstack(masks))
+                out = np.ascontiguousarray(out[:, 0 if left is None else 1 :][:, : mask.shape[1]])
+                changed = r.grown is None or not (np.array_equal(out[:, 0], before[:, 0]) and np.array_equal(out[:, -1], before[:, -1]))
+                yield pd.DataFrame([(r.rec_id, r.block, r.t0, r.bins, r.image, out.tobytes(), out[:, 0], out[:, -1], changed)], columns=[x.split()[0] for x in schema.split(", ")])
+
+    none = F.lit(None).cast("array<double>")
+    state = checkpoint(pictures.select("*", F.lit(None).cast("binary").alias("grown"), none.alias("left"), none.alias("right")).mapInPandas(grow, schema))
+    if not state.where("block > 0").isEmpty():
+        while not state.where("changed").isEmpty():
+            lefts = state.select("rec_id", (F.col("block") + 1).alias("block"), F.col("last").alias("left"))
+            rights = state.select("rec_id", (F.col("block") - 1).alias("block"), F.col("first").alias("right"))
+            near = state.join(lefts, ["rec_id", "block"], "left").join(rights, ["rec_id", "block"], "left").withColumn("level", F.lit(0.0))
+            state = checkpoint(near.mapInPandas(grow, schema))
+
+    def residue(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                mask, grown = (np.frombuffer(x).reshape(r.bins, -1) for x in (r.image, r.grown))
+                yield pd.DataFrame({"rec_id": r.rec_id, "block": r.block, "t_idx": r.t0 + np.arange(mask.shape[1]), "v": list(np.maximum(mask - grown, 0).T)})
 
-    return in_blocks(frames, kernel, "t_idx long, v array<double>", 0, block)
+    return state.mapInPandas(residue, "rec_id long, block long, t_idx long, v array<double>")
 
 
 def shape_params(spark, preset: str | dict = "low") -> DataFrame:

@@ -9,18 +9,34 @@ from pyspark.sql.window import Window
 RAVEN = ["Selection", "View", "Channel", "Begin Time (s)", "End Time (s)", "Low Freq (Hz)", "High Freq (Hz)"]
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], weight: Column, out: str, chunk_s: float = 600.0) -> DataFrame:
+    """Add the sum of the weights of all rows before each row of its recording, in an order that begins with a time.
+
+    A recording may hold a third of all rows, so it is ordered in chunks of ``chunk_s`` seconds; the
+    sums of the chunks before come from one small row per chunk. Null times come first.
+    """
+    at = F.coalesce(F.floor(F.col(order[0]) / chunk_s).cast("long"), F.lit(-(2**62)))
+    placed = rows.withColumn("_chunk", at).withColumn("_w", weight)
+    before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(by, "_chunk").agg(F.sum("_w").alias("_s")).select(F.col(by).alias("_by"), F.col("_chunk").alias("_at"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumn("_inside", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    both = counted.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_chunk") == F.col("_at")))
+    return both.withColumn(out, F.col("_base") + F.col("_inside")).drop("_chunk", "_at", "_by", "_w", "_base", "_inside")
+
+
 def to_audacity(rois: DataFrame, by: str = "rec_id") -> DataFrame:
     """Lines of label files: (by, line_no from 1, line). A ROI gives a time line and, with a band, a frequency line after it.
 
     The order within a file is that of min_t, max_t, then the label. Null labels are empty.
     """
-    order = Window.partitionBy(by).orderBy("min_t", "max_t", "label", "roi_id")
     text = lambda c: F.format_string("%.6f", F.col(c))
     first = F.concat_ws("\t", text("min_t"), text("max_t"), F.coalesce("label", F.lit("")))
     second = F.concat_ws("\t", F.lit("\\"), text("min_f"), text("max_f"))
-    lines = F.when(F.col("min_f").isNotNull() & F.col("max_f").isNotNull(), F.array(first, second)).otherwise(F.array(first))
-    numbered = rois.withColumn("k", F.row_number().over(order)).select(by, "k", F.posexplode(lines).alias("j", "line"))
-    return numbered.select(by, F.row_number().over(Window.partitionBy(by).orderBy("k", "j")).cast("long").alias("line_no"), "line")
+    banded = F.col("min_f").isNotNull() & F.col("max_f").isNotNull()
+    placed = numbered(rois, by, ["min_t", "max_t", "label", "roi_id"], F.when(banded, 2).otherwise(1), "_before")
+    lines = F.when(banded, F.array(first, second)).otherwise(F.array(first))
+    return placed.select(by, "_before", F.posexplode(lines).alias("j", "line")).select(by, (F.col("_before") + F.col("j") + 1).cast("long").alias("line_no"), "line")
 
 
 def from_audacity(lines: DataFrame, by: str = "rec_id") -> DataFrame:
@@ -32,11 +48,21 @@ def from_audacity(lines: DataFrame, by: str = "rec_id") -> DataFrame:
     return t.join(b, [by, "line_no"], "left").select(by, "line_no", "label", "min_t", "min_f", "max_t", "max_f")
 
 
+def read_audacity(spark, folder: str) -> DataFrame:
+    """ROIs of all label files below a folder: (path, line_no, label, min_t, min_f, max_t, max_f), through the parser that separates faulty lines."""
+    from chirpline.operators import row_parser
+
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    keyed = texts.withColumn("rec_id", F.xxhash64("path"))
+    found = row_parser.label_records(row_parser.raw_lines(keyed))
+    return found.join(keyed.select("rec_id", "path"), "rec_id").select("path", "line_no", "label", "min_t", "min_f", "max_t", "max_f")
+
+
 def to_raven(rois: DataFrame, by: str = "rec_id", extra: list[str] | None = None) -> DataFrame:
     """Selection tables: the standard columns, numbered from 1 in each recording, then the others."""
-    w = Window.partitionBy(by).orderBy("min_t", "max_t", "roi_id")
+    rois = numbered(rois, by, ["min_t", "max_t", "roi_id"], F.lit(1), "_before")
     c: list[Column] = [
-        F.row_number().over(w).cast("long").alias("Selection"), F.lit("Spectrogram 1").alias("View"), F.lit(1).cast("long").alias("Channel"),
+        (F.col("_before") + 1).cast("long").alias("Selection"), F.lit("Spectrogram 1").alias("View"), F.lit(1).cast("long").alias("Channel"),
         F.col("min_t").alias("Begin Time (s)"), F.col("max_t").alias("End Time (s)"), F.col("min_f").alias("Low Freq (Hz)"), F.col("max_f").alias("High Freq (Hz)"),
     ]
     return rois.select(by, *c, *(extra or []))

@@ -544,3 +544,40 @@ def test_update_join(spark):
     right = spark.createDataFrame([(1, "x", 7, 0), (1, "a", 9, 0), (2, None, 8, 0), (None, "z", 1, 0), (9, "q", 1, 0)], "k int, v string, w int, extra int")
     assert {tuple(r) for r in rl.update_join(left, right, ["k"]).collect()} == {(1, "x", 7), (2, "b", 8), (None, "c", 6)}
     assert rl.update_join(left, right.limit(0), ["k"]).count() == 3
+
+
+def test_grouped_quantiles(spark):
+    from chirpline.operators.quantiles import grouped_quantiles
+
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=501), "b": np.zeros(40), None: np.array([-3.0, 1e-300, 1e300]), "c": np.array([5.0]), "d": np.repeat([1.0, 2.0], [7, 2])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)], "g string, v double").repartition(3)
+    got = {r.g: r for r in grouped_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g].n == len(x) and list(got[g].q) == pytest.approx(np.quantile(x, [0, 0.1, 0.5, 0.77, 1]))
+
+
+def test_morpho_is_the_same_in_any_blocks(spark):
+    frames = _frames(spark, 9, 2, 20, 50)
+    a = {r: np.array([x.v for x in frames.where(f"rec_id = {r}").orderBy("t_idx").collect()]).T for r in (0, 1)}
+    a[0][5, :] = 9.0  # a ridge over all blocks
+    frames = spark.createDataFrame([(r, t, [float(v) for v in a[r][:, t]]) for r in a for t in range(50)], "rec_id long, t_idx long, v array<double>")
+    for block in (7, 4096):
+        got = {(r.rec_id, r.t_idx): r.v for r in im.remove_background_morpho(frames, 0.1, block).collect()}
+        assert len(got) == 100
+        for r in a:
+            want = kn.remove_background_morpho(a[r], 0.1)
+            assert np.allclose(np.array([got[(r, t)] for t in range(50)]).T, want)
+
+
+def test_label_files_are_read(spark, tmp_path):
+    rois = spark.createDataFrame([(1, k, None if k % 3 else "a", k * 100.0, k * 100.0 + 5, 10.0 if k % 2 else None, 20.0) for k in range(30)] + [(None, 1, "z", None, 1.0, 1.0, 2.0)], "rec_id long, roi_id long, label string, min_t double, max_t double, min_f double, max_f double")
+    lines = annotations.to_audacity(rois).where("rec_id = 1").orderBy("line_no").collect()
+    assert [r.line_no for r in lines] == list(range(1, 46)) and lines[0].line.startswith("0.000000")
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "1.txt").write_text("\n".join(r.line for r in lines) + "\nbroken\n")
+    got = annotations.read_audacity(spark, str(tmp_path / "l")).collect()
+    assert len(got) == 30 and sum(r.min_f is not None for r in got) == 15
+    raven = annotations.to_raven(rois).where("rec_id = 1").orderBy("Selection").collect()
+    assert [r["Selection"] for r in raven] == list(range(1, 31)) and [r["Begin Time (s)"] for r in raven] == [k * 100.0 for k in range(30)]
