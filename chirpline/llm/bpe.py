@@ -26,7 +26,7 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
 # Words that are held as Python strings and ids at once, but for those of a longer text.
-SLICE_WORDS = 100_000
+SLICE_WORDS = 400_000
 TOKENIZERS = "/opt/tokenizers"
 
 
