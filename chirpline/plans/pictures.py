@@ -190,9 +190,14 @@ def bg_opening(spark, d):
     return rounded(im.as_cells(im.remove_background(frames(spark, d))).withColumnRenamed("p", "v"))
 
 
-@q()
+# each step takes the largest neighbour, cut to the picture, until nothing changes
+@q(f"""WITH RECURSIVE {SPEC}, s AS (SELECT rec_id, t_idx, f_idx, a, a - quantile_cont(a, 0.1) OVER (PARTITION BY rec_id) AS v FROM spec),
+  r AS (SELECT 0 AS it, rec_id, t_idx, f_idx, a, v, true AS changed FROM s UNION ALL
+    SELECT it + 1, rec_id, t_idx, f_idx, a, w, bool_or(w <> v) OVER () FROM (SELECT *, least(a, max(m) OVER (PARTITION BY rec_id, t_idx ORDER BY f_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS w
+      FROM (SELECT *, max(v) OVER (PARTITION BY rec_id, f_idx ORDER BY t_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM r WHERE changed)))
+  SELECT rec_id, t_idx, f_idx, {R('greatest(a - v, 0)', 'v')} FROM r WHERE it = (SELECT max(it) FROM r)""")
 def bg_morpho(spark, d):
-    return im.remove_background_morpho(frames(spark, d))
+    return rounded(im.as_cells(im.remove_background_morpho(frames(spark, d))).withColumnRenamed("p", "v"))
 
 
 @q()

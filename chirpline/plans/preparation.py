@@ -115,6 +115,15 @@ PLACES = r"""t AS (
           FROM audio_metadata WHERE path_audio IS NOT NULL),
         f AS (SELECT path, max(fsize) AS n_bytes FROM t GROUP BY path)"""
 
+# Catalogue rows with id as a number, grade and length in seconds.
+GRADED = """c AS (
+          SELECT TRY_CAST(trim(id) AS BIGINT) AS id, rec, loc,
+            CASE WHEN upper(trim(q)) IN ('A', 'B', 'C', 'D', 'E') THEN ascii(upper(trim(q))) - 65 ELSE 5 END AS grade,
+            CASE WHEN regexp_full_match(trim(length), '[0-9]+:[0-5]?[0-9]:[0-5][0-9]|[0-9]+:[0-5][0-9]') THEN
+              list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(trim(length), ':'), lambda x: CAST(x AS BIGINT))), lambda a, b: a * 60 + b)
+              ELSE -1 END AS len
+          FROM catalogue)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""
         WITH {PLACES} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes
@@ -171,17 +180,22 @@ ORACLES: dict[str, str] = {
     "p4_records": LINES + """, ok AS (SELECT DISTINCT rec_id, line_no, v, l, h FROM r WHERE reason IS NULL)
         SELECT t.rec_id, t.line_no, t.l AS min_t, t.h AS max_t, t.v[3] AS label, f.l AS min_f, f.h AS max_f
         FROM ok t LEFT JOIN ok f ON f.rec_id = t.rec_id AND f.line_no = t.line_no + 1 AND f.v[1] = '\\' WHERE t.v[1] <> '\\'""",
-    "p5_found": """
-        WITH t AS (
-          SELECT DISTINCT CAST(id AS BIGINT) AS id, lower(trim(rec)) AS rec,
-            CASE WHEN upper(trim(q)) IN ('A', 'B', 'C', 'D', 'E') THEN ascii(upper(trim(q))) - 65 ELSE 5 END AS grade,
-            CASE WHEN regexp_full_match(trim(length), '[0-9]+:[0-9]{2}') OR regexp_full_match(trim(length), '[0-9]+:[0-9]{1,2}:[0-9]{2}') THEN
-              list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(trim(length), ':'), lambda x: CAST(x AS BIGINT))), lambda a, b: a * 60 + b)
-              ELSE -1 END AS len
-          FROM catalogue WHERE rec IS NOT NULL AND trim(rec) <> ''),
+    "p5_found": f"""
+        WITH {GRADED}, t AS (SELECT DISTINCT id, lower(trim(rec)) AS rec, grade, len FROM c WHERE rec IS NOT NULL AND trim(rec) <> ''),
         r AS (
           SELECT *, row_number() OVER (PARTITION BY rec ORDER BY grade, len DESC, id) AS rk, count(*) OVER (PARTITION BY rec) AS n FROM t)
         SELECT CAST(id AS VARCHAR) AS id FROM r WHERE n > 12 AND rk <= 12""",
+    # records in the order of their quality, each kept if all its contributors still have room
+    "p5_shared": f"""
+        WITH RECURSIVE {GRADED}, e AS (
+          SELECT id, grade, -len AS short, 'rec:' || lower(trim(rec)) AS who FROM c WHERE trim(rec) <> '' UNION ALL SELECT id, grade, -len, 'loc:' || lower(trim(loc)) FROM c WHERE trim(loc) <> ''),
+        r AS (SELECT id, list(DISTINCT who) AS who, row_number() OVER (ORDER BY min((grade, short)), id) AS i FROM e WHERE id IS NOT NULL GROUP BY id),
+        g AS (
+          SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST([] AS VARCHAR[]) AS who, CAST([] AS VARCHAR[]) AS held, false AS kept
+          UNION ALL
+          SELECT i, id, who, CASE WHEN kept THEN list_concat(held, who) ELSE held END, kept
+          FROM (SELECT r.i, r.id, r.who, g.held, len(list_filter(r.who, lambda c: len(list_filter(g.held, lambda h: h = c)) >= 12)) = 0 AS kept FROM g JOIN r ON r.i = g.i + 1))
+        SELECT CAST(id AS VARCHAR) AS id, list_sort(who) AS contributors FROM g WHERE kept""",
     "p6_found": """
         WITH t AS (
           SELECT DISTINCT rec_id, CAST(round(min_f) AS BIGINT) AS min_f, CAST(round(max_f) AS BIGINT) AS max_f,
