@@ -163,15 +163,18 @@ def test_shared_line_on_the_salted_way(spark):
     assert len(got) == len(set(got)) == 1200
 
 
-def test_sql_of_leaks(spark, data):
+@pytest.mark.parametrize("name", ["p8_found", "p8_windows", "p8_leaks"])
+def test_sql_of_leaks(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     from chirpline.llm import plans
 
     con = duckdb.connect()
     for t in ("documents", "eval_item"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    got = [tuple(r) for r in plans.p8_found(spark, data).select("doc_id", "item_id").collect()]
-    assert sorted(got) == sorted(con.sql(plans.ORACLES["p8_found"]).fetchall())
+    found = plans.QUERIES[name](spark, data)
+    columns = sorted(found.columns)
+    got = [str(tuple(r)) for r in found.select(*columns).collect()]
+    assert sorted(got) == sorted(str(r) for r in con.sql(plans.ORACLES[name]).select(*columns).fetchall()) and got
 
 
 def test_words_of_equals_the_definition():
