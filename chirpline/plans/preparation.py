@@ -177,6 +177,14 @@ ORACLES: dict[str, str] = {
         FROM c LEFT JOIN o l ON l.deploy_id = c.deploy_id AND l.k = lk""",
     "p4_found": LINES + """
         SELECT DISTINCT rec_id, line_no, reason FROM r WHERE reason IS NOT NULL""",
+    # the place of an error, from the lengths of the fields before it
+    "p4_faults": LINES + r""", z AS (SELECT *, regexp_extract(line, '^(?:(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)\t)*') AS before, CASE WHEN v[1] = '\' THEN 1 ELSE 0 END AS first FROM r WHERE reason IS NOT NULL),
+        y AS (SELECT *, substring(line, len(before) + 1) AS rest, [0, len(x['a']) + 1, len(x['a']) + len(x['b']) + 2] AS places FROM z),
+        e AS (SELECT *, regexp_extract(rest, '^"(?:[^"]|"")*"') AS closed, regexp_extract(line, '^(?:(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)\t){3}') AS three_ FROM y)
+        SELECT DISTINCT rec_id, line_no, reason, CAST(CASE reason
+          WHEN 'quoting' THEN len(before) + CASE WHEN closed <> '' AND substring(rest, len(closed) + 1, 1) <> '"' THEN len(closed) ELSE 0 END
+          WHEN 'columns' THEN CASE WHEN three_ <> '' THEN len(three_) ELSE len(before) + len(CASE WHEN starts_with(rest, '"') THEN replace(rest[2:-2], '""', '"') ELSE rest END) END
+          ELSE places[first + CASE WHEN l IS NULL OR isinf(l) OR l < 0 THEN 1 ELSE 2 END] END AS INTEGER) AS error_at FROM e""",
     "p4_records": LINES + """, ok AS (SELECT DISTINCT rec_id, line_no, v, l, h FROM r WHERE reason IS NULL)
         SELECT t.rec_id, t.line_no, t.l AS min_t, t.h AS max_t, t.v[3] AS label, f.l AS min_f, f.h AS max_f
         FROM ok t LEFT JOIN ok f ON f.rec_id = t.rec_id AND f.line_no = t.line_no + 1 AND f.v[1] = '\\' WHERE t.v[1] <> '\\'""",
