@@ -27,6 +27,8 @@ CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
 # Words that are held as Python strings and ids at once, but for those of a longer text.
 SLICE_WORDS = 400_000
+# A vocabulary file goes to every worker.
+MAX_VOCABULARY = 32 << 20
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -55,7 +57,12 @@ class PrefixEncoder:
     @classmethod
     def load(cls, path: str) -> PrefixEncoder:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, vocabulary: bytes) -> PrefixEncoder:
+        """From the content of a vocabulary file: lines of a token in base 64 and its rank."""
+        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())})
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte gives itself twice.
@@ -152,8 +159,9 @@ class PrefixEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> PrefixEncoder:
-    return PrefixEncoder.load(path)
+def _encoder(vocabulary: bytes) -> PrefixEncoder:
+    """One encoder a worker and vocabulary, with what it remembers."""
+    return PrefixEncoder.parse(vocabulary)
 
 
 def words_of(text: Column) -> Column:
@@ -189,15 +197,20 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     about ``SLICE_WORDS`` words, sees the distinct ones once, encodes those it doesn't know yet and
     gathers the ids of the texts with array arithmetic. Nothing is shuffled, whole texts are
     encoded, and strings of special tokens are ordinary text. Bytes that the vocabulary has no
-    token for fail the call. A column of the name ``out`` in the input is replaced.
+    token for fail the call. The driver reads the vocabulary file, which may have ``MAX_VOCABULARY``
+    bytes, and sends it to the workers. A column of the name ``out`` in the input is replaced.
     """
-    where = path or vocabulary_path()
+    with open(path or vocabulary_path(), "rb") as f:
+        content = f.read()
+    if len(content) > MAX_VOCABULARY:
+        raise ValueError(f"the vocabulary has more than {MAX_VOCABULARY} bytes")
+    shared = df.sparkSession.sparkContext.broadcast(content)
     cut = df.withColumn(out, words_of(F.col(text))).drop(*([text] if text != out else []))
     fields = [f for f in cut.schema.fields if f.name != out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(where)
+        encoder = _encoder(shared.value)
         for whole in batches:
             for start, end in _slices(np.asarray(whole.column(out).offsets)):
                 batch = whole.slice(start, end - start)
