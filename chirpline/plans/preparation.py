@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zoneinfo
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,69 @@ LINES = r"""
     "FIELD", r"""'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'"""
 ).replace("NUM", "' *[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)? *'")
 
+def _abbreviation_rows() -> str:
+    """(zone, abbreviation, offset in seconds) of all zones, for SQL."""
+    rows = [
+        f"('{z}', '{name}', {int(o.total_seconds())})"
+        for z in sorted(zoneinfo.available_timezones())
+        for name, offsets in sorted(timestamps._abbreviations(z).items())
+        if name.isalpha() and len(name) <= 5 and "/" in z and not z.startswith(("posix", "right", "Etc"))
+        for o in sorted(offsets)
+    ]
+    return "(VALUES " + ", ".join(rows) + ") AS ab(zone, name, off)"
+
+
+def stamps_sql() -> str:
+    """The instants of stamps by regular expressions. One reading after the other takes its part of the text off."""
+    months = "(VALUES " + ", ".join(f"('{name}', {m})" for name, m in timestamps.MONTHS.items()) + ") AS mo(name, m)"
+    return rf"""
+        WITH s AS (
+          SELECT 'stamp_raw' AS src, CAST(stamp_id AS BIGINT) AS row_id, date, time, tz, date_order FROM stamp_raw LEFT JOIN site USING (site)
+          UNION ALL SELECT 'catalogue', TRY_CAST(trim(id) AS BIGINT), date, time, tz, date_order FROM catalogue LEFT JOIN site USING (loc)),
+        a AS (SELECT DISTINCT src, row_id, tz, date_order AS o, regexp_replace(regexp_replace(date, '^\s+|\s+$', '', 'g'), '(?i)\.(wav|flac|mp3|ogg)$', '') AS d, regexp_replace(coalesce(time, ''), '^\s+|\s+$', '', 'g') AS t
+          FROM s WHERE row_id IS NOT NULL AND date IS NOT NULL),
+        u AS (SELECT *, NOT regexp_matches(t, '[0-9]') AND (regexp_full_match(d, '[0-9]+') AND len(d) NOT IN (12, 14) OR regexp_full_match(d, '(0x)?[0-9A-Fa-f]{{8}}')) AS bare FROM a WHERE d <> ''),
+        n AS (SELECT src, row_id, d, regexp_full_match(d, '[0-9]+') AS digits, list_reduce(list_transform(string_split(lower(right(d, 8)), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda x, y: x * 16 + y) AS hex FROM u WHERE bare AND len(d) <= 18),
+        ux AS (SELECT src, row_id, list_filter(CASE WHEN NOT digits THEN [hex * 1000000] WHEN len(d) = 8 AND d[1:4] BETWEEN '1900' AND '2099' THEN [] ELSE list_concat([CAST(d AS HUGEINT) * 1000000, CAST(d AS HUGEINT) * 1000, CAST(d AS HUGEINT)], CASE WHEN len(d) = 8 THEN [CAST(hex AS HUGEINT) * 1000000] ELSE [] END) END,
+          lambda x: x >= 1420070400000000 AND x < 1924992000000000) AS c FROM n),
+        b AS (SELECT src, row_id, tz, o, t, CASE WHEN regexp_full_match(d, '([A-Za-z][A-Za-z0-9]*[_-])?[0-9]{{8}}[_-]?[0-9]{{6}}Z?') THEN regexp_replace(regexp_extract(d, '([0-9]{{8}}[_-]?[0-9]{{6}}Z?)$', 1), '^(.{{8}})[_-]*', '\1 ')
+          WHEN regexp_full_match(d, '[0-9]{{12}}|[0-9]{{14}}') THEN d[1:8] || ' ' || d[9:] ELSE d END AS d FROM u WHERE NOT bare),
+        w AS (SELECT *, lower(regexp_extract(d, '^(\pL{{2,10}})\.?, +', 1))[1:3] AS wd, regexp_replace(d, '^\pL{{2,10}}\.?, +', '') AS e FROM b),
+        x AS (SELECT *, regexp_extract(e, '(?s)^([0-9]{{4}})([-/.])([0-9]{{1,2}})([-/.])([0-9]{{1,2}})((?:[^0-9].*)?)$', ['y', 's', 'm', 'z', 'd', 'r']) AS q1, regexp_extract(e, '(?s)^([0-9]{{1,2}})([-/.])([0-9]{{1,2}})([-/.])([0-9]{{4}})((?:[^0-9].*)?)$', ['a', 's', 'b', 'z', 'y', 'r']) AS q2,
+            regexp_extract(e, '(?s)^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})((?:[^0-9].*)?)$', ['y', 'm', 'd', 'r']) AS q3, regexp_extract(e, '(?is)^([0-9]{{1,2}})(?:\.|st|nd|rd|th)? +(?:de +)?(\pL+)\.?,? +(?:de +)?([0-9]{{4}})((?:[^0-9].*)?)$', ['d', 'm', 'y', 'r']) AS q4,
+            regexp_extract(e, '(?is)^(\pL+)\.? +([0-9]{{1,2}})(?:st|nd|rd|th)?,? +([0-9]{{4}})((?:[^0-9].*)?)$', ['m', 'd', 'y', 'r']) AS q5 FROM w WHERE wd IN ('', 'mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun')),
+        y AS (
+          SELECT src, row_id, tz, t, wd, q1['y'] AS y, q1['m'] AS m, q1['d'] AS d, q1['r'] AS r FROM x WHERE q1['y'] <> '' AND q1['s'] = q1['z']
+          UNION ALL SELECT src, row_id, tz, t, wd, q2['y'], q2['b'], q2['a'], q2['r'] FROM x WHERE q2['y'] <> '' AND q2['s'] = q2['z'] AND coalesce(o, 'DMY') <> 'MDY'
+          UNION ALL SELECT src, row_id, tz, t, wd, q2['y'], q2['a'], q2['b'], q2['r'] FROM x WHERE q2['y'] <> '' AND q2['s'] = q2['z'] AND coalesce(o, 'MDY') <> 'DMY'
+          UNION ALL SELECT src, row_id, tz, t, wd, q3['y'], q3['m'], q3['d'], q3['r'] FROM x WHERE q3['y'] <> ''
+          UNION ALL SELECT src, row_id, tz, t, wd, q4['y'], CAST(m AS VARCHAR), q4['d'], q4['r'] FROM x JOIN {months} ON name = lower(q4['m']) WHERE q4['y'] <> ''
+          UNION ALL SELECT src, row_id, tz, t, wd, q5['y'], CAST(m AS VARCHAR), q5['d'], q5['r'] FROM x JOIN {months} ON name = lower(q5['m']) WHERE q5['y'] <> ''),
+        k AS (SELECT *, CASE WHEN r <> '' THEN r ELSE t END AS k FROM (SELECT * REPLACE (CASE WHEN regexp_matches(r, '^[Tt_][0-9]') THEN r[2:] ELSE ltrim(r, ' ,') END AS r) FROM y) WHERE NOT (r <> '' AND regexp_matches(t, '[0-9]'))),
+        c AS (SELECT *, regexp_extract(k, '(?is)^([0-9]{{1,2}})[:.h]([0-9]{{2}})(?:[:.]([0-9]{{2}})(?:[.,]([0-9]{{1,9}}))?)?((?:[^0-9].*)?)$', ['h', 'm', 's', 'f', 'r']) AS c1, regexp_extract(k, '(?s)^([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})?(?:[.,]([0-9]{{1,9}}))?((?:[^0-9].*)?)$', ['h', 'm', 's', 'f', 'r']) AS c2 FROM k),
+        h AS (SELECT *, CASE WHEN c1['h'] <> '' THEN c1 ELSE c2 END AS c, CASE WHEN c1['h'] <> '' THEN regexp_extract(c1['r'], '(?is)^ *([ap]\.?m\.?)((?:[^\pL].*)?)$', ['p', 'r']) ELSE {{'p': '', 'r': ''}} END AS p FROM c WHERE c1['h'] <> '' OR c2['h'] <> ''),
+        l AS (SELECT src, row_id, tz, wd, y, m, d, CAST(c['h'] AS INT) AS hh, CAST(c['m'] AS INT) AS mi, CAST(CASE WHEN c['s'] = '' THEN '0' ELSE c['s'] END AS INT) AS ss, CAST(rpad(c['f'], 6, '0')[1:6] AS BIGINT) AS us, lower(p['p'])[1:1] AS half,
+          regexp_replace(CASE WHEN p['p'] <> '' THEN p['r'] ELSE c['r'] END, '^\s+|\s+$', '', 'g') AS tail FROM h),
+        v AS (SELECT *, TRY_CAST(y || '-' || m || '-' || d AS DATE) AS day, CASE WHEN half = '' THEN hh WHEN hh BETWEEN 1 AND 12 THEN hh % 12 + CASE WHEN half = 'p' THEN 12 ELSE 0 END ELSE 99 END AS hour,
+          regexp_extract(tail, '(?s)^(?:UTC|GMT)?([+-])([0-9]{{2}}):?([0-9]{{2}})?((?:[^0-9].*)?)$', ['sign', 'h', 'm', 'r']) AS f, regexp_extract(tail, '^\[([A-Za-z]+(?:[/_+-][A-Za-z0-9_+-]+)*)\]$', 1) AS named, regexp_extract(tail, '(?s)^\(?([A-Za-z]{{1,5}})\)?(.*)$', ['n', 'r']) AS abb FROM l),
+        g AS (SELECT src, row_id, tz, epoch_us(CAST(day AS TIMESTAMP)) + CAST((hour * 60 + mi) * 60 + ss AS BIGINT) * 1000000 + us AS local,
+            CASE WHEN tail = '' THEN 'none' WHEN f['sign'] <> '' THEN CASE WHEN regexp_full_match(trim(f['r']), '|\[[A-Za-z]+(?:[/_+-][A-Za-z0-9_+-]+)*\]|\(?[A-Za-z]{{1,5}}\)?') AND CAST(f['h'] AS INT) <= 14 AND f['m'] <= '59' THEN 'offset' END
+              WHEN named <> '' THEN 'zone' WHEN abb['n'] <> '' AND regexp_full_match(trim(abb['r']), '|\[[A-Za-z]+(?:[/_+-][A-Za-z0-9_+-]+)*\]') THEN CASE WHEN upper(abb['n']) IN ('Z', 'UTC', 'GMT', 'UT') THEN 'utc' ELSE 'abbreviation' END END AS kind,
+            CASE WHEN f['sign'] = '-' THEN -1 ELSE 1 END * (TRY_CAST(f['h'] AS BIGINT) * 60 + coalesce(TRY_CAST(f['m'] AS BIGINT), 0)) * 60000000 AS off, named, upper(abb['n']) AS abb
+          FROM v WHERE day IS NOT NULL AND year(day) BETWEEN 1971 AND 2100 AND hour <= 23 AND mi <= 59 AND ss <= 59 AND (wd = '' OR lower(strftime(day, '%a')) = wd)),
+        z AS (SELECT src, row_id, local, kind, abb, CASE WHEN kind = 'zone' THEN named ELSE tz END AS zone FROM g WHERE kind IN ('none', 'zone', 'abbreviation')),
+        zz AS (SELECT *, unnest([-86400000000, 86400000000]) AS away FROM z WHERE zone IN (SELECT name FROM pg_timezone_names())),
+        zo AS (SELECT DISTINCT src, row_id, local, kind, abb, zone, epoch_us(timezone(zone, make_timestamptz(local + away))) - (local + away) AS off FROM zz),
+        ok AS (SELECT * FROM zo WHERE epoch_us(timezone(zone, make_timestamptz(local - off))) = local),
+        instant AS (
+          SELECT src, row_id, CAST(c[1] AS BIGINT) AS us FROM ux WHERE len(c) = 1
+          UNION ALL SELECT src, row_id, local - CASE WHEN kind = 'offset' THEN off ELSE 0 END FROM g WHERE kind IN ('offset', 'utc')
+          UNION ALL SELECT src, row_id, local - off FROM ok WHERE kind <> 'abbreviation'
+          UNION ALL SELECT z.src, z.row_id, z.local - coalesce(ok.off, CAST(ab.off AS BIGINT) * 1000000) FROM z JOIN {_abbreviation_rows()} ON ab.zone = z.zone AND ab.name = z.abb LEFT JOIN ok ON ok.src = z.src AND ok.row_id = z.row_id AND ok.local = z.local AND ok.zone = z.zone AND ok.kind = z.kind AND ok.off = CAST(ab.off AS BIGINT) * 1000000 WHERE z.kind = 'abbreviation'),
+        once AS (SELECT src, row_id, min(us) AS us FROM instant GROUP BY 1, 2 HAVING count(DISTINCT us) = 1)
+        SELECT src, row_id, us AS epoch_us FROM once WHERE us >= 1420070400000000 AND us < 1924992000000000"""
+
+
 PLACES = r"""t AS (
           SELECT '/' || list_aggregate(list_filter(string_split(
                    regexp_replace(replace(path_audio, '\', '/'), '^[A-Za-z][A-Za-z0-9+.-]+:(//(localhost)?)?/', '/'), '/'),
@@ -175,6 +239,7 @@ ORACLES: dict[str, str] = {
         SELECT c.deploy_id, sensor_name, c.k, a AS slot_us, CASE WHEN c.n IS NOT NULL THEN 'observed' WHEN c.k - lk <= 3 THEN 'carried' ELSE 'missing' END AS status,
           CAST(coalesce(c.n, 0) AS BIGINT) AS n_readings, round(coalesce(c.seconds, 0), 3) + CAST(0 AS DOUBLE) AS seconds, CASE WHEN c.k - lk <= 3 THEN l.last_us END AS carried_us
         FROM c LEFT JOIN o l ON l.deploy_id = c.deploy_id AND l.k = lk""",
+    "p3_found": stamps_sql(),
     "p4_found": LINES + """
         SELECT DISTINCT rec_id, line_no, reason FROM r WHERE reason IS NOT NULL""",
     # the place of an error, from the lengths of the fields before it
