@@ -60,7 +60,7 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a hash of the key: a reproducible sample."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), key).limit(n)
 
 
 def counts_by_value(rows: DataFrame, by: str, value: str, prefix: str, max_values: int = 1000) -> DataFrame:

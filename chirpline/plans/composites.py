@@ -142,11 +142,10 @@ def catalogue_multi_query(spark, d):
     return catalogue.multi_search(table(spark, d, "catalogue"), wanted, ["gen", "sp"]).select("q_gen", "q_sp", "id", "loc")
 
 
-@q()
+@q("SELECT id, gen, sp FROM (SELECT id, min(gen) AS gen, min(sp) AS sp FROM catalogue WHERE id IS NOT NULL GROUP BY 1) ORDER BY md5('1979:' || id), id LIMIT 50")
 def catalogue_sample(spark, d):
-    from chirpline.operators.relational import sample_rows
-
-    return sample_rows(table(spark, d, "catalogue").select("id", "gen", "sp").distinct(), "id", 50, 1979)
+    species = table(spark, d, "catalogue").where("id is not null").groupBy("id").agg(F.min("gen").alias("gen"), F.min("sp").alias("sp"))
+    return rl.sample_rows(species, "id", 50, 1979)
 
 
 @q(f"WITH {SPEC}, k AS (SELECT rec_id % 3 AS hour, f_idx, sum(p) AS s, count(*) AS n FROM spec GROUP BY 1, 2) SELECT hour, f_idx, {R('10 * log10(s / n)', 'level')} FROM k")

@@ -11,7 +11,7 @@ from chirpline.functions import propagation as pg
 from chirpline.operators import images as im
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
-from chirpline.plans.registry import DF, DT, FS, M, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
+from chirpline.plans.registry import DF, DT, EV, FS, M, SIG, SPEC, R, Registry, cells, event_series, rounded, signals
 from chirpline.plans.spectral import G, S, _smooth
 from chirpline.session import table
 
@@ -200,12 +200,6 @@ def bg_morpho(spark, d):
     return rounded(im.as_cells(im.remove_background_morpho(frames(spark, d))).withColumnRenamed("p", "v"))
 
 
-@q()
-def cwt_rois(spark, d):
-    s = event_series(spark, d).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select("rec_id", F.col("s.x").alias("x"))
-    return im.cwt_rois(s, 8.0, (0.5, 3.0), 4.0)
-
-
 @q("""SELECT 'shp_' || lpad(CAST(k * 4 + t * 2 + f + 1 AS VARCHAR), 3, '0') AS shp, t * pi() / 2 AS theta, CASE f WHEN 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS freq, CAST(k + 1 AS INTEGER) AS pyr_level, pow(2::DOUBLE, k) / CASE f WHEN 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS scale
   FROM (SELECT unnest(range(0, 4)) AS k), (SELECT unnest(range(0, 2)) AS t), (SELECT unnest(range(0, 2)) AS f)""")
 def shape_parameters(spark, d):
@@ -286,3 +280,20 @@ def resample_fft(spark, d):
   SELECT rec_id, i, {R('sum(g * (re * cos(2 * pi() * (k * i % 64) / 64) - im * sin(2 * pi() * (k * i % 64) / 64))) / 64', 'x', 8)} FROM d JOIN g USING (k), (SELECT unnest(range(0, 64)) AS i) GROUP BY 1, 2""")
 def apply_attenuation(spark, d):
     return rounded(sg.samples(pg.attenuate(signals(spark, d), FS, 50.0)).select("rec_id", "i", "x"), 8)
+
+
+# windows of one reading and one more; energies are mirrored at the ends as far as 80 readings, the kernel is a Mexican hat of width 16
+@q(f"""WITH {EV}, z AS (SELECT rec_id, count(*) AS n FROM ev GROUP BY 1), c AS (SELECT CAST(ceil((80 - 7.95) / 2.285 / (pi() * (3 - 0.5) * 0.8 / 4) + 1) AS BIGINT) AS n, 0.1102 * (80 - 8.7) AS beta),
+  t AS (SELECT k, k - (n - 1) / 2::DOUBLE AS m, n, beta FROM c, (SELECT unnest(range(0, 64)) AS k) WHERE k < n),
+  h AS (SELECT k, CASE WHEN m = 0 THEN 0.75 - 0.125 ELSE (sin(pi() * 0.75 * m) - sin(pi() * 0.125 * m)) / (pi() * m) END * {_I0.format(x='beta * sqrt(greatest(1 - pow(2 * m / (n - 1), 2), 0))')} / {_I0.format(x='beta')} AS h FROM t),
+  f AS (SELECT a.rec_id, a.i, sum(b.x * h.h) AS y FROM ev a JOIN ev b ON b.rec_id = a.rec_id AND b.i <= a.i JOIN h ON h.k = a.i - b.i GROUP BY 1, 2),
+  e AS (SELECT rec_id, i, y * y AS e, n FROM f JOIN z USING (rec_id) UNION ALL SELECT z.rec_id, n, coalesce(y * y, 0), n FROM z LEFT JOIN f ON f.rec_id = z.rec_id AND f.i = n - 2),
+  w AS (SELECT a.rec_id, a.i, any_value(a.n) AS n, CAST(sum(b.e * (1 - pow(o / 16::DOUBLE, 2)) * exp(-pow(o / 16::DOUBLE, 2) / 2)) > 0 AS INT) AS c
+    FROM e a JOIN (SELECT unnest(range(-128, 129)) AS o) ON a.i + o BETWEEN -80 AND a.n + 80 JOIN e b ON b.rec_id = a.rec_id AND b.i = a.n - abs(a.n - ((a.i + o) % (2 * a.n) + 2 * a.n) % (2 * a.n)) GROUP BY 1, 2),
+  s AS (SELECT rec_id, n, c - lag(c) OVER (PARTITION BY rec_id ORDER BY i) AS step, i / 8::DOUBLE AS at_ FROM w),
+  l AS (SELECT rec_id, any_value(n) / 8::DOUBLE AS last, list(at_ ORDER BY at_) FILTER (WHERE step > 0) AS a, list(at_ ORDER BY at_) FILTER (WHERE step < 0) AS b FROM s GROUP BY 1),
+  k AS (SELECT rec_id, CASE WHEN b[1] < a[1] THEN list_prepend(0::DOUBLE, a) ELSE a END AS a, CASE WHEN a[-1] > b[-1] THEN list_append(b, last) ELSE b END AS b FROM l WHERE a IS NOT NULL AND b IS NOT NULL)
+  SELECT rec_id, 0.5::DOUBLE AS min_f, round(x[1], 5) AS min_t, 3::DOUBLE AS max_f, round(x[2], 5) AS max_t FROM (SELECT rec_id, unnest(list_zip(a, b)) AS x FROM k) WHERE x[1] IS NOT NULL AND x[2] IS NOT NULL""")
+def cwt_rois(spark, d):
+    s = event_series(spark, d).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select("rec_id", F.col("s.x").alias("x"))
+    return im.cwt_rois(s, 8.0, (0.5, 3.0), 4.0)
