@@ -12,7 +12,7 @@ from chirpline.operators import relational as rl
 from chirpline.operators import signal as sg
 from chirpline.operators import spectral as sp
 from chirpline.operators import summaries as sm
-from chirpline.plans.pictures import BOX, BOXES, N_PEAKS, N_PEAKS_SELECT, ROI_INDEX, ROI_OK, ROI_SELECT, boxes, frames, hysteresis_sql
+from chirpline.plans.pictures import BOX, BOXES, N_PEAKS, N_PEAKS_SELECT, ROI_INDEX, ROI_OK, ROI_SELECT, boxes, frames, hysteresis_sql, shape_sql
 from chirpline.plans.registry import DF, DT, ENV, FS, M, NT, SIG, SPEC, R, Registry, cells, rounded, signals
 from chirpline.plans.spectral import ALL, EQ, G, LAGS, NOISE, S, SQ, _mom, _smooth, hn
 from chirpline.plans.temporal import evn, mom
@@ -247,13 +247,17 @@ def intersect_ids(spark, d):
     return table(spark, d, "audio_metadata").select("rec_id").intersect(table(spark, d, "roi").select("rec_id"))
 
 
-@q()
+@q(f"WITH {SPEC}, {shape_sql('low')} SELECT rec_id, shp, x AS t_idx, y AS f_idx, {R('v', 'v')} FROM resp")
 def shape_raw(spark, d):
-    return im.shape_raw(frames(spark, d)).drop("block")
+    raw = im.shape_raw(frames(spark, d)).select("rec_id", "shp", "t_idx", F.posexplode("v").alias("f_idx", "v"))
+    return rounded(raw.withColumn("f_idx", F.col("f_idx").cast("long")))
 
 
-@q()
+_OWN = {"ntheta": 3, "bandwidth": 0.8, "frequency": (0.35, 0.5), "gamma": 2, "npyr": 2}
+
+
+@q(f"""WITH {SPEC}, {shape_sql(_OWN)}, m AS (SELECT rec_id, CAST(substr(shp, 5) AS INT) - 1 AS i, avg(v) AS v FROM resp GROUP BY 1, 2)
+  SELECT rec_id, round(pow(2, i // 6) / CASE i % 2 WHEN 0 THEN 0.35 ELSE 0.5 END, 6) + CAST(0 AS DOUBLE) AS scale, {', '.join(R(f'max(v) FILTER (WHERE i % 6 // 2 = {t})', f'theta_{t + 1}') for t in range(3))} FROM m GROUP BY 1, 2""")
 def shape_matrix(spark, d):
     """The shape features of each recording, scales down and angles across, with a preset of one's own."""
-    own = {"ntheta": 3, "bandwidth": 0.8, "frequency": (0.35, 0.5), "gamma": 2, "npyr": 2}
-    return im.shape_matrix(im.shape_features(frames(spark, d), own).drop("block"), im.shape_params(spark, own), ["rec_id"])
+    return rounded(im.shape_matrix(im.shape_features(frames(spark, d), _OWN).drop("block"), im.shape_params(spark, _OWN), ["rec_id"]))

@@ -206,14 +206,55 @@ def shape_parameters(spark, d):
     return im.shape_params(spark)
 
 
-@q()
+def _zoom_sql(source: str, out: str, rows: str, columns: str, keys: str = "") -> str:
+    """A CTE with bilinear resizing of pictures (rec_id, y, x, v) of h by w to rows by columns, pixel centres aligned; first over y, then over x."""
+    k = f"{keys}, " if keys else ""
+
+    def axis(src: str, name: str, a: str, other: str, old: str, new: str) -> str:
+        at = f"greatest(0, least({old} - 1, (g.i + 0.5) * {old} / {new} - 0.5))"
+        return f"""{name} AS MATERIALIZED (SELECT s.rec_id, {k}g.i AS {a}, s.{other}, any_value(s.h) AS h, any_value(s.w) AS w, any_value(s.big) AS big, sum(s.v * CASE WHEN s.{a} = g.lo THEN 1 - g.p ELSE 0 END + s.v * CASE WHEN s.{a} = least(g.lo + 1, g.old - 1) THEN g.p ELSE 0 END) AS v
+          FROM (SELECT rec_id, i, old, lo, at_ - lo AS p FROM (SELECT rec_id, i, old, at_, least(CAST(floor(at_) AS BIGINT), greatest(old - 2, 0)) AS lo FROM (SELECT g.rec_id, g.i, {old} AS old, {at} AS at_ FROM (SELECT rec_id, h, w, big, unnest(range(0, CAST({new} AS BIGINT))) AS i FROM (SELECT DISTINCT rec_id, h, w, big FROM {src})) g))) g
+          JOIN {src} s ON s.rec_id = g.rec_id AND s.{a} BETWEEN g.lo AND least(g.lo + 1, g.old - 1) GROUP BY s.rec_id, {k}g.i, s.{other})"""
+
+    return f"{axis(source, out + 'y', 'y', 'x', 'h', rows)}, {axis(out + 'y', out, 'x', 'y', 'w', columns)}"
+
+
+def shape_sql(preset: str | dict) -> str:
+    """CTEs that end with resp (rec_id, shp, y, x, v), the responses of all filters at every cell."""
+    filters = kn.bank(preset)
+    blur = kn.gaussian_kernel(2 / 3).tolist()
+    sym = lambda j, n: f"CASE WHEN {j} < 0 THEN -1 - ({j}) WHEN {j} >= {n} THEN 2 * {n} - 1 - ({j}) ELSE {j} END"
+    taps = "(VALUES " + ", ".join(f"({o - len(blur) // 2}, {b!r}::DOUBLE)" for o, b in enumerate(blur)) + ") AS b(o, g)"
+    kernels = "(VALUES " + ", ".join(
+        f"({f}, {h - 1 - r - h // 2}, {w - 1 - c - w // 2}, {k.real[r, c]!r}::DOUBLE, {k.imag[r, c]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for f, (_, _, k) in enumerate(filters) for h, w in [k.shape] for r in range(h) for c in range(w)
+    ) + ") AS kr(f, dy, dx, re, im)"
+    parts = ["im0 AS MATERIALIZED (SELECT rec_id, f_idx AS y, t_idx AS x, a AS v, 64 AS h, max(t_idx) OVER (PARTITION BY rec_id) + 1 AS w, max(t_idx) OVER (PARTITION BY rec_id) + 1 AS big FROM spec)", f"kr AS MATERIALIZED (SELECT * FROM {kernels})"]
+    ends = []
+    for k in range(kn.shape_options(preset)["npyr"]):
+        if k:
+            p = f"im{k - 1}"
+            parts.append(f"ba{k} AS MATERIALIZED (SELECT s.rec_id, s.y, s.x, any_value(s.h) AS h, any_value(s.w) AS w, any_value(s.big) AS big, sum(n.v * g) AS v FROM {p} s, {taps} JOIN {p} n ON n.rec_id = s.rec_id AND n.x = s.x AND n.y = {sym('(s.y + o)', 's.h')} GROUP BY 1, 2, 3)")
+            parts.append(f"bb{k} AS MATERIALIZED (SELECT s.rec_id, s.y, s.x, any_value(s.h) AS h, any_value(s.w) AS w, any_value(s.big) AS big, sum(n.v * g) AS v FROM ba{k} s, {taps} JOIN ba{k} n ON n.rec_id = s.rec_id AND n.y = s.y AND n.x = {sym('(s.x + o)', 's.w')} GROUP BY 1, 2, 3)")
+            parts.append(_zoom_sql(f"bb{k}", f"zz{k}", "ceil(h / 2::DOUBLE)", "ceil(w / 2::DOUBLE)"))
+            parts.append(f"im{k} AS MATERIALIZED (SELECT rec_id, y, x, v, CAST(ceil(h / 2::DOUBLE) AS BIGINT) AS h, CAST(ceil(w / 2::DOUBLE) AS BIGINT) AS w, big FROM zz{k})")
+        parts.append(f"nz{k} AS MATERIALIZED (SELECT *, (v - avg(v) OVER r) / CASE WHEN stddev_pop(v) OVER r > 0 THEN stddev_pop(v) OVER r ELSE 1 END AS z FROM im{k} WINDOW r AS (PARTITION BY rec_id))")
+        # the places of all products first, so that they are met by equality
+        parts.append(f"pl{k} AS MATERIALIZED (SELECT rec_id, y, x, f, re, im, {sym('(y + dy)', 'h')} AS ny, {sym('(x + dx)', 'w')} AS nx FROM nz{k}, kr)")
+        parts.append(f"""rs{k} AS MATERIALIZED (SELECT s.rec_id, f, s.y, s.x, any_value(n.h) AS h, any_value(n.w) AS w, any_value(n.big) AS big, sqrt(pow(sum(n.z * re), 2) + pow(sum(n.z * im), 2)) AS v FROM pl{k} s JOIN nz{k} n ON n.rec_id = s.rec_id AND n.y = ny AND n.x = nx GROUP BY 1, 2, 3, 4)""")
+        if k:
+            parts.append(_zoom_sql(f"rs{k}", f"up{k}", "64", "big", "s.f"))
+        ends.append(f"SELECT rec_id, 'shp_' || lpad(CAST({k * len(filters)} + f + 1 AS VARCHAR), 3, '0') AS shp, y, x, v FROM {'up' if k else 'rs'}{k}")
+    return ", ".join(parts) + f", resp AS ({' UNION ALL '.join(ends)})"
+
+
+@q(f"WITH {SPEC}, {shape_sql('low')} SELECT rec_id, shp, {R('avg(v)', 'response')} FROM resp GROUP BY 1, 2")
 def shape_features(spark, d):
-    return im.shape_features(frames(spark, d))
+    return rounded(im.shape_features(frames(spark, d)).drop("block"))
 
 
-@q()
+@q(f"WITH {SPEC}, {BOX}, {shape_sql('low')} SELECT r.rec_id, roi_id, shp, {R('avg(v)', 'response')} FROM resp r JOIN box b ON b.rec_id = r.rec_id AND x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y GROUP BY 1, 2, 3")
 def shape_roi_mean(spark, d):
-    return im.shape_roi_features(frames(spark, d), boxes(spark, d))
+    return rounded(im.shape_roi_features(frames(spark, d), boxes(spark, d)))
 
 
 N_PEAKS = f"""x AS (SELECT rec_id, f_idx AS i, 20 * log10(greatest(a, {M})) AS v FROM sa), n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM x WINDOW w AS (PARTITION BY rec_id ORDER BY i)),
