@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirpline.session import checkpoint
+
 NUMBER = re.compile(r"[ ]*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ ]*")
 _NUM = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ ]*"
 # A negative field is passed over. A number starts an anchor at its first digit, or where it stands
@@ -237,12 +239,16 @@ def salvaged_records(lines: DataFrame) -> DataFrame:
     the last, a valid next line. A salvaged frequency record without such a time record stands
     alone, with null min_t, max_t and label. Lines delivered again count once.
     """
-    faulty = parse_lines(_split(lines)[1]).where("reason is not null and size(salvaged) > 0").select("rec_id", "line_no", "salvaged").distinct()
+    return _salvaged(parse_lines(_split(lines)[1]), valid_records(lines))
+
+
+def _salvaged(parsed: DataFrame, valid: DataFrame) -> DataFrame:
+    faulty = parsed.where("reason is not null and size(salvaged) > 0").select("rec_id", "line_no", "salvaged").distinct()
     each = faulty.select("rec_id", "line_no", "salvaged", F.posexplode("salvaged").alias("i", "r"))
     before = F.when(F.col("i") > 0, F.get("salvaged", F.col("i") - 1))
     each = each.select("rec_id", "line_no", "r", F.get("salvaged", F.col("i") + 1).alias("then"), before.alias("before"))
     each = each.where("not r.is_frequency or before is null or before.is_frequency")
-    f = valid_records(lines).where("is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi"))
+    f = valid.where("is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi"))
     time = ~F.col("r.is_frequency")
     bound = lambda c: F.when(~time, F.col(f"r.{c}")).when(F.col("then.is_frequency"), F.col(f"then.{c}")).when(F.col("then").isNull(), F.col(f"next_{c}"))
     return each.join(f, ["rec_id", "line_no"], "left").select(
@@ -259,15 +265,24 @@ def label_records(lines: DataFrame) -> DataFrame:
     faulty, min_f and max_f are null. Lines delivered again count once; of two different
     deliveries both do.
     """
-    good = valid_records(lines)
+    return _annotations(valid_records(lines))
+
+
+def _annotations(good: DataFrame) -> DataFrame:
     t = good.where("not is_frequency").select("rec_id", "line_no", F.col("lo").alias("min_t"), F.col("hi").alias("max_t"), "label")
     f = good.where("is_frequency").select("rec_id", (F.col("line_no") - 1).alias("line_no"), F.col("lo").alias("min_f"), F.col("hi").alias("max_f"))
     return t.join(f, ["rec_id", "line_no"], "left")
 
 
 def all_records(lines: DataFrame) -> DataFrame:
-    """Valid and salvaged annotations: (rec_id, line_no, position, min_t, max_t, label, min_f, max_f); position is 0 for whole lines."""
-    return label_records(lines).withColumn("position", F.lit(0)).unionByName(salvaged_records(lines))
+    """Valid and salvaged annotations: (rec_id, line_no, position, min_t, max_t, label, min_f, max_f); position is 0 for whole lines.
+
+    The lines are parsed once and what they give is written for both.
+    """
+    typed, others = _split(lines)
+    parsed = checkpoint(parse_lines(others).drop("line"))
+    valid = checkpoint(typed.unionByName(parsed.where("reason is null").select(*typed.columns)).distinct())
+    return _annotations(valid).withColumn("position", F.lit(0)).unionByName(_salvaged(parsed, valid))
 
 
 def lines_of(text: str | None, most: int = 20) -> Iterator[tuple[int, str]]:
